@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, vector_search
+from . import bpe, quality_rules, sharding, vector_search
 
-MODULES = (quality_rules, vector_search, sharding)
+MODULES = (quality_rules, bpe, vector_search, sharding)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
