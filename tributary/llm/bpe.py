@@ -141,8 +141,10 @@ class BpeVocabulary:
             sym, rank = sym[keep], rank[keep]
             size = size - lost
             starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-            change = np.unique(np.concatenate([moved, moved - 1]))
-            change = change[change >= 0]
+            touched = np.zeros(len(sym), bool)
+            touched[moved] = True
+            touched[moved[moved > 0] - 1] = True
+            change = np.flatnonzero(touched)
             rank[change] = self._ranks(sym, change, starts, size)
         kept = np.repeat(base, counts) + _within(counts)
         return out[kept], counts
@@ -173,7 +175,8 @@ class BpeVocabulary:
         """Ids of distinct units of text, whose splitting does not depend on what stands around them."""
         if not len(units):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        tokens = self._token_re.findall(self._normal(_GAP.join(units.to_pylist())))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), pa.scalar(_GAP, pa.large_string()))[0].as_py()
+        tokens = self._token_re.findall(self._normal(joined))
         tokens = pa.array(tokens, pa.large_string())
         gap = pc.equal(tokens, _GAP).to_numpy(zero_copy_only=False)
         unit = np.cumsum(gap)[~gap]
@@ -210,15 +213,13 @@ class BpeVocabulary:
         if not self.word_layout:  # a unit has its space before it, but for a text's first
             code = 2 * code
             code[1:] += row[1:] == row[:-1]
-            both = np.empty(2 * len(distinct), object)
-            both[0::2] = plain = distinct.to_pylist()
-            both[1::2] = [" " + u for u in plain]
         use = ~odd[row]
         present = np.unique(code[use])
         if self.word_layout:
             wanted = distinct.take(pa.array(present))
         else:
-            wanted = pa.array(both[present].tolist(), pa.large_string())
+            space = pa.array(["", " "], pa.large_string()).take(pa.array(present % 2))
+            wanted = pc.binary_join_element_wise(space, distinct.take(pa.array(present // 2)), pa.scalar("", pa.large_string()))
         unit_ids, unit_counts = self._encode_units(wanted)
         slot = np.zeros(int(present[-1]) + 1 if len(present) else 0, np.int64)
         slot[present] = np.arange(len(present))
