@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, repair, sharding, vector_search
+from . import bpe, packing, quality_classifier, quality_rules, repair, sharding, vector_search
 
-MODULES = (packing, quality_rules, bpe, vector_search, sharding, repair)
+MODULES = (packing, quality_rules, bpe, vector_search, sharding, quality_classifier, repair)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
