@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, repair, sharding, vector_search
+from . import bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, repair, sharding, suffix_dedup, vector_search
 
-MODULES = (packing, quality_rules, bpe, vector_search, ngram_join, sharding, quality_classifier, language_id, repair)
+MODULES = (packing, quality_rules, bpe, vector_search, suffix_dedup, ngram_join, sharding, quality_classifier, language_id, repair)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
