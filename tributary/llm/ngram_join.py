@@ -36,7 +36,11 @@ SKETCH = 1 << 20
 HOT = 2000
 #: Pivot rounds go on while the pairs that remain outnumber the list entries by more than this factor; it grows eightfold a round.
 PAIRS_PER_ENTRY = 4
-_RANGES = 16
+#: Hash ranges whose sizes are compared by the suffix filter.
+RANGES = 64
+#: Up to so many documents, 8 bytes each, are broadcast as a list of those whose sets are needed; more go by a bitmap of fixed size.
+BROADCAST_DOCS = 20_000
+BITMAP = 1 << 23
 
 
 def _grams(text: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -66,6 +70,12 @@ def _class_key(grams: np.ndarray) -> int:
     return int(mix64(np.array([mix64(grams).sum(dtype=np.uint64)]) + mix64(x)).view(np.int64)[0])
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    """How many grams lie in each of RANGES equal ranges of hashes."""
+    edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
+    return np.diff(np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])).astype("<u4").tobytes()
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH, np.uint32)
     for b in batches:
@@ -164,37 +174,55 @@ def _shared(blobs: pa.Table) -> pa.Table:
     return pa.table({"gram": x["gram"].view(np.int64), "class": x["class"], "size": x["size"].astype(np.int64), "pos": x["pos"].astype(np.int64)})
 
 
+def _suffix_filter(percent: int):
+    """Pairs whose hash ranges allow the overlap: what two ranges differ in cannot be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in ("digest_a", "digest_b"))
+            need = -(-percent * (x.sum(axis=1) + y.sum(axis=1)) // (100 + percent))
+            mask = pa.array(np.minimum(x, y).sum(axis=1) >= need)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+
+    return run
+
+
 def _verifier(percent: int):
-    """Which pairs of sets reach the threshold."""
+    """Pairs whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            last, left = None, None
             for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                x = x.as_py()
-                if x is not last:
-                    last, left = x, np.frombuffer(x, np.uint64)
-                right = np.frombuffer(y.as_py(), np.uint64)
+                left, right = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 need = -(-percent * (len(left) + len(right)) // (100 + percent))
-                # suffix filter: what differs in the sizes of the hash ranges cannot be shared
-                edges = (np.arange(1, _RANGES, dtype=np.uint64)) * np.uint64((1 << 64) // _RANGES)
-                sizes = [np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in (left, right)]
-                if np.minimum(*sizes).sum() < need:
-                    good.append(False)
-                    continue
-                good.append(len(np.intersect1d(left, right, assume_unique=True)) >= need)
+                both = np.sort(np.concatenate([left, right]))
+                good.append(int((both[1:] == both[:-1]).sum()) >= need)
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
     return run
 
 
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which slots of a bitmap the classes fall into; or the union of bitmaps."""
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for b in batches:
+        if "class" in b.schema.names:
+            slot = b.column("class").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BITMAP)
+            np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7))).astype(np.uint8))
+        else:
+            for x in b.column("bits"):
+                bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+
 class _Join:
     """The state of one join: class sets on the shared folder, and the pairs that have been verified."""
 
-    def __init__(self, docs: DataFrame, n: int, percent: int):
-        self.docs, self.n, self.percent = docs, n, percent
+    def __init__(self, docs: DataFrame, of_class: DataFrame, n: int, percent: int):
+        """docs: doc_id and text; of_class: class, rep (a doc_id) and digest."""
+        self.docs, self.of_class, self.n, self.percent = docs, of_class, n, percent
         self.spark = docs.sparkSession
 
     def entries(self, sketch) -> DataFrame:
@@ -206,17 +234,36 @@ class _Join:
         hot = packed.filter("blob IS NULL").select("gram", "class", "size", "pos").distinct()
         return cold.unionByName(hot)
 
-    def sets(self, classes: DataFrame, of_class: DataFrame) -> DataFrame:
-        """class and set of the classes, read from one document of each; of_class: class and rep (a doc_id)."""
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """class and set of the classes (and perhaps of some others); a class may come more than once."""
         n = self.n
+        reps = written(classes.join(self.of_class.select("class", "rep"), "class"), "gram-wanted")
+        if reps.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
+            rows, shared = self.docs.join(F.broadcast(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), None
+        else:
+            parts = written(reps.select("class").mapInArrow(_bitmap, "bits binary"), "gram-bitmap")
+            left = parts.count()
+            while left > 1:
+                left = -(-left // 16)
+                parts = written(parts.repartition(left).mapInArrow(_bitmap, "bits binary"), "gram-bitmap")
+            shared = self.spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(parts.first()["bits"]), np.uint8))
+            rows = self.docs
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()  # a partition gives a class once
             for b in text_slices(batches):
-                grams = list(_grams(b.column("text"), n))
-                yield pa.RecordBatch.from_arrays([pa.array([_class_key(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["class", "grams"])
-
-        reps = classes.join(of_class, "class").select(F.col("rep").alias("doc_id"))
-        return self.docs.join(reps, "doc_id", "left_semi").select("text").mapInArrow(run, "class long, grams binary")
+                keys, grams = [], []
+                for g in _grams(b.column("text"), n):
+                    c = _class_key(g)
+                    slot = c % BITMAP if c >= 0 else (c + (1 << 64)) % BITMAP
+                    if c not in seen and (shared is None or shared.value[slot >> 3] >> (slot & 7) & 1):
+                        seen.add(c)
+                        keys.append(c)
+                        grams.append(g.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], names=["class", "grams"])
+
+        found = rows.select("text").mapInArrow(run, "class long, grams binary")
+        return found if shared is None else found.join(reps.select("class"), "class", "left_semi")
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs a < b of classes that pass the length and positional filters; pairs has sizes and positions of both."""
@@ -228,16 +275,20 @@ class _Join:
         ok = (F.lit(100) * low >= F.lit(p) * high) & (rest + before >= need)
         return pairs.filter(ok).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).filter("a < b").distinct()
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("set_b")), "b")
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of classes that reach the threshold."""
+        digests = self.of_class.select("class", "digest")
+        near = pairs.join(digests.select(F.col("class").alias("b"), F.col("digest").alias("digest_b")), "b").join(digests.select(F.col("class").alias("a"), F.col("digest").alias("digest_a")), "a")
+        near = written(near.select("a", "b", "digest_a", "digest_b").mapInArrow(_suffix_filter(self.percent), "a long, b long"), "gram-near")
+        sets = written(self.sets(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "gram-sets")
+        left = near.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("set_b")), "b")
         both = left.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("set_a")), "a")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(self.percent), "a long, b long")
+        return both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(self.percent), "a long, b long").distinct()
 
 
-def class_components(join: _Join, of_class: DataFrame, sketch) -> tuple[DataFrame, DataFrame]:
+def class_components(join: _Join, sketch) -> tuple[DataFrame, DataFrame]:
     """class and component of the classes that have links, and all links found (class pairs)."""
     entries = written(join.entries(sketch), "gram-entries")
-    sets = written(join.sets(entries.select("class").distinct(), of_class), "gram-sets")
     links, comp, tried, factor = None, None, None, PAIRS_PER_ENTRY
     while True:
         if comp is None:
@@ -266,7 +317,7 @@ def class_components(join: _Join, of_class: DataFrame, sketch) -> tuple[DataFram
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "gram-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(join.links(pairs, sets), "gram-links")
+        found = written(join.links(pairs), "gram-links")
         links = found if links is None else links.unionByName(found)
         comp = written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
         if few:
@@ -289,24 +340,25 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.uint32)
         for b in text_slices(batches):
-            sizes, keys = [], []
+            sizes, keys, digests = [], [], []
             for g in _grams(b.column("text"), n):
                 np.add.at(count, (g & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
                 sizes.append(len(g))
                 keys.append(_class_key(g))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pc.if_else(b.column("doc_id").is_valid(), pa.array(keys, pa.int64()), pa.scalar(None, pa.int64())), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "class", "sketch"])
+                digests.append(_digest(g))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pc.if_else(b.column("doc_id").is_valid(), pa.array(keys, pa.int64()), pa.scalar(None, pa.int64())), pa.array(digests, pa.binary()), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "class", "digest", "sketch"])
         if count.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(count.tobytes(), 1)], pa.binary())], names=["doc_id", "n", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(count.tobytes(), 1)], pa.binary())], names=["doc_id", "n", "class", "digest", "sketch"])
 
-    first = written(rows.mapInArrow(run, "doc_id long, n long, class long, sketch binary"), "gram-classes")
+    first = written(rows.mapInArrow(run, "doc_id long, n long, class long, digest binary, sketch binary"), "gram-classes")
     docs_ = first.filter("n >= 0").select("doc_id", "n", "class")
-    classes = docs_.filter("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    classes = first.filter("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest"))
     parts = first.filter("n < 0").select("sketch")
     if parts.isEmpty():
         return docs_.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     of_class = written(classes, "gram-reps")
     sketch = spark.sparkContext.broadcast(_rarity(parts))
-    comp, _ = class_components(_Join(rows, n, percent), of_class, sketch)
+    comp, _ = class_components(_Join(rows, of_class, n, percent), sketch)
     rep = of_class.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = rep.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = written(rep.join(least, "comp").select("class", "component_id"), "gram-component-ids")
