@@ -121,13 +121,14 @@ def measured(docs: DataFrame, key: str = "doc_id", host: str = "source", text: s
     return rows.mapInArrow(measure, "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def broken_rules(rules: Rules) -> dict[str, F.Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
+def broken_rules(rules: Rules, prefix: str = "") -> dict[str, F.Column]:
+    """Conditions on the columns of MEASURES, by the rule's name."""
+    m = {name: F.col(prefix + name) for name in MEASURES}
     return {
-        "too_short": F.col("n_words") < rules.min_words,
-        "repeats": F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words"),
-        "symbols": F.col("n_symbols") > F.lit(rules.max_symbols_per_word) * words,
-        "dup_lines": (F.col("n_dup_lines") >= rules.min_dup_lines) & (F.col("n_dup_lines") > F.lit(rules.max_dup_line_share) * F.col("n_lines")),
+        "too_short": m["n_words"] < rules.min_words,
+        "repeats": F.lit(100) * m["n_repeat_words"] > F.lit(rules.max_repeat_percent) * m["n_words"],
+        "symbols": m["n_symbols"] > F.lit(rules.max_symbols_per_word) * F.greatest(m["n_words"], F.lit(1)),
+        "dup_lines": (m["n_dup_lines"] >= rules.min_dup_lines) & (m["n_dup_lines"] > F.lit(rules.max_dup_line_share) * m["n_lines"]),
     }
 
 
@@ -170,6 +171,31 @@ def apply_quality_rules(docs: DataFrame, rules: Rules = Rules(), key: str = "doc
     return joined.withColumn("kept", ~F.col("failed") & ~F.col("host_rejected")).drop("of_host", "failed")
 
 
+def kept_rows(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with their own columns. Texts are measured again where they lie instead of being joined with verdicts."""
+    broken = broken_rules(rules)
+    failed = F.lit(False)
+    for c in broken.values():
+        failed = failed | c
+    rows = written(measured(docs, key, host, text).withColumn("failed", failed).select("host", "failed"), "quality-failures")
+    hosts = written(host_verdicts(rows, rules.max_host_rate), "quality-hosts").filter("host_rejected").select(F.col("host").alias("__host"))
+
+    def measure(t: pa.Array) -> pa.Array:
+        parts = []
+        for b in text_slices(iter([pa.RecordBatch.from_arrays([t], names=["text"])])):
+            found = text_measures(b.column("text"))
+            parts.append(pa.StructArray.from_arrays([pa.array(found[m], pa.int64()) for m in MEASURES], list(MEASURES)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(m, pa.int64()) for m in MEASURES]))
+
+    of_text = F.arrow_udf(measure, ", ".join(f"{m} long" for m in MEASURES))
+    with_measures = docs.withColumn("__measures", of_text(F.col(text).cast("string")))
+    for name, c in broken_rules(rules, "__measures.").items():
+        with_measures = with_measures.filter(~c)
+    small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    kept = with_measures.join(F.broadcast(hosts) if small else hosts, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = apply_quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", F.concat_ws(",", "failed_rules").alias("failed_rules"), "host_rate")
