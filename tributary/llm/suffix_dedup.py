@@ -3,6 +3,8 @@
 A byte goes if it lies in a string of `length` bytes that also starts in a document with a smaller doc_id. Texts stay in
 blocks of a few megabytes; what meets across blocks is far smaller than the texts:
 
+0. A document whose text, of `length` bytes or more, also is that of a document with a smaller doc_id goes as a whole and
+   takes no part in the rest: what it has in common with others its original has too.
 1. Anchors. Every window of `length` bytes has an anchor, the k-gram of least hash in it (a minimizer), so equal windows
    have equal anchors. Blocks send their distinct anchors' hashes to buckets, with the number of documents that have them.
 2. Buckets return to each block which of its anchors two documents or more have.
@@ -15,8 +17,10 @@ blocks of a few megabytes; what meets across blocks is far smaller than the text
    whose unit has a larger least doc_id than the group learns the group's for all its windows.
 5. Blocks get these doc_ids back and remove what a smaller doc_id has.
 
-Hashes only bring candidates together; equality of strings is decided on bytes in the suffix array, and for the anchors'
-own units by 64-bit hashes of both the anchor and the unit.
+Between the stages packed arrays travel, one row for a block and a bucket. Equality of strings is decided on bytes in the
+suffix array; equal units and equal texts are told by 64-bit hashes of unit and anchor, and by 128-bit hashes.
+Blocks are cut anew in two stages, so the documents must come from something whose partitions are the same each time,
+such as stored files.
 
 Defined cases: a null text is empty; a text shorter than `length` loses nothing; rows with the same doc_id take nothing
 from each other; a null doc_id counts as larger than all others; extra columns are kept; no rows give no rows.
@@ -42,7 +46,7 @@ LENGTH = 50
 ANCHOR = 24
 #: Anchors in more documents than this are handled window by window.
 HOT = 1000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -70,14 +74,15 @@ class Text:
     sums: np.ndarray  # prefix sums of a polynomial hash
 
     @classmethod
-    def of(cls, doc_ids: pa.Array, text: pa.Array) -> Text:
+    def of(cls, doc_ids: pa.Array, text: pa.Array, hashed: bool = True) -> Text:
         raw = text.cast(pa.large_binary())
         off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if len(raw) else np.zeros(0, np.uint8)
-        terms = _VALUES[data]
-        terms *= _power(len(data))[0][: len(data)]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(terms, out=sums[1:])
+        sums = np.zeros(len(data) + 1 if hashed else 0, np.uint64)
+        if hashed:
+            terms = _VALUES[data]
+            terms *= _power(len(data))[0][: len(data)]
+            np.cumsum(terms, out=sums[1:])
         return cls(doc_ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64), off - off[0], data, sums)
 
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -113,7 +118,8 @@ class Text:
         use = valid[first]
         first, stop = first[use], stop[use]
         doc = np.searchsorted(self.bounds, first, side="right") - 1
-        return first, stop - first, h[place[first]] >> np.uint64(16), doc
+        # least hashes are small: mixed again, they spread evenly over the buckets
+        return first, stop - first, mix64(h[place[first]] * _BASE) >> np.uint64(16), doc
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -121,6 +127,11 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
+def _ends(first: np.ndarray, n: int) -> np.ndarray:
+    """Where the runs that begin at first end, n being the end of the last."""
+    return np.append(first[1:], n) if len(first) else first
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each size, one after another."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -134,10 +145,35 @@ def _expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The records of a structured array field by field and byte by byte, squeezed: sorted fields become small."""
+    parts = [np.array([len(x)], "<i8").tobytes()]
+    for name in x.dtype.names:
+        field = np.ascontiguousarray(x[name])
+        parts.append(field.view(np.uint8).reshape(len(x), field.itemsize).T.tobytes())
+    return _squeeze(b"".join(parts))
+
+
+def _from_planes(data: bytes, dtype: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(_expand(data), np.uint8)
+    n = int(raw[:8].view("<i8")[0])
+    out, at = np.empty(n, dtype), 8
+    for name in dtype.names:
+        kind = dtype[name]
+        out[name] = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).reshape(-1)
+        at += n * kind.itemsize
+    return out
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of 48-bit hashes, so that a bucket's sorted hashes share their leading bytes."""
+    return ((h * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64)
+
+
 def _split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(bucket, kind="stable")
     first = _runs(bucket[order])
-    return order, first, np.append(first[1:], len(order))
+    return order, first, _ends(first, len(order))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -163,109 +199,153 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield block, _from_ipc(rows.as_py())
 
 
-# 1 and 2: which anchors are repeated
+# 0: copies
 
-_ANCHOR_ROW = "bucket long, block long, anchors binary"
+_COPY_ROW = "block long, place int, doc_id long, h1 long, h2 long"
 
 
-def _anchors(key: str, text: str, length: int, k: int, buckets: int):
+def _text_hashes(key: str, text: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, b in _stored(batches):
-            _, _, h, doc = Text.of(b.column(key), b.column(text)).units(length, k)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            new_doc = np.ones(len(h), np.int64)
-            new_doc[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            first = _runs(h)
-            if not len(first):
-                continue
-            count = np.minimum(np.add.reduceat(new_doc, first), 255)
-            h = h[first]
-            order, lo, hi = _split((h % np.uint64(buckets)).astype(np.int64))
-            packed = np.empty((len(h), 7), np.uint8)
-            packed[:, :6] = h[order].view(np.uint8).reshape(-1, 8)[:, :6]
-            packed[:, 6] = count[order]
-            bucket = h[order[lo]] % np.uint64(buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(np.full(len(lo), block)), pa.array([packed[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())], names=["bucket", "block", "anchors"])
+        for block, b in _blocks(batches, text):
+            raw = b.column(text).cast(pa.large_binary())
+            long_ = np.flatnonzero(pc.binary_length(raw).to_numpy(zero_copy_only=False) >= length)
+            h = np.frombuffer(b"".join(hashlib.blake2b(raw[int(i)].as_buffer(), digest_size=16).digest() for i in long_), np.int64).reshape(-1, 2)
+            ids = b.column(key).fill_null(_LAST).take(pa.array(long_))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(long_), block)), pa.array(long_.astype(np.int32)), ids, pa.array(h[:, 0]), pa.array(h[:, 1])], names=["block", "place", "doc_id", "h1", "h2"])
 
     return run
 
 
-def _wide(packed: bytes, width: int) -> np.ndarray:
-    x = np.frombuffer(packed, np.uint8).reshape(-1, width)
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :6] = x[:, :6]
-    return out.view(np.uint64).reshape(-1)
+def _copies(hashes: DataFrame) -> DataFrame:
+    """block and places: the documents of a block that are copies of one with a smaller doc_id."""
+    least = hashes.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h1", "h2", "least")
+    found = hashes.join(least, ["h1", "h2"]).filter("doc_id > least")
+    return found.groupBy("block").agg(F.collect_list("place").alias("places"))  # a block's documents at most
+
+
+def _without(t: Text, copies: pa.ChunkedArray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The units of documents that are no copies; the last column is the document's number."""
+    gone = np.zeros(len(t.doc_ids), bool)
+    for x in copies.to_pylist():
+        gone[x or []] = True
+    keep = ~gone[columns[-1]]
+    return tuple(c[keep] for c in columns)
+
+
+# 1 and 2: which anchors are repeated
+
+_ANCHOR = np.dtype([("low", "<u4"), ("high", "<u2"), ("n", "u1")])
+_ANCHOR_ROW = "bucket long, block long, anchors binary"
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    return x["low"].astype(np.uint64) | (x["high"].astype(np.uint64) << np.uint64(32))
+
+
+def _packed_anchors(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    x = np.empty(len(h), _ANCHOR)
+    x["low"], x["high"], x["n"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), n
+    return x
+
+
+def _anchors(key: str, text: str, length: int, k: int, buckets: int):
+    def run(group: pa.Table, copies: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "anchors": pa.array([], pa.binary())})
+        b = _from_ipc(group.column("rows")[0].as_py())
+        t = Text.of(b.column(key), b.column(text))
+        _, _, h, doc = _without(t, copies.column("places"), *t.units(length, k))
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        new_doc = np.ones(len(h), np.int64)
+        new_doc[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        first = _runs(h)
+        count = np.minimum(np.add.reduceat(new_doc, first), 255) if len(first) else first
+        x = _packed_anchors(h[first], count)
+        bucket = _bucket(h[first], buckets)  # ascending with the hashes
+        lo = _runs(bucket)
+        hi = _ends(lo, len(bucket))
+        block = group.column("block")[0].as_py()
+        return pa.table({"bucket": bucket[lo], "block": np.full(len(lo), block, np.int64), "anchors": pa.array([_planes(x[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
+
+    return run
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
     """Of one bucket, for each block: its anchors that several documents have, and whether they are hot."""
-    blobs, blocks = rows.column("anchors").to_pylist(), rows.column("block").to_numpy()
-    h = np.concatenate([_wide(x, 7) for x in blobs])
-    count = np.concatenate([np.frombuffer(x, np.uint8)[6::7] for x in blobs]).astype(np.int64)
-    owner = np.repeat(np.arange(len(blobs)), [len(x) // 7 for x in blobs])
+    blobs, blocks = [_from_planes(x.as_py(), _ANCHOR) for x in rows.column("anchors")], rows.column("block").to_numpy()
+    x = np.concatenate(blobs)
+    h, count = _hash(x), x["n"].astype(np.int64)
+    owner = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
     order = np.argsort(h, kind="stable")
     h, count, owner = h[order], count[order], owner[order]
     first = _runs(h)
-    total = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(h))))
+    total = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(h)))) if len(h) else count
     keep = total > 1
     h, owner, hot = h[keep], owner[keep], total[keep] > HOT
     order, lo, hi = _split(owner)
-    packed = np.empty((len(h), 7), np.uint8)
-    packed[:, :6] = h[order].view(np.uint8).reshape(-1, 8)[:, :6]
-    packed[:, 6] = hot[order]
-    return pa.table({"block": blocks[owner[order[lo]]] if len(h) else np.zeros(0, np.int64), "anchors": pa.array([packed[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())})
+    packed = _packed_anchors(h[order], hot[order])
+    return pa.table({"block": blocks[owner[order[lo]]] if len(h) else np.zeros(0, np.int64), "anchors": pa.array([_planes(packed[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
 
 
 # 3: units of repeated anchors
 
-_UNIT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("id", "<u4"), ("size", "<u2")])
+_UNIT = np.dtype([("low", "<u4"), ("high", "<u2"), ("doc", "<i8"), ("id", "<u4"), ("size", "<u2")])
 _UNIT_ROW = "bucket long, block long, units binary, snippets binary"
 
 
 def _units_of(key: str, text: str, length: int, k: int, buckets: int):
-    def run(group: pa.Table, repeated: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "units": pa.array([], pa.binary()), "snippets": pa.array([], pa.binary())})
-        if not repeated.num_rows or not group.num_rows:
-            return empty
+    def run(group: pa.Table, found: pa.Table) -> pa.Table:
+        known = [_from_planes(x.as_py(), _ANCHOR) for x in found.column("anchors") if x.is_valid]
+        if not known or not group.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "units": pa.array([], pa.binary()), "snippets": pa.array([], pa.binary())})
         block = group.column("block")[0].as_py()
         b = _from_ipc(group.column("rows")[0].as_py())
         t = Text.of(b.column(key), b.column(text))
-        first, n, h, doc = t.units(length, k)
-        known = np.concatenate([_wide(x.as_py(), 7) for x in repeated.column("anchors")])
-        hot = np.concatenate([np.frombuffer(x.as_py(), np.uint8)[6::7] for x in repeated.column("anchors")])
-        order = np.argsort(known)
-        known, hot = known[order], hot[order]
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        use = known[at] == h
-        first, n, h, doc, hot = first[use], n[use], h[use], doc[use], hot[at[use]] == 1
+        first, n, h, doc = _without(t, found.column("places"), *t.units(length, k))
+        known = np.concatenate(known)
+        known_h = _hash(known)
+        order = np.argsort(known_h)
+        known_h, hot = known_h[order], known["n"][order] == 1
+        at = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
+        use = known_h[at] == h
+        first, n, h, doc, hot = first[use], n[use], h[use], doc[use], hot[at[use]]
         # windows of hot anchors are units of one window, keyed by their own hash
-        alone = np.repeat(doc[hot], n[hot])
+        plain, alone = int((~hot).sum()), np.repeat(doc[hot], n[hot])
         first = np.concatenate([first[~hot], _ranges(first[hot], n[hot])])
         n = np.concatenate([n[~hot], np.ones(len(alone), np.int64)])
         doc = np.concatenate([doc[~hot], alone])
         content = t.hashes(first, first + n + length - 1)
-        h = np.concatenate([h[~hot], content[len(h) - int(hot.sum()) :]])
+        h = np.concatenate([h[~hot], content[plain:] >> np.uint64(16)])
         ids = t.doc_ids[doc]
         order = np.lexsort((ids, content, h))
         same = (h[order][1:] == h[order][:-1]) & (content[order][1:] == content[order][:-1])
         head = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
         unit = np.empty(len(order), np.int64)
         unit[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-        one = order[head]  # of each distinct unit the occurrence with the least doc_id
+        one = order[head]  # of each distinct unit the occurrence with the least doc_id, in the order of keys
         size = n[one] + length - 1
-        rows = [(-1, _squeeze(b"".join([np.array([len(first), len(one)], "<i8").tobytes(), first.astype("<u4").tobytes(), n.astype("<u2").tobytes(), unit.astype("<u4").tobytes(), ids[one].astype("<i8").tobytes()])), b"")]
-        by, lo, hi = _split((h[one] % np.uint64(buckets)).astype(np.int64))
-        for i, j in zip(lo, hi, strict=True):
-            pick = by[i:j]
-            u = np.empty(len(pick), _UNIT)
-            u["key"], u["doc"], u["id"], u["size"] = h[one[pick]], ids[one[pick]], pick, size[pick]
-            rows.append((int(h[one[pick[0]]] % np.uint64(buckets)), _squeeze(u.tobytes()), _squeeze(t.data[_ranges(first[one[pick]], size[pick])].tobytes())))
+        place = np.argsort(first, kind="stable")
+        own = np.empty(len(place), _RUN)
+        own["step"], own["n"], own["unit"] = np.diff(first[place], prepend=0), n[place], unit[place]
+        key_of, least = h[one], ids[one]
+        x = np.empty(len(one), _UNIT)
+        x["low"], x["high"], x["doc"], x["id"], x["size"] = key_of & np.uint64(0xFFFFFFFF), key_of >> np.uint64(32), least, np.arange(len(one)), size
+        rows = [(buckets + block % buckets, _planes(own), _squeeze(least.astype("<i8").tobytes()))]
+        bucket = _bucket(key_of, buckets)
+        lo = _runs(bucket)
+        for i, j in zip(lo, _ends(lo, len(bucket)), strict=True):
+            rows.append((int(bucket[i]), _planes(x[i:j]), _squeeze(t.data[_ranges(first[one[i:j]], size[i:j])].tobytes())))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "units": pa.array([r[1] for r in rows], pa.binary()), "snippets": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
+#: A block's own list of windows: steps between first windows, numbers of windows, and units.
+_RUN = np.dtype([("step", "<u4"), ("n", "<u2"), ("unit", "<u4")])
+_BACK_ROW = "block long, own binary, least binary, news binary"
+
+
 # 4: enhanced suffix arrays of the buckets
 
 def suffix_array(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,13 +413,17 @@ def maximal_repeats(shared: np.ndarray, left: np.ndarray, doc: np.ndarray, lengt
     return tuple(np.array(x, np.int64) for x in (size, first, last, least))
 
 
-def _resolved(length: int):
+def _resolved(length: int, buckets: int):
     def run(rows: pa.Table) -> pa.Table:
-        """Of one bucket: for each block, windows of its units that a smaller doc_id has, with that doc_id."""
+        """Of one bucket: for each block, windows of its units that a smaller doc_id has, with that doc_id. Blocks' own lists pass."""
+        none = pa.nulls(rows.num_rows, pa.binary())
+        if rows.column("bucket")[0].as_py() >= buckets:
+            return pa.table({"block": rows.column("block"), "own": rows.column("units"), "least": rows.column("snippets"), "news": none})
         blocks = rows.column("block").to_numpy()
-        units = [np.frombuffer(_expand(x.as_py()), _UNIT) for x in rows.column("units")]
+        units = [_from_planes(x.as_py(), _UNIT) for x in rows.column("units")]
         owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
         u = np.concatenate(units)
+        unit_key = _hash(u)
         data = np.frombuffer(b"".join(_expand(x.as_py()) for x in rows.column("snippets")), np.uint8)
         size = u["size"].astype(np.int64)
         start = np.cumsum(size) - size
@@ -347,14 +431,14 @@ def _resolved(length: int):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         content = mix64((sums[start + size] - sums[start]) * _power(len(data))[1][start])
         del terms, sums
-        order = np.lexsort((u["doc"], content, u["key"]))
-        key, content = u["key"][order], content[order]
+        order = np.lexsort((u["doc"], content, unit_key))
+        key, content = unit_key[order], content[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
         text = np.empty(len(u), np.int64)  # the distinct snippet of each unit
         text[order] = np.cumsum(new) - 1
         one = order[new]
         least = u["doc"][one].astype(np.int64)
-        of_key = u["key"][one]
+        of_key = unit_key[one]
         first = _runs(of_key)
         several = np.repeat(np.diff(np.append(first, len(of_key))) > 1, np.diff(np.append(first, len(of_key))))
         n_windows = size[one] - length + 1
@@ -391,7 +475,9 @@ def _resolved(length: int):
         found = np.empty(len(head), _NEWS)
         found["doc"], found["id"], found["first"], found["n"] = value[head], u["id"][unit[head]], index[head], count
         order, lo, hi = _split(owner[unit[head]])
-        return pa.table({"block": blocks[owner[unit[head]][order[lo]]] if len(head) else np.zeros(0, np.int64), "news": pa.array([_squeeze(found[order[i:j]].tobytes()) for i, j in zip(lo, hi, strict=True)], pa.binary())})
+        news = pa.array([_planes(found[order[i:j]]) for i, j in zip(lo, hi, strict=True)], pa.binary())
+        none = pa.nulls(len(news), pa.binary())
+        return pa.table({"block": blocks[owner[unit[head]][order[lo]]] if len(head) else np.zeros(0, np.int64), "own": none, "least": none, "news": news})
 
     return run
 
@@ -401,28 +487,27 @@ _NEWS = np.dtype([("doc", "<i8"), ("id", "<u4"), ("first", "<u2"), ("n", "<u2")]
 
 # 5: what goes
 
-def _removed(t: Text, own: bytes | None, news: list[bytes], length: int) -> np.ndarray:
+def _removed(t: Text, own: bytes | None, least: bytes | None, news: list[bytes], copies: list[int], length: int) -> np.ndarray:
     """Whether each byte of a block goes."""
     depth = np.zeros(len(t.data) + 1, np.int32)
+    for i in copies:
+        depth[t.bounds[i]] += 1
+        depth[t.bounds[i + 1]] -= 1
     if own is None:
-        return depth[:-1] > 0
-    raw = _expand(own)
-    n_runs, n_units = np.frombuffer(raw, "<i8", 2).tolist()
-    at = 16
-    first = np.frombuffer(raw, "<u4", n_runs, at).astype(np.int64)
-    n = np.frombuffer(raw, "<u2", n_runs, at + 4 * n_runs).astype(np.int64)
-    unit = np.frombuffer(raw, "<u4", n_runs, at + 6 * n_runs).astype(np.int64)
-    least = np.frombuffer(raw, "<i8", n_units, at + 10 * n_runs)
+        return np.cumsum(depth[:-1]) > 0
+    runs = _from_planes(own, _RUN)
+    first, n, unit = np.cumsum(runs["step"].astype(np.int64)), runs["n"].astype(np.int64), runs["unit"].astype(np.int64)
+    of_unit = np.frombuffer(_expand(least), "<i8")
     mine = t.doc_ids[np.searchsorted(t.bounds, first, side="right") - 1]
-    whole = least[unit] < mine  # a smaller doc_id of this block has the same unit
+    whole = of_unit[unit] < mine  # a smaller doc_id of this block has the same unit
     np.add.at(depth, first[whole], 1)
     np.add.at(depth, first[whole] + n[whole] + length - 1, -1)
     if news:
-        x = np.concatenate([np.frombuffer(_expand(b), _NEWS) for b in news])
+        x = np.concatenate([_from_planes(b, _NEWS) for b in news])
         x = x[np.argsort(x["id"], kind="stable")]
-        head = np.searchsorted(x["id"], np.arange(n_units))
-        size = np.searchsorted(x["id"], np.arange(n_units), side="right") - head
-        run = np.repeat(np.arange(n_runs), size[unit])
+        head = np.searchsorted(x["id"], np.arange(len(of_unit)))
+        size = np.searchsorted(x["id"], np.arange(len(of_unit)), side="right") - head
+        run = np.repeat(np.arange(len(runs)), size[unit])
         y = x[_ranges(head[unit], size[unit])]
         goes = y["doc"] < mine[run]
         start = first[run[goes]] + y["first"][goes]
@@ -434,13 +519,15 @@ def _removed(t: Text, own: bytes | None, news: list[bytes], length: int) -> np.n
 def _cut(key: str, text: str, length: int, names: list[str], with_text: bool):
     def run(group: pa.Table, found: pa.Table) -> pa.Table:
         b = _from_ipc(group.column("rows")[0].as_py())
-        t = Text.of(b.column(key), b.column(text))
-        own, news = None, []
-        for x, y in zip(found.column("own").to_pylist(), found.column("news").to_pylist(), strict=True):
-            own = x if x is not None else own
+        t = Text.of(b.column(key), b.column(text), hashed=False)
+        own, least, news, copies = None, None, [], []
+        for o, l, y, c in zip(*(found.column(x).to_pylist() for x in ("own", "least", "news", "places")), strict=True):
+            if o is not None:
+                own, least = o, l
             if y is not None:
                 news.append(y)
-        goes = _removed(t, own, news, length)
+            copies += c or []
+        goes = _removed(t, own, least, news, copies, length)
         total = np.concatenate([[0], np.cumsum(goes)])
         spans, kept, digest, removed = [], [], [], (total[t.bounds[1:]] - total[t.bounds[:-1]])
         for i, (a, z) in enumerate(zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True)):
@@ -468,21 +555,22 @@ RESULT = "__dedup"
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """The rows with their texts cut (bytes of broken characters go too) and RESULT: n_bytes, n_removed, spans and kept_sha256 of the kept bytes."""
     spark = docs.sparkSession
-    buckets = 2 * max(1, shuffle_partitions(spark))
+    buckets = 4 * max(1, shuffle_partitions(spark))
     rows = docs.withColumns({key: F.col(key).cast("long"), text: F.col(text).cast("string")})
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b in _blocks(batches, text):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_ipc(b)], pa.binary())], names=["block", "rows"])
 
-    blocks = written(rows.mapInArrow(block_rows, "block long, rows binary"), "dedup-blocks")
-    found = blocks.mapInArrow(_anchors(key, text, length, anchor, buckets), _ANCHOR_ROW)
+    blocks = rows.mapInArrow(block_rows, "block long, rows binary")
+    copies = written(_copies(written(rows.select(key, text).mapInArrow(_text_hashes(key, text, length), _COPY_ROW), "dedup-hashes")), "dedup-copies")
+    found = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors(key, text, length, anchor, buckets), _ANCHOR_ROW)
     repeated = found.groupBy("bucket").applyInArrow(_repeated, "block long, anchors binary")
-    units = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_units_of(key, text, length, anchor, buckets), _UNIT_ROW)
-    units = written(units, "dedup-units")
-    news = units.filter("bucket >= 0").groupBy("bucket").applyInArrow(_resolved(length), "block long, news binary")
-    own = units.filter("bucket < 0").select("block", F.col("units").alias("own"), F.lit(None).cast("binary").alias("news"))
-    back = own.unionByName(news.select("block", F.lit(None).cast("binary").alias("own"), "news"))
+    known = repeated.withColumn("places", F.lit(None).cast("array<int>")).unionByName(copies.select("block", F.lit(None).cast("binary").alias("anchors"), "places"))
+    units = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_units_of(key, text, length, anchor, buckets), _UNIT_ROW)
+    back = units.groupBy("bucket").applyInArrow(_resolved(length, buckets), _BACK_ROW)
+    binary = F.lit(None).cast("binary")
+    back = back.withColumn("places", F.lit(None).cast("array<int>")).unionByName(copies.select("block", binary.alias("own"), binary.alias("least"), binary.alias("news"), "places"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     schema += f", {RESULT} struct<n_bytes: bigint, n_removed: bigint, spans: array<struct<start: bigint, stop: bigint>>, kept_sha256: string>"
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(key, text, length, rows.columns, with_text), schema)
