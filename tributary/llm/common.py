@@ -20,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tributary-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
