@@ -33,6 +33,8 @@ _NONE = np.int32(np.iinfo(np.int32).max)
 #: Stands between words that are split at once; texts that hold it are split alone.
 _GAP = "\x00"
 ENCODE_BYTES = 8 << 20
+#: Distinct pre-tokens whose ids a worker remembers, at most but for one batch.
+REMEMBERED = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -84,6 +86,7 @@ class BpeVocabulary:
         else:
             self._token_re = regex.compile(rf"{_GAP}|{tails}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}{_GAP}]+|[{_WS}]+(?![^{_WS}{_GAP}])|[{_WS}]+")
         self._alone_re = regex.compile(self._token_re.pattern.replace(f"{_GAP}|", "", 1).replace(_GAP, ""))
+        self._known, self._known_ids, self._known_counts = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
         byte_of = {c: b for b, c in enumerate(chars)}
         self._pieces: list[bytes] = [b""] * (max(self.tokens) + 1)
         for i, t in self.tokens.items():
@@ -162,26 +165,50 @@ class BpeVocabulary:
         out[open_[good]] = self.ranks[found[good]]
         return out
 
+    def _encode_distinct(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = tokens.cast(pa.large_binary())
+        off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if len(raw) else np.zeros(0, np.uint8)
+        return self.merge_words(data, np.diff(off))
+
     def _encode_tokens(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pre-tokens: flat ids, and how many each has."""
+        """Ids of pre-tokens: flat ids, and how many each has. The last batches' distinct pre-tokens are remembered."""
         code, distinct = coded(tokens)
-        raw = distinct.cast(pa.large_binary())
-        off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if len(raw) else np.zeros(0, np.uint8)
-        ids, counts = self.merge_words(data, np.diff(off))
-        return _gather(ids, counts, code)
+        if len(distinct) < 1000:
+            return _gather(*self._encode_distinct(distinct), code)
+        place = pc.index_in(distinct, value_set=self._known)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        fresh = distinct.filter(pa.array(new))
+        ids, counts = self._encode_distinct(fresh)
+        ids, counts = np.concatenate([self._known_ids, ids]), np.concatenate([self._known_counts, counts])
+        at = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[new] = len(self._known) + np.arange(len(fresh))
+        if len(counts) <= REMEMBERED:
+            self._known, self._known_ids, self._known_counts = pa.concat_arrays([self._known, fresh]), ids, counts
+        else:  # begin again with this batch's
+            self._known = distinct
+            self._known_ids, self._known_counts = _gather(ids, counts, at)
+        return _gather(ids, counts, at[code])
 
     def _encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units of text, whose splitting does not depend on what stands around them."""
         if not len(units):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), pa.scalar(_GAP, pa.large_string()))[0].as_py()
-        tokens = self._token_re.findall(self._normal(joined))
-        tokens = pa.array(tokens, pa.large_string())
+        plain, rest = units.slice(0, 0), units
+        one, more = np.zeros(0, np.int64), np.arange(len(units))
+        if not self.word_layout:  # letters with or without a space are one pre-token: nothing to split
+            simple = pc.match_substring_regex(units, r"^ ?\pL+$").to_numpy(zero_copy_only=False)
+            one, more = np.flatnonzero(simple), np.flatnonzero(~simple)
+            plain, rest = units.take(pa.array(one)), units.take(pa.array(more))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest), pa.scalar(_GAP, pa.large_string()))[0].as_py()
+        tokens = pa.array(self._token_re.findall(self._normal(joined)) if len(rest) else [], pa.large_string())
         gap = pc.equal(tokens, _GAP).to_numpy(zero_copy_only=False)
         unit = np.cumsum(gap)[~gap]
-        ids, counts = self._encode_tokens(tokens.filter(pa.array(~gap)))
-        return ids, np.bincount(unit, counts, len(units)).astype(np.int64)
+        ids, counts = self._encode_tokens(pa.concat_arrays([plain, tokens.filter(pa.array(~gap))]))
+        counts = np.concatenate([counts[: len(one)], np.bincount(unit, counts[len(one) :], len(more)).astype(np.int64)])
+        at = np.empty(len(units), np.int64)
+        at[np.concatenate([one, more])] = np.arange(len(units))
+        return _gather(ids, counts, at)
 
     def _encode_alone(self, text: str) -> np.ndarray:
         """Ids of one text with special tokens or unusual spaces."""
@@ -197,19 +224,24 @@ class BpeVocabulary:
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a large_string array without nulls: flat int32 ids, and n + 1 offsets."""
         n = len(text)
-        odd = pc.match_substring(text, _GAP)
-        for t in self.special:
-            odd = pc.or_(odd, pc.match_substring(text, t))
-        if self.word_layout:
-            lists = pc.ascii_split_whitespace(text)
-        else:
-            # a space before a word belongs to it; where white space meets other white space the text goes alone
-            odd = pc.or_(odd, pc.match_substring_regex(text, r"[\s\x{85}\pZ] | [\s\x{85}\pZ]|^ | $"))
-            lists = pc.split_pattern(text, " ")
-        odd = odd.to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(text) if self.word_layout else pc.split_pattern(text, " ")
         units, offsets = lists.flatten(), lists.offsets.to_numpy()
         row = np.repeat(np.arange(n), np.diff(offsets))
         code, distinct = coded(units)
+        of = lambda found: found.to_numpy(zero_copy_only=False)[code]  # noqa: E731  what holds of a unit, by its distinct text
+        special = pc.match_substring(distinct, _GAP)
+        for t in self.special:
+            special = pc.or_(special, pc.match_substring(distinct, t))
+        strange = of(special)
+        if not self.word_layout:
+            # a space before a word belongs to it; where white space meets other white space the text goes alone
+            first, last = np.zeros(len(code), bool), np.zeros(len(code), bool)
+            first[offsets[:-1][np.diff(offsets) > 0]] = True
+            last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+            strange |= of(pc.equal(pc.binary_length(distinct), 0)) & ~first & ~last
+            strange |= of(pc.match_substring_regex(distinct, r"^[\s\x0b\x{85}\pZ]")) & ~first
+            strange |= of(pc.match_substring_regex(distinct, r"[\s\x0b\x{85}\pZ]$")) & ~last
+        odd = np.bincount(row[strange], minlength=n) > 0
         if not self.word_layout:  # a unit has its space before it, but for a text's first
             code = 2 * code
             code[1:] += row[1:] == row[:-1]

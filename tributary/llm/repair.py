@@ -9,7 +9,7 @@ of about `shard_ids` ids. Its frequent id pairs are replaced by nonterminals, ag
     bounds   uint32 for each document and one more: where its ids begin in the shard
     rules    two uint32 for each rule
     lengths  uint32 for each rule: how many ids it expands to
-    body     the symbols, packed to the least number of bits
+    body     the symbols, in 16 or 32 bits each
 
 With the expansion lengths a reader finds the symbols that cover any id range by a prefix sum and expands only those.
 Blocks are written through Spark as rows of Parquet files, so any store that Spark reaches will do.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _gather, _within, vocabulary, vocabulary_path
@@ -35,12 +35,12 @@ from .common import shuffle_partitions, table, text_slices, written
 
 MAGIC = b"RPG1"
 END_ID = 2
-SHARD_IDS = 1 << 22
-MIN_COUNT = 32
+SHARD_IDS = 1 << 17
+MIN_COUNT = 8
 #: Re-Pair ends when a round would shorten the sequence by less than this share.
-MIN_GAIN = 1 / 100
+MIN_GAIN = 1 / 50
 #: Slots of the table that counts pairs before they are sorted, and the multiplier of its hash.
-_SLOTS = 1 << 22
+_SLOTS = 1 << 19
 _ODD = 0x1E3779B97F4A7C15
 _NULL_ID = np.iinfo(np.int64).min
 
@@ -76,8 +76,8 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
     # places whose pair may yet be frequent: a pair once found rare stays so until a neighbour changes
     open_ = np.arange(max(0, len(seq) - 1))
     while len(open_):
-        key = (seq[open_] << 32) | seq[open_ + 1]
-        slot = ((key * _ODD) >> 42) & (_SLOTS - 1)
+        key = (seq[:-1] << 32) | seq[1:] if len(open_) == len(seq) - 1 else (seq[open_] << 32) | seq[open_ + 1]
+        slot = ((key * _ODD) >> 40) & (_SLOTS - 1)
         maybe = np.bincount(slot, minlength=_SLOTS)[slot] >= min_count  # a slot holds a pair's count at least
         open_, key = open_[maybe], key[maybe]
         if not len(open_):
@@ -150,33 +150,11 @@ def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.nd
     return flat, start
 
 
-def _packed(values: np.ndarray, bits: int) -> bytes:
-    out = np.zeros((len(values) * bits + 63) // 64 + 1, np.uint64)
-    at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    v = values.astype(np.uint64)
-    low, high = v << shift, np.where(shift > 0, v >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-    if len(values):
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        out[word[first]] |= np.bitwise_or.reduceat(low, first)
-        over = np.flatnonzero(shift + np.uint64(bits) > 64)
-        out[word[over] + 1] |= high[over]
-    return out.astype("<u8").tobytes()
-
-
-def _unpacked(data: bytes, n: int, bits: int) -> np.ndarray:
-    words = np.frombuffer(data, "<u8")
-    at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    v = (words[word] >> shift) | np.where(shift > 0, words[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-    return (v & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def to_block(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
     seq, rules, lengths, base = compress(ids, min_count)
-    bits = max(1, int(base + len(rules)).bit_length())
+    bits = 16 if base + len(rules) <= 1 << 16 else 32
     head = struct.pack("<4s7I", MAGIC, len(doc_ids), base, len(rules), len(seq), bits, 0, 0)
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), bounds.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), _packed(seq, bits)])
+    return b"".join([head, doc_ids.astype("<i8").tobytes(), bounds.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype(f"<u{bits // 8}").tobytes()])
 
 
 class Block:
@@ -194,7 +172,7 @@ class Block:
         self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at).astype(np.int64).reshape(-1, 2)
         at += 8 * n_rules
         self.lengths = np.frombuffer(data, "<u4", n_rules, at).astype(np.int64)
-        self.seq = _unpacked(data[at + 4 * n_rules :], n_seq, bits)
+        self.seq = np.frombuffer(data, f"<u{bits // 8}", n_seq, at + 4 * n_rules).astype(np.int64)
         self._flat, self._start = expansions(self.rules, self.lengths, self.base)
         size = np.ones(n_seq, np.int64)
         deep = self.seq >= self.base
@@ -223,20 +201,22 @@ class Block:
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, min_count: int = MIN_COUNT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes, compresses and writes; the table of blocks in the order of doc_id: part, shard, n_ids and block."""
+    """Encodes, compresses and writes; the table of blocks in the order of doc_id: part, shard, before (ids of the part's earlier shards), n_ids and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, shard = vocabulary(path), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
+        before = 0  # ids of the partition's earlier shards
+
         def flush() -> pa.RecordBatch:
-            nonlocal held, count, shard
+            nonlocal held, count, shard, before
             ids = np.concatenate([x[2] for x in held])
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in held]))])
             block = to_block(np.concatenate([x[0] for x in held]), bounds, ids, min_count)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([block], pa.binary())], names=["part", "shard", "n_ids", "block"])
-            held, count, shard = [], 0, shard + 1
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block], pa.binary())], names=["part", "shard", "before", "n_ids", "block"])
+            held, count, shard, before = [], 0, shard + 1, before + len(ids)
             return out
 
         for b in text_slices(batches, limit=SHARD_BYTES):
@@ -253,11 +233,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(1, shuffle_partitions(docs.sparkSession))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(run, "part int, shard int, n_ids long, block binary"), "token-shards")
+    return written(ordered.mapInArrow(run, "part int, shard int, before long, n_ids long, block binary"), "token-shards")
 
 
 #: Bytes of text that are encoded at once for shards.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -272,17 +252,15 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.doc_ids == _NULL_ID), pa.array(first + block.bounds[:-1]), pa.array(np.diff(block.bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # ids before a part: as many rows as there are partitions; ids before a shard: a window over each part's few shards
+    # ids before a part: as many rows as there are partitions
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     before, rows = 0, []
     for r in totals:
         rows.append((r["part"], before))
         before += r["n"]
     parts = shards.sparkSession.createDataFrame(rows, "part int, part_start long")
-    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
-    starts = starts.join(F.broadcast(parts), "part").select("part", "shard", (F.col("part_start") + F.col("in_part")).alias("first"))
-    return shards.join(starts, ["part", "shard"]).select("first", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = shards.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("before")).alias("first"), "block")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
