@@ -13,7 +13,7 @@ from ..plans.storage import written
 
 
 #: Up to so many edges, 16 bytes each, are joined by union-find in one task; more by rounds of joins.
-SMALL_EDGES = 500_000
+SMALL_EDGES = 2_000_000
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
