@@ -80,6 +80,13 @@ def _sort_keys(field: str) -> list[Column]:
     return [F.col("v_str")]
 
 
+def record_confidence() -> Column:
+    """Mean confidence of all values of a wide row less the completeness penalty, 0 without values; sums are decimals and so exact."""
+    each = F.concat(F.array_compact(F.array(*(F.col(f)["confidence"] for f in SCALARS))), *(F.transform(f, lambda tv: tv["confidence"]) for f in COLLECTIONS))
+    total = F.aggregate(each, F.lit(0).cast("decimal(20,4)"), lambda a, c: (a + c.cast("decimal(6,4)")).cast("decimal(20,4)"))
+    return F.when(F.size(each) == 0, F.lit(0.0)).otherwise(clamp(total.cast("double") / F.size(each) - F.col("completeness_penalty")))
+
+
 def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
     """One wide row per cluster; clusters without any value are there too."""
     t = values_tracked
@@ -92,7 +99,7 @@ def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConf
         tv = F.struct(_value(f).alias("value"), "confidence", "primary", "agreements", F.array().cast(f"array<struct<value: string, source: struct<source: string>, reason: string>>").alias("conflicts"))
         keys = [k.alias(f"k{i}") for i, k in enumerate(_sort_keys(f))]
         parts.append(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct(*keys, F.col("first").alias("at"), F.hash("first").alias("h"), tv.alias("tv"))))), lambda s: s["tv"]).alias(f))
-    wide = t.groupBy("cluster_id").agg(*parts, F.avg("confidence").alias("mean"))
+    wide = t.groupBy("cluster_id").agg(*parts)
     all_ = clusters.select("cluster_id").distinct().join(wide, "cluster_id", "left")
     for f in COLLECTIONS:
         all_ = all_.withColumn(f, F.coalesce(f, F.array().cast(wide.schema[f].dataType)))
@@ -104,14 +111,14 @@ def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConf
             missing = missing + F.col(f).isNull().cast("int")
     penalty = (missing * dec(COMPLETENESS_PENALTY)).cast("double")
     first = lambda f: F.get(f, F.lit(0))["value"]
-    return all_.select(
+    row = all_.select(
         "cluster_id",
         candidate_id(first("emails"), first("phones"), F.col("full_name")["value"], F.col("location")["value"]["country"]).alias("candidate_id"),
         *SCALARS,
         *COLLECTIONS,
         penalty.alias("completeness_penalty"),
-        F.when(F.col("mean").isNull(), F.lit(0.0)).otherwise(clamp(F.col("mean") - penalty)).alias("record_confidence"),
     )
+    return row.withColumn("record_confidence", record_confidence())
 
 
 def conflict_count(canon: DataFrame) -> int:

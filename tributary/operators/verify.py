@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .merge import clamp
+from .merge import clamp, record_confidence
 
 LABEL = {"linkedin": "LinkedIn", "github": "GitHub"}
 BONUS, PENALTY = 0.05, 0.10
@@ -70,4 +70,4 @@ def verify(canon: DataFrame, kind: str, provided: list[str], exclude_source: str
         F.concat(F.lit(f"{label} handle "), F.coalesce("__handle", F.lit("none")), F.lit(", given "), F.lit(", ".join(handles))).alias("message"),
         F.when(differs, "warning").otherwise("info").alias("severity"),
     )
-    return rows.withColumn("links", links).drop("__handle", "__match"), found
+    return rows.withColumn("links", links).drop("__handle", "__match").withColumn("record_confidence", record_confidence()), found
