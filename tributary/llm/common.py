@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import shared_dir, written
+
+__all__ = ["ascii_words", "byte_hashes", "coded", "mix64", "shared_dir", "shuffle_partitions", "table", "text_slices", "written"]
+
 #: Bytes of text that a Python worker handles at a time; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
@@ -19,25 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tributary-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later jobs neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tributary/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim, or a stand-in elsewhere."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept between tasks, several on an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -53,6 +55,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, text
+        give_back()
 
 
 def ascii_words(text: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -1,31 +1,5 @@
-"""Connected components of a graph given as a table of edges, by rounds of joins; nothing of the graph comes to the driver."""
+"""Connected components, as the engine has them."""
 
-from __future__ import annotations
+from ..operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (the least node reachable) of every node of the edges (columns a and b, longs).
-
-    Large-star and small-star rounds (Kiveris et al., 2014): every node's larger neighbours, then its smaller ones, are
-    tied to the least node around it. Each round is written to the shared folder; the number of rounds grows with the
-    logarithm of the longest path.
-    """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
-    while True:
-        # large star: for every node, its larger neighbours go to the least of its neighbourhood
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: its smaller neighbours and itself go to the least
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        after = written(small, "components")
-        change = after.exceptAll(e).limit(1).count() + e.exceptAll(after).limit(1).count()
-        e = after
-        if not change:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(e.select("v", "v").distinct())
+__all__ = ["components"]

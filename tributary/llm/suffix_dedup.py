@@ -19,8 +19,6 @@ blocks of a few megabytes; what meets across blocks is far smaller than the text
 
 Between the stages packed arrays travel, one row for a block and a bucket. Equality of strings is decided on bytes in the
 suffix array; equal units and equal texts are told by 64-bit hashes of unit and anchor, and by 128-bit hashes.
-Blocks are cut anew in two stages, so the documents must come from something whose partitions are the same each time,
-such as stored files.
 
 Defined cases: a null text is empty; a text shorter than `length` loses nothing; rows with the same doc_id take nothing
 from each other; a null doc_id counts as larger than all others; extra columns are kept; no rows give no rows.
@@ -40,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffle_partitions, table, text_slices, written
+from .common import give_back, mix64, shuffle_partitions, table, text_slices, written
 
 LENGTH = 50
 ANCHOR = 24
@@ -206,7 +204,7 @@ _COPY_ROW = "block long, place int, doc_id long, h1 long, h2 long"
 
 def _text_hashes(key: str, text: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, b in _blocks(batches, text):
+        for block, b in _stored(batches):
             raw = b.column(text).cast(pa.large_binary())
             long_ = np.flatnonzero(pc.binary_length(raw).to_numpy(zero_copy_only=False) >= length)
             h = np.frombuffer(b"".join(hashlib.blake2b(raw[int(i)].as_buffer(), digest_size=16).digest() for i in long_), np.int64).reshape(-1, 2)
@@ -477,6 +475,7 @@ def _resolved(length: int, buckets: int):
         order, lo, hi = _split(owner[unit[head]])
         news = pa.array([_planes(found[order[i:j]]) for i, j in zip(lo, hi, strict=True)], pa.binary())
         none = pa.nulls(len(news), pa.binary())
+        give_back()
         return pa.table({"block": blocks[owner[unit[head]][order[lo]]] if len(head) else np.zeros(0, np.int64), "own": none, "least": none, "news": news})
 
     return run
@@ -562,8 +561,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         for block, b in _blocks(batches, text):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_ipc(b)], pa.binary())], names=["block", "rows"])
 
-    blocks = rows.mapInArrow(block_rows, "block long, rows binary")
-    copies = written(_copies(written(rows.select(key, text).mapInArrow(_text_hashes(key, text, length), _COPY_ROW), "dedup-hashes")), "dedup-copies")
+    # written: blocks are read in several stages and must be the same in each
+    blocks = written(rows.mapInArrow(block_rows, "block long, rows binary"), "dedup-blocks")
+    copies = written(_copies(written(blocks.mapInArrow(_text_hashes(key, text, length), _COPY_ROW), "dedup-hashes")), "dedup-copies")
     found = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors(key, text, length, anchor, buckets), _ANCHOR_ROW)
     repeated = found.groupBy("bucket").applyInArrow(_repeated, "block long, anchors binary")
     known = repeated.withColumn("places", F.lit(None).cast("array<int>")).unionByName(copies.select("block", F.lit(None).cast("binary").alias("anchors"), "places"))
