@@ -7,9 +7,10 @@ prefixes are joined on their n-grams; a pair goes on if the sizes allow it (leng
 n-gram can still reach the overlap (positional) and if the sizes of hash ranges of both sets do (suffix), and is then
 verified once on the whole sets.
 
-A list of many similar classes would give all its pairs. So lists are first resolved by pivots: a pivot meets the
-whole list, and classes that its links connect need not be compared with each other for the components' sake. A pivot
-that has met its list leaves it. What pairs of different components then remain are few, and all are verified. No list
+A list of many similar classes would give far too many pairs, and classes that links connect need not be compared with
+each other for the components' sake. So pairs and lists that pass the filters tie their classes into groups. A group of
+bounded size is resolved in one task, where pairs that a link has connected meanwhile are passed over. Larger groups go through rounds of pivots: a pivot meets its
+whole list and then leaves it, until the pairs of different components that remain are few and all are verified. No list
 is cut and no pair of different components is left out.
 
 Defined cases: a text of fewer words than n has the whole sequence as its one n-gram; null, empty and wordless texts
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,16 @@ from .common import ascii_words, byte_hashes, coded, mix64, shuffle_partitions,
 from .components import components
 
 SKETCH = 1 << 20
-#: A list of a shared n-gram whose sketched count is larger goes through Spark's own shuffle, row by row.
+#: Entries of an n-gram whose sketched count is larger do not meet in one task.
 HOT = 2000
+#: Candidate groups with so many grams in all, 8 bytes each, are resolved in one task; larger ones by further rounds.
+GROUP_GRAMS = 4_000_000
 #: Pivot rounds go on while the pairs that remain outnumber the list entries by more than this factor; it grows eightfold a round.
 PAIRS_PER_ENTRY = 4
+#: Bytes of text whose n-grams a worker holds at a time.
+GRAM_BYTES = 2 << 20
+#: Lists of up to so many classes are taken apart into the pairs that pass the filters.
+SMALL_LIST = 8
 #: Hash ranges whose sizes are compared by the suffix filter.
 RANGES = 64
 #: Up to so many documents, 8 bytes each, are broadcast as a list of those whose sets are needed; more go by a bitmap of fixed size.
@@ -100,36 +108,25 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(n: int, percent: int, sketch, buckets: int):
-    """Prefix entries (gram, class, set size, position), packed by bucket of the gram; hot grams row by row."""
+    """Prefix entries packed by bucket of their gram. A hot gram's entries are spread by class over buckets of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = sketch.value
         held: list[np.ndarray] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal held, size
             x = _distinct(np.concatenate(held))  # copies give the same entries
             held, size = [], 0
-            hot = x["hot"] == 1
-            h = x[hot]
-            if len(h):
-                yield batch(np.full(len(h), -1), [None] * len(h), h)
-            x = x[~hot]
-            bucket = (x["gram"] % np.uint64(buckets)).astype(np.int64)
+            bucket = np.where(x["hot"] == 1, buckets + x["class"] % buckets, (x["gram"] % np.uint64(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             x, bucket = x[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(x) else np.zeros(0, np.int64)
-            blobs = [x[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(x)), strict=True)] if len(x) else []
-            if blobs:
-                yield batch(bucket[first], blobs, None)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            blobs = [_pack(x[i:j]) for i, j in zip(first, np.append(first[1:], len(x)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        def batch(bucket: np.ndarray, blobs: list, rows: np.ndarray | None) -> pa.RecordBatch:
-            none = pa.nulls(len(bucket), pa.int64())
-            cols = [none] * 4 if rows is None else [pa.array(rows["gram"].view(np.int64)), pa.array(rows["class"]), pa.array(rows["size"].astype(np.int64)), pa.array(rows["pos"].astype(np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(blobs, pa.binary()), *cols], names=["bucket", "blob", "gram", "class", "size", "pos"])
-
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=GRAM_BYTES):
             for g in _grams(b.column("text"), n):
                 if not len(g):
                     continue
@@ -141,17 +138,38 @@ def _prefixes(n: int, percent: int, sketch, buckets: int):
                 order = near[np.lexsort((g[near], c[near]))][:p]
                 e = np.empty(len(order), _ENTRY)
                 e["gram"], e["class"], e["size"], e["pos"], e["hot"] = g[order], _class_key(g), len(g), np.arange(len(order)), c[order] > HOT
+                e["digest"] = np.minimum(np.frombuffer(_digest(g), "<u4").reshape(COARSE, -1).sum(axis=1), 255)
                 held.append(e)
                 size += len(e)
-            if size > 1_000_000:
-                yield from flush()
+            if size > 300_000:
+                yield flush()
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
 
-_ENTRY = np.dtype([("gram", "<u8"), ("class", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("hot", "u1")])
+#: An entry has its set's coarse digest: counts of COARSE hash ranges, 255 meaning that many or more.
+COARSE = 8
+_ENTRY = np.dtype([("gram", "<u8"), ("class", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("hot", "u1"), ("digest", "u1", (COARSE,))])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Entries field by field and byte by byte, squeezed."""
+    parts = [np.ascontiguousarray(x[f]).view(np.uint8).reshape(len(x), -1).T.tobytes() for f in x.dtype.names]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = len(raw) // _ENTRY.itemsize
+    out, at = np.empty(n, _ENTRY), 0
+    for f in _ENTRY.names:
+        width = _ENTRY[f].itemsize
+        field = np.ascontiguousarray(raw[at * n : (at + width) * n].reshape(width, n).T)
+        out[f] = field if f == "digest" else field.view(_ENTRY[f]).reshape(-1)
+        at += width
+    return out
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -162,16 +180,72 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def _shared(blobs: pa.Table) -> pa.Table:
-    """The entries of a bucket whose gram two classes or more have."""
-    x = np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in blobs.column("blob")])
-    x = _distinct(x)
-    same = x["gram"][1:] == x["gram"][:-1]
-    keep = np.zeros(len(x), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    x = x[keep]
-    return pa.table({"gram": x["gram"].view(np.int64), "class": x["class"], "size": x["size"].astype(np.int64), "pos": x["pos"].astype(np.int64)})
+def _may_link(x: np.ndarray, i: np.ndarray | int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether entries i and j of one gram pass the length, positional and (coarse) suffix filters."""
+    size, pos = x["size"].astype(np.int64), x["pos"].astype(np.int64)
+    need = -(-percent * (size[i] + size[j]) // (100 + percent))
+    ok = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need)
+    shared = np.minimum(x["digest"][i], x["digest"][j]).astype(np.int64)
+    full = (shared == 255).any(axis=-1)  # both counts may be larger
+    return ok & (full | (shared.sum(axis=-1) >= need))
+
+
+def _sublists(x: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of one list's entries: those that pairs passing the filters tie together have one label; -1 for entries without such a pair."""
+    order = np.argsort(x["size"], kind="stable")
+    y = x[order]
+    label = np.arange(len(y))
+    alone = np.ones(len(y), bool)
+    last = np.searchsorted(y["size"], 100 * y["size"].astype(np.int64) // percent, side="right")
+    for i in range(len(y)):
+        j = np.arange(i + 1, last[i])
+        j = j[_may_link(y, np.full(len(j), i), j, percent)] if len(j) else j
+        if len(j):
+            alone[i] = alone[j] = False
+            old = np.unique(np.append(label[j], label[i]))
+            if len(old) > 1:
+                label[np.isin(label, old)] = old[0]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.where(alone, -1, label)
+    return out
+
+
+def _shared(percent: int, buckets: int):
+    """Of one bucket: lists of classes that pairs passing the filters tie together.
+
+    A list of up to SMALL_LIST classes gives each passing pair as a list of its own, which is the same whatever grams the
+    pair shares. A longer list is taken apart where no passing pair ties its entries.
+    """
+
+    def run(blobs: pa.Table) -> pa.Table:
+        x = _distinct(np.concatenate([_unpack(b.as_py()) for b in blobs.column("blob")]))
+        if blobs.column("bucket")[0].as_py() >= buckets:
+            return _rows(x)
+        first = np.flatnonzero(np.concatenate([[True], x["gram"][1:] != x["gram"][:-1]]))
+        sizes = np.diff(np.append(first, len(x)))
+        count = np.repeat(sizes, sizes)
+        long_ = [x[f : f + n] for f, n in zip(first.tolist(), sizes.tolist(), strict=True) if n > SMALL_LIST]
+        parts = []
+        for y in long_:
+            label = _sublists(y, percent)
+            y = y.copy()
+            y["gram"] = mix64(y["gram"] + label.astype(np.uint64))
+            parts.append(y[label >= 0])
+        x = x[(count > 1) & (count <= SMALL_LIST)]
+        for d in range(1, min(SMALL_LIST, len(x))):  # entries are in the order of gram and class
+            i = np.flatnonzero(x["gram"][d:] == x["gram"][:-d])
+            i = i[_may_link(x, i, i + d, percent)]
+            both = np.stack([x[i], x[i + d]])
+            both["gram"] = mix64(mix64(x["class"][i].view(np.uint64)) + x["class"][i + d].view(np.uint64))
+            parts.append(both.reshape(-1))
+        e = _distinct(np.concatenate(parts)) if parts else x[:0]
+        return _rows(e)
+
+    return run
+
+
+def _rows(e: np.ndarray) -> pa.Table:
+    return pa.table({"gram": np.ascontiguousarray(e["gram"]).view(np.int64), "class": np.ascontiguousarray(e["class"]), "size": e["size"].astype(np.int64), "pos": e["pos"].astype(np.int64)})
 
 
 def _suffix_filter(percent: int):
@@ -204,6 +278,47 @@ def _verifier(percent: int):
     return run
 
 
+def _resolver(percent: int):
+    """Links that connect the components of one bounded group of classes; pairs already connected are not tested."""
+
+    def run(entries: pa.Table, sets: pa.Table) -> pa.Table:
+        known = {c: np.frombuffer(g.as_py(), np.uint64) for c, g in zip(sets.column("class").to_pylist(), sets.column("grams"), strict=True)}
+        found: list[tuple[int, int]] = []
+        ids, at = np.unique(entries.column("class").to_numpy(), return_inverse=True)
+        lists, of = np.unique(entries.column("gram").to_numpy(), return_inverse=True)
+        comp = np.zeros(len(ids), np.int64)
+        comp[at] = entries.column("comp").to_numpy()
+        grams = [known.get(c) for c in ids.tolist()]
+        have = np.array([g is not None for g in grams], bool)
+        digest = np.array([np.frombuffer(_digest(g), "<u4") if g is not None else np.zeros(RANGES, np.uint32) for g in grams]).astype(np.int64).reshape(len(ids), RANGES)
+        size = digest.sum(axis=1)
+        by_list = np.argsort(of, kind="stable")
+        members = np.split(at[by_list], np.cumsum(np.bincount(of, minlength=len(lists)))[:-1])
+        by_class = np.split(of[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at, minlength=len(ids)))[:-1])
+        for x in range(len(ids)):
+            if not have[x]:
+                continue
+            near = np.zeros(len(ids), bool)
+            for g in by_class[x].tolist():
+                near[members[g]] = True
+            near[: x + 1] = False
+            y = np.flatnonzero(near & have & (comp != comp[x]))
+            low, high = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
+            y = y[100 * low >= percent * high]
+            need = -(-percent * (size[y] + size[x]) // (100 + percent))
+            fits = np.minimum(digest[y], digest[x]).sum(axis=1) >= need
+            for z, least in zip(y[fits].tolist(), need[fits].tolist(), strict=True):
+                if comp[z] == comp[x]:
+                    continue
+                both = np.sort(np.concatenate([grams[x], grams[z]]))
+                if int((both[1:] == both[:-1]).sum()) >= least:
+                    found.append((int(ids[x]), int(ids[z])))
+                    comp[comp == comp[z]] = comp[x]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which slots of a bitmap the classes fall into; or the union of bitmaps."""
     bits = np.zeros(BITMAP // 8, np.uint8)
@@ -226,13 +341,12 @@ class _Join:
         self.spark = docs.sparkSession
 
     def entries(self, sketch) -> DataFrame:
+        """Lists of classes that may be linked: gram, class, size and position. One pair or part of a list comes once."""
         buckets = 2 * max(1, shuffle_partitions(self.spark))
-        packed = self.docs.select("text").mapInArrow(_prefixes(self.n, self.percent, sketch, buckets), "bucket long, blob binary, gram long, class long, size long, pos long")
-        packed = written(packed, "gram-prefixes")
         schema = "gram long, class long, size long, pos long"
-        cold = packed.filter("blob IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(_shared, schema)
-        hot = packed.filter("blob IS NULL").select("gram", "class", "size", "pos").distinct()
-        return cold.unionByName(hot)
+        packed = self.docs.select("text").mapInArrow(_prefixes(self.n, self.percent, sketch, buckets), "bucket long, blob binary")
+        shared = packed.groupBy("bucket").applyInArrow(_shared(self.percent, buckets), schema)
+        return shared.dropDuplicates(["gram", "class"])
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """class and set of the classes (and perhaps of some others); a class may come more than once."""
@@ -251,7 +365,7 @@ class _Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()  # a partition gives a class once
-            for b in text_slices(batches):
+            for b in text_slices(batches, limit=GRAM_BYTES):
                 keys, grams = [], []
                 for g in _grams(b.column("text"), n):
                     c = _class_key(g)
@@ -262,8 +376,7 @@ class _Join:
                         grams.append(g.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], names=["class", "grams"])
 
-        found = rows.select("text").mapInArrow(run, "class long, grams binary")
-        return found if shared is None else found.join(reps.select("class"), "class", "left_semi")
+        return rows.select("text").mapInArrow(run, "class long, grams binary")  # with few others that share a bit
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs a < b of classes that pass the length and positional filters; pairs has sizes and positions of both."""
@@ -288,37 +401,47 @@ class _Join:
 
 def class_components(join: _Join, sketch) -> tuple[DataFrame, DataFrame]:
     """class and component of the classes that have links, and all links found (class pairs)."""
-    entries = written(join.entries(sketch), "gram-entries")
-    links, comp, tried, factor = None, None, None, PAIRS_PER_ENTRY
-    while True:
-        if comp is None:
-            at = entries.withColumn("comp", F.col("class"))
-        else:
-            at = written(entries.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class")), "gram-entries")
+    entries, factor = written(join.entries(sketch), "gram-entries"), PAIRS_PER_ENTRY
+    none = join.spark.createDataFrame([], "a long, b long")
+    links, tried, comp = none, none, none.select(F.col("a").alias("class"), F.col("b").alias("comp"))
+    while not entries.isEmpty():
+        at = entries.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         # a list whose classes are one component is settled
         of_comp = at.groupBy("gram", "comp").agg(F.min(F.struct("class", "size", "pos")).alias("m"), F.count(F.lit(1)).alias("c"))
         one = F.struct("comp", "m")
         lists = of_comp.groupBy("gram").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("lo.comp <> hi.comp")
-        lists = written(lists, "gram-lists")
+        # lists that are still open: groups of classes tied by them, and the bounded groups at once
+        open_ = at if links is none else at.join(lists.select("gram"), "gram")
+        open_ = written(open_, "gram-open")
+        tied = components(open_.select(F.col("class").alias("a"), F.xxhash64("gram").alias("b"))).select(F.col("node").alias("class"), F.col("component").alias("grp"))
+        grouped = written(open_.join(tied, "class"), "gram-groups")
+        weight = grouped.select("grp", "class", "size").distinct().groupBy("grp").agg(F.sum("size").alias("grams"))
+        small = written(grouped.join(weight.filter(F.col("grams") <= GROUP_GRAMS).select("grp"), "grp"), "gram-small-groups")
+        of_group = small.select("grp", "class").distinct()
+        sets = written(join.sets(small.select("class").distinct()).join(of_group, "class").select("grp", "class", "grams"), "gram-group-sets")
+        found = written(small.groupBy("grp").cogroup(sets.groupBy("grp")).applyInArrow(_resolver(join.percent), "a long, b long"), "gram-links")
+        links = links.unionByName(found)
+        entries = written(grouped.join(weight.filter(F.col("grams") > GROUP_GRAMS).select("grp"), "grp", "left_semi").select("gram", "class", "size", "pos", "comp"), "gram-entries")
+        if entries.isEmpty():
+            comp = written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
+            break
+        at, entries = entries, entries.drop("comp")
+        lists = lists.join(entries.select("gram").distinct(), "gram", "left_semi")
         t = lists.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")).first()
         if not t["entries"]:
+            comp = written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
             break
         few = t["pairs"] <= factor * t["entries"]
         if few:
-            open_ = at.join(lists.select("gram"), "gram")
-            x = open_.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("class", "size", "pos", "comp")))
-            y = open_.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("class", "size", "pos", "comp")))
+            x = at.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("class", "size", "pos", "comp")))
+            y = at.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("class", "size", "pos", "comp")))
             pairs = x.join(y, "gram").filter("comp_a < comp_b")
         else:
             ends = lists.select("gram", F.explode(F.array("lo", "hi")).alias("p")).select("gram", F.col("p.comp").alias("comp_a"), *(F.col(f"p.m.{c}").alias(f"{c}_a") for c in ("class", "size", "pos")))
             pairs = at.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("class", "size", "pos", "comp"))).join(ends, "gram").filter("comp_a <> comp_b")
-        pairs = join.passing(pairs)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "gram-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(join.links(pairs), "gram-links")
-        links = found if links is None else links.unionByName(found)
+        pairs = written(join.passing(pairs).join(tried, ["a", "b"], "left_anti"), "gram-pairs")
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(written(join.links(pairs), "gram-links"))
         comp = written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
         if few:
             break
@@ -326,9 +449,6 @@ def class_components(join: _Join, sketch) -> tuple[DataFrame, DataFrame]:
         gone = lists.select("gram", F.explode(F.array("lo.m.class", "hi.m.class")).alias("class"))
         entries = written(entries.join(gone, ["gram", "class"], "left_anti"), "gram-entries")
         factor *= 8  # lists of unlike classes gain little from pivots: their pairs are met directly the sooner
-    if links is None:
-        links = join.spark.createDataFrame([], "a long, b long")
-        comp = join.spark.createDataFrame([], "class long, comp long")
     return comp, links
 
 
@@ -339,7 +459,7 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.uint32)
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=GRAM_BYTES):
             sizes, keys, digests = [], [], []
             for g in _grams(b.column("text"), n):
                 np.add.at(count, (g & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
