@@ -264,6 +264,7 @@ def _anchors(key: str, text: str, length: int, k: int, buckets: int):
         lo = _runs(bucket)
         hi = _ends(lo, len(bucket))
         block = group.column("block")[0].as_py()
+        give_back()
         return pa.table({"bucket": bucket[lo], "block": np.full(len(lo), block, np.int64), "anchors": pa.array([_planes(x[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
 
     return run
@@ -356,16 +357,16 @@ def suffix_array(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple
         s = slice(at, at + (1 << 16))
         inside = place < size[s, None]
         rows[s][inside] = data[(start[s, None] + place)[inside]]
-    words = rows.view(">u8").astype(np.uint64)
+    words = rows.view(np.uint64).byteswap(inplace=True).reshape(len(rows), -1)  # bytes in the order of their weight
     order = np.lexsort(words.T[::-1])
     shared = np.zeros(len(start), np.int64)
-    for at in range(1, len(start), 1 << 16):
-        a, b = rows[order[at - 1 : at - 1 + (1 << 16)]], rows[order[at : at + (1 << 16)]]
-        a = a[: len(b)]
-        differ = a != b
-        where = differ.argmax(axis=1)
-        where[~differ[np.arange(len(b)), where]] = width
-        shared[at : at + len(b)] = where
+    for at in range(1, len(start), 1 << 14):
+        a, b = words[order[at - 1 : at - 1 + (1 << 14)]], words[order[at : at + (1 << 14)]]
+        differ = a[: len(b)] ^ b
+        where = (differ != 0).argmax(axis=1)
+        first = differ[np.arange(len(b)), where]
+        equal = sum((first >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(8))  # its leading zero bytes
+        shared[at : at + len(b)] = np.where(first == 0, width, 8 * where + equal)
     shared[1:] = np.minimum(shared[1:], np.minimum(size[order[1:]], size[order[:-1]]))
     return order, shared
 
@@ -541,6 +542,7 @@ def _cut(key: str, text: str, length: int, names: list[str], with_text: bool):
             digest.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode("utf-8", "ignore") if with_text else "")
         cut = pa.StructArray.from_arrays([pa.array(np.diff(t.bounds)), pa.array(removed.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(digest)], ["n_bytes", "n_removed", "spans", "kept_sha256"])
+        give_back()
         cols = [pa.array(kept, pa.string()) if c == text else b.column(c) for c in names]
         return pa.table([*cols, cut], names=[*names, RESULT])
 
@@ -554,7 +556,7 @@ RESULT = "__dedup"
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """The rows with their texts cut (bytes of broken characters go too) and RESULT: n_bytes, n_removed, spans and kept_sha256 of the kept bytes."""
     spark = docs.sparkSession
-    buckets = 4 * max(1, shuffle_partitions(spark))
+    buckets = 4 * -(-length // 64) * max(1, shuffle_partitions(spark))  # longer units, more buckets
     rows = docs.withColumns({key: F.col(key).cast("long"), text: F.col(text).cast("string")})
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
