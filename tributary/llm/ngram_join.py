@@ -282,7 +282,7 @@ def _resolver(percent: int):
     """Links that connect the components of one bounded group of classes; pairs already connected are not tested."""
 
     def run(entries: pa.Table, sets: pa.Table) -> pa.Table:
-        known = {c: np.frombuffer(g.as_py(), np.uint64) for c, g in zip(sets.column("class").to_pylist(), sets.column("grams"), strict=True)}
+        known = {c: np.frombuffer(g.as_buffer(), np.uint64) for c, g in zip(sets.column("class").to_pylist(), sets.column("grams"), strict=True)}
         found: list[tuple[int, int]] = []
         ids, at = np.unique(entries.column("class").to_numpy(), return_inverse=True)
         lists, of = np.unique(entries.column("gram").to_numpy(), return_inverse=True)
