@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -260,6 +261,29 @@ def test_jaccard(spark, docs, rows, none, setting, monkeypatch):
     assert ngram_join.jaccard_components(none, 3, 90).count() == 0
 
 
+@pytest.mark.parametrize("factor", [4, 0.01])
+def test_jaccard_pair_of_several_grams(spark, factor, monkeypatch):
+    """A pair found by two grams: one side's row may come from the first, the other's from the second."""
+    monkeypatch.setattr(ngram_join, "GROUP_GRAMS", 0)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", factor)
+    texts = [" ".join([*(f"w{i}" for i in range(21)), last]) for last in ("one", "two")]  # 19 of 21 grams in common
+    sets = list(ngram_join._grams(pa.array(texts, pa.large_string()), 3))
+    keys = [ngram_join._class_key(g) for g in sets]
+    found = []
+    for pos, gram in ((0, 11), (2, 12)):
+        e = np.zeros(2, ngram_join._ENTRY)
+        e["gram"], e["class"], e["size"], e["pos"], e["digest"] = gram, keys, 20, pos, 255
+        found.append({r["class"]: r for r in ngram_join._shared(90, 4)(pa.table({"bucket": [gram % 4], "blob": [ngram_join._pack(e)]})).to_pylist()})
+    mixed = [found[0][keys[0]], found[1][keys[1]]]
+    assert mixed[0]["gram"] == mixed[1]["gram"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of_class = spark.createDataFrame([(k, i, bytearray(ngram_join._digest(g))) for i, (k, g) in enumerate(zip(keys, sets))], "class long, rep long, digest binary")
+    join = ngram_join._Join(docs, of_class, 3, 90)
+    monkeypatch.setattr(join, "entries", lambda sketch: spark.createDataFrame([tuple(r[c] for c in ("gram", "class", "size", "pos")) for r in mixed], "gram long, class long, size long, pos long"))
+    comp, _ = ngram_join.class_components(join, None)
+    assert {r["class"]: r["comp"] for r in comp.collect()} == dict.fromkeys(keys, min(keys))
+
+
 # 7
 
 

@@ -214,7 +214,8 @@ def _shared(percent: int, buckets: int):
     """Of one bucket: lists of classes that pairs passing the filters tie together.
 
     A list of up to SMALL_LIST classes gives each passing pair as a list of its own, which is the same whatever grams the
-    pair shares. A longer list is taken apart where no passing pair ties its entries.
+    pair shares, with positions of 0, which pass whatever the sizes allow. A longer list is taken apart where no passing
+    pair ties its entries.
     """
 
     def run(blobs: pa.Table) -> pa.Table:
@@ -237,6 +238,7 @@ def _shared(percent: int, buckets: int):
             i = i[_may_link(x, i, i + d, percent)]
             both = np.stack([x[i], x[i + d]])
             both["gram"] = mix64(mix64(x["class"][i].view(np.uint64)) + x["class"][i + d].view(np.uint64))
+            both["pos"] = 0  # the filter has been passed; positions of other shared grams must not meet in it
             parts.append(both.reshape(-1))
         e = _distinct(np.concatenate(parts)) if parts else x[:0]
         return _rows(e)
