@@ -5,6 +5,7 @@ import pytest
 from tributary.model import RAW_VALUES, FusionConfig
 from tributary.operators import merge, normalize, validate
 from tributary.operators.components import components
+from tributary.operators.project import serialize
 
 
 def fused(spark, values, parts=None, config=FusionConfig()):
@@ -27,6 +28,16 @@ def test_agreement(spark):
     assert c.full_name.confidence == pytest.approx(0.95) and [a.source for a in c.full_name.agreements] == ["CSV"]
 
 
+def test_equal_rows_are_counted_not_listed(spark):
+    values = [(0, "Resume", "headline", "A")] + [(i, "CSV", "headline", "A" if i % 2 else "B") for i in range(1, 41)]
+    canon = fused(spark, values)
+    c = canon.first().headline
+    assert [(a.source, a.n) for a in c.agreements] == [("CSV", 20)]
+    assert [(x.value, x.source.source, x.reason, x.n) for x in c.conflicts] == [("B", "CSV", "lower_source_priority", 20)]
+    assert c.confidence == pytest.approx(0.85) and merge.conflict_count(canon) == 20
+    assert serialize(canon).first().candidate.count("lower_source_priority") == 20
+
+
 def test_malformed(spark):
     c = fused(spark, [(0, "Resume", "emails", "nope"), (0, "Resume", "skills", "12345")]).first()
     assert c.emails[0].confidence == pytest.approx(0.7) and c.skills[0].confidence == pytest.approx(0.6)

@@ -34,30 +34,54 @@ def win_order() -> list[Column]:
     return [(-F.col("priority")).alias("o1"), (-F.col("completeness")).alias("o2"), F.col("tiebreak").alias("o3"), F.col("record_ord").alias("o4"), F.col("pos").alias("o5")]
 
 
-def tracked(values: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row per value kept: cluster_id, field, sort keys, value (in v_*), confidence, primary, agreements, conflicts."""
+def compared(values: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Distinct values of each (cluster_id, field, g) with the winner w, and how many rows agree with it and differ from it.
+
+    Equal rows are counted before they meet their winner, so a cluster that holds much of the table is combined where it
+    lies. The winner's own row counts neither way.
+    """
     group = F.when(F.col("field").isin(*SCALARS), F.lit("")).otherwise(F.col("v_key")).alias("g")
-    v = values.join(clusters, "record_ord").withColumn("g", group)
+    value = ("v_key", "priority", "completeness", "tiebreak", "base", "source", "method", "raw", "malformed", "v_str", "v_num", "v_loc", "v_link", "v_edu")
+    at = F.struct("record_ord", "pos")
+    v = values.join(clusters, "record_ord").groupBy("cluster_id", "field", group, *value).agg(F.min(at).alias("at"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    v = v.withColumn("record_ord", F.col("at.record_ord")).withColumn("pos", F.col("at.pos"))
     winner = F.struct(*win_order(), "v_key", "priority", "completeness", "base", "source", "method", "raw", "malformed", "v_str", "v_num", "v_loc", "v_link", "v_edu")
-    won = v.groupBy("cluster_id", "field", "g").agg(F.min(winner).alias("w"), F.min(F.struct("record_ord", "pos")).alias("first"))
+    won = v.groupBy("cluster_id", "field", "g").agg(F.min(winner).alias("w"), F.min("at").alias("first"))
+    w = F.col("w")
+    itself = lambda x: (F.col(x)["record_ord"] == w["o4"]) & (F.col(x)["pos"] == w["o5"])
+    others = F.when(itself("at") & itself("last"), F.lit(0)).when(itself("at"), F.col("n") - 1).otherwise(F.col("n"))
+    same = F.col("v_key") == w["v_key"]
     rows = v.join(won, ["cluster_id", "field", "g"])
+    return rows.withColumns({"agree": F.when(same, others).otherwise(F.lit(0)), "differ": F.when(same, F.lit(0)).otherwise(F.col("n")), "reason": lost_reason()})
+
+
+def lost_reason() -> Column:
+    w = F.col("w")
+    return F.when(F.col("priority") < w["priority"], "lower_source_priority").when((F.col("priority") == w["priority"]) & (F.col("completeness") < w["completeness"]), "less_complete").otherwise("tiebreak_lost")
+
+
+def tracked(values: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row per value kept: cluster_id, field, sort keys, value (in v_*), confidence, primary, agreements, conflicts.
+
+    An agreement or conflict stands once for its n equal rows.
+    """
     w = F.col("w")
-    itself = (F.col("record_ord") == w["o4"]) & (F.col("pos") == w["o5"])
-    agrees = (F.col("v_key") == w["v_key"]) & ~itself
-    origin = F.struct(F.col("source"), F.col("method"), F.coalesce("raw", F.lit("")).alias("raw"), F.col("malformed"))
-    reason = F.when(F.col("priority") < w["priority"], "lower_source_priority").when((F.col("priority") == w["priority"]) & (F.col("completeness") < w["completeness"]), "less_complete").otherwise("tiebreak_lost")
-    lost = F.struct(origin.alias("source"), F.col("tiebreak").alias("shown"), reason.alias("reason"), F.struct("v_str", "v_num", "v_loc").alias("value"))
-    out = rows.groupBy("cluster_id", "field", "g").agg(
+    origin = (F.col("source"), F.col("method"), F.coalesce("raw", F.lit("")).alias("raw"), F.col("malformed"))
+    agreed = F.struct(*origin, F.col("agree").cast("int").alias("n"))
+    lost = F.struct(F.struct(*origin).alias("source"), F.col("tiebreak").alias("shown"), F.col("reason"), F.struct("v_str", "v_num", "v_loc").alias("value"), F.col("differ").cast("int").alias("n"))
+    out = compared(values, clusters).groupBy("cluster_id", "field", "g").agg(
         F.first("w").alias("w"),  # the same in every row of the group
         F.first("first").alias("first"),
-        F.array_sort(F.collect_list(F.when(agrees, origin))).alias("agreements"),
-        F.array_sort(F.collect_list(F.when(F.col("v_key") != w["v_key"], lost))).alias("conflicts"),
+        F.max(F.col("agree") > 0).alias("agreed"),
+        F.max(F.col("differ") > 0).alias("contested"),
+        F.array_sort(F.collect_list(F.when(F.col("agree") > 0, agreed))).alias("agreements"),
+        F.array_sort(F.collect_list(F.when(F.col("differ") > 0, lost))).alias("conflicts"),
     )
     penalty = F.when(F.col("field") == "skills", dec(SKILL_MALFORMED_PENALTY)).otherwise(dec(MALFORMED_PENALTY))
     return out.select(
         "cluster_id", "field", "first",
         *(w[c].alias(c) for c in ("v_str", "v_num", "v_loc", "v_link", "v_edu")),
-        confidence(w["base"], F.size("agreements") > 0, F.size("conflicts") > 0, w["malformed"], penalty).alias("confidence"),
+        confidence(w["base"], F.col("agreed"), F.col("contested"), w["malformed"], penalty).alias("confidence"),
         F.struct(w["source"].alias("source"), w["method"].alias("method"), w["raw"].alias("raw"), w["malformed"].alias("malformed")).alias("primary"),
         "agreements", "conflicts",
     )
@@ -91,12 +115,12 @@ def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConf
     """One wide row per cluster; clusters without any value are there too."""
     t = values_tracked
     parts: list[Column] = []
-    conflict = lambda f: F.transform("conflicts", lambda c: F.struct((F.struct(c["value"]["v_num"].alias("num"), c["value"]["v_str"].alias("text")) if f == "years_experience" else c["value"][VALUE_OF[f]]).alias("value"), c["source"].alias("source"), c["reason"].alias("reason")))
+    conflict = lambda f: F.transform("conflicts", lambda c: F.struct((F.struct(c["value"]["v_num"].alias("num"), c["value"]["v_str"].alias("text")) if f == "years_experience" else c["value"][VALUE_OF[f]]).alias("value"), c["source"].alias("source"), c["reason"].alias("reason"), c["n"].alias("n")))
     for f in SCALARS:
         tv = F.struct(_value(f).alias("value"), "confidence", "primary", "agreements", conflict(f).alias("conflicts"))
         parts.append(F.max_by(F.when(F.col("field") == f, tv), F.col("field") == f).alias(f))
     for f in COLLECTIONS:
-        tv = F.struct(_value(f).alias("value"), "confidence", "primary", "agreements", F.array().cast(f"array<struct<value: string, source: struct<source: string>, reason: string>>").alias("conflicts"))
+        tv = F.struct(_value(f).alias("value"), "confidence", "primary", "agreements", F.array().cast(f"array<struct<value: string, source: struct<source: string>, reason: string, n: int>>").alias("conflicts"))
         keys = [k.alias(f"k{i}") for i, k in enumerate(_sort_keys(f))]
         parts.append(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct(*keys, F.col("first").alias("at"), F.hash("first").alias("h"), tv.alias("tv"))))), lambda s: s["tv"]).alias(f))
     wide = t.groupBy("cluster_id").agg(*parts)
@@ -122,5 +146,5 @@ def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConf
 
 
 def conflict_count(canon: DataFrame) -> int:
-    sizes = sum((F.coalesce(F.size(F.col(f)["conflicts"]), F.lit(0)) for f in SCALARS), F.lit(0))
-    return canon.agg(F.sum(F.greatest(sizes, F.lit(0)))).first()[0] or 0
+    sizes = sum((F.coalesce(F.aggregate(F.col(f)["conflicts"], F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.lit(0)) for f in SCALARS), F.lit(0))
+    return canon.agg(F.sum(sizes)).first()[0] or 0

@@ -110,7 +110,7 @@ def serialize(canon: DataFrame) -> DataFrame:
     """cluster_id and candidate, a JSON object of the whole row with sorted keys; raw inputs are left out."""
 
     def value_json(tv: Column, f: str) -> Column:
-        conflicts = F.transform(tv["conflicts"], lambda c: _object([("reason", _text(c["reason"])), ("source", _text(c["source"]["source"])), ("value", _plain(c, f))]))
+        conflicts = F.flatten(F.transform(tv["conflicts"], lambda c: F.array_repeat(_object([("reason", _text(c["reason"])), ("source", _text(c["source"]["source"])), ("value", _plain(c, f))]), c["n"])))
         return _object([
             ("confidence", _rounded(tv["confidence"])),
             ("conflicts", F.when(F.size(tv["conflicts"]) > 0, F.concat(F.lit("["), F.array_join(conflicts, ", "), F.lit("]")))),

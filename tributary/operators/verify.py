@@ -52,7 +52,7 @@ def verify(canon: DataFrame, kind: str, provided: list[str], exclude_source: str
     rows = canon.withColumn("__handle", record_handle(kind, exclude_source)).withColumn("__match", F.coalesce(F.col("__handle").isin(*handles), F.lit(False)))
     any_match = rows.agg(F.max("__match")).first()[0] or False
     label = LABEL.get(kind, kind)
-    mark = F.struct(F.lit(label).alias("source"), F.lit(f"{kind}_verify").alias("method"), F.lit("").alias("raw"), F.lit(False).alias("malformed"))
+    mark = F.struct(F.lit(label).alias("source"), F.lit(f"{kind}_verify").alias("method"), F.lit("").alias("raw"), F.lit(False).alias("malformed"), F.lit(1).alias("n"))
 
     def verified(tv: Column) -> Column:
         new = F.array_contains(_sources(tv), label)

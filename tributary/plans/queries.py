@@ -156,8 +156,8 @@ SELECT w.user_id, v.x AS loser, CASE WHEN v.pr < w.pr THEN 'lower_source_priorit
 FROM w JOIN v USING (user_id) WHERE v.x <> w.x GROUP BY ALL""")
 def scalar_fusion_conflicts(spark, sf_dir):
     v, c = event_values(spark, sf_dir)
-    got = merge.tracked(v.filter("field = 'headline'"), c)
-    return got.select(F.col("cluster_id").alias("user_id"), F.explode("conflicts").alias("c")).groupBy("user_id", F.col("c.shown").alias("loser"), F.col("c.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    got = merge.compared(v.filter("field = 'headline'"), c).filter("differ > 0")
+    return got.groupBy(F.col("cluster_id").alias("user_id"), F.col("tiebreak").alias("loser"), "reason").agg(F.sum("differ").alias("n"))
 
 
 _SOURCE_SQL = "CASE event_type WHEN 'click' THEN 'Resume' WHEN 'view' THEN 'ATS' WHEN 'purchase' THEN 'CSV' WHEN 'signup' THEN 'GitHub' ELSE 'Other' END"
