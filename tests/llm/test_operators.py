@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tributary.llm import bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, repair, sharding, suffix_dedup, vector_search
+from tributary.llm import blocks, bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, repair, sharding, suffix_dedup, vector_search
 
 WORD, BYTE = bpe.vocabulary_path("word_bpe_49k.json"), bpe.vocabulary_path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, kept string, sequence_id string"
@@ -267,21 +267,31 @@ def test_jaccard_pair_of_several_grams(spark, factor, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_GRAMS", 0)
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", factor)
     texts = [" ".join([*(f"w{i}" for i in range(21)), last]) for last in ("one", "two")]  # 19 of 21 grams in common
-    sets = list(ngram_join._grams(pa.array(texts, pa.large_string()), 3))
-    keys = [ngram_join._class_key(g) for g in sets]
+    blocks_ = blocks.text_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "text", 1 << 20, "test")
+    keys = [0, 1]
     found = []
     for pos, gram in ((0, 11), (2, 12)):
         e = np.zeros(2, ngram_join._ENTRY)
         e["gram"], e["class"], e["size"], e["pos"], e["digest"] = gram, keys, 20, pos, 255
-        found.append({r["class"]: r for r in ngram_join._shared(90, 4)(pa.table({"bucket": [gram % 4], "blob": [ngram_join._pack(e)]})).to_pylist()})
+        found.append({r["class"]: r for r in ngram_join._shared(90, 4)(pa.table({"bucket": [gram % 4], "blob": [blocks.planes(e)]})).to_pylist()})
     mixed = [found[0][keys[0]], found[1][keys[1]]]
     assert mixed[0]["gram"] == mixed[1]["gram"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    of_class = spark.createDataFrame([(k, i, bytearray(ngram_join._digest(g))) for i, (k, g) in enumerate(zip(keys, sets))], "class long, rep long, digest binary")
-    join = ngram_join._Join(docs, of_class, 3, 90)
-    monkeypatch.setattr(join, "entries", lambda sketch: spark.createDataFrame([tuple(r[c] for c in ("gram", "class", "size", "pos")) for r in mixed], "gram long, class long, size long, pos long"))
-    comp, _ = ngram_join.class_components(join, None)
-    assert {r["class"]: r["comp"] for r in comp.collect()} == dict.fromkeys(keys, min(keys))
+    columns = ("gram", "class", "size", "pos", "digest")
+    entries = spark.createDataFrame([tuple(r[c] for c in columns) for r in mixed], ", ".join(f"{c} long" for c in columns))
+    comp = ngram_join.class_components(ngram_join._Join(blocks_, 3, 90), entries)
+    assert {r["class"]: r["comp"] for r in comp.collect()} == dict.fromkeys(keys, 0)
+
+
+def test_first_of_components(spark):
+    """Decided row by row: a repeated doc_id takes no other row along, and rows without one stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (2, "quite another text"), (None, text), (None, text), (3, None), (3, ""), (5, text), (1, text)]
+    df = spark.createDataFrame([(a, b, "x", 1, "y") for a, b in rows], "doc_id long, text string, row string, block int, places string").repartition(3)
+    got = ngram_join.first_of_components(df, 3, 90)
+    assert got.columns == df.columns and got.schema == df.schema
+    want = [(1, text), (2, "quite another text"), (None, text), (None, text), (3, None), (3, "")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    assert ngram_join.first_of_components(df.limit(0), 3, 90).count() == 0
 
 
 # 7

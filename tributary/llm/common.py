@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.storage import shared_dir, written
+from ..plans.storage import discard, scratch, shared_dir, written
 
-__all__ = ["ascii_words", "byte_hashes", "coded", "mix64", "shared_dir", "shuffle_partitions", "table", "text_slices", "written"]
+__all__ = ["ascii_words", "byte_hashes", "coded", "discard", "mix64", "scratch", "shared_dir", "shuffle_partitions", "table", "text_slices", "written"]
 
 #: Bytes of text that a Python worker handles at a time; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -42,8 +42,8 @@ def give_back() -> None:
     _trim()(0)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that the texts of each hold about `limit` bytes; null texts become empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches so that the texts of each hold about `limit` bytes, in `rows` rows at most; null texts become empty."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
@@ -52,7 +52,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(size, base + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
         del batch, text

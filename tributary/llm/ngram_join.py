@@ -1,17 +1,22 @@
 """Operator 6, n-gram Jaccard join with rare-first prefix filtering (PPJoin; Xiao et al., 2008 and 2011).
 
-A document is the set of its distinct word n-grams, as 64-bit hashes. Documents of equal sets form a class, and only
-classes are compared. A class's n-grams are ordered rarest first, by a fixed-size count sketch over all documents, ties
-by hash; two sets whose similarity reaches the threshold share an n-gram among the first n - ceil(t n) + 1 of each. The
-prefixes are joined on their n-grams; a pair goes on if the sizes allow it (length), if what stands behind the shared
-n-gram can still reach the overlap (positional) and if the sizes of hash ranges of both sets do (suffix), and is then
-verified once on the whole sets.
+A document is the set of its distinct word n-grams, as 64-bit hashes. Documents of equal sets form a class, told by a
+128-bit key and named by its first row, and only classes are compared. A class's n-grams are ordered rarest first, by
+the number of documents that have them, ties by hash; two sets whose similarity reaches the threshold share an n-gram
+among the first n - ceil(t n) + 1 of each. The prefixes are joined on their n-grams; a pair goes on if the sizes allow it
+(length), if what stands behind the shared n-gram can still reach the overlap (positional) and if the sizes of hash
+ranges of both sets do (suffix), and is then verified once on the whole sets.
+
+The counts are over all documents and grow with them: blocks of documents send their n-grams, cut to as many bits as tell
+the corpus's n-grams apart, to buckets, and learn which of them another document has and how often. Two n-grams that are
+alike in these bits count as one, which only makes them look more frequent. An n-gram of one document joins nothing and
+is not sent again; most prefixes end there.
 
 A list of many similar classes would give far too many pairs, and classes that links connect need not be compared with
 each other for the components' sake. So pairs and lists that pass the filters tie their classes into groups. A group of
-bounded size is resolved in one task, where pairs that a link has connected meanwhile are passed over. Larger groups go through rounds of pivots: a pivot meets its
-whole list and then leaves it, until the pairs of different components that remain are few and all are verified. No list
-is cut and no pair of different components is left out.
+bounded size is resolved in one task, where pairs that a link has connected meanwhile are passed over. Larger groups go
+through rounds of pivots: a pivot meets its whole list and then leaves it, until the pairs of different components that
+remain are few and all are verified. No list is cut and no pair of different components is left out.
 
 Defined cases: a text of fewer words than n has the whole sequence as its one n-gram; null, empty and wordless texts
 have none, are linked with nothing and are their own component; rows with equal texts are in one class; a row without a
@@ -20,35 +25,35 @@ doc_id takes no part and gets a null component; extra columns are left out; no r
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, byte_hashes, coded, mix64, shuffle_partitions, table, text_slices, written
-from .components import components
+from ..operators.components import components
+from .blocks import ROWS, from_ipc, from_planes, grouped, planes, run_ends, run_starts, stored, text_blocks, text_bytes
+from .common import ascii_words, byte_hashes, coded, discard, give_back, mix64, table, written
 
-SKETCH = 1 << 20
-#: Entries of an n-gram whose sketched count is larger do not meet in one task.
+#: Entries of an n-gram of more documents do not meet in one task.
 HOT = 2000
 #: Candidate groups with so many grams in all, 8 bytes each, are resolved in one task; larger ones by further rounds.
-GROUP_GRAMS = 4_000_000
+GROUP_GRAMS = 2_000_000
 #: Pivot rounds go on while the pairs that remain outnumber the list entries by more than this factor; it grows eightfold a round.
 PAIRS_PER_ENTRY = 4
-#: Bytes of text whose n-grams a worker holds at a time.
-GRAM_BYTES = 2 << 20
+#: Bytes of text of a block, and bytes of text whose n-grams, or prefix entries, a bucket gets on the average.
+BLOCK_BYTES = 4 << 20
+GRAM_BUCKET, ENTRY_BUCKET = 6 << 20, 24 << 20
+#: Bits of a counted n-gram beyond those that number the corpus's n-grams; 64 in all at most.
+SPARE_BITS = 6
 #: Lists of up to so many classes are taken apart into the pairs that pass the filters.
 SMALL_LIST = 8
-#: Hash ranges whose sizes are compared by the suffix filter.
-RANGES = 64
-#: Up to so many documents, 8 bytes each, are broadcast as a list of those whose sets are needed; more go by a bitmap of fixed size.
-BROADCAST_DOCS = 20_000
-BITMAP = 1 << 23
+#: Hash ranges whose sizes are compared by the suffix filter, where sets are at hand and in entries; 255 means so many or more.
+RANGES, COARSE = 64, 8
+#: Up to so many rows, 8 bytes each, are broadcast when blocks are asked for them.
+BROADCAST_ROWS = 500_000
 
 
 def _grams(text: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -72,104 +77,171 @@ def _grams(text: pa.Array, n: int) -> Iterator[np.ndarray]:
         at += s
 
 
-def _class_key(grams: np.ndarray) -> int:
-    """A signed 64-bit key of a set."""
-    x = np.array([len(grams)], np.uint64)
-    return int(mix64(np.array([mix64(grams).sum(dtype=np.uint64)]) + mix64(x)).view(np.int64)[0])
+def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit key of each set, as two signed columns: sums of two mixings of its hashes."""
+    out = np.zeros((len(sets), 2), np.uint64)
+    size = np.array([len(g) for g in sets], np.int64)
+    full = np.flatnonzero(size)
+    if len(full):
+        h = mix64(np.concatenate([sets[i] for i in full]))
+        first = np.cumsum(size[full]) - size[full]
+        out[full, 0] = np.add.reduceat(h, first)
+        out[full, 1] = np.add.reduceat(mix64(h ^ np.uint64(0x94D049BB133111EB)), first)
+    return mix64(out + size.astype(np.uint64)[:, None]).view(np.int64)
 
 
-def _digest(grams: np.ndarray) -> bytes:
-    """How many grams lie in each of RANGES equal ranges of hashes."""
-    edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
-    return np.diff(np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])).astype("<u4").tobytes()
+def _digest(grams: np.ndarray, parts: int = RANGES) -> np.ndarray:
+    """How many grams lie in each of equal ranges of hashes."""
+    edges = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
+    return np.diff(np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]]))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.uint32)
-    for b in batches:
-        for x in b.column("sketch"):
-            part = np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-            total += np.minimum(part, np.iinfo(np.uint32).max - total)
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
+# how many documents have an n-gram
 
+_DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8")])
+_COUNT = np.dtype([("key", "<u8"), ("n", "<u2")])
+_LEVEL = np.dtype([("key", "<u8"), ("level", "u1")])
+_DOC_ROW = "row long, doc_id long, n long, h1 long, h2 long"
 
-def _rarity(parts: DataFrame) -> np.ndarray:
-    """The sum of the partitions' sketches, added up in a tree; it has a fixed size."""
-    left = parts.count()
-    while True:
-        left = max(1, -(-left // 16))
-        parts = written(parts.repartition(left).mapInArrow(_sums, "sketch binary"), "gram-sketch")
-        if left == 1:
-            return np.frombuffer(zlib.decompress(parts.first()["sketch"]), np.uint32)
 
+def _levels(count: np.ndarray) -> np.ndarray:
+    """Counts of 2 or more on a scale of 8 steps an octave, from 8; 0 stands for 1."""
+    return np.minimum(255, 8 * np.log2(count)).astype(np.uint8)
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+
+def key_bits(n_bytes: int) -> int:
+    """Bits that tell the n-grams of so many bytes of text apart, with a few to spare."""
+    return min(64, max(32, int(n_bytes).bit_length() + SPARE_BITS - 2))
 
 
-def _prefixes(n: int, percent: int, sketch, buckets: int):
-    """Prefix entries packed by bucket of their gram. A hot gram's entries are spread by class over buckets of their own."""
+def _bucket(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    return (((key >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _block_grams(n: int, bits: int, buckets: int):
+    """A block's n-grams by bucket, with the number of its sets that have them; and its documents, in buckets of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = sketch.value
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, size
-            x = _distinct(np.concatenate(held))  # copies give the same entries
-            held, size = [], 0
-            bucket = np.where(x["hot"] == 1, buckets + x["class"] % buckets, (x["gram"] % np.uint64(buckets)).astype(np.int64))
-            order = np.argsort(bucket, kind="stable")
-            x, bucket = x[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            blobs = [_pack(x[i:j]) for i, j in zip(first, np.append(first[1:], len(x)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-        for b in text_slices(batches, limit=GRAM_BYTES):
-            for g in _grams(b.column("text"), n):
-                if not len(g):
-                    continue
-                c = count[g & np.uint64(SKETCH - 1)]
-                p = prefix_length(len(g), percent)
-                near = np.argpartition(c, p - 1)[:p] if p < len(g) else np.arange(len(g))
-                cut = c[near].max()
-                near = np.flatnonzero(c <= cut)
-                order = near[np.lexsort((g[near], c[near]))][:p]
-                e = np.empty(len(order), _ENTRY)
-                e["gram"], e["class"], e["size"], e["pos"], e["hot"] = g[order], _class_key(g), len(g), np.arange(len(order)), c[order] > HOT
-                e["digest"] = np.minimum(np.frombuffer(_digest(g), "<u4").reshape(COARSE, -1).sum(axis=1), 255)
-                held.append(e)
-                size += len(e)
-            if size > 300_000:
-                yield flush()
-        if held:
-            yield flush()
+        for block, b in stored(batches):
+            ids, sets = b.column("doc_id"), list(_grams(b.column("text"), n))
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            d = np.empty(len(sets), _DOC)
+            d["doc_id"], d["known"] = ids.fill_null(0).to_numpy(zero_copy_only=False), known
+            d["n"] = [len(g) for g in sets]
+            d["h1"], d["h2"] = _set_keys(sets).T
+            one = np.unique(d[["h1", "h2"]][known & (d["n"] > 0)], return_index=True)[1]
+            chosen = np.flatnonzero(known & (d["n"] > 0))[one]
+            key = np.sort(np.concatenate([sets[i] for i in chosen] or [np.zeros(0, np.uint64)]) >> np.uint64(64 - bits))
+            del sets
+            first = run_starts(key)
+            x = np.empty(len(first), _COUNT)
+            x["key"], x["n"] = key[first], run_ends(first, len(key)) - first
+            bucket = _bucket(x["key"], bits, buckets)  # ascending with the keys
+            lo = run_starts(bucket)
+            blobs = [planes(x[i:j]) for i, j in zip(lo, run_ends(lo, len(x)), strict=True)]
+            none = [None] * len(blobs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*bucket[lo].tolist(), buckets + (block >> 8) % buckets]), pa.array([block] * (len(blobs) + 1)), pa.array([*blobs, None], pa.binary()), pa.array([*none, planes(d)], pa.binary())],
+                names=["bucket", "block", "grams", "docs"],
+            )
+            give_back()
 
     return run
 
 
-#: An entry has its set's coarse digest: counts of COARSE hash ranges, 255 meaning that many or more.
-COARSE = 8
-_ENTRY = np.dtype([("gram", "<u8"), ("class", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("hot", "u1"), ("digest", "u1", (COARSE,))])
+def _repeated(buckets: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Of one bucket, for each block: its n-grams that several documents have, with the level of their count. Documents pass."""
+        block = rows.column("block").to_numpy()
+        if rows.column("bucket")[0].as_py() >= buckets:
+            return pa.table({"block": block, "levels": pa.nulls(len(block), pa.binary()), "docs": rows.column("docs")})
+        parts = [from_planes(g.as_py(), _COUNT) for g in rows.column("grams")]
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        x = np.concatenate(parts)
+        del parts
+        order = np.argsort(x["key"], kind="stable")
+        key, owner = x["key"][order], owner[order]
+        first = run_starts(key)
+        total = np.add.reduceat(x["n"][order].astype(np.int64), first) if len(first) else first
+        total = np.repeat(total, run_ends(first, len(key)) - first)
+        keep = total > 1
+        key, owner, total = key[keep], owner[keep], total[keep]
+        out = np.empty(len(key), _LEVEL)
+        order, lo, hi = grouped(owner)
+        out["key"], out["level"] = key[order], _levels(total[order])
+        blobs = [planes(out[i:j]) for i, j in zip(lo, hi, strict=True)]
+        blocks = block[owner[order[lo]]] if len(key) else block[:0]
+        del x, key, owner, total, out
+        give_back()
+        return pa.table({"block": blocks, "levels": pa.array(blobs, pa.binary()), "docs": pa.nulls(len(blobs), pa.binary())})
+
+    return run
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Entries field by field and byte by byte, squeezed."""
-    parts = [np.ascontiguousarray(x[f]).view(np.uint8).reshape(len(x), -1).T.tobytes() for f in x.dtype.names]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+def _doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for block, docs in zip(b.column("block").to_pylist(), b.column("docs"), strict=True):
+            d = from_planes(docs.as_py(), _DOC)
+            cols = [pa.array(block * ROWS + np.arange(len(d))), pa.array(d["doc_id"], mask=d["known"] == 0), *(pa.array(np.ascontiguousarray(d[c])) for c in ("n", "h1", "h2"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n", "h1", "h2"])
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    n = len(raw) // _ENTRY.itemsize
-    out, at = np.empty(n, _ENTRY), 0
-    for f in _ENTRY.names:
-        width = _ENTRY[f].itemsize
-        field = np.ascontiguousarray(raw[at * n : (at + width) * n].reshape(width, n).T)
-        out[f] = field if f == "digest" else field.view(_ENTRY[f]).reshape(-1)
-        at += width
-    return out
+def places_of(rows: DataFrame) -> DataFrame:
+    """block and places of row numbers (column row): a block's rows at most."""
+    return rows.select(F.floor(F.col("row") / ROWS).cast("long").alias("block"), F.pmod("row", F.lit(ROWS)).cast("int").alias("place")).groupBy("block").agg(F.collect_list("place").alias("places"))
+
+
+# prefixes
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+#: An entry has its set's coarse digest.
+_ENTRY = np.dtype([("gram", "<u8"), ("class", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("hot", "u1"), ("digest", "u1", (COARSE,))])
+
+
+def _prefixes(n: int, percent: int, bits: int, buckets: int):
+    """A block's prefix entries that may meet others, packed by bucket of their gram. Entries of hot grams are spread by class over buckets of their own."""
+    hot = int(_levels(np.array([HOT + 1]))[0])
+
+    def run(group: pa.Table, back: pa.Table) -> pa.Table:
+        levels = [from_planes(x.as_py(), _LEVEL) for x in back.column("levels") if x.is_valid]
+        if not levels or not group.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+        known = np.concatenate(levels)
+        known = known[np.argsort(known["key"])]
+        keys, level = np.ascontiguousarray(known["key"]), np.ascontiguousarray(known["level"])
+        block, b = group.column("block")[0].as_py(), from_ipc(group.column("rows")[0])
+        skip = ~b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        for x in back.column("places").to_pylist():
+            skip[x or []] = True  # copies: their class's first row stands for them
+        held = []
+        for place, g in enumerate(_grams(b.column("text"), n)):
+            if skip[place] or not len(g):
+                continue
+            key = g >> np.uint64(64 - bits)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            rarity = np.where(keys[at] == key, level[at], 0).astype(np.uint8)
+            order = np.argsort(rarity, kind="stable")[: prefix_length(len(g), percent)]  # hashes ascend
+            pos = np.flatnonzero(rarity[order])
+            if not len(pos):
+                continue
+            order = order[pos]
+            e = np.empty(len(order), _ENTRY)
+            e["gram"], e["class"], e["size"], e["pos"], e["hot"] = g[order], block * ROWS + place, len(g), pos, rarity[order] >= hot
+            e["digest"] = np.minimum(_digest(g, COARSE), 255)
+            held.append(e)
+        x = np.concatenate(held) if held else np.empty(0, _ENTRY)
+        bucket = np.where(x["hot"] == 1, buckets + x["class"] % buckets, (mix64(x["gram"]) % np.uint64(buckets)).astype(np.int64))
+        order, lo, hi = grouped(bucket)
+        x, bucket = x[order], bucket[order]
+        blobs = [planes(x[i:j]) for i, j in zip(lo, hi, strict=True)]
+        give_back()
+        return pa.table({"bucket": bucket[lo], "blob": pa.array(blobs, pa.binary())})
+
+    return run
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -180,7 +252,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def _may_link(x: np.ndarray, i: np.ndarray | int, j: np.ndarray, percent: int) -> np.ndarray:
+def _may_link(x: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether entries i and j of one gram pass the length, positional and (coarse) suffix filters."""
     size, pos = x["size"].astype(np.int64), x["pos"].astype(np.int64)
     need = -(-percent * (size[i] + size[j]) // (100 + percent))
@@ -210,6 +282,18 @@ def _sublists(x: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
+def _in_bands(x: np.ndarray, percent: int) -> np.ndarray:
+    """Entries of hot grams in bands of sizes: two sizes that the threshold allows share a band. Every entry is in two."""
+    width = np.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
+    band = np.floor(np.log(x["size"]) / width).astype(np.int64).astype(np.uint64)
+    parts = []
+    for k in (0, 1):
+        y = x.copy()
+        y["gram"] = mix64(y["gram"] ^ mix64(band + np.uint64(k)))
+        parts.append(y)
+    return np.concatenate(parts)
+
+
 def _shared(percent: int, buckets: int):
     """Of one bucket: lists of classes that pairs passing the filters tie together.
 
@@ -219,10 +303,10 @@ def _shared(percent: int, buckets: int):
     """
 
     def run(blobs: pa.Table) -> pa.Table:
-        x = _distinct(np.concatenate([_unpack(b.as_py()) for b in blobs.column("blob")]))
+        x = _distinct(np.concatenate([from_planes(b.as_py(), _ENTRY) for b in blobs.column("blob")]))
         if blobs.column("bucket")[0].as_py() >= buckets:
-            return _rows(x)
-        first = np.flatnonzero(np.concatenate([[True], x["gram"][1:] != x["gram"][:-1]]))
+            return _rows(_in_bands(x, percent))
+        first = run_starts(x["gram"])
         sizes = np.diff(np.append(first, len(x)))
         count = np.repeat(sizes, sizes)
         long_ = [x[f : f + n] for f, n in zip(first.tolist(), sizes.tolist(), strict=True) if n > SMALL_LIST]
@@ -241,26 +325,18 @@ def _shared(percent: int, buckets: int):
             both["pos"] = 0  # the filter has been passed; positions of other shared grams must not meet in it
             parts.append(both.reshape(-1))
         e = _distinct(np.concatenate(parts)) if parts else x[:0]
+        give_back()
         return _rows(e)
 
     return run
 
 
 def _rows(e: np.ndarray) -> pa.Table:
-    return pa.table({"gram": np.ascontiguousarray(e["gram"]).view(np.int64), "class": np.ascontiguousarray(e["class"]), "size": e["size"].astype(np.int64), "pos": e["pos"].astype(np.int64)})
-
-
-def _suffix_filter(percent: int):
-    """Pairs whose hash ranges allow the overlap: what two ranges differ in cannot be shared."""
+    digest = np.ascontiguousarray(e["digest"]).view("<i8").reshape(-1)
+    return pa.table({"gram": np.ascontiguousarray(e["gram"]).view(np.int64), "class": np.ascontiguousarray(e["class"]), "size": e["size"].astype(np.int64), "pos": e["pos"].astype(np.int64), "digest": digest})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in ("digest_a", "digest_b"))
-            need = -(-percent * (x.sum(axis=1) + y.sum(axis=1)) // (100 + percent))
-            mask = pa.array(np.minimum(x, y).sum(axis=1) >= need)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
-    return run
+# whole sets
 
 
 def _verifier(percent: int):
@@ -290,21 +366,18 @@ def _resolver(percent: int):
         lists, of = np.unique(entries.column("gram").to_numpy(), return_inverse=True)
         comp = np.zeros(len(ids), np.int64)
         comp[at] = entries.column("comp").to_numpy()
-        grams = [known.get(c) for c in ids.tolist()]
-        have = np.array([g is not None for g in grams], bool)
-        digest = np.array([np.frombuffer(_digest(g), "<u4") if g is not None else np.zeros(RANGES, np.uint32) for g in grams]).astype(np.int64).reshape(len(ids), RANGES)
+        grams = [known[c] for c in ids.tolist()]
+        digest = np.array([_digest(g) for g in grams]).reshape(len(ids), RANGES)
         size = digest.sum(axis=1)
         by_list = np.argsort(of, kind="stable")
         members = np.split(at[by_list], np.cumsum(np.bincount(of, minlength=len(lists)))[:-1])
         by_class = np.split(of[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at, minlength=len(ids)))[:-1])
         for x in range(len(ids)):
-            if not have[x]:
-                continue
             near = np.zeros(len(ids), bool)
             for g in by_class[x].tolist():
                 near[members[g]] = True
             near[: x + 1] = False
-            y = np.flatnonzero(near & have & (comp != comp[x]))
+            y = np.flatnonzero(near & (comp != comp[x]))
             low, high = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
             y = y[100 * low >= percent * high]
             need = -(-percent * (size[y] + size[x]) // (100 + percent))
@@ -316,177 +389,185 @@ def _resolver(percent: int):
                 if int((both[1:] == both[:-1]).sum()) >= least:
                     found.append((int(ids[x]), int(ids[z])))
                     comp[comp == comp[z]] = comp[x]
+        give_back()
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
 
-def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which slots of a bitmap the classes fall into; or the union of bitmaps."""
-    bits = np.zeros(BITMAP // 8, np.uint8)
-    for b in batches:
-        if "class" in b.schema.names:
-            slot = b.column("class").to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BITMAP)
-            np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7))).astype(np.uint8))
-        else:
-            for x in b.column("bits"):
-                bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
-
-
 class _Join:
-    """The state of one join: class sets on the shared folder, and the pairs that have been verified."""
-
-    def __init__(self, docs: DataFrame, of_class: DataFrame, n: int, percent: int):
-        """docs: doc_id and text; of_class: class, rep (a doc_id) and digest."""
-        self.docs, self.of_class, self.n, self.percent = docs, of_class, n, percent
-        self.spark = docs.sparkSession
-
-    def entries(self, sketch) -> DataFrame:
-        """Lists of classes that may be linked: gram, class, size and position. One pair or part of a list comes once."""
-        buckets = 2 * max(1, shuffle_partitions(self.spark))
-        schema = "gram long, class long, size long, pos long"
-        packed = self.docs.select("text").mapInArrow(_prefixes(self.n, self.percent, sketch, buckets), "bucket long, blob binary")
-        shared = packed.groupBy("bucket").applyInArrow(_shared(self.percent, buckets), schema)
+    """Blocks of documents, and how their sets are compared."""
+
+    def __init__(self, blocks: DataFrame, n: int, percent: int):
+        self.blocks, self.n, self.percent = blocks, n, percent
+        self.spark = blocks.sparkSession
+
+    def entries(self, levels: DataFrame, copies: DataFrame, bits: int, n_bytes: int) -> DataFrame:
+        """Lists of classes that may be linked: gram, class, size, position and digest. One pair or part of a list comes once."""
+        buckets = max(1, -(-n_bytes // ENTRY_BUCKET))
+        back = levels.withColumn("places", F.lit(None).cast("array<int>")).unionByName(places_of(copies).withColumn("levels", F.lit(None).cast("binary")))
+        packed = self.blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_prefixes(self.n, self.percent, bits, buckets), "bucket long, blob binary")
+        shared = packed.groupBy("bucket").applyInArrow(_shared(self.percent, buckets), "gram long, class long, size long, pos long, digest long")
         return shared.dropDuplicates(["gram", "class"])
 
     def sets(self, classes: DataFrame) -> DataFrame:
-        """class and set of the classes (and perhaps of some others); a class may come more than once."""
+        """class and set of the (distinct) classes."""
         n = self.n
-        reps = written(classes.join(self.of_class.select("class", "rep"), "class"), "gram-wanted")
-        if reps.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS:
-            rows, shared = self.docs.join(F.broadcast(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), None
-        else:
-            parts = written(reps.select("class").mapInArrow(_bitmap, "bits binary"), "gram-bitmap")
-            left = parts.count()
-            while left > 1:
-                left = -(-left // 16)
-                parts = written(parts.repartition(left).mapInArrow(_bitmap, "bits binary"), "gram-bitmap")
-            shared = self.spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(parts.first()["bits"]), np.uint8))
-            rows = self.docs
+        wanted = places_of(classes.select(F.col("class").alias("row")))
+        few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()  # a partition gives a class once
-            for b in text_slices(batches, limit=GRAM_BYTES):
-                keys, grams = [], []
-                for g in _grams(b.column("text"), n):
-                    c = _class_key(g)
-                    slot = c % BITMAP if c >= 0 else (c + (1 << 64)) % BITMAP
-                    if c not in seen and (shared is None or shared.value[slot >> 3] >> (slot & 7) & 1):
-                        seen.add(c)
-                        keys.append(c)
-                        grams.append(g.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], names=["class", "grams"])
-
-        return rows.select("text").mapInArrow(run, "class long, grams binary")  # with few others that share a bit
+            for b in batches:
+                for block, rows, places in zip(b.column("block").to_pylist(), b.column("rows"), b.column("places"), strict=True):
+                    place = np.sort(places.values.to_numpy()).astype(np.int64)
+                    grams = [g.tobytes() for g in _grams(from_ipc(rows).column("text").take(pa.array(place)), n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(block * ROWS + place), pa.array(grams, pa.binary())], names=["class", "grams"])
+                    give_back()
+
+        return self.blocks.join(F.broadcast(wanted) if few else wanted, "block").select("block", "rows", "places").mapInArrow(run, "class long, grams binary")
 
     def passing(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs a < b of classes that pass the length and positional filters; pairs has sizes and positions of both."""
+        """Distinct pairs a < b of classes that pass the length, positional and (coarse) suffix filters; pairs has sizes, positions and digests of both."""
         p = self.percent
         low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
         rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))  # the shared gram and what follows it
         before = F.least("pos_a", "pos_b")  # at most so many shared ones stand before it
         need = F.ceil(F.lit(p) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + p))
-        ok = (F.lit(100) * low >= F.lit(p) * high) & (rest + before >= need)
+        at: list[Column] = [F.least(*(F.shiftright(F.col(f"digest_{side}"), 8 * k).bitwiseAND(F.lit(255)) for side in "ab")) for k in range(COARSE)]
+        full = F.array_contains(F.array(*at), F.lit(255).cast("long"))
+        ok = (F.lit(100) * low >= F.lit(p) * high) & (rest + before >= need) & (full | (sum(at, F.lit(0)) >= need))
         return pairs.filter(ok).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).filter("a < b").distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs of classes that reach the threshold."""
-        digests = self.of_class.select("class", "digest")
-        near = pairs.join(digests.select(F.col("class").alias("b"), F.col("digest").alias("digest_b")), "b").join(digests.select(F.col("class").alias("a"), F.col("digest").alias("digest_a")), "a")
-        near = written(near.select("a", "b", "digest_a", "digest_b").mapInArrow(_suffix_filter(self.percent), "a long, b long"), "gram-near")
-        sets = written(self.sets(near.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "gram-sets")
-        left = near.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("set_b")), "b")
+        sets = written(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "gram-sets")
+        left = pairs.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("set_b")), "b")
         both = left.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("set_a")), "a")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(self.percent), "a long, b long").distinct()
+        found = written(both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(self.percent), "a long, b long"), "gram-links")
+        discard(sets)
+        return found
+
 
+_OF_LIST = ("class", "size", "pos", "digest")
 
-def class_components(join: _Join, sketch) -> tuple[DataFrame, DataFrame]:
-    """class and component of the classes that have links, and all links found (class pairs)."""
-    entries, factor = written(join.entries(sketch), "gram-entries"), PAIRS_PER_ENTRY
+
+def _components(links: DataFrame) -> DataFrame:
+    return written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
+
+
+def class_components(join: _Join, entries: DataFrame) -> DataFrame:
+    """class and component (comp, one of its classes) of the classes that have links."""
+    factor = PAIRS_PER_ENTRY
     none = join.spark.createDataFrame([], "a long, b long")
     links, tried, comp = none, none, none.select(F.col("a").alias("class"), F.col("b").alias("comp"))
     while not entries.isEmpty():
         at = entries.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         # a list whose classes are one component is settled
-        of_comp = at.groupBy("gram", "comp").agg(F.min(F.struct("class", "size", "pos")).alias("m"), F.count(F.lit(1)).alias("c"))
+        of_comp = at.groupBy("gram", "comp").agg(F.min(F.struct(*_OF_LIST)).alias("m"), F.count(F.lit(1)).alias("c"))
         one = F.struct("comp", "m")
         lists = of_comp.groupBy("gram").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("lo.comp <> hi.comp")
         # lists that are still open: groups of classes tied by them, and the bounded groups at once
-        open_ = at if links is none else at.join(lists.select("gram"), "gram")
-        open_ = written(open_, "gram-open")
+        open_ = written(at.join(lists.select("gram"), "gram"), "gram-open")
         tied = components(open_.select(F.col("class").alias("a"), F.xxhash64("gram").alias("b"))).select(F.col("node").alias("class"), F.col("component").alias("grp"))
-        grouped = written(open_.join(tied, "class"), "gram-groups")
-        weight = grouped.select("grp", "class", "size").distinct().groupBy("grp").agg(F.sum("size").alias("grams"))
-        small = written(grouped.join(weight.filter(F.col("grams") <= GROUP_GRAMS).select("grp"), "grp"), "gram-small-groups")
-        of_group = small.select("grp", "class").distinct()
-        sets = written(join.sets(small.select("class").distinct()).join(of_group, "class").select("grp", "class", "grams"), "gram-group-sets")
-        found = written(small.groupBy("grp").cogroup(sets.groupBy("grp")).applyInArrow(_resolver(join.percent), "a long, b long"), "gram-links")
-        links = links.unionByName(found)
-        entries = written(grouped.join(weight.filter(F.col("grams") > GROUP_GRAMS).select("grp"), "grp", "left_semi").select("gram", "class", "size", "pos", "comp"), "gram-entries")
-        if entries.isEmpty():
-            comp = written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
-            break
-        at, entries = entries, entries.drop("comp")
-        lists = lists.join(entries.select("gram").distinct(), "gram", "left_semi")
+        grouped_ = written(open_.join(tied, "class"), "gram-groups")
+        weight = written(grouped_.select("grp", "class", "size").distinct().groupBy("grp").agg(F.sum("size").alias("grams")), "gram-weights")
+        small = grouped_.join(weight.filter(F.col("grams") <= GROUP_GRAMS).select("grp"), "grp")
+        of_group = written(small.select("grp", "class").distinct(), "gram-classes")
+        sets = join.sets(of_group.select("class")).join(of_group, "class").select("grp", "class", "grams")
+        found = small.select("grp", "gram", "class", "comp").groupBy("grp").cogroup(sets.groupBy("grp")).applyInArrow(_resolver(join.percent), "a long, b long")
+        links = links.unionByName(written(found, "gram-links"))
+        rest = written(grouped_.join(weight.filter(F.col("grams") > GROUP_GRAMS).select("grp"), "grp", "left_semi").select("gram", *_OF_LIST, "comp"), "gram-entries")
+        if rest.isEmpty():
+            discard(entries, open_, grouped_, weight, of_group, rest)
+            return _components(links)
+        at, lists = rest, written(lists.join(rest.select("gram").distinct(), "gram", "left_semi"), "gram-lists")
+        discard(entries, open_, grouped_, weight, of_group)
+        entries = rest.drop("comp")
         t = lists.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")).first()
-        if not t["entries"]:
-            comp = written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
-            break
         few = t["pairs"] <= factor * t["entries"]
         if few:
-            x = at.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("class", "size", "pos", "comp")))
-            y = at.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("class", "size", "pos", "comp")))
+            x = at.select("gram", *(F.col(c).alias(f"{c}_a") for c in (*_OF_LIST, "comp")))
+            y = at.select("gram", *(F.col(c).alias(f"{c}_b") for c in (*_OF_LIST, "comp")))
             pairs = x.join(y, "gram").filter("comp_a < comp_b")
         else:
-            ends = lists.select("gram", F.explode(F.array("lo", "hi")).alias("p")).select("gram", F.col("p.comp").alias("comp_a"), *(F.col(f"p.m.{c}").alias(f"{c}_a") for c in ("class", "size", "pos")))
-            pairs = at.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("class", "size", "pos", "comp"))).join(ends, "gram").filter("comp_a <> comp_b")
+            ends = lists.select("gram", F.explode(F.array("lo", "hi")).alias("p")).select("gram", F.col("p.comp").alias("comp_a"), *(F.col(f"p.m.{c}").alias(f"{c}_a") for c in _OF_LIST))
+            pairs = at.select("gram", *(F.col(c).alias(f"{c}_b") for c in (*_OF_LIST, "comp"))).join(ends, "gram").filter("comp_a <> comp_b")
         pairs = written(join.passing(pairs).join(tried, ["a", "b"], "left_anti"), "gram-pairs")
         tried = tried.unionByName(pairs)
-        links = links.unionByName(written(join.links(pairs), "gram-links"))
-        comp = written(components(links), "gram-components").select(F.col("node").alias("class"), F.col("component").alias("comp"))
+        links = links.unionByName(join.links(pairs))
+        comp = _components(links)
         if few:
             break
         # pivots have met all their lists' classes of other components: they leave
         gone = lists.select("gram", F.explode(F.array("lo.m.class", "hi.m.class")).alias("class"))
         entries = written(entries.join(gone, ["gram", "class"], "left_anti"), "gram-entries")
+        discard(rest, lists)
         factor *= 8  # lists of unlike classes gain little from pivots: their pairs are met directly the sooner
-    return comp, links
+    return comp
+
+
+def row_components(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """row (number), doc_id, n (size of the set) and component_id of every row of the blocks, and first: whether it is the component's first row."""
+    n_bytes = text_bytes(blocks)
+    bits, buckets = key_bits(n_bytes), max(1, -(-n_bytes // GRAM_BUCKET))
+    packed = blocks.select("block", "rows").mapInArrow(_block_grams(n, bits, buckets), "bucket long, block long, grams binary, docs binary")
+    counted = written(packed.groupBy("bucket").applyInArrow(_repeated(buckets), "block long, levels binary, docs binary"), "gram-counts")
+    docs = written(counted.filter("docs IS NOT NULL").select("block", "docs").mapInArrow(_doc_rows, _DOC_ROW), "gram-docs")
+    part = docs.filter("n > 0 AND doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "row"))
+    several = written(part.groupBy("h1", "h2").agg(F.min("row").alias("class"), first.alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "gram-several")
+    few = several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # a class's rows, for classes of several; another row's class is itself
+    copies = written(part.join(F.broadcast(several) if few else several, ["h1", "h2"]).select("row", "class", F.col("f.doc_id").alias("least"), F.col("f.row").alias("of")), "gram-copies")
+    join = _Join(blocks, n, percent)
+    levels = counted.filter("levels IS NOT NULL").select("block", "levels")
+    entries = written(join.entries(levels, copies.filter("row <> class").select("row"), bits, n_bytes), "gram-entries")
+    comp = class_components(join, entries)
+    own = F.struct("least", "of")
+    of_class = comp.join(copies.filter("row = class").select("class", "least", "of"), "class", "left").join(docs.select(F.col("row").alias("class"), F.col("doc_id").alias("d")), "class")
+    of_class = of_class.select("class", "comp", F.coalesce("least", "d").alias("least"), F.coalesce("of", "class").alias("of"))
+    least = of_class.groupBy("comp").agg(F.min(own).alias("m"))
+    of_class = written(of_class.select("class", "comp").join(least, "comp").select("class", "m"), "gram-component-ids")
+    discard(counted, several)
+    rows = docs.join(copies, "row", "left").withColumns({"class": F.coalesce("class", "row"), "alone": F.struct(F.coalesce("least", "doc_id").alias("least"), F.coalesce("of", "row").alias("of"))})
+    rows = rows.join(of_class, "class", "left").withColumn("m", F.coalesce("m", "alone"))
+    part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return rows.select("row", "doc_id", "n", F.when(part, F.col("m.least")).otherwise(F.col("doc_id")).alias("component_id"), (~part | (F.col("m.of") == F.col("row"))).alias("first"))
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    blocks = text_blocks(_texts(docs, key, text), "text", BLOCK_BYTES, "gram-blocks")
+    return row_components(blocks, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, one of each component: that with the least doc_id. Rows without a doc_id or words all stay."""
+    names = docs.columns
+    # the two columns the blocks need stand beside the rows' own, which may have any name
+    packed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    blocks = text_blocks(packed, "text", BLOCK_BYTES, "gram-blocks")
+    found = row_components(blocks, n, percent)
+    gone = written(found.filter("NOT first").select("row"), "gram-gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    places = places_of(gone)
+    own = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SKETCH, np.uint32)
-        for b in text_slices(batches, limit=GRAM_BYTES):
-            sizes, keys, digests = [], [], []
-            for g in _grams(b.column("text"), n):
-                np.add.at(count, (g & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-                sizes.append(len(g))
-                keys.append(_class_key(g))
-                digests.append(_digest(g))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pc.if_else(b.column("doc_id").is_valid(), pa.array(keys, pa.int64()), pa.scalar(None, pa.int64())), pa.array(digests, pa.binary()), pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n", "class", "digest", "sketch"])
-        if count.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(count.tobytes(), 1)], pa.binary())], names=["doc_id", "n", "class", "digest", "sketch"])
-
-    first = written(rows.mapInArrow(run, "doc_id long, n long, class long, digest binary, sketch binary"), "gram-classes")
-    docs_ = first.filter("n >= 0").select("doc_id", "n", "class")
-    classes = first.filter("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest"))
-    parts = first.filter("n < 0").select("sketch")
-    if parts.isEmpty():
-        return docs_.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    of_class = written(classes, "gram-reps")
-    sketch = spark.sparkContext.broadcast(_rarity(parts))
-    comp, _ = class_components(_Join(rows, of_class, n, percent), sketch)
-    rep = of_class.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    least = rep.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = written(rep.join(least, "comp").select("class", "component_id"), "gram-component-ids")
-    joined = docs_.join(of, "class", "left")
-    alone = F.col("n") == 0
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        for b in batches:
+            for rows, out in zip(b.column("rows"), b.column("places").to_pylist(), strict=True):
+                x = from_ipc(rows).select(own)
+                keep = np.ones(x.num_rows, bool)
+                keep[out or []] = False
+                yield x.filter(pa.array(keep))
+
+    kept = blocks.join(F.broadcast(places) if few else places, "block", "left").select("rows", "places")
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return kept.mapInArrow(run, schema).toDF(*names)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
