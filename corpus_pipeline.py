@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import bpe, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup
-from tributary.llm.common import table, written
+from tributary.llm.common import discard, scratch, table, written
 
 #: Near duplicates: five words and a similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 #: A passage of over 50 words has 101 bytes at least.
 PASSAGE_BYTES = 100
-#: Up to so many documents, 8 bytes each, are broadcast as a list of those that go.
-BROADCAST_DOCS = 20_000
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +29,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of near duplicates the document with the least doc_id stays; of equal rows, one."""
-    found = written(ngram_join.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "near-duplicates")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    few = gone.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    # repeated ids: equal texts under one id are one document
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Operator 6: of each group of near duplicates the row with the least doc_id stays."""
+    return ngram_join.first_of_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, "stage-" + name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):  # a stage's own tables go when its result is written
+            done = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), keep=True)
+        discard(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
