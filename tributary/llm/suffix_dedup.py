@@ -9,16 +9,19 @@ blocks of a few megabytes; what meets across blocks is far smaller than the text
    have equal anchors. Blocks send their distinct anchors' hashes to buckets, with the number of documents that have them.
 2. Buckets return to each block which of its anchors two documents or more have.
 3. Consecutive windows with one repeated anchor form a unit, a snippet of at most `length` + w - 1 bytes. Blocks send each
-   distinct unit once, with its least doc_id, to the bucket of its anchor. Anchors in more than `HOT` documents would make
-   buckets of any size; their windows travel alone, by their own hash, once a block.
+   distinct unit once, with its least doc_id, to the bucket of its anchor. Units of anchors that more than `HOT` documents
+   have are split into their windows, each with its bytes, which spread over the buckets by their own hash.
 4. A bucket sorts the suffixes of its units, finds the lengths of common prefixes of neighbours, and scans them with a
    stack into the tree of common-prefix intervals. Intervals of `length` bytes or more whose occurrences have different
    left neighbours (or stand at a unit's start) are the maximal repeats, each with all its occurrences. An occurrence
-   whose unit has a larger least doc_id than the group learns the group's for all its windows.
+   whose unit has a larger least doc_id than the group learns the group's for all its windows. Equal units are one leaf of
+   the tree, with all their occurrences; a unit whose anchor has no other is a tree of one leaf.
 5. Blocks get these doc_ids back and remove what a smaller doc_id has.
 
-Between the stages packed arrays travel, one row for a block and a bucket. Equality of strings is decided on bytes in the
-suffix array; equal units and equal texts are told by 64-bit hashes of unit and anchor, and by 128-bit hashes.
+Between the stages packed arrays travel, one row for a block and a bucket. Hashes only bring strings together: units are
+equal, and windows are repeated, if their bytes are. Equal whole texts are told by 128-bit BLAKE2 digests. Buckets are as
+many as the counted bytes of text need. Texts are worked through in pieces of `CHUNK` bytes and buckets' suffixes in
+batches of whole anchors, so that a long text takes little more memory than its own bytes.
 
 Defined cases: a null text is empty; a text shorter than `length` loses nothing; rows with the same doc_id take nothing
 from each other; a null doc_id counts as larger than all others; extra columns are kept; no rows give no rows.
@@ -33,33 +36,86 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, mix64, shuffle_partitions, table, text_slices, written
+from .blocks import expand, from_ipc, from_planes, grouped, planes, ranges, run_ends, run_starts, squeeze, stored, text_blocks, text_bytes
+from .common import give_back, mix64, table, written
 
 LENGTH = 50
 ANCHOR = 24
-#: Anchors in more documents than this are handled window by window.
+#: Units of anchors in more documents than this are split into windows.
 HOT = 1000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of text whose anchors a bucket gets on the average.
+BUCKET_BYTES = 8 << 20
+#: Bytes of a text that are worked on at a time, and suffixes that a bucket sorts at a time.
+CHUNK = 1 << 19
+SUFFIXES = 1 << 16
+#: Up to so many texts with copies, 24 bytes each, are broadcast.
+BROADCAST_COPIES = 200_000
 _LAST = np.iinfo(np.int64).max
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of them at least."""
-    if len(_powers.get("p", ())) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, b in (("p", _BASE), ("i", inverse)):
-            x = np.full(n, b, np.uint64)
-            x[:1] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["p"], _powers["i"]
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_BASE, n, 1 << 64))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[:1] = 1
+    return np.cumprod(x, dtype=np.uint64)
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the strings data[start:stop], in pieces of data."""
+    out = np.empty(len(start), np.uint64)
+    if not len(start):
+        return out
+    longest = int((stop - start).max())
+    powers, inverse = _powers(_BASE, min(len(data), CHUNK + longest)), _powers(pow(_BASE, -1, 1 << 64), CHUNK)
+    piece = start // CHUNK
+    order, lo, hi = grouped(piece)
+    for i, j in zip(lo, hi, strict=True):
+        at = order[i:j]
+        base = int(piece[at[0]]) * CHUNK
+        d = data[base : base + CHUNK + longest]
+        sums = np.zeros(len(d) + 1, np.uint64)
+        np.cumsum(_VALUES[d] * powers[: len(d)], out=sums[1:])
+        a = start[at] - base
+        out[at] = mix64((sums[stop[at] - base] - sums[a]) * inverse[a])
+    return out
+
+
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all strings of k bytes: those of 1, 2, 4 ... bytes are put together."""
+    x, width = _VALUES[data], 1
+    out, used = np.zeros(len(data) + 1, np.uint64), 0
+    while True:
+        if k & width:
+            m = len(data) - used - width + 1
+            out = out[:m] + _power(used) * x[used : used + m]
+            used += width
+        if 2 * width > k:
+            return mix64(out)
+        x = x[:-width] + _power(width) * x[width:]
+        width *= 2
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are equal."""
+    out = np.ones(len(a), bool)
+    if not len(a):
+        return out
+    width = int(size.max())
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)
+    step, place = max(1, CHUNK // width), np.arange(width)
+    for i in range(0, len(a), step):
+        s = slice(i, i + step)
+        out[s] = ~((rows[a[s]] != rows[b[s]]) & (place < size[s, None])).any(axis=1)
+    return out
 
 
 @dataclass
@@ -69,132 +125,54 @@ class Text:
     doc_ids: np.ndarray
     bounds: np.ndarray
     data: np.ndarray
-    sums: np.ndarray  # prefix sums of a polynomial hash
 
     @classmethod
-    def of(cls, doc_ids: pa.Array, text: pa.Array, hashed: bool = True) -> Text:
+    def of(cls, doc_ids: pa.Array, text: pa.Array) -> Text:
         raw = text.cast(pa.large_binary())
         off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if len(raw) else np.zeros(0, np.uint8)
-        sums = np.zeros(len(data) + 1 if hashed else 0, np.uint64)
-        if hashed:
-            terms = _VALUES[data]
-            terms *= _power(len(data))[0][: len(data)]
-            np.cumsum(terms, out=sums[1:])
-        return cls(doc_ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64), off - off[0], data, sums)
-
-    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hashes of the strings from start to stop."""
-        return mix64((self.sums[stop] - self.sums[start]) * _power(len(self.data))[1][start])
+        return cls(doc_ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64), off - off[0], data)
 
     def units(self, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows with one anchor: first window, number of windows, hash of the anchor (48 bits), document number."""
-        n, w = len(self.data), length - k + 1
+        n, w = len(self.data) - length + 1, length - k + 1
         none = np.zeros(0, np.int64)
-        if n < length:
+        if n < 1:
             return none, none, none.astype(np.uint64), none
-        h = self.sums[k:] - self.sums[:-k]
-        h *= _power(n)[1][: len(h)]
-        h = mix64(h)
-        order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        span = 1
-        while 2 * span <= w:  # least over windows of 1, 2, 4 ... places
-            np.minimum(order[:-span], order[span:], out=order[:-span])
-            order = order[: len(order) - span]
-            span *= 2
-        if w > span:
-            order = np.minimum(order[: len(order) - (w - span)], order[w - span :])
-        place = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        valid = np.ones(n, bool)
-        for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True):
-            valid[max(a, b - length + 1) : b] = False
-        valid = valid[: len(place)]
-        change = np.ones(len(place) + 1, bool)
-        change[1:-1] = (place[1:] != place[:-1]) | (valid[1:] != valid[:-1])
-        edge = np.flatnonzero(change)
-        first, stop = edge[:-1], edge[1:]
-        use = valid[first]
-        first, stop = first[use], stop[use]
-        doc = np.searchsorted(self.bounds, first, side="right") - 1
+        first, anchor, hashes = [], [], []
+        for a in range(0, n, CHUNK):
+            b = min(n, a + CHUNK)
+            h = gram_hashes(self.data[a : b + length - 1], k)
+            order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+            span = 1
+            while 2 * span <= w:  # least over windows of 1, 2, 4 ... places
+                order = np.minimum(order[:-span], order[span:])
+                span *= 2
+            if w > span:
+                order = np.minimum(order[: len(order) - (w - span)], order[w - span :])
+            at = run_starts(order)
+            place = (order[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            first.append(at + a)
+            anchor.append(place + a)
+            hashes.append(h[place])
+        first, anchor, hashes = np.concatenate(first), np.concatenate(anchor), np.concatenate(hashes)
+        at = run_starts(anchor)  # runs that go on in the next piece
+        first, hashes = first[at], hashes[at]
+        # documents cut the runs; windows that reach into the next document are none
+        begin, end = self.bounds[:-1], np.maximum(self.bounds[1:] - length + 1, self.bounds[:-1])
+        cut = np.unique(np.concatenate([first, begin, end]))
+        cut = cut[cut < n]
+        doc = np.searchsorted(self.bounds, cut, side="right") - 1
+        size = run_ends(cut, n) - cut
+        valid = cut < end[doc]
+        cut, size, doc = cut[valid], size[valid], doc[valid]
         # least hashes are small: mixed again, they spread evenly over the buckets
-        return first, stop - first, mix64(h[place[first]] * _BASE) >> np.uint64(16), doc
-
-
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-
-
-def _ends(first: np.ndarray, n: int) -> np.ndarray:
-    """Where the runs that begin at first end, n being the end of the last."""
-    return np.append(first[1:], n) if len(first) else first
-
-
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each size, one after another."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
-def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
-
-
-def _expand(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The records of a structured array field by field and byte by byte, squeezed: sorted fields become small."""
-    parts = [np.array([len(x)], "<i8").tobytes()]
-    for name in x.dtype.names:
-        field = np.ascontiguousarray(x[name])
-        parts.append(field.view(np.uint8).reshape(len(x), field.itemsize).T.tobytes())
-    return _squeeze(b"".join(parts))
-
-
-def _from_planes(data: bytes, dtype: np.dtype) -> np.ndarray:
-    raw = np.frombuffer(_expand(data), np.uint8)
-    n = int(raw[:8].view("<i8")[0])
-    out, at = np.empty(n, dtype), 8
-    for name in dtype.names:
-        kind = dtype[name]
-        out[name] = np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).reshape(-1)
-        at += n * kind.itemsize
-    return out
+        return cut, size, mix64(hashes[np.searchsorted(first, cut, side="right") - 1] * np.uint64(_BASE)) >> np.uint64(16), doc
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of 48-bit hashes, so that a bucket's sorted hashes share their leading bytes."""
-    return ((h * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64)
-
-
-def _split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(bucket, kind="stable")
-    first = _runs(bucket[order])
-    return order, first, _ends(first, len(order))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    part = TaskContext.get().partitionId()
-    for i, b in enumerate(text_slices(batches, text, BLOCK_BYTES)):
-        yield (part << 32) | i, b
-
-
-def _ipc(b: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
-def _from_ipc(data: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(data).read_next_batch()
-
-
-def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    for b in batches:
-        for block, rows in zip(b.column("block").to_pylist(), b.column("rows"), strict=True):
-            yield block, _from_ipc(rows.as_py())
+    return (((h >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 # 0: copies
@@ -202,13 +180,13 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 _COPY_ROW = "block long, place int, doc_id long, h1 long, h2 long"
 
 
-def _text_hashes(key: str, text: str, length: int):
+def _text_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, b in _stored(batches):
-            raw = b.column(text).cast(pa.large_binary())
+        for block, b in stored(batches):
+            raw = b.column(TEXT).cast(pa.large_binary())
             long_ = np.flatnonzero(pc.binary_length(raw).to_numpy(zero_copy_only=False) >= length)
             h = np.frombuffer(b"".join(hashlib.blake2b(raw[int(i)].as_buffer(), digest_size=16).digest() for i in long_), np.int64).reshape(-1, 2)
-            ids = b.column(key).fill_null(_LAST).take(pa.array(long_))
+            ids = b.column(KEY).fill_null(_LAST).take(pa.array(long_))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(long_), block)), pa.array(long_.astype(np.int32)), ids, pa.array(h[:, 0]), pa.array(h[:, 1])], names=["block", "place", "doc_id", "h1", "h2"])
 
     return run
@@ -217,7 +195,9 @@ def _text_hashes(key: str, text: str, length: int):
 def _copies(hashes: DataFrame) -> DataFrame:
     """block and places: the documents of a block that are copies of one with a smaller doc_id."""
     least = hashes.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h1", "h2", "least")
-    found = hashes.join(least, ["h1", "h2"]).filter("doc_id > least")
+    least = written(least, "dedup-least")
+    few = least.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    found = hashes.join(F.broadcast(least) if few else least, ["h1", "h2"]).filter("doc_id > least")
     return found.groupBy("block").agg(F.collect_list("place").alias("places"))  # a block's documents at most
 
 
@@ -246,61 +226,72 @@ def _packed_anchors(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return x
 
 
-def _anchors(key: str, text: str, length: int, k: int, buckets: int):
+def _anchors(length: int, k: int, buckets: int):
     def run(group: pa.Table, copies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "anchors": pa.array([], pa.binary())})
-        b = _from_ipc(group.column("rows")[0].as_py())
-        t = Text.of(b.column(key), b.column(text))
+        b = from_ipc(group.column("rows")[0])
+        t = Text.of(b.column(KEY), b.column(TEXT))
         _, _, h, doc = _without(t, copies.column("places"), *t.units(length, k))
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         new_doc = np.ones(len(h), np.int64)
         new_doc[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        first = _runs(h)
+        first = run_starts(h)
         count = np.minimum(np.add.reduceat(new_doc, first), 255) if len(first) else first
         x = _packed_anchors(h[first], count)
         bucket = _bucket(h[first], buckets)  # ascending with the hashes
-        lo = _runs(bucket)
-        hi = _ends(lo, len(bucket))
+        lo = run_starts(bucket)
+        hi = run_ends(lo, len(bucket))
         block = group.column("block")[0].as_py()
         give_back()
-        return pa.table({"bucket": bucket[lo], "block": np.full(len(lo), block, np.int64), "anchors": pa.array([_planes(x[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
+        return pa.table({"bucket": bucket[lo], "block": np.full(len(lo), block, np.int64), "anchors": pa.array([planes(x[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
 
     return run
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
     """Of one bucket, for each block: its anchors that several documents have, and whether they are hot."""
-    blobs, blocks = [_from_planes(x.as_py(), _ANCHOR) for x in rows.column("anchors")], rows.column("block").to_numpy()
+    blobs, blocks = [from_planes(x.as_py(), _ANCHOR) for x in rows.column("anchors")], rows.column("block").to_numpy()
     x = np.concatenate(blobs)
     h, count = _hash(x), x["n"].astype(np.int64)
     owner = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
     order = np.argsort(h, kind="stable")
     h, count, owner = h[order], count[order], owner[order]
-    first = _runs(h)
+    first = run_starts(h)
     total = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(h)))) if len(h) else count
     keep = total > 1
     h, owner, hot = h[keep], owner[keep], total[keep] > HOT
-    order, lo, hi = _split(owner)
+    order, lo, hi = grouped(owner)
     packed = _packed_anchors(h[order], hot[order])
-    return pa.table({"block": blocks[owner[order[lo]]] if len(h) else np.zeros(0, np.int64), "anchors": pa.array([_planes(packed[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
+    return pa.table({"block": blocks[owner[order[lo]]] if len(h) else np.zeros(0, np.int64), "anchors": pa.array([planes(packed[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
 
 
 # 3: units of repeated anchors
 
+
+def distinct_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, content: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings by key, hash of their content and doc, and where in it a string's bytes are not those of the one before."""
+    order = np.lexsort((doc, size, content, key))
+    new = np.ones(len(order), bool)
+    a, b = order[:-1], order[1:]
+    maybe = np.flatnonzero((key[a] == key[b]) & (content[a] == content[b]) & (size[a] == size[b]))
+    new[1 + maybe] = ~same_bytes(data, start[a[maybe]], start[b[maybe]], size[a[maybe]])
+    return order, new
+
+
 _UNIT = np.dtype([("low", "<u4"), ("high", "<u2"), ("doc", "<i8"), ("id", "<u4"), ("size", "<u2")])
 _UNIT_ROW = "bucket long, block long, units binary, snippets binary"
 
 
-def _units_of(key: str, text: str, length: int, k: int, buckets: int):
+def _units_of(length: int, k: int, buckets: int):
     def run(group: pa.Table, found: pa.Table) -> pa.Table:
-        known = [_from_planes(x.as_py(), _ANCHOR) for x in found.column("anchors") if x.is_valid]
+        known = [from_planes(x.as_py(), _ANCHOR) for x in found.column("anchors") if x.is_valid]
         if not known or not group.num_rows:
             return pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "units": pa.array([], pa.binary()), "snippets": pa.array([], pa.binary())})
         block = group.column("block")[0].as_py()
-        b = _from_ipc(group.column("rows")[0].as_py())
-        t = Text.of(b.column(key), b.column(text))
+        b = from_ipc(group.column("rows")[0])
+        t = Text.of(b.column(KEY), b.column(TEXT))
         first, n, h, doc = _without(t, found.column("places"), *t.units(length, k))
         known = np.concatenate(known)
         known_h = _hash(known)
@@ -311,15 +302,14 @@ def _units_of(key: str, text: str, length: int, k: int, buckets: int):
         first, n, h, doc, hot = first[use], n[use], h[use], doc[use], hot[at[use]]
         # windows of hot anchors are units of one window, keyed by their own hash
         plain, alone = int((~hot).sum()), np.repeat(doc[hot], n[hot])
-        first = np.concatenate([first[~hot], _ranges(first[hot], n[hot])])
+        first = np.concatenate([first[~hot], ranges(first[hot], n[hot])])
         n = np.concatenate([n[~hot], np.ones(len(alone), np.int64)])
         doc = np.concatenate([doc[~hot], alone])
-        content = t.hashes(first, first + n + length - 1)
+        content = string_hashes(t.data, first, first + n + length - 1)
         h = np.concatenate([h[~hot], content[plain:] >> np.uint64(16)])
         ids = t.doc_ids[doc]
-        order = np.lexsort((ids, content, h))
-        same = (h[order][1:] == h[order][:-1]) & (content[order][1:] == content[order][:-1])
-        head = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
+        order, new = distinct_strings(t.data, first, n + length - 1, content, h, ids)
+        head = np.flatnonzero(new)
         unit = np.empty(len(order), np.int64)
         unit[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
         one = order[head]  # of each distinct unit the occurrence with the least doc_id, in the order of keys
@@ -330,11 +320,11 @@ def _units_of(key: str, text: str, length: int, k: int, buckets: int):
         key_of, least = h[one], ids[one]
         x = np.empty(len(one), _UNIT)
         x["low"], x["high"], x["doc"], x["id"], x["size"] = key_of & np.uint64(0xFFFFFFFF), key_of >> np.uint64(32), least, np.arange(len(one)), size
-        rows = [(buckets + block % buckets, _planes(own), _squeeze(least.astype("<i8").tobytes()))]
+        rows = [(buckets + block % buckets, planes(own), squeeze(least.astype("<i8").tobytes()))]
         bucket = _bucket(key_of, buckets)
-        lo = _runs(bucket)
-        for i, j in zip(lo, _ends(lo, len(bucket)), strict=True):
-            rows.append((int(bucket[i]), _planes(x[i:j]), _squeeze(t.data[_ranges(first[one[i:j]], size[i:j])].tobytes())))
+        lo = run_starts(bucket)
+        for i, j in zip(lo, run_ends(lo, len(bucket)), strict=True):
+            rows.append((int(bucket[i]), planes(x[i:j]), squeeze(t.data[ranges(first[one[i:j]], size[i:j])].tobytes())))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "units": pa.array([r[1] for r in rows], pa.binary()), "snippets": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
@@ -412,6 +402,24 @@ def maximal_repeats(shared: np.ndarray, left: np.ndarray, doc: np.ndarray, lengt
     return tuple(np.array(x, np.int64) for x in (size, first, last, least))
 
 
+def _learn(best: np.ndarray, base: np.ndarray, pick: np.ndarray, n_windows: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, least: np.ndarray, length: int) -> None:
+    """Sets for the windows of the picked snippets the least doc_id that has them. Every window begins a suffix."""
+    snippet = np.repeat(pick, n_windows[pick])
+    offset = ranges(np.zeros(len(pick), np.int64), n_windows[pick])
+    at = start[snippet] + offset
+    sa, shared = suffix_array(data, at, start[snippet] + size[snippet])
+    left = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1)
+    common, lo, hi, doc = maximal_repeats(shared, left[sa], least[snippet[sa]], length)
+    spread = hi - lo + 1
+    occurrence = sa[ranges(lo, spread)]
+    common, doc = np.repeat(common, spread), np.repeat(doc, spread)
+    learns = doc < least[snippet[occurrence]]
+    occurrence, common, doc = occurrence[learns], common[learns], doc[learns]
+    covered = common - length + 1
+    window = ranges(base[snippet[occurrence]] + offset[occurrence], covered)
+    np.minimum.at(best, window, np.repeat(doc, covered))
+
+
 def _resolved(length: int, buckets: int):
     def run(rows: pa.Table) -> pa.Table:
         """Of one bucket: for each block, windows of its units that a smaller doc_id has, with that doc_id. Blocks' own lists pass."""
@@ -419,52 +427,36 @@ def _resolved(length: int, buckets: int):
         if rows.column("bucket")[0].as_py() >= buckets:
             return pa.table({"block": rows.column("block"), "own": rows.column("units"), "least": rows.column("snippets"), "news": none})
         blocks = rows.column("block").to_numpy()
-        units = [_from_planes(x.as_py(), _UNIT) for x in rows.column("units")]
+        units = [from_planes(x.as_py(), _UNIT) for x in rows.column("units")]
         owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
         u = np.concatenate(units)
         unit_key = _hash(u)
-        data = np.frombuffer(b"".join(_expand(x.as_py()) for x in rows.column("snippets")), np.uint8)
+        data = np.frombuffer(b"".join(expand(x.as_py()) for x in rows.column("snippets")), np.uint8)
         size = u["size"].astype(np.int64)
         start = np.cumsum(size) - size
-        terms = _VALUES[data] * _power(len(data))[0][: len(data)]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        content = mix64((sums[start + size] - sums[start]) * _power(len(data))[1][start])
-        del terms, sums
-        order = np.lexsort((u["doc"], content, unit_key))
-        key, content = unit_key[order], content[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
+        order, new = distinct_strings(data, start, size, string_hashes(data, start, start + size), unit_key, u["doc"])
         text = np.empty(len(u), np.int64)  # the distinct snippet of each unit
         text[order] = np.cumsum(new) - 1
         one = order[new]
         least = u["doc"][one].astype(np.int64)
         of_key = unit_key[one]
-        first = _runs(of_key)
-        several = np.repeat(np.diff(np.append(first, len(of_key))) > 1, np.diff(np.append(first, len(of_key))))
+        first = run_starts(of_key)
         n_windows = size[one] - length + 1
         base = np.cumsum(n_windows) - n_windows
         best = np.repeat(least, n_windows)
+        # anchors with several snippets, some at a time: windows of different anchors differ
+        many = run_ends(first, len(one)) - first
+        several = np.repeat(many > 1, many)
+        suffixes = np.add.reduceat(np.where(several, n_windows, 0), first)
+        batch = np.repeat((np.cumsum(suffixes) - suffixes) // SUFFIXES, many)
         pick = np.flatnonzero(several)
-        if len(pick):
-            # every window of the snippets whose anchor has several snippets begins a suffix
-            snippet = np.repeat(pick, n_windows[pick])
-            offset = _ranges(np.zeros(len(pick), np.int64), n_windows[pick])
-            at = start[one[snippet]] + offset
-            sa, shared = suffix_array(data, at, start[one[snippet]] + size[one[snippet]])
-            left = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1)
-            common, lo, hi, doc = maximal_repeats(shared, left[sa], least[snippet[sa]], length)
-            spread = hi - lo + 1
-            occurrence = sa[_ranges(lo, spread)]
-            common, doc = np.repeat(common, spread), np.repeat(doc, spread)
-            learns = doc < least[snippet[occurrence]]
-            occurrence, common, doc = occurrence[learns], common[learns], doc[learns]
-            covered = common - length + 1
-            window = _ranges(base[snippet[occurrence]] + offset[occurrence], covered)
-            np.minimum.at(best, window, np.repeat(doc, covered))
+        for i, j in zip(*grouped(batch[pick])[1:], strict=True):
+            _learn(best, base, pick[i:j], n_windows, start[one], size[one], data, least, length)
         # back to the units: only doc_ids smaller than the block's own are news
         per_unit = n_windows[text]
-        value = best[_ranges(base[text], per_unit)]
+        value = best[ranges(base[text], per_unit)]
         unit = np.repeat(np.arange(len(u)), per_unit)
-        index = _ranges(np.zeros(len(u), np.int64), per_unit)
+        index = ranges(np.zeros(len(u), np.int64), per_unit)
         news = value < u["doc"][unit]
         value, unit, index = value[news], unit[news], index[news]
         begins = np.ones(len(value), bool)
@@ -473,8 +465,8 @@ def _resolved(length: int, buckets: int):
         count = np.diff(np.append(head, len(value)))
         found = np.empty(len(head), _NEWS)
         found["doc"], found["id"], found["first"], found["n"] = value[head], u["id"][unit[head]], index[head], count
-        order, lo, hi = _split(owner[unit[head]])
-        news = pa.array([_planes(found[order[i:j]]) for i, j in zip(lo, hi, strict=True)], pa.binary())
+        order, lo, hi = grouped(owner[unit[head]])
+        news = pa.array([planes(found[order[i:j]]) for i, j in zip(lo, hi, strict=True)], pa.binary())
         none = pa.nulls(len(news), pa.binary())
         give_back()
         return pa.table({"block": blocks[owner[unit[head]][order[lo]]] if len(head) else np.zeros(0, np.int64), "own": none, "least": none, "news": news})
@@ -494,32 +486,32 @@ def _removed(t: Text, own: bytes | None, least: bytes | None, news: list[bytes],
         depth[t.bounds[i]] += 1
         depth[t.bounds[i + 1]] -= 1
     if own is None:
-        return np.cumsum(depth[:-1]) > 0
-    runs = _from_planes(own, _RUN)
+        return np.cumsum(depth[:-1], dtype=np.int32) > 0
+    runs = from_planes(own, _RUN)
     first, n, unit = np.cumsum(runs["step"].astype(np.int64)), runs["n"].astype(np.int64), runs["unit"].astype(np.int64)
-    of_unit = np.frombuffer(_expand(least), "<i8")
+    of_unit = np.frombuffer(expand(least), "<i8")
     mine = t.doc_ids[np.searchsorted(t.bounds, first, side="right") - 1]
     whole = of_unit[unit] < mine  # a smaller doc_id of this block has the same unit
     np.add.at(depth, first[whole], 1)
     np.add.at(depth, first[whole] + n[whole] + length - 1, -1)
     if news:
-        x = np.concatenate([_from_planes(b, _NEWS) for b in news])
+        x = np.concatenate([from_planes(b, _NEWS) for b in news])
         x = x[np.argsort(x["id"], kind="stable")]
         head = np.searchsorted(x["id"], np.arange(len(of_unit)))
         size = np.searchsorted(x["id"], np.arange(len(of_unit)), side="right") - head
         run = np.repeat(np.arange(len(runs)), size[unit])
-        y = x[_ranges(head[unit], size[unit])]
+        y = x[ranges(head[unit], size[unit])]
         goes = y["doc"] < mine[run]
         start = first[run[goes]] + y["first"][goes]
         np.add.at(depth, start, 1)
         np.add.at(depth, start + y["n"][goes].astype(np.int64) + length - 1, -1)
-    return np.cumsum(depth[:-1]) > 0
+    return np.cumsum(depth[:-1], dtype=np.int32) > 0
 
 
-def _cut(key: str, text: str, length: int, names: list[str], with_text: bool):
+def _cut(length: int, names: list[str], text: int, with_text: bool):
     def run(group: pa.Table, found: pa.Table) -> pa.Table:
-        b = _from_ipc(group.column("rows")[0].as_py())
-        t = Text.of(b.column(key), b.column(text), hashed=False)
+        b = from_ipc(group.column("rows")[0])
+        t = Text.of(b.column(KEY), b.column(TEXT))
         own, least, news, copies = None, None, [], []
         for o, l, y, c in zip(*(found.column(x).to_pylist() for x in ("own", "least", "news", "places")), strict=True):
             if o is not None:
@@ -528,54 +520,57 @@ def _cut(key: str, text: str, length: int, names: list[str], with_text: bool):
                 news.append(y)
             copies += c or []
         goes = _removed(t, own, least, news, copies, length)
-        total = np.concatenate([[0], np.cumsum(goes)])
-        spans, kept, digest, removed = [], [], [], (total[t.bounds[1:]] - total[t.bounds[:-1]])
-        for i, (a, z) in enumerate(zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True)):
-            if not removed[i]:
+        spans, kept, digest, removed = [], [], [], []
+        for a, z in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True):
+            mask = goes[a:z]
+            removed.append(int(np.count_nonzero(mask)))
+            if not removed[-1]:
                 rest = t.data[a:z].tobytes()
                 spans.append([])
             else:
-                mask = goes[a:z]
                 rest = t.data[a:z][~mask].tobytes()
-                edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+                edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]).astype(np.int8))
                 spans.append([{"start": int(s), "stop": int(e)} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
             digest.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode("utf-8", "ignore") if with_text else "")
-        cut = pa.StructArray.from_arrays([pa.array(np.diff(t.bounds)), pa.array(removed.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(digest)], ["n_bytes", "n_removed", "spans", "kept_sha256"])
+        cut = pa.StructArray.from_arrays([pa.array(np.diff(t.bounds)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(digest, pa.string())], ["n_bytes", "n_removed", "spans", "kept_sha256"])
         give_back()
-        cols = [pa.array(kept, pa.string()) if c == text else b.column(c) for c in names]
-        return pa.table([*cols, cut], names=[*names, RESULT])
+        cols = [pa.array(kept, pa.string()) if i == text else b.column(c) for i, c in enumerate(names)]
+        return pa.table([*cols, cut], names=[*names, "cut"])
 
     return run
 
 
-#: The column that the result of `remove_repeats` adds to the rows.
+#: The column that the result of `remove_repeats` adds to the rows; underscores follow where they have one of that name.
 RESULT = "__dedup"
+#: Columns of a block: doc_id, text, and the rows' own as c0, c1 ...
+KEY, TEXT = "doc_id", "text"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """The rows with their texts cut (bytes of broken characters go too) and RESULT: n_bytes, n_removed, spans and kept_sha256 of the kept bytes."""
-    spark = docs.sparkSession
-    buckets = 4 * -(-length // 64) * max(1, shuffle_partitions(spark))  # longer units, more buckets
-    rows = docs.withColumns({key: F.col(key).cast("long"), text: F.col(text).cast("string")})
-
-    def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, b in _blocks(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_ipc(b)], pa.binary())], names=["block", "rows"])
-
+    names = docs.columns
+    own, at = [f"c{i}" for i in range(len(names))], names.index(text)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias(KEY), F.col(f"`{text}`").cast("string").alias(TEXT), *(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True) if c != text))
     # written: blocks are read in several stages and must be the same in each
-    blocks = written(rows.mapInArrow(block_rows, "block long, rows binary"), "dedup-blocks")
-    copies = written(_copies(written(blocks.mapInArrow(_text_hashes(key, text, length), _COPY_ROW), "dedup-hashes")), "dedup-copies")
-    found = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors(key, text, length, anchor, buckets), _ANCHOR_ROW)
+    blocks = text_blocks(rows, TEXT, BLOCK_BYTES, "dedup-blocks")
+    buckets = max(1, -(-text_bytes(blocks) // BUCKET_BYTES))
+    blocks = blocks.drop("n_bytes")
+    copies = written(_copies(written(blocks.mapInArrow(_text_hashes(length), _COPY_ROW), "dedup-hashes")), "dedup-copies")
+    found = blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_anchors(length, anchor, buckets), _ANCHOR_ROW)
     repeated = found.groupBy("bucket").applyInArrow(_repeated, "block long, anchors binary")
     known = repeated.withColumn("places", F.lit(None).cast("array<int>")).unionByName(copies.select("block", F.lit(None).cast("binary").alias("anchors"), "places"))
-    units = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_units_of(key, text, length, anchor, buckets), _UNIT_ROW)
+    units = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_units_of(length, anchor, buckets), _UNIT_ROW)
     back = units.groupBy("bucket").applyInArrow(_resolved(length, buckets), _BACK_ROW)
     binary = F.lit(None).cast("binary")
     back = back.withColumn("places", F.lit(None).cast("array<int>")).unionByName(copies.select("block", binary.alias("own"), binary.alias("least"), binary.alias("news"), "places"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    schema += f", {RESULT} struct<n_bytes: bigint, n_removed: bigint, spans: array<struct<start: bigint, stop: bigint>>, kept_sha256: string>"
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(key, text, length, rows.columns, with_text), schema)
+    schema = ", ".join(f"{o} {'string' if o == own[at] else f.dataType.simpleString()}" for o, f in zip(own, docs.schema.fields, strict=True))
+    schema += ", cut struct<n_bytes: bigint, n_removed: bigint, spans: array<struct<start: bigint, stop: bigint>>, kept_sha256: string>"
+    cut = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(length, own, at, with_text), schema)
+    result = RESULT
+    while result in names:
+        result += "_"
+    return cut.toDF(*names, result)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
