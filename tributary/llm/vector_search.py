@@ -1,15 +1,17 @@
 """Operator 4, exact top-k by MaxScore over vectors: dimensions are the terms, a query's components their weights.
 
-A component x counts as floor(1024 x); scores are integer inner products. Candidates lie in blocks. For a query and a
-block each term has a highest and a lowest contribution. Terms are ordered by that range; the non-essential ones are
-those whose ranges together cannot lift a row over the query's threshold (its k-th best score so far). Essential
-terms are summed for the whole block; the rows that are still competitive are probed in the other terms, a few at a
-time, while their bound reaches the threshold. Each task keeps thresholds across its blocks; the shards' best rows
-are merged at the end.
+A component x counts as floor(1024 x); scores are integer inner products. Candidates lie in blocks, term by term: a
+term's postings are its components of the block's rows. For a query and a block each term has a highest and a lowest
+contribution. Terms are ordered by that range; the non-essential ones are those whose ranges together cannot lift a row
+over the query's threshold (its k-th best score so far). Only the postings of essential terms are traversed; the rows
+that are still competitive are probed in the other terms, a few at a time, while their bound reaches the threshold.
+Each task keeps thresholds across its blocks; the shards' best rows are merged at the end. Bounds are floating-point with
+a margin for their rounding; the scores of rows that pass them all are computed in 64-bit integers.
 
 Defined cases: vectors null or with null or non-finite components take no part, nor do rows without an id; a shorter
 vector counts as zero in the dimensions that it lacks; rows with the query's own id are never its candidates;
-repeated candidate rows are each ranked; ties go to the smaller id; no queries or no rows give no rows.
+repeated candidate rows are each ranked; ties go to the smaller id; scores beyond 64 bits are not defined; no queries or
+no rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +27,15 @@ from .common import shuffle_partitions, table, written
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
+#: Blocks of candidates and of queries that a task gets at most, on the average.
+SHARD_BLOCKS, GROUP_BLOCKS = 16, 256
 PROBE_TERMS = 8
-_BLOCK = "part int, ids binary, vecs binary, dim int"
+_BLOCK = "part int, ids binary, vecs binary, dim int, width int"
 
 
 def _blocks(rows_in_block: int):
+    """Packs rows into blocks: ids, and components row by row in the fewest bytes that hold them all."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         vecs: list[np.ndarray] = []
@@ -43,7 +49,9 @@ def _blocks(rows_in_block: int):
             for v in vecs:
                 x[at : at + len(v), : v.shape[1]] = v
                 at += len(v)
-            out = pa.RecordBatch.from_arrays([pa.array([count], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["part", "ids", "vecs", "dim"])
+            most = max(-int(x.min()), int(x.max())) if x.size else 0
+            width = next(w for w in (2, 4, 8) if most < 1 << (8 * w - 1) or w == 8)
+            out = pa.RecordBatch.from_arrays([pa.array([count], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([x.astype(f"<i{width}").tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([width], pa.int32())], names=["part", "ids", "vecs", "dim", "width"])
             ids, vecs, held, count = [], [], 0, count + 1
             return out
 
@@ -78,61 +86,74 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return score[order], ids[order]
 
 
-def maxscore_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of up to k rows of the block x (float64 integers) that reach the threshold, by MaxScore."""
-    up, down = np.maximum(q * low, q * high), np.minimum(q * low, q * high)
-    if up.sum() < threshold:
-        return np.zeros(0), ids[:0]
+class Postings:
+    """A block of candidates, term by term."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray):
+        self.ids, self.vecs = ids, vecs
+        self.terms = np.ascontiguousarray(vecs.T).astype(np.float64)
+        self.low, self.high = (self.terms.min(1), self.terms.max(1)) if len(ids) else (np.zeros(vecs.shape[1]), np.zeros(vecs.shape[1]))
+
+
+def maxscore_block(q: np.ndarray, block: Postings, q_id: int | None, threshold: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of up to k rows of the block, other than q_id's, that reach the threshold (None: all do), by MaxScore."""
+    none, weight = np.zeros(0, np.int64), q.astype(np.float64)
+    up, down = np.maximum(weight * block.low, weight * block.high), np.minimum(weight * block.low, weight * block.high)
+    # what rounding can make of sums of products of this size
+    margin = (len(q) + 4) * 2.0**-50 * (np.maximum(np.abs(up), np.abs(down)).sum() + 1)
+    least = -np.inf if threshold is None else float(threshold) - margin - abs(float(threshold)) * 2.0**-52
+    if up.sum() < least:
+        return none, none
     order = np.argsort(down - up, kind="stable")  # the widest range first
     up, down = up[order], down[order]
     # non-essential: with every essential term at its lowest, these together can't lift a row to the threshold
     rest_range = np.concatenate([np.cumsum((up - down)[::-1])[::-1], [0.0]])
-    n_essential = max(1, int(np.searchsorted(-(down.sum() + rest_range), -threshold, side="right")))
-    n_essential = min(n_essential, len(order))
+    done = max(1, int(np.searchsorted(-(down.sum() + rest_range), -least, side="right")))
+    done = min(done, len(order))
     rest_up = np.concatenate([np.cumsum(up[::-1])[::-1], [0.0]])
-    at, terms = np.arange(len(x)), order[:n_essential]
-    score = x @ np.where(np.isin(np.arange(len(q)), terms), q, 0.0)
-    done = n_essential
-    while done < len(order):
-        alive = score + rest_up[done] >= threshold
-        at, score = at[alive], score[alive]
-        if not len(at):
-            break
+    terms = order[:done]
+    score = weight[terms] @ block.terms[terms]
+    at = np.flatnonzero((score + rest_up[done] >= least) & (block.ids != q_id))
+    score = score[at]
+    while done < len(order) and len(at):
         terms = order[done : done + PROBE_TERMS]
-        score = score + x[np.ix_(at, terms)] @ q[terms]
+        score = score + weight[terms] @ block.terms[np.ix_(terms, at)]
         done += len(terms)
-    alive = score >= threshold
-    return _best(score[alive], ids[at[alive]], k)
+        alive = score + rest_up[done] >= least
+        at, score = at[alive], score[alive]
+    exact = block.vecs[at].astype(np.int64) @ q
+    if threshold is not None:
+        at, exact = at[exact >= threshold], exact[exact >= threshold]
+    return _best(exact, block.ids[at], k)
+
+
+def _unpacked(blocks: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for ids, vecs, dim, width in zip(blocks.column("ids"), blocks.column("vecs"), blocks.column("dim").to_pylist(), blocks.column("width").to_pylist(), strict=True):
+        i = np.frombuffer(ids.as_buffer(), np.int64)
+        yield i, np.frombuffer(vecs.as_buffer(), f"<i{width}").reshape(len(i), dim)
 
 
 def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        thresholds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # per query: the task's best scores and ids
-        last: tuple[bytes, tuple] | None = None
-        for b in batches:
-            for row in b.to_pylist():
-                if last is None or last[0] != row["vecs"]:
-                    x = np.frombuffer(row["vecs"], np.int64).reshape(-1, row["dim"]).astype(np.float64)
-                    last = (row["vecs"], (x, np.frombuffer(row["ids"], np.int64), x.min(0), x.max(0)))
-                x, ids, low, high = last[1]
-                qs = np.frombuffer(row["q_vecs"], np.int64).reshape(-1, row["q_dim"]).astype(np.float64)
-                for q_id, q in zip(np.frombuffer(row["q_ids"], np.int64), qs, strict=True):
-                    q = np.pad(q, (0, max(0, x.shape[1] - len(q))))[: x.shape[1]]
-                    held = thresholds.get(int(q_id))
-                    threshold = held[0][k - 1] if held is not None and len(held[0]) == k else -np.inf
-                    # one more than k: the query's own row may be among them, and repeated rows with it
-                    own = ids == q_id
-                    if own.any():
-                        s, i = maxscore_block(q, x[~own], ids[~own], low, high, threshold, k)
-                    else:
-                        s, i = maxscore_block(q, x, ids, low, high, threshold, k)
-                    if len(s):
-                        if held is not None:
-                            s, i = np.concatenate([held[0], s]), np.concatenate([held[1], i])
-                        thresholds[int(q_id)] = _best(s, i, k)
-        if thresholds:
-            q_ids = np.repeat(np.fromiter(thresholds, np.int64), [len(v[0]) for v in thresholds.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.concatenate([v[1] for v in thresholds.values()])), pa.array(np.concatenate([v[0] for v in thresholds.values()]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        """The k best of a shard's candidates for each query of a group."""
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = list(_unpacked(queries))
+        for ids, vecs in _unpacked(candidates):
+            block = Postings(ids, vecs)
+            inside = set(ids.tolist())
+            for q_ids, q_vecs in held:
+                shared = min(q_vecs.shape[1], vecs.shape[1])
+                qs = np.zeros((len(q_ids), vecs.shape[1]), np.int64)
+                qs[:, :shared] = q_vecs[:, :shared]
+                for q_id, q in zip(q_ids.tolist(), qs, strict=True):
+                    s, i = best.get(q_id, (None, None))
+                    threshold = int(s[-1]) if s is not None and len(s) == k else None
+                    score, found = maxscore_block(q, block, q_id if q_id in inside else None, threshold, k)
+                    if len(score):
+                        best[q_id] = _best(np.concatenate([s, score]), np.concatenate([i, found]), k) if s is not None else (score, found)
+        q_ids = np.repeat(np.fromiter(best, np.int64, len(best)), [len(v[0]) for v in best.values()])
+        parts = list(zip(*best.values(), strict=True)) if best else [[np.zeros(0, np.int64)]] * 2
+        return pa.table({"query_id": q_ids, "vec_id": np.concatenate(parts[1]), "score": np.concatenate(parts[0])})
 
     return run
 
@@ -147,19 +168,21 @@ def quantised(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 def top_k(rows: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best candidates; queries are the rows where is_query holds.
 
-    Query blocks meet every candidate shard by an equality join on the shard number; nothing is broadcast, and a task
-    holds one pair of blocks and k rows for each query that it has met.
+    Every group of query blocks meets every shard of candidate blocks in a task of its own; both are of bounded size, and
+    a block crosses the network once for each group or shard of the other side. Nothing is broadcast.
     """
     spark = rows.sparkSession
-    shards = max(1, shuffle_partitions(spark))
     ints = quantised(rows, key, vector)
-    cand = ints.mapInArrow(_blocks(BLOCK_ROWS), _BLOCK).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    cand = written(cand, "vector-blocks")
-    used = cand.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard")
-    queries = ints.filter(is_query).coalesce(max(1, shards // 8)).mapInArrow(_blocks(QUERY_ROWS), _BLOCK).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("dim").alias("q_dim"))
-    numbers = F.array(*(F.lit(r["shard"]) for r in used.orderBy("shard").collect())) if not cand.isEmpty() else F.array().cast("array<int>")
-    pairs = queries.withColumn("shard", F.explode(numbers)).join(cand.hint("merge"), "shard")
-    best = pairs.select("ids", "vecs", "dim", "q_ids", "q_vecs", "q_dim").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    parts = max(1, shuffle_partitions(spark))
+    cand = written(ints.mapInArrow(_blocks(BLOCK_ROWS), _BLOCK), "vector-blocks")
+    queries = written(ints.filter(is_query).coalesce(max(1, parts // 8)).mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "vector-queries")
+    n_cand, n_query = cand.count(), queries.count()
+    shards, groups = max(1, -(-n_cand // SHARD_BLOCKS), min(n_cand, parts)), max(1, -(-n_query // GROUP_BLOCKS))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    q = queries.withColumn("grp", number(groups)).withColumn("shard", numbers(shards))
+    c = cand.withColumn("shard", number(shards)).withColumn("grp", numbers(groups))
+    best = q.groupBy("grp", "shard").cogroup(c.groupBy("grp", "shard")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
