@@ -80,6 +80,8 @@ class BpeVocabulary:
         #: No merge needs a symbol that a later merge makes, and none is made twice: then all places of a word's lowest pair merge in one round.
         self.ordered = bool((made[left] < at).all() and (made[right] < at).all() and len(np.unique(self.merged)) == len(pairs))
         self._special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: What only units have that are looked at more closely: nothing at all, a special token's first character, or an unusual space.
+        self._unusual = r"^$|[\x00\s\x0b\x{85}\pZ" + "".join(sorted({rf"\x{{{ord(t[0]):x}}}" for t in self.special})) + "]"
         tails = r"'s|'t|'re|'ve|'m|'ll|'d"
         if self.word_layout:
             self._token_re = regex.compile(rf"{_GAP}|{tails}|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}{_GAP}]+")
@@ -228,25 +230,36 @@ class BpeVocabulary:
         units, offsets = lists.flatten(), lists.offsets.to_numpy()
         row = np.repeat(np.arange(n), np.diff(offsets))
         code, distinct = coded(units)
-        of = lambda found: found.to_numpy(zero_copy_only=False)[code]  # noqa: E731  what holds of a unit, by its distinct text
-        special = pc.match_substring(distinct, _GAP)
+        # few units have what may be a special token or an unusual space
+        some = pc.match_substring_regex(distinct, self._unusual).to_numpy(zero_copy_only=False)
+        at, seen = np.flatnonzero(some), distinct.filter(pa.array(some))
+
+        def of(found: pa.Array) -> np.ndarray:
+            """What holds of a unit, by what holds of the distinct texts that were seen."""
+            flag = np.zeros(len(distinct), bool)
+            flag[at] = found.to_numpy(zero_copy_only=False)
+            return flag[code]
+
+        special = pc.match_substring(seen, _GAP)
         for t in self.special:
-            special = pc.or_(special, pc.match_substring(distinct, t))
+            special = pc.or_(special, pc.match_substring(seen, t))
         strange = of(special)
         if not self.word_layout:
             # a space before a word belongs to it; where white space meets other white space the text goes alone
             first, last = np.zeros(len(code), bool), np.zeros(len(code), bool)
             first[offsets[:-1][np.diff(offsets) > 0]] = True
             last[offsets[1:][np.diff(offsets) > 0] - 1] = True
-            strange |= of(pc.equal(pc.binary_length(distinct), 0)) & ~first & ~last
-            strange |= of(pc.match_substring_regex(distinct, r"^[\s\x0b\x{85}\pZ]")) & ~first
-            strange |= of(pc.match_substring_regex(distinct, r"[\s\x0b\x{85}\pZ]$")) & ~last
+            strange |= of(pc.equal(pc.binary_length(seen), 0)) & ~first & ~last
+            strange |= of(pc.match_substring_regex(seen, r"^[\s\x0b\x{85}\pZ]")) & ~first
+            strange |= of(pc.match_substring_regex(seen, r"[\s\x0b\x{85}\pZ]$")) & ~last
         odd = np.bincount(row[strange], minlength=n) > 0
         if not self.word_layout:  # a unit has its space before it, but for a text's first
             code = 2 * code
             code[1:] += row[1:] == row[:-1]
         use = ~odd[row]
-        present = np.unique(code[use])
+        there = np.zeros(2 * len(distinct) + 2, bool)
+        there[code[use]] = True
+        present = np.flatnonzero(there)
         if self.word_layout:
             wanted = distinct.take(pa.array(present))
         else:

@@ -1,14 +1,16 @@
 """Operator 10, token-id files by Re-Pair grammar compression (Larsson and Moffat, 1999).
 
-Documents are encoded, each with its end id, and laid out in ascending order of doc_id. A shard holds whole documents
-of about `shard_ids` ids. Its frequent id pairs are replaced by nonterminals, again and again, until no pair occurs
-`min_count` times or a round gains less than `min_gain`; a round replaces all frequent pairs whose places do not overlap. A shard is one binary block:
+Documents are encoded, each with its end id, and laid out in ascending order of doc_id. A shard holds whole documents of
+`shard_ids` ids at most, or one longer document. Its frequent id pairs are replaced by nonterminals, again and again,
+until no pair occurs `min_count` times without overlap; a round replaces all frequent pairs whose places do not overlap.
+A shard is one binary block:
 
-    header   8 x little-endian uint32: magic "RPG1", documents, first nonterminal, rules, symbols, bits of a symbol, 0, 0
+    header   8 x little-endian uint32: magic "RPG2", documents, first nonterminal, rules, symbols, bits of a symbol,
+             bits of a length, documents without an id (they come first)
     doc ids  int64 for each document
     bounds   uint32 for each document and one more: where its ids begin in the shard
-    rules    two uint32 for each rule
-    lengths  uint32 for each rule: how many ids it expands to
+    rules    two symbols for each rule
+    lengths  for each rule how many ids it expands to, in 16 or 32 bits
     body     the symbols, in 16 or 32 bits each
 
 With the expansion lengths a reader finds the symbols that cover any id range by a prefix sum and expands only those.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _gather, _within, vocabulary, vocabulary_path
-from .common import shuffle_partitions, table, text_slices, written
+from .blocks import ranges
+from .bpe import vocabulary, vocabulary_path
+from .common import give_back, shuffle_partitions, table, text_slices, written
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 END_ID = 2
 SHARD_IDS = 1 << 17
-MIN_COUNT = 8
-#: Re-Pair ends when a round would shorten the sequence by less than this share.
-MIN_GAIN = 1 / 50
+MIN_COUNT = 4
+#: Bytes of text that are encoded at once for shards.
+SLICE_BYTES = 8 << 20
 #: Slots of the table that counts pairs before they are sorted, and the multiplier of its hash.
-_SLOTS = 1 << 19
+_SLOTS = 1 << 17
 _ODD = 0x1E3779B97F4A7C15
-_NULL_ID = np.iinfo(np.int64).min
 
 
 def _places(weight: np.ndarray) -> np.ndarray:
@@ -67,7 +70,7 @@ def _places(weight: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(chosen)) if chosen else place
 
 
-def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, rules (pairs), expansion lengths and the first nonterminal of a sequence of ids."""
     seq = ids.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
@@ -105,7 +108,7 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
         found = by_priority[weight[at]]
         useful = np.bincount(found, minlength=len(keys)) >= min_count
         at, found = at[useful[found]], found[useful[found]]
-        if len(at) < max(1, min_gain * len(seq)):
+        if not len(at):
             break
         pairs = np.stack([keys[useful] >> 32, keys[useful] & 0xFFFFFFFF], axis=1)
         size = np.where(pairs >= base, lengths[np.maximum(pairs - base, 0)] if len(lengths) else 1, 1)
@@ -143,56 +146,81 @@ def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.nd
             flat[place[plain]] = s[plain]
             deep = np.flatnonzero(~plain)
             n = lengths[s[deep] - base]
-            flat[np.repeat(place[deep], n) + _within(n)] = flat[np.repeat(start[s[deep] - base], n) + _within(n)]
+            flat[ranges(place[deep], n)] = flat[ranges(start[s[deep] - base], n)]
             place = place + np.where(plain, 1, lengths[np.maximum(s - base, 0)] if len(lengths) else 1)
         depth[step] = 1
         done = stop
     return flat, start
 
 
-def to_block(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray, min_count: int = MIN_COUNT) -> bytes:
+def _width(most: int) -> int:
+    return 16 if most < 1 << 16 else 32
+
+
+def to_block(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray, min_count: int = MIN_COUNT, nulls: int = 0) -> bytes:
     seq, rules, lengths, base = compress(ids, min_count)
-    bits = 16 if base + len(rules) <= 1 << 16 else 32
-    head = struct.pack("<4s7I", MAGIC, len(doc_ids), base, len(rules), len(seq), bits, 0, 0)
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), bounds.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype(f"<u{bits // 8}").tobytes()])
+    bits, of_length = _width(base + len(rules) - 1), _width(int(lengths.max()) if len(lengths) else 0)
+    head = struct.pack("<4s7I", MAGIC, len(doc_ids), base, len(rules), len(seq), bits, of_length, nulls)
+    symbol = f"<u{bits // 8}"
+    return b"".join([head, doc_ids.astype("<i8").tobytes(), bounds.astype("<u4").tobytes(), rules.astype(symbol).tobytes(), lengths.astype(f"<u{of_length // 8}").tobytes(), seq.astype(symbol).tobytes()])
 
 
 class Block:
     """A shard's documents; any range of ids can be read without expanding the rest."""
 
     def __init__(self, data: bytes):
-        magic, n, self.base, n_rules, n_seq, bits, _, _ = struct.unpack_from("<4s7I", data)
+        magic, n, self.base, n_rules, n_seq, bits, of_length, self.nulls = struct.unpack_from("<4s7I", data)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
-        at = 32
+        symbol, at = f"<u{bits // 8}", 32
         self.doc_ids = np.frombuffer(data, "<i8", n, at)
         at += 8 * n
         self.bounds = np.frombuffer(data, "<u4", n + 1, at).astype(np.int64)
         at += 4 * (n + 1)
-        self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at).astype(np.int64).reshape(-1, 2)
-        at += 8 * n_rules
-        self.lengths = np.frombuffer(data, "<u4", n_rules, at).astype(np.int64)
-        self.seq = np.frombuffer(data, f"<u{bits // 8}", n_seq, at + 4 * n_rules).astype(np.int64)
-        self._flat, self._start = expansions(self.rules, self.lengths, self.base)
-        size = np.ones(n_seq, np.int64)
-        deep = self.seq >= self.base
-        size[deep] = self.lengths[self.seq[deep] - self.base]
-        self._ends = np.cumsum(size)
+        self.rules = np.frombuffer(data, symbol, 2 * n_rules, at).astype(np.int64).reshape(-1, 2)
+        at += bits // 4 * n_rules
+        self.lengths = np.frombuffer(data, f"<u{of_length // 8}", n_rules, at).astype(np.int64)
+        self.seq = np.frombuffer(data, symbol, n_seq, at + of_length // 8 * n_rules)
+        self._ends = np.cumsum(self._size(self.seq))
+
+    def _size(self, seq: np.ndarray) -> np.ndarray:
+        size = np.ones(len(seq), np.int64)
+        deep = seq >= self.base
+        size[deep] = self.lengths[seq[deep].astype(np.int64) - self.base]
+        return size
+
+    @cached_property
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        flat, start = expansions(self.rules, self.lengths, self.base)
+        return flat.astype(np.uint32), start
+
+    def _few(self, seq: np.ndarray) -> np.ndarray:
+        """The ids of some symbols: nonterminals give way to their pairs until none is left."""
+        seq = seq.astype(np.int64)
+        while (deep := seq >= self.base).any():
+            out = np.repeat(seq, 1 + deep)
+            at = (np.cumsum(1 + deep) - (1 + deep))[deep]
+            out[at], out[at + 1] = self.rules[seq[deep] - self.base].T
+            seq = out
+        return seq
+
+    def _many(self, seq: np.ndarray) -> np.ndarray:
+        """The ids of many symbols, from the expansions of all rules."""
+        flat, start = self._expansions
+        deep = seq >= self.base
+        rule = np.where(deep, seq, self.base).astype(np.int64) - self.base
+        counts = self._size(seq)
+        # plain ids stand behind the expansions, so that one gather reads both
+        values = np.concatenate([flat, seq.astype(np.uint32)])
+        place = np.where(deep, start[rule] if len(self.rules) else 0, len(flat) + np.arange(len(seq)))
+        return values[ranges(place, counts)]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from start to stop (not included) of the shard."""
         if stop <= start:
             return np.zeros(0, np.int64)
         a, b = int(np.searchsorted(self._ends, start, side="right")), int(np.searchsorted(self._ends, stop - 1, side="right")) + 1
-        seq = self.seq[a:b]
-        deep = seq >= self.base
-        rule = np.maximum(seq - self.base, 0)
-        counts = np.where(deep, self.lengths[rule] if len(self.lengths) else 1, 1)
-        # plain ids stand behind the expansions, so that one gather reads both
-        values = np.concatenate([self._flat, seq])
-        place = np.where(deep, self._start[rule] if len(self.rules) else 0, len(self._flat) + np.arange(len(seq)))
-        shift = place - (np.cumsum(counts) - counts)
-        out = values[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
+        out = (self._few if 8 * (b - a) < len(self.seq) else self._many)(self.seq[a:b])
         before = int(self._ends[a - 1]) if a else 0
         return out[start - before : stop - before]
 
@@ -200,44 +228,77 @@ class Block:
         return self.ids(int(self.bounds[i]), int(self.bounds[i + 1]))
 
 
+def _shards(size: np.ndarray, most: int, end: bool) -> tuple[list[tuple[int, int]], int]:
+    """Ranges of whole documents with `most` ids together at most, or one longer document; and how many documents they take of all but, unless it is the end, the last range."""
+    total = np.cumsum(size)
+    found, at = [], 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        if stop == len(size) and not end:
+            break
+        found.append((at, stop))
+        at = stop
+    return found, at
+
+
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, min_count: int = MIN_COUNT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes, compresses and writes; the table of blocks in the order of doc_id: part, shard, before (ids of the part's earlier shards), n_ids and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, shard = vocabulary(path), TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        count = 0
-
-        before = 0  # ids of the partition's earlier shards
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, count, shard, before
-            ids = np.concatenate([x[2] for x in held])
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in held]))])
-            block = to_block(np.concatenate([x[0] for x in held]), bounds, ids, min_count)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block], pa.binary())], names=["part", "shard", "before", "n_ids", "block"])
-            held, count, shard, before = [], 0, shard + 1, before + len(ids)
-            return out
-
-        for b in text_slices(batches, limit=SHARD_BYTES):
-            ids, off = bpe.encode(b.column("text"))
-            n = np.diff(off)
-            with_end = np.insert(ids, off[1:], end_id)
-            held.append((b.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False), n + 1, with_end))
-            count += len(with_end)
-            if count >= shard_ids:
-                yield flush()
-        if held:
-            yield flush()
+        bpe, part, shard, before = vocabulary(path), TaskContext.get().partitionId(), 0, 0
+        doc_ids, known, size, ids = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+        def made(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal doc_ids, known, size, ids, shard, before
+            found, done = _shards(size, shard_ids, end)
+            at = np.concatenate([[0], np.cumsum(size)])
+            for a, b in found:
+                block = to_block(doc_ids[a:b], at[a : b + 1] - at[a], ids[at[a] : at[b]], min_count, int((~known[a:b]).sum()))
+                n = int(at[b] - at[a])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before]), pa.array([n]), pa.array([block], pa.binary())], names=["part", "shard", "before", "n_ids", "block"])
+                shard, before = shard + 1, before + n
+            doc_ids, known, size, ids = doc_ids[done:], known[done:], size[done:], ids[at[done] :].copy()
+            give_back()
+
+        for b in text_slices(batches, limit=SLICE_BYTES):
+            new, off = bpe.encode(b.column("text"))
+            ids = np.concatenate([ids, np.insert(new, off[1:], end_id)])
+            size = np.concatenate([size, np.diff(off) + 1])
+            doc_ids = np.concatenate([doc_ids, b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)])
+            known = np.concatenate([known, b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)])
+            yield from made(False)
+        yield from made(True)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(1, shuffle_partitions(docs.sparkSession))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id, or of none, may be many: they are told apart by their text
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(run, "part int, shard int, before long, n_ids long, block binary"), "token-shards")
 
 
-#: Bytes of text that are encoded at once for shards.
-SHARD_BYTES = 8 << 20
+def placed(shards: DataFrame) -> DataFrame:
+    """first (ids of all earlier shards), n_ids and block of every shard."""
+    # ids before a part: as many rows as there are partitions
+    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    before, rows = 0, []
+    for r in totals:
+        rows.append((r["part"], before))
+        before += r["n"]
+    parts = shards.sparkSession.createDataFrame(rows, "part int, part_start long")
+    return shards.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("before")).alias("first"), "n_ids", "block")
+
+
+def read_range(shards: DataFrame, start: int, stop: int) -> DataFrame:
+    """position and ids of the token ids from start to stop (not included) of all documents laid end to end: a row for each shard that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, n, data in zip(b.column("first").to_pylist(), b.column("n_ids").to_pylist(), b.column("block"), strict=True):
+                a, z = max(start - first, 0), min(stop - first, n)
+                yield pa.RecordBatch.from_arrays([pa.array([first + a]), pa.array([Block(data.as_py()).ids(a, z).tolist()], pa.list_(pa.int32()))], names=["position", "ids"])
+
+    return placed(shards).filter((F.col("first") < stop) & (F.col("first") + F.col("n_ids") > start)).mapInArrow(run, "position long, ids array<int>")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -246,21 +307,13 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data in zip(b.column("first").to_pylist(), b.column("block"), strict=True):
-                block = Block(data.as_py())
-                raw = block.ids(0, int(block.bounds[-1])).astype("<u4")
-                cut = block.bounds.tolist()
+                block = Block(data.as_buffer())
+                raw = memoryview(block.ids(0, int(block.bounds[-1])).astype("<u4")).cast("B")
+                cut = (4 * block.bounds).tolist()
                 crc = [zlib.crc32(raw[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.doc_ids == _NULL_ID), pa.array(first + block.bounds[:-1]), pa.array(np.diff(block.bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=np.arange(len(block.doc_ids)) < block.nulls), pa.array(first + block.bounds[:-1]), pa.array(np.diff(block.bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # ids before a part: as many rows as there are partitions
-    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
-    before, rows = 0, []
-    for r in totals:
-        rows.append((r["part"], before))
-        before += r["n"]
-    parts = shards.sparkSession.createDataFrame(rows, "part int, part_start long")
-    placed = shards.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("before")).alias("first"), "block")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed(shards).select("first", "block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
