@@ -170,6 +170,41 @@ def test_vectors(spark):
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
 
 
+def test_vectors_of_large_components_and_small_groups(spark, monkeypatch):
+    """Scores near 2**60 are exact integers; groups and shards of one block give the same rows."""
+    for name in ("BLOCK_ROWS", "QUERY_ROWS", "SHARD_BLOCKS", "GROUP_BLOCKS"):
+        monkeypatch.setattr(vector_search, name, {"BLOCK_ROWS": 16, "QUERY_ROWS": 2}.get(name, 1))
+    x = np.random.default_rng(2).normal(0, 2e5, (300, 8))
+    got = defaultdict(list)
+    for r in vector_search.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    v = np.floor(1024 * x).astype(np.int64)
+    for q in range(0, 300, 20):
+        assert got[q] == [(i, -s) for s, i in sorted((-int(sum(int(a) * int(b) for a, b in zip(v[q], v[i]))), i) for i in range(300) if i != q)[:10]]
+
+
+def test_maxscore_skips_terms():
+    """Only essential postings are traversed: a block whose bound is below the threshold is not, and few terms decide here."""
+    rng = np.random.default_rng(3)
+    q = np.array([1000, *[1] * 31])
+    vecs = np.concatenate([rng.integers(-100, 101, (500, 1)), rng.integers(-3, 4, (500, 31))], axis=1)
+    block = vector_search.Postings(np.arange(500), vecs)
+    read = []
+
+    class Seen(np.ndarray):
+        def __getitem__(self, at):
+            read.append(at[0].size if isinstance(at, tuple) else len(at))
+            return np.asarray(super().__getitem__(at))
+
+    block.terms = block.terms.view(Seen)
+    exact = vecs @ q
+    threshold = int(np.sort(exact)[-10])
+    score, ids = vector_search.maxscore_block(q, block, None, threshold, 10)
+    assert sorted(score.tolist()) == sorted(exact[exact >= threshold].tolist())[-10:] and read[0] == 1
+    read.clear()
+    assert not len(vector_search.maxscore_block(q, block, None, 10**9, 10)[0]) and not read
+
+
 # 5
 
 
@@ -193,9 +228,10 @@ def cut_by_hand(rows, length):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("length,anchor,hot", [(50, 24, 1000), (20, 8, 2)])
-def test_suffix_dedup(docs, rows, none, length, anchor, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("length,anchor,small", [(50, 24, {}), (20, 8, {"HOT": 2, "CHUNK": 300, "SUFFIXES": 40, "BUCKET_BYTES": 5000, "BLOCK_BYTES": 2000})])
+def test_suffix_dedup(docs, rows, none, length, anchor, small, monkeypatch):
+    for k, v in small.items():
+        monkeypatch.setattr(suffix_dedup, k, v)
     got = suffix_dedup.remove_repeats(docs.repartition(2), length, anchor)
     assert got.columns == [*docs.columns, suffix_dedup.RESULT]
     r = F.col(suffix_dedup.RESULT)
@@ -204,6 +240,29 @@ def test_suffix_dedup(docs, rows, none, length, anchor, hot, monkeypatch):
     assert suffix_dedup.remove_repeats(none, length, anchor).count() == 0
 
 
+def test_suffix_dedup_clash_and_hash_collisions(spark, docs, monkeypatch):
+    """A column with the result's name stays; strings that share a hash are told apart by their bytes."""
+    clash = docs.withColumn(suffix_dedup.RESULT, F.lit("mine"))
+    assert suffix_dedup.remove_repeats(clash).columns == [*clash.columns, suffix_dedup.RESULT + "_"]
+    data = np.frombuffer(b"abcdabceabcd", np.uint8)
+    start, size, same = np.array([0, 4, 8]), np.full(3, 4), np.zeros(3, np.uint64)
+    order, new = suffix_dedup.distinct_strings(data, start, size, same, same, np.array([2, 1, 0]))
+    assert order.tolist() == [2, 1, 0] and new.tolist() == [True, True, True]  # only neighbours of equal bytes are one
+
+
+def test_suffix_dedup_memory_of_a_long_text():
+    """Anchors of a text take a few bytes for each of its bytes, however long it is."""
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 20 << 20).astype(np.uint8).tobytes().decode()
+    t = suffix_dedup.Text.of(pa.array([1]), pa.array([text], pa.large_string()))
+    tracemalloc.start()
+    first, size, _, _ = t.units(50, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int(size.sum()) == len(text) - 49 and (first[1:] == first[:-1] + size[:-1]).all() and peak < 20 * len(text)
+
+
 def test_maximal_repeats():
     data = np.frombuffer(b"xabcabcabdyabcabq", np.uint8)
     start = np.arange(len(data))
@@ -346,6 +405,62 @@ def test_votes_of_labellers():
     assert good[0] > 0.9 and good[1] < 0.1 and good[2] < 0.1 and 0.8 < prior < 0.95
 
 
+def test_em_by_hand():
+    """pattern_posteriors against EM written out for single documents."""
+    v = quality_classifier
+    rng = np.random.default_rng(4)
+    docs_ = [tuple(rng.choice(3, 9, p=[0.6, 0.25, 0.15] if rng.random() < 0.7 else [0.4, 0.1, 0.5])) for _ in range(300)]
+    count = Counter(int(np.array(d) @ v._PLACES) for d in docs_)
+    patterns = np.array(sorted(count))
+    got, rates, prior = v.pattern_posteriors(patterns, np.array([count[p] for p in patterns.tolist()], float), rounds=7)
+    p = [0.05 if v.BAD in d else 0.95 for d in docs_]
+    for _ in range(7):
+        share = (sum(p) + 1) / (len(docs_) + 2)
+        rate = {}
+        for c in (0, 1):
+            w = [x if c else 1 - x for x in p]
+            for k in range(9):
+                for vote in range(3):
+                    rate[c, k, vote] = (sum(x for x, d in zip(w, docs_) if d[k] == vote) + 0.1) / (sum(w) + 0.3)
+                if c:
+                    rate[c, k, v.BAD] = min(rate[c, k, v.BAD], v.MAX_FALSE_BAD)
+        p = []
+        for d in docs_:
+            good, bad = share, 1 - share
+            for k, vote in enumerate(d):
+                if vote != v.ABSTAIN:
+                    good, bad = good * rate[1, k, vote], bad * rate[0, k, vote]
+            p.append(good / (good + bad))
+    by = dict(zip(patterns.tolist(), got))
+    assert np.allclose([by[int(np.array(d) @ v._PLACES)] for d in docs_], p) and np.isclose(prior, share)
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    copies = real.unionByName(real.filter("doc_id = 3").crossJoin(spark.range(100)).drop("id"))
+    a, b = copies.repartition(3), copies.repartition(11, "doc_id")
+    (w, p), (v, q) = (quality_classifier.train(x, sample_rows=40) for x in (a, b))
+    assert p == q and (w == v).all()
+    assert quality_classifier.train(real.limit(0))[1] == {} and (quality_classifier.train(real, sample_rows=0)[0] == 0).all()
+    m, n = (language_id.train(x, rows_per_language=20) for x in (a, b))
+    assert (m.weights == n.weights).all() and m.temperature == n.temperature
+
+
+def test_language_forward_pass(spark):
+    """Scores against the mean of the mean of n-gram weights, computed word by word."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = language_id.train(real, rows_per_language=20)
+    for t in [r.text for r in real.filter("text IS NOT NULL").limit(20).collect()]:
+        words = [w.lower() for w in WORDS.findall(t) if re.search(r"[^\W\d_]", w)]
+        total = np.zeros(len(m.languages))
+        for w in words:
+            b = b" " + w.encode() + b" "
+            hashes = [int(language_id.mix64(np.array([int.from_bytes(b[i : i + g], "big") + (g << 40)], np.uint64))[0]) % language_id.BUCKETS for g in language_id.GRAMS for i in range(len(b) - g + 1)]
+            total += m.weights[hashes].mean(axis=0)
+        want = total / max(1, len(words)) + m.bias
+        assert np.allclose(language_id._logits(m, pa.array([t], pa.large_string()))[0], want, atol=1e-4)
+
+
 def test_language(spark, docs, none):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(real.filter("doc_id % 2 = 0"))
@@ -373,6 +488,23 @@ def test_repair(docs, rows, none, monkeypatch):
     assert repair.read_shards(repair.write_shards(none, BYTE)).count() == 0
 
 
+def test_repair_files(spark):
+    """Shards of the stated size, smaller than 16-bit ids, and any range of the whole by its position."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(1).withColumn("doc_id", F.lit(-(2**63)).cast("long")))
+    most = 20_000
+    shards = repair.write_shards(real, BYTE, shard_ids=most)
+    longest = repair.read_shards(shards).agg(F.max("n_tokens"), F.min("doc_id")).first()
+    assert longest[1] == -(2**63)  # no mark for a missing id
+    s = shards.select("n_ids", F.length("block").alias("size")).collect()
+    assert all(r.n_ids <= max(most, longest[0]) for r in s) and len(s) <= 2 + 2 * sum(r.n_ids for r in s) // most + 8
+    assert sum(r["size"] for r in s) < 1.8 * sum(r.n_ids for r in s)  # plain ids take 2 bytes; small shards repeat little
+    texts = [r.text for r in real.orderBy("doc_id").collect()]
+    all_ids = np.concatenate([[*ids_of(BYTE, t), 2] for t in texts])
+    for a, b in ((0, 10), (most - 7, 3 * most + 5), (len(all_ids) - 3, len(all_ids))):
+        parts = repair.read_range(shards, a, b).orderBy("position").collect()
+        assert [i for r in parts for i in r.ids] == all_ids[a:b].tolist() and parts[0].position == a
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 5, 60_000])
 def test_repair_round_trip(symbols):
     rng = np.random.default_rng(symbols)

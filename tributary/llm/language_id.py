@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_words, coded, mix64, table, text_slices
@@ -29,10 +29,12 @@ from .common import ascii_words, coded, mix64, table, text_slices
 BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (1, 2, 3, 4)
-#: Rows of each language that the model is trained on: about this many, never more than twice.
+#: Distinct texts of each language that the model is trained on, at most: those with the least hashes.
 ROWS_PER_LANGUAGE = 1200
 EPOCHS = 4
 BATCH = 128
+#: n-grams of the training texts, 4 bytes each, that are kept from one epoch to the next.
+KEPT_GRAMS = 25_000_000
 #: Share of right calibration predictions that the rejection score lets pass.
 ACCEPT = 0.99
 UNKNOWN = "und"
@@ -125,19 +127,20 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7)
     w = rng.uniform(-1, 1, (DIM, len(languages))).astype(np.float32) / DIM
     b = np.zeros(len(languages))
     seen_e, seen_w = np.full(BUCKETS, 1e-6, np.float32), np.full(w.shape, 1e-6, np.float32)
-    bags = {}
-    for epoch in range(max(epochs, min(40, 40 * BATCH // max(1, len(used))))):
-        rng.shuffle(used) if epoch == 0 else None
-        for at in range(0, len(used), BATCH):
-            rows = used[at : at + BATCH]
-            if at not in bags or epoch == 0:
-                bag = _bag(pa.array([texts[i] for i in rows], pa.large_string()))
-                if len(used) <= 16 * BATCH:
-                    bags[at] = bag
-            else:
-                bag = bags[at]
-            row, word, grams, counts, n_words = bag
-            x = _by_text(_by_word(emb, grams, counts), row, word, n_words)
+    rng.shuffle(used)
+    parts = [used[at : at + BATCH] for at in range(0, len(used), BATCH)]
+    bags: dict[int, tuple[np.ndarray, ...]] = {}
+    kept = 0
+    for _ in range(max(epochs, min(40, 40 * BATCH // max(1, len(used))))):
+        for at, rows in enumerate(parts):
+            bag = bags.get(at)
+            if bag is None:  # hashed once, but for what would take too much memory
+                row, word, grams, counts, n_words = _bag(pa.array([texts[i] for i in rows], pa.large_string()))
+                bag = tuple(v.astype(np.int32) for v in (row, word, *np.unique(grams, return_inverse=True), counts, n_words))
+                if kept + len(grams) <= KEPT_GRAMS:
+                    bags[at], kept = bag, kept + len(grams)
+            row, word, hit, place, counts, n_words = bag
+            x = _by_text(_by_word(emb[hit], place, counts), row, word, n_words)
             error = _softmax(x @ w + b)
             error[np.arange(len(rows)), y[rows]] -= 1
             error /= len(rows)
@@ -145,7 +148,6 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7)
             if len(counts):
                 part = (g_x / np.maximum(n_words, 1)[:, None])[row]
                 g_word = np.stack([np.bincount(word, part[:, k], len(counts)) for k in range(DIM)], axis=1) / counts[:, None]
-                hit, place = np.unique(grams, return_inverse=True)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 g_e = np.stack([np.bincount(place, g_word[owner, k], len(hit)) for k in range(DIM)], axis=1)
                 seen_e[hit] += (g_e * g_e).sum(axis=1)
@@ -176,9 +178,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return None
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, -(-rows_per_language * (1 << 20) // n)))))
-    sample = rows.filter(place < share[F.col("lang")]).limit(2 * rows_per_language * len(counts))
+    # a hash of 62 bits; more than are used are taken, made distinct, and each language's least hashes used
+    h = F.shiftrightunsigned(F.xxhash64("text"), 2)
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max(1, min(1 << 62, 2 * rows_per_language * (1 << 62) // n)))))
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    sample = rows.withColumn("h", h).filter(F.col("h") <= share[F.col("lang")]).distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows_per_language).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = [], []
