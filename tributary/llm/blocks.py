@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import bounded_batches, text_slices, written
 
 #: Rows that a block has at most.
 ROWS = 1 << 16
@@ -32,6 +32,7 @@ def text_blocks(rows: DataFrame, text: str, size: int, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), pa.array([_ipc(b)], pa.binary())], names=["block", "n_bytes", "rows"])
             number += 1
 
+    bounded_batches(rows.sparkSession)
     return written(rows.mapInArrow(run, "block long, n_bytes long, rows binary"), name)
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import coded, table, text_slices
+from .common import bounded_batches, coded, table, text_slices
 
 #: White space as the tokenizers' regular expressions have it.
 _WS = r"\t-\r \x85\p{Z}"
@@ -326,6 +326,7 @@ def encode_rows(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
             ids, off = bpe.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.LargeListArray.from_arrays(pa.array(off), pa.array(ids)).cast(pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -353,6 +354,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
             of_text = [hashlib.sha256(bpe.decode_bytes(raw[i:j])).hexdigest() for i, j in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.storage import discard, scratch, shared_dir, written
 
-__all__ = ["ascii_words", "byte_hashes", "coded", "discard", "mix64", "scratch", "shared_dir", "shuffle_partitions", "table", "text_slices", "written"]
+__all__ = ["ascii_words", "bounded_batches", "byte_hashes", "coded", "discard", "mix64", "scratch", "shared_dir", "shuffle_partitions", "table", "text_slices", "unused", "written"]
 
 #: Bytes of text that a Python worker handles at a time; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
@@ -23,10 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it while a column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes and rows of a batch that goes from the JVM to Python. Whole texts make large rows: by the defaults (10,000 rows) a
+#: batch has tens of megabytes, whose buffers the JVM's native heap does not give back.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's limits for Arrow batches to at most BATCH_BYTES and BATCH_ROWS."""
+    conf = spark._jsparkSession.sessionState().conf()
+    for name, now, most in (("maxBytesPerBatch", conf.arrowMaxBytesPerBatch(), BATCH_BYTES), ("maxRecordsPerBatch", conf.arrowMaxRecordsPerBatch(), BATCH_ROWS)):
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
 @lru_cache(maxsize=1)
 def _trim():
     """glibc's malloc_trim, or a stand-in elsewhere."""
@@ -43,19 +63,36 @@ def give_back() -> None:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that the texts of each hold about `limit` bytes, in `rows` rows at most; null texts become empty."""
-    for batch in batches:
-        at = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = batch.set_column(at, pa.field(column, pa.large_string()), text)
-        size = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+    """Record batches put together and cut so that the texts of each hold about `limit` bytes, in `rows` rows at most; null texts become empty."""
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+        held.clear()
+        size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
             stop = min(start + rows, max(start + 1, int(np.searchsorted(size, base + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
+
+    held: list[pa.RecordBatch] = []
+    n_bytes = n_rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.schema.get_field_index(column)
+        text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
+        more = pc.sum(pc.binary_length(text)).as_py()
+        if held and (n_bytes + more > limit or n_rows + batch.num_rows > rows):
+            yield from cut(held)
+            n_bytes = n_rows = 0
+            give_back()
+        held.append(batch.set_column(at, pa.field(column, pa.large_string()), text))
+        n_bytes, n_rows = n_bytes + more, n_rows + batch.num_rows
         del batch, text
+    if held:
+        yield from cut(held)
         give_back()
 
 

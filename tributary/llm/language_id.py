@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, coded, mix64, table, text_slices
+from .common import ascii_words, bounded_batches, coded, mix64, table, text_slices
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -193,6 +193,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_
             order = sorted(range(len(texts)), key=lambda i: (langs[i], texts[i]))  # the same model however the rows arrive
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([texts[i] for i in order], [langs[i] for i in order]))], pa.binary())], names=["model"])
 
+    bounded_batches(labelled.sparkSession)
     found = sample.coalesce(1).mapInArrow(run, "model binary").first()
     return pickle.loads(found["model"]) if found else None
 
@@ -220,6 +221,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(f.name) for f in kept), pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(reject | ~known)], names=["doc_id", *(f.name for f in kept), "lang_pred", "score", "rejected"])
 
     schema = "doc_id long, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "lang_pred string, score double, rejected boolean"
+    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ENCODE_BYTES, encode_rows, vocabulary, vocabulary_path
-from .common import table, text_slices, written
+from .common import bounded_batches, table, text_slices, written
 
 CAPACITY = 4096
 END_ID = 2
@@ -162,6 +162,7 @@ def _pieces(path: str, end_id: int, capacity: int, tolerance: float, min_cut: in
 
 def pack(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, tolerance: float = TOLERANCE, min_cut: int = MIN_CUT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. Sequences are padded to the capacity."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cut_, level_0 = _pieces(path, end_id, capacity, tolerance, min_cut), _filler(0, capacity)
     found = written(rows.mapInArrow(lambda batches: level_0(cut_(batches)), _SCHEMA), "packing-0")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, coded, table, text_slices, written
+from .common import ascii_words, bounded_batches, coded, table, text_slices, unused, written
 
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, np.int64)
@@ -118,6 +118,7 @@ def measured(docs: DataFrame, key: str = "doc_id", host: str = "source", text: s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), *(pa.array(found[m], pa.int64()) for m in MEASURES)], names=["doc_id", "host", *MEASURES])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(measure, "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
@@ -179,6 +180,8 @@ def kept_rows(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", host
         failed = failed | c
     rows = written(measured(docs, key, host, text).withColumn("failed", failed).select("host", "failed"), "quality-failures")
     hosts = written(host_verdicts(rows, rules.max_host_rate), "quality-hosts").filter("host_rejected").select(F.col("host").alias("__host"))
+    of_host, measures = unused("__host", docs.columns), unused("__measures", docs.columns)
+    hosts = hosts.withColumnRenamed("__host", of_host)
 
     def measure(t: pa.Array) -> pa.Array:
         parts = []
@@ -187,12 +190,13 @@ def kept_rows(docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", host
             parts.append(pa.StructArray.from_arrays([pa.array(found[m], pa.int64()) for m in MEASURES], list(MEASURES)))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(m, pa.int64()) for m in MEASURES]))
 
+    bounded_batches(docs.sparkSession)
     of_text = F.arrow_udf(measure, ", ".join(f"{m} long" for m in MEASURES))
-    with_measures = docs.withColumn("__measures", of_text(F.col(text).cast("string")))
-    for name, c in broken_rules(rules, "__measures.").items():
+    with_measures = docs.withColumn(measures, of_text(F.col(text).cast("string")))
+    for name, c in broken_rules(rules, f"{measures}.").items():
         with_measures = with_measures.filter(~c)
     small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    kept = with_measures.join(F.broadcast(hosts) if small else hosts, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left_anti")
+    kept = with_measures.join(F.broadcast(hosts) if small else hosts, F.col(host).cast("string").eqNullSafe(F.col(of_host)), "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .blocks import ranges
 from .bpe import vocabulary, vocabulary_path
-from .common import give_back, shuffle_partitions, table, text_slices, written
+from .common import bounded_batches, give_back, shuffle_partitions, table, text_slices, written
 
 MAGIC = b"RPG2"
 END_ID = 2
@@ -269,6 +269,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
             yield from made(False)
         yield from made(True)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(1, shuffle_partitions(docs.sparkSession))
     # rows of one doc_id, or of none, may be many: they are told apart by their text

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import expand, from_ipc, from_planes, grouped, planes, ranges, run_ends, run_starts, squeeze, stored, text_blocks, text_bytes
-from .common import give_back, mix64, table, written
+from .common import give_back, mix64, table, unused, written
 
 LENGTH = 50
 ANCHOR = 24
@@ -567,10 +567,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     schema = ", ".join(f"{o} {'string' if o == own[at] else f.dataType.simpleString()}" for o, f in zip(own, docs.schema.fields, strict=True))
     schema += ", cut struct<n_bytes: bigint, n_removed: bigint, spans: array<struct<start: bigint, stop: bigint>>, kept_sha256: string>"
     cut = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(length, own, at, with_text), schema)
-    result = RESULT
-    while result in names:
-        result += "_"
-    return cut.toDF(*names, result)
+    return cut.toDF(*names, unused(RESULT, names))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

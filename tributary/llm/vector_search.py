@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, written
+from .common import bounded_batches, shuffle_partitions, table, written
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
@@ -172,6 +172,7 @@ def top_k(rows: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: s
     a block crosses the network once for each group or shard of the other side. Nothing is broadcast.
     """
     spark = rows.sparkSession
+    bounded_batches(spark)
     ints = quantised(rows, key, vector)
     parts = max(1, shuffle_partitions(spark))
     cand = written(ints.mapInArrow(_blocks(BLOCK_ROWS), _BLOCK), "vector-blocks")
