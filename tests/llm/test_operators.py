@@ -228,7 +228,7 @@ def cut_by_hand(rows, length):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("length,anchor,small", [(50, 24, {}), (20, 8, {"HOT": 2, "CHUNK": 300, "SUFFIXES": 40, "BUCKET_BYTES": 5000, "BLOCK_BYTES": 2000})])
+@pytest.mark.parametrize("length,anchor,small", [(50, 24, {}), (20, 8, {"HOT": 2, "CHUNK": 300, "SUFFIXES": 40, "WINDOWS": 60, "BUCKET_BYTES": 5000, "BLOCK_BYTES": 2000})])
 def test_suffix_dedup(docs, rows, none, length, anchor, small, monkeypatch):
     for k, v in small.items():
         monkeypatch.setattr(suffix_dedup, k, v)

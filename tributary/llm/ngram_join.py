@@ -44,7 +44,7 @@ GROUP_GRAMS = 2_000_000
 #: Pivot rounds go on while the pairs that remain outnumber the list entries by more than this factor; it grows eightfold a round.
 PAIRS_PER_ENTRY = 4
 #: Bytes of text of a block, and bytes of text whose n-grams, or prefix entries, a bucket gets on the average.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 GRAM_BUCKET, ENTRY_BUCKET = 6 << 20, 24 << 20
 #: Bits of a counted n-gram beyond those that number the corpus's n-grams; 64 in all at most.
 SPARE_BITS = 6
@@ -547,26 +547,28 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
 
 def first_of_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, one of each component: that with the least doc_id. Rows without a doc_id or words all stay."""
-    names = docs.columns
-    # the two columns the blocks need stand beside the rows' own, which may have any name
-    packed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    at = names.index(text)
+    # beside the two columns that the blocks need stand the rows' own, which may have any name; the text only once
+    rest = [F.col(f"`{c}`").alias(o) if i != at else F.col(f"`{c}`").isNull().alias(o) for i, (c, o) in enumerate(zip(names, own, strict=True))]
+    packed = docs.select(*rest, F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     blocks = text_blocks(packed, "text", BLOCK_BYTES, "gram-blocks")
     found = row_components(blocks, n, percent)
     gone = written(found.filter("NOT first").select("row"), "gram-gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     places = places_of(gone)
-    own = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, out in zip(b.column("rows"), b.column("places").to_pylist(), strict=True):
-                x = from_ipc(rows).select(own)
+                x = from_ipc(rows)
                 keep = np.ones(x.num_rows, bool)
                 keep[out or []] = False
-                yield x.filter(pa.array(keep))
+                texts = pc.if_else(x.column(own[at]), pa.scalar(None, pa.large_string()), x.column("text")).cast(pa.string())
+                yield x.select(own).set_column(at, own[at], texts).filter(pa.array(keep))
 
     kept = blocks.join(F.broadcast(places) if few else places, "block", "left").select("rows", "places")
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    schema = ", ".join(f"c{i} {'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     return kept.mapInArrow(run, schema).toDF(*names)
 
 

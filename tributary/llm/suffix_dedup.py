@@ -46,12 +46,12 @@ LENGTH = 50
 ANCHOR = 24
 #: Units of anchors in more documents than this are split into windows.
 HOT = 1000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of text whose anchors a bucket gets on the average.
 BUCKET_BYTES = 8 << 20
-#: Bytes of a text that are worked on at a time, and suffixes that a bucket sorts at a time.
+#: Bytes of a text that are worked on at a time; windows of a bucket's units, and suffixes that are sorted, at a time.
 CHUNK = 1 << 19
-SUFFIXES = 1 << 16
+WINDOWS, SUFFIXES = 1 << 18, 1 << 16
 #: Up to so many texts with copies, 24 bytes each, are broadcast.
 BROADCAST_COPIES = 200_000
 _LAST = np.iinfo(np.int64).max
@@ -420,6 +420,37 @@ def _learn(best: np.ndarray, base: np.ndarray, pick: np.ndarray, n_windows: np.n
     np.minimum.at(best, window, np.repeat(doc, covered))
 
 
+def _news(u: np.ndarray, unit_key: np.ndarray, order: np.ndarray, new: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the units of some anchors (in order; new where a snippet begins): units, and runs of their windows that a smaller doc_id has."""
+    text = np.cumsum(new) - 1  # the distinct snippet of each unit
+    one = order[new]
+    least = u["doc"][one].astype(np.int64)
+    n_windows = size[one] - length + 1
+    base = np.cumsum(n_windows) - n_windows
+    best = np.repeat(least, n_windows)
+    first = run_starts(unit_key[one])
+    many = run_ends(first, len(one)) - first
+    several = np.repeat(many > 1, many)
+    suffixes = np.add.reduceat(np.where(several, n_windows, 0), first)
+    batch = np.repeat((np.cumsum(suffixes) - suffixes) // SUFFIXES, many)
+    pick = np.flatnonzero(several)
+    for i, j in zip(*grouped(batch[pick])[1:], strict=True):
+        _learn(best, base, pick[i:j], n_windows, start[one], size[one], data, least, length)
+    # back to the units: only doc_ids smaller than the block's own are news
+    per_unit = n_windows[text]
+    value = best[ranges(base[text], per_unit)]
+    unit = np.repeat(order, per_unit)
+    index = ranges(np.zeros(len(order), np.int64), per_unit)
+    news = value < u["doc"][unit]
+    value, unit, index = value[news], unit[news], index[news]
+    begins = np.ones(len(value), bool)
+    begins[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1]) | (index[1:] != index[:-1] + 1)
+    head = np.flatnonzero(begins)
+    found = np.empty(len(head), _NEWS)
+    found["doc"], found["id"], found["first"], found["n"] = value[head], u["id"][unit[head]], index[head], np.diff(np.append(head, len(value)))
+    return unit[head], found
+
+
 def _resolved(length: int, buckets: int):
     def run(rows: pa.Table) -> pa.Table:
         """Of one bucket: for each block, windows of its units that a smaller doc_id has, with that doc_id. Blocks' own lists pass."""
@@ -435,41 +466,21 @@ def _resolved(length: int, buckets: int):
         size = u["size"].astype(np.int64)
         start = np.cumsum(size) - size
         order, new = distinct_strings(data, start, size, string_hashes(data, start, start + size), unit_key, u["doc"])
-        text = np.empty(len(u), np.int64)  # the distinct snippet of each unit
-        text[order] = np.cumsum(new) - 1
-        one = order[new]
-        least = u["doc"][one].astype(np.int64)
-        of_key = unit_key[one]
-        first = run_starts(of_key)
-        n_windows = size[one] - length + 1
-        base = np.cumsum(n_windows) - n_windows
-        best = np.repeat(least, n_windows)
-        # anchors with several snippets, some at a time: windows of different anchors differ
-        many = run_ends(first, len(one)) - first
-        several = np.repeat(many > 1, many)
-        suffixes = np.add.reduceat(np.where(several, n_windows, 0), first)
-        batch = np.repeat((np.cumsum(suffixes) - suffixes) // SUFFIXES, many)
-        pick = np.flatnonzero(several)
-        for i, j in zip(*grouped(batch[pick])[1:], strict=True):
-            _learn(best, base, pick[i:j], n_windows, start[one], size[one], data, least, length)
-        # back to the units: only doc_ids smaller than the block's own are news
-        per_unit = n_windows[text]
-        value = best[ranges(base[text], per_unit)]
-        unit = np.repeat(np.arange(len(u)), per_unit)
-        index = ranges(np.zeros(len(u), np.int64), per_unit)
-        news = value < u["doc"][unit]
-        value, unit, index = value[news], unit[news], index[news]
-        begins = np.ones(len(value), bool)
-        begins[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1]) | (index[1:] != index[:-1] + 1)
-        head = np.flatnonzero(begins)
-        count = np.diff(np.append(head, len(value)))
-        found = np.empty(len(head), _NEWS)
-        found["doc"], found["id"], found["first"], found["n"] = value[head], u["id"][unit[head]], index[head], count
-        order, lo, hi = grouped(owner[unit[head]])
+        # some anchors at a time: windows of different anchors differ
+        windows = (size - length + 1)[order]
+        first = run_starts(unit_key[order])
+        of_anchor = np.add.reduceat(windows, first)
+        batch = np.repeat((np.cumsum(of_anchor) - of_anchor) // WINDOWS, run_ends(first, len(order)) - first)
+        lo = run_starts(batch)
+        found = [_news(u, unit_key, order[i:j], new[i:j], start, size, data, length) for i, j in zip(lo, run_ends(lo, len(batch)), strict=True)]
+        unit, found = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        order, lo, hi = grouped(owner[unit])
         news = pa.array([planes(found[order[i:j]]) for i, j in zip(lo, hi, strict=True)], pa.binary())
         none = pa.nulls(len(news), pa.binary())
+        out = pa.table({"block": blocks[owner[unit][order[lo]]] if len(unit) else np.zeros(0, np.int64), "own": none, "least": none, "news": news})
+        del u, data, found, units
         give_back()
-        return pa.table({"block": blocks[owner[unit[head]][order[lo]]] if len(head) else np.zeros(0, np.int64), "own": none, "least": none, "news": news})
+        return out
 
     return run
 
