@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import none_if_blank
-from .registry import many, one, register, values
+from .registry import FILE, files_of, in_order, many, one, register, values
 
 
 def _get(obj: Column, key: str) -> Column:
@@ -38,12 +38,12 @@ def _texts(x: Column) -> Column:
 
 
 def _objects(spark: SparkSession, path: str, wrapper: str | None) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).select("value", F.col(FILE).alias("file"))
     whole = F.col("value")
     inner = _get(whole, wrapper) if wrapper else F.lit(None).cast("string")
     items = F.when(_is(whole, "["), _array(whole)).when(_is(inner, "["), _array(inner)).when(_is(whole, "{") & inner.isNull(), F.array(whole))
-    rows = text.select(F.posexplode(items).alias("record_ord", "obj")).filter(_is(F.col("obj"), "{"))
-    return rows.filter(F.json_object_keys("obj").isNotNull()).withColumn("record_ord", F.col("record_ord").cast("long"))
+    rows = text.select("file", F.posexplode(items).alias("at", "obj")).filter(_is(F.col("obj"), "{"))
+    return in_order(rows.filter(F.json_object_keys("obj").isNotNull()), files_of(text)).select("record_ord", "obj")
 
 
 def _place(x: Column) -> Column:
@@ -59,10 +59,15 @@ def _filled(rows: DataFrame) -> DataFrame:
 
 @register("ats_json", "ats")
 def read_ats(spark: SparkSession, path: str) -> DataFrame:
+    return ats_values(_objects(spark, path, "candidates"))
+
+
+def ats_values(rows: DataFrame) -> DataFrame:
+    """RAW_VALUES of candidates (record_ord, obj: JSON text)."""
     o = F.col("obj")
     m = "ats_json"
     has = F.array_contains(F.json_object_keys(o), "yearsExperience")
-    return _filled(values(_objects(spark, path, "candidates"), "ATS", [
+    return _filled(values(rows, "ATS", [
         one("full_name", _clean(o, "fullName", "name"), m),
         one("headline", _clean(o, "currentTitle", "title", "headline"), m),
         one("years_experience", F.when(has, _clean(o, "yearsExperience")).otherwise(_clean(o, "years_experience")), m),
@@ -74,7 +79,7 @@ def read_ats(spark: SparkSession, path: str) -> DataFrame:
     ]))
 
 
-def _profile_values(rows: DataFrame) -> DataFrame:
+def profile_values(rows: DataFrame) -> DataFrame:
     o = F.col("obj")
     m = "github_api"
     page = F.coalesce(_clean(o, "html_url"), F.concat(F.lit("https://github.com/"), _clean(o, "login")))
@@ -111,9 +116,9 @@ def read_github(spark: SparkSession, source: str) -> DataFrame:
     is_url = re.match(r"https?://", source, re.I) or "github.com/" in source.lower()
     login = None if not is_url and (os.path.exists(source) or "/" in source or "." in source) else login_of(source)
     if login is None:
-        return _profile_values(_objects(spark, source, None))
+        return profile_values(_objects(spark, source, None))
     text = fetch_profile(login)
     if text:
-        return _profile_values(spark.createDataFrame([(0, text)], "record_ord long, obj string").filter(_get(F.col("obj"), "login").isNotNull()))
+        return profile_values(spark.createDataFrame([(0, text)], "record_ord long, obj string").filter(_get(F.col("obj"), "login").isNotNull()))
     rows = spark.createDataFrame([(0,)], "record_ord long")  # what the name alone tells
     return values(rows, "GitHub", [many("links", F.array(F.lit(f"https://github.com/{login}")), "github_url")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import lookup
 from ..functions.text import strip, words
-from .registry import many, one, register, values
+from .registry import FILE, files_of, in_order, many, one, register, values
 
 METHOD = "note_text"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -96,8 +96,12 @@ def _links(key: Column, text: Column) -> Column:
 
 @register("notes", "recruiter_notes")
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    rows = blocks(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()))
-    rows = rows.withColumn("record_ord", F.col("block").cast("long"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col(FILE).alias("file"))
+    return note_values(in_order(blocks(text).withColumn("at", F.col("block")), files_of(text)))
+
+
+def note_values(rows: DataFrame) -> DataFrame:
+    """RAW_VALUES of blocks (record_ord, lines)."""
     key = lambda line: F.lower(strip(F.regexp_extract(line, LABELLED, 1)))
     pairs = F.transform(F.col("lines"), lambda line: F.struct(key(line).alias("key"), lookup(LABELS, key(line), F.lit(None).cast("string")).alias("field"), strip(F.regexp_extract(line, LABELLED, 2)).alias("text")))
     rows = rows.withColumn("pairs", F.filter(pairs, lambda p: p["field"].isNotNull())).withColumn("text", F.array_join(F.transform("lines", lambda s_: strip(s_)), " "))

@@ -1,4 +1,8 @@
-"""Registry of source readers: a reader turns a path into RAW_VALUES rows, lazily."""
+"""Registry of source readers: a reader turns a path (a file, a folder or a glob) into RAW_VALUES rows, lazily.
+
+record_ord keeps the order of sources, of a source's files by path, and of the records in a file: it is the number of
+bytes in earlier files plus the record's place, which is smaller than its own file's size.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import RAW_VALUES
+from ..plans.storage import written
 
 Reader = Callable[[SparkSession, str], DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -45,16 +50,47 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(RAW_VALUES))
 
 
+#: Bits of a record's place in its source (a petabyte), and how many sources that leaves room for.
+SOURCE_BITS = 50
+MAX_SOURCES = 1 << (63 - SOURCE_BITS)
+#: Up to so many files, some hundred bytes each, are broadcast with their places.
+BROADCAST_FILES = 20_000
+
+#: The file that a row of a file scan comes from.
+FILE = "_metadata.file_path"
+
+
+def files_of(scan: DataFrame) -> list[tuple[str, int]]:
+    """Path, and bytes in earlier files, of the scan's files in the order of paths."""
+    spark, at, out = scan.sparkSession, 0, []
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    for f in sorted(scan.inputFiles()):
+        p = path_of(path_of(spark._jvm.java.net.URI(f)).toString())
+        out.append((p.toUri().toString(), at))  # as the scan shows it
+        at += max(1, p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen())
+    return out
+
+
+def in_order(rows: DataFrame, files: list[tuple[str, int]]) -> DataFrame:
+    """rows (file, at: the place in the file) with record_ord."""
+    if len(files) <= 1:
+        return rows.withColumn("record_ord", F.col("at").cast("long"))
+    starts = rows.sparkSession.createDataFrame(files, "file string, start long")
+    starts = F.broadcast(starts) if len(files) <= BROADCAST_FILES else starts
+    return rows.join(starts, "file").withColumn("record_ord", F.col("start") + F.col("at")).drop("start")
+
+
 def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    """All sources in list order; a source that cannot be read gives no rows. record_ord keeps the order of sources and records."""
+    """All sources in list order, written to the shared folder one by one: a source that cannot be read to its end gives no rows."""
+    if len(sources) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; give folders or globs")
     out = empty(spark)
     for k, s in enumerate(sources):
         try:
-            rows = reader(s.type)(spark, s.path)
-            rows.isEmpty()  # a broken source fails here, not in the middle of a run
+            rows = written(reader(s.type)(spark, s.path), f"source-{k}")
         except Exception:  # noqa: BLE001  the contract: any failure of a source means no records from it
             continue
-        out = out.unionByName(rows.withColumn("record_ord", F.col("record_ord") + F.lit(k << 44)))
+        out = out.unionByName(rows.withColumn("record_ord", F.col("record_ord") + F.lit(k << SOURCE_BITS)))
     return out
 
 

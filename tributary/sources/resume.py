@@ -1,6 +1,6 @@
 """Resume text: contacts, links, name, headline, location, skills, education and tenure from lines and sections.
 
-Input is a table of pages (path, page_no, text), a text file, or whatever `decode_pdf` makes of a PDF's bytes. Section
+Input is a table of pages (file, page_no, text), a text file, or whatever `decode_pdf` makes of a PDF's bytes. Section
 state is carried along the lines of a document inside aggregate(), so a document stays one row.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dims import lookup
 from ..functions.text import strip, words
 from .notes import EMAIL, TITLE_WORDS, found, has_any, phones_in
-from .registry import empty, many, one, register, value, values
+from .registry import FILE, empty, files_of, in_order, many, one, register, value, values
 
 # Fixed patterns of the text format.
 URL = r"(?i)https?://[^\s,;|]+"
@@ -176,29 +176,39 @@ def parse_documents(docs: DataFrame, as_of: date | None = None) -> DataFrame:
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
-    """Documents (record_ord, text) of pages (path, page_no, text), in the order of paths."""
-    docs = pages.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"], "\n").alias("text"))
-    return docs.select(F.xxhash64("path").bitwiseAND(F.lit((1 << 43) - 1)).alias("record_ord"), "text")
+    """Documents (file, text) of pages (file, page_no, text)."""
+    return pages.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_no", "text")))["text"], "\n").alias("text"))
 
 
 @register("resume_pdf")
 def read_resume(spark: SparkSession, path: str) -> DataFrame:
+    """One record a file: text files, and PDF files if there is a decoder."""
     if path.endswith(".txt"):
-        return parse_documents(spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("record_ord"), F.col("value").alias("text")))
+        text = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col(FILE).alias("file"))
+        return parse_documents(in_order(text.withColumn("at", F.lit(0)), files_of(text)).select("record_ord", "text"))
     decode = decode_pdf
     if decode is None:
         return empty(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    scan = spark.read.format("binaryFile").load(path)
+    files = scan.select(F.col(FILE).alias("file"), "content")
 
     def pages(batches):
         import pandas as pd
 
         for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
+            for p, content in zip(b["file"], b["content"], strict=True):
                 try:
                     texts = decode(content)
                 except Exception:  # noqa: BLE001  an unreadable file has no pages
                     texts = []
-                yield pd.DataFrame({"path": [p] * len(texts), "page_no": range(len(texts)), "text": texts})
+                yield pd.DataFrame({"file": [p] * len(texts), "page_no": range(len(texts)), "text": texts})
 
-    return parse_documents(join_pages(files.mapInPandas(pages, "path string, page_no int, text string")))
+    docs = join_pages(files.mapInPandas(pages, "file string, page_no int, text string")).withColumn("at", F.lit(0))
+    return parse_documents(in_order(docs, files_of(scan)).select("record_ord", "text"))
+
+
+def diagnose(docs: DataFrame) -> DataFrame:
+    """line_no, line and tag of every non-empty line of documents (record_ord, text): what the parser takes for a header of skills, education or another section."""
+    lines = docs.select("record_ord", F.posexplode(F.split("text", r"\R")).alias("line_no", "line")).withColumn("line", strip(F.col("line"))).filter("line <> ''")
+    x = F.col("line")
+    return lines.withColumn("tag", F.when(x.rlike(SKILLS), "skills header").when(x.rlike(EDUCATION), "education header").when(x.rlike(SECTION), "section header"))
