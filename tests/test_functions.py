@@ -20,6 +20,22 @@ def test_phone(spark, raw, value, ok):
     assert tuple(one(spark, t.phone(F.lit(raw)))) == (value, ok)
 
 
+@pytest.mark.parametrize("raw,value,ok", [("+39 06 6982 1", "+390669821", True), ("+52 55 1234 5678", "+525512345678", True), ("+31 20 123 4567", "+31201234567", True), ("+999 1234567", "+999 1234567", False), ("+1 123 456 7890", "+1 123 456 7890", False), ("+44 12", "+44 12", False)])
+def test_phone_of_other_regions(spark, raw, value, ok):
+    assert tuple(one(spark, t.phone(F.lit(raw)))) == (value, ok)
+
+
+@pytest.mark.parametrize("raw,code", [("HU", "HU"), ("bg", "BG"), ("Qatar", "QA"), ("PER", "PE"), (" Côte d’Ivoire ", "CI"), ("U.S.A.", "US"), ("Holland", "NL"), ("ZZ", None), ("Atlantis", None), ("", None)])
+def test_country(spark, raw, code):
+    assert one(spark, t.country(F.lit(raw))) == code
+
+
+def test_country_table(spark):
+    from tributary.functions.dims import country_codes
+
+    assert len(set(country_codes().values())) >= 249 and all(len(c) == 2 for c in country_codes().values())
+
+
 @pytest.mark.parametrize("raw,value,ok", [("Jan 2024", "2024-01", True), ("present", None, True), ("garbage-date", None, False)])
 def test_month(spark, raw, value, ok):
     assert tuple(one(spark, t.month(F.lit(raw)))) == (value, ok)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Skill aliases.
@@ -31,19 +33,31 @@ CITY_ALIASES = {
     "poona": "Pune", "pune": "Pune", "trivandrum": "Thiruvananthapuram", "mysore": "Mysuru", "mangalore": "Mangaluru",
 }
 
-# ISO 3166 codes by common names. A subset: other names stay unresolved rather than guessed.
-COUNTRIES = {
-    "india": "IN", "united states": "US", "united states of america": "US", "usa": "US", "america": "US", "united kingdom": "GB", "great britain": "GB",
-    "england": "GB", "scotland": "GB", "wales": "GB", "canada": "CA", "australia": "AU", "germany": "DE", "deutschland": "DE", "france": "FR", "spain": "ES",
-    "italy": "IT", "netherlands": "NL", "belgium": "BE", "switzerland": "CH", "austria": "AT", "ireland": "IE", "portugal": "PT", "sweden": "SE",
-    "norway": "NO", "denmark": "DK", "finland": "FI", "poland": "PL", "czechia": "CZ", "romania": "RO", "greece": "GR", "ukraine": "UA",
-    "turkey": "TR", "israel": "IL", "united arab emirates": "AE", "saudi arabia": "SA", "egypt": "EG", "south africa": "ZA", "nigeria": "NG", "kenya": "KE",
-    "china": "CN", "japan": "JP", "south korea": "KR", "singapore": "SG", "malaysia": "MY", "indonesia": "ID", "thailand": "TH", "vietnam": "VN",
-    "philippines": "PH", "pakistan": "PK", "bangladesh": "BD", "sri lanka": "LK", "nepal": "NP", "new zealand": "NZ", "brazil": "BR", "argentina": "AR",
-    "chile": "CL", "colombia": "CO", "mexico": "MX", "texas": "US", "california": "US", "new york": "US", "washington": "US",
+# Common names that are not ISO 3166's own, and some regions. ISO's codes and English names come from the JVM's tables.
+COUNTRY_ALIASES = {
+    "usa": "US", "america": "US", "united states of america": "US", "texas": "US", "california": "US", "new york": "US", "washington": "US",
+    "great britain": "GB", "england": "GB", "scotland": "GB", "wales": "GB", "northern ireland": "GB", "deutschland": "DE", "holland": "NL",
+    "turkey": "TR", "turkiye": "TR", "czech republic": "CZ", "russian federation": "RU", "viet nam": "VN", "korea": "KR", "burma": "MM",
+    "ivory coast": "CI", "macedonia": "MK", "swaziland": "SZ", "cape verde": "CV", "bolivia": "BO", "venezuela": "VE", "tanzania": "TZ",
+    "syria": "SY", "laos": "LA", "brunei": "BN", "moldova": "MD", "vatican": "VA", "hong kong": "HK", "macau": "MO", "macao": "MO", "uae": "AE",
 }
+#: Letters with marks and the letters that they are matched by.
+MARKED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180) if unicodedata.normalize("NFD", chr(c))[0].isascii()} | {"\u2019": "'"}
 
-# Numbering plans: region, calling code, trunk prefix, and a pattern of valid national numbers. A subset.
+
+@lru_cache(maxsize=1)
+def country_codes() -> dict[str, str]:
+    """Alpha-2 code by lower-case English name, alpha-2 and alpha-3 code of ISO 3166, and by the aliases."""
+    jvm = SparkSession.active()._jvm.java.util
+    found = {}
+    for code in jvm.Locale.getISOCountries():
+        at = jvm.Locale("", code)
+        name = "".join(MARKED.get(c, c) for c in at.getDisplayCountry(jvm.Locale.ENGLISH)).lower().replace(".", "")
+        found |= {name: code, name.replace("&", "and"): code, code.lower(): code, at.getISO3Country().lower(): code}
+    return found | COUNTRY_ALIASES
+
+
+# Numbering plans: region, calling code, trunk prefix, and a pattern of valid national numbers.
 CALLING_CODES = (
     ("IN", "91", "0", "[6-9][0-9]{9}|[1-5][0-9]{9}"),
     ("US", "1", "1", "[2-9][0-9]{2}[2-9][0-9]{6}"),
@@ -60,6 +74,14 @@ CALLING_CODES = (
 )
 
 
+# The other calling codes of E.164 by zone. Their numbers are taken for valid by their length.
+OTHER_CODES = (
+    "2(?:0|7|1[12368]|[23]\\d|4\\d|5[0-8]|6\\d|9[01789])|3(?:[0-69]|5\\d|7[0-8]|8[0-35-7])|4(?:[0135-8]|2[013])|5(?:[1-8]|0\\d|9\\d)"
+    "|6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])|7|8(?:[1246]|5[02356]|8[06])|9(?:[0-58]|6[0-8]|7[0-7]|9[2-68])"
+)
+OTHER_NATIONAL = r"\d{6,12}"
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for x in chain.from_iterable(values.items())))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import CALLING_CODES, CITY_ALIASES, COUNTRIES, SKILL_ALIASES, lookup
+from .dims import CALLING_CODES, CITY_ALIASES, MARKED, OTHER_CODES, OTHER_NATIONAL, SKILL_ALIASES, country_codes, lookup
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 LINK = "STRUCT<kind: STRING, url: STRING, handle: STRING>"
@@ -35,7 +35,7 @@ def email(raw: Column) -> Column:
 
 
 def phone(raw: Column, region: str = "IN") -> Column:
-    """E.164 by the numbering plans at hand; what they don't know stays as it is, not ok."""
+    """E.164 by the numbering plans at hand, elsewhere by assigned calling code and length; anything else stays as it is, not ok."""
     clean = strip(raw)
     digits = F.regexp_replace(clean, r"\D", "")
     best = F.lit(None).cast("string")
@@ -46,16 +46,17 @@ def phone(raw: Column, region: str = "IN") -> Column:
             local = F.regexp_replace(digits, f"^{trunk}(?=(?:{national})$)", "") if trunk else digits
             best = F.coalesce(best, F.when(~clean.startswith("+") & local.rlike(f"^(?:{national})$"), F.concat(F.lit(f"+{cc}"), local)))
             best = F.coalesce(best, F.when(~clean.startswith("+") & intl, F.concat(F.lit("+"), digits)))
+    known = "|".join(sorted({cc for _, cc, _, _ in CALLING_CODES}))
+    other = clean.startswith("+") & digits.rlike(f"^(?:{OTHER_CODES}){OTHER_NATIONAL}$") & ~digits.rlike(f"^(?:{known})") & (F.length(digits) <= 15)
+    best = F.coalesce(best, F.when(other, F.concat(F.lit("+"), digits)))
     best = F.when(clean.rlike("[A-Za-z]"), F.lit(None)).otherwise(best)
     return result(F.coalesce(best, clean), best.isNotNull())
 
 
 def country(token: Column) -> Column:
-    """Alpha-2 code of a code or a known name, or null."""
-    t = strip(token)
-    codes = sorted(set(COUNTRIES.values()))
-    name = F.regexp_replace(F.lower(t), r"\.", "")
-    return F.when((F.length(t) == 2) & F.upper(t).isin(*codes), F.upper(t)).otherwise(lookup(COUNTRIES, name, F.lit(None).cast("string")))
+    """Alpha-2 code of an ISO 3166 code or a known English name, or null."""
+    name = F.regexp_replace(F.lower(F.translate(strip(token), "".join(MARKED), "".join(MARKED.values()))), r"\.", "")
+    return lookup(country_codes(), name, F.lit(None).cast("string"))
 
 
 def country_result(raw: Column) -> Column:
