@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tributary.operators import resolve
 from tributary.plans import queries as fusion
 
 SF = "/root/testdata/sf0.001"
@@ -30,16 +31,26 @@ def test_against_sql(spark, db, name):
     assert rows(got) == rows(want)
 
 
-def test_name_pairs_by_hand(spark):
-    for r in fusion.surname_block_pairs(spark, SF).collect():
-        a, b = (" ".join(sorted(x.split())) for x in (r.name_a, r.name_b))
-        table = [[0] * (len(b) + 1)]
-        for c in a:
-            row = [0]
-            for j, d in enumerate(b):
-                row.append(table[-1][j] + 1 if c == d else max(table[-1][j + 1], row[j]))
-            table.append(row)
-        assert 200 * table[-1][-1] / (len(a) + len(b)) >= 90
+def ratio_by_hand(a, b):
+    a, b = (" ".join(sorted(x.split())) for x in (a, b))
+    row = [0] * (len(b) + 1)
+    for c in a:
+        last, row = row, [0]
+        for j, d in enumerate(b):
+            row.append(last[j] + 1 if c == d else max(last[j + 1], row[j]))
+    return 200 * row[-1] / (len(a) + len(b)) if a or b else 100
+
+
+def test_name_pairs_by_hand(spark, db):
+    """All pairs of one surname, both ways; and names that differ by a letter or two, which the tables hardly have."""
+    found = {tuple(sorted((r.name_a, r.name_b))) for r in fusion.surname_block_pairs(spark, SF).collect()}
+    names = [n for (n,) in db.execute("SELECT DISTINCT p_name FROM part").fetchall()]
+    pairs = lambda xs: {tuple(sorted((a, b))) for i, a in enumerate(xs) for b in xs[:i] if a.split()[-1] == b.split()[-1] and ratio_by_hand(a, b) >= 90}
+    assert found == pairs(names)
+    people = ["jon smith", "john smith", "jonh smith", "jo smith", "maria smith", "marie smith", "smith", "a smith", "b smith", "johan van der smith", "johann van der smith", "ann wood", "anne wood", "x y wood"]
+    rows = spark.createDataFrame([(n.split()[-1], i, n, i) for i, n in enumerate(people)], "surname string, root long, name string, ord long")
+    got = {tuple(sorted((r.name_a, r.name_b))) for r in resolve.name_pairs(rows, 90.0).collect()}
+    assert got == pairs(people) and len(got) >= 4
 
 
 def test_entry(spark):

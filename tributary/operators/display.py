@@ -46,10 +46,14 @@ def skills_summary(canon: DataFrame) -> DataFrame:
     )
 
 
+def saved_projections(folder: str) -> dict[str, Path]:
+    """Files (projection_*.yaml, .yml or .json) of a folder by id."""
+    return {p.stem.removeprefix("projection_"): p for p in sorted(Path(folder).glob("projection_*")) if p.suffix in (".yaml", ".yml", ".json")}
+
+
 def projection_catalog(folder: str) -> list[dict]:
-    """Saved projections (projection_*.yaml, .yml or .json) of a folder: id, name and output fields, sorted by id."""
-    found = [p for p in Path(folder).glob("projection_*") if p.suffix in (".yaml", ".yml", ".json")]
-    configs = {p.stem.removeprefix("projection_"): load_projection(str(p)) for p in sorted(found)}
+    """Saved projections of a folder: id, name and output fields, sorted by id."""
+    configs = {i: load_projection(str(p)) for i, p in saved_projections(folder).items()}
     return [{"id": i, "name": c.name, "fields": [f.out for f in c.fields]} for i, c in sorted(configs.items())]
 
 

@@ -61,7 +61,7 @@ def lost_reason() -> Column:
 
 
 def tracked(values: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One row per value kept: cluster_id, field, sort keys, value (in v_*), confidence, primary, agreements, conflicts.
+    """One row per value kept: cluster_id, field, first place, record_ord of the winner, value (in v_*), confidence, primary, agreements, conflicts.
 
     An agreement or conflict stands once for its n equal rows.
     """
@@ -79,7 +79,7 @@ def tracked(values: DataFrame, clusters: DataFrame) -> DataFrame:
     )
     penalty = F.when(F.col("field") == "skills", dec(SKILL_MALFORMED_PENALTY)).otherwise(dec(MALFORMED_PENALTY))
     return out.select(
-        "cluster_id", "field", "first",
+        "cluster_id", "field", "first", w["o4"].alias("record_ord"),
         *(w[c].alias(c) for c in ("v_str", "v_num", "v_loc", "v_link", "v_edu")),
         confidence(w["base"], F.col("agreed"), F.col("contested"), w["malformed"], penalty).alias("confidence"),
         F.struct(w["source"].alias("source"), w["method"].alias("method"), w["raw"].alias("raw"), w["malformed"].alias("malformed")).alias("primary"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.dims import literal_map
-from ..model import EDUCATION, FusionConfig
+from ..model import COLLECTIONS, EDUCATION, SCALARS, FusionConfig
 
 
 def _quoted(x: Column) -> Column:
@@ -16,16 +16,19 @@ def _quoted(x: Column) -> Column:
     return F.coalesce(q, F.lit("None"))
 
 
-def normalize(raw: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
+def normalize(raw: DataFrame, config: FusionConfig = FusionConfig(), fields: tuple[str, ...] = (*SCALARS, *COLLECTIONS)) -> DataFrame:
     """record_ord, source, field, pos, method, raw, malformed and the value: v_key (equal values have equal keys), v_str, v_num, v_loc, v_link, v_edu;
-    with what the merge sorts by: tiebreak, completeness, priority, base."""
+    with what the merge sorts by: tiebreak, completeness, priority, base. Rows of other fields than the named ones are left out."""
     f, x = F.col("field"), F.col("raw")
-    rows = raw.filter(f.isNotNull() & (x.isNotNull() | F.col("edu").isNotNull()))
+    rows = raw.filter(f.isin(*fields) & (x.isNotNull() | F.col("edu").isNotNull()))
     case = {"emails": t.email(x), "phones": t.phone(x, config.region), "skills": t.skill(x), "full_name": t.name(x), "headline": t.name(x)}
     text_value, text_ok = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    for name, r in case.items():
+    for name, r in ((k, v) for k, v in case.items() if k in fields):
         text_value, text_ok = F.when(f == name, r["value"]).otherwise(text_value), F.when(f == name, r["ok"]).otherwise(text_ok)
-    years, place, link = t.years(x), t.location(x), t.link(x)
+    none = lambda kind: t.result(F.lit(None).cast(kind), F.lit(False))
+    years = t.years(x) if "years_experience" in fields else none("struct<num: double, text: string>")
+    place = t.location(x) if "location" in fields else none(t.LOCATION)
+    link = t.link(x) if "links" in fields else none(t.LINK)
     rows = rows.withColumns(
         {
             "v_str": F.when(f == "years_experience", years["value"]["text"]).otherwise(text_value),

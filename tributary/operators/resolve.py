@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import surname_key, token_sort_ratio
+from ..functions.text import surname_key, token_sort_ratio, words
 from ..model import FusionConfig
 from ..plans.storage import written
 from .components import components
@@ -33,14 +33,47 @@ def exact_components(keyed: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("record_ord"), F.col("component").alias("root"))
 
 
+#: Letters of a q-gram of names.
+Q = 2
+
+
+def _prefix_grams(names: DataFrame, threshold: float) -> DataFrame:
+    """names with gram: those q-grams of the sorted words, rarest of the surname first, of which two names that reach the similarity share one.
+
+    With d letters put in or left out between them, names of l letters or more share all but q d of their q-grams (each
+    numbered by its occurrence, ends marked), so one of the first q d + 1; d follows from the lengths that the threshold allows.
+    """
+    text = F.concat(F.lit("^"), F.array_join(F.array_sort(words(F.col("name"))), " "), F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") - Q + 1), lambda i: F.col("text").substr(i, F.lit(Q)))
+    numbered = F.transform(F.col("grams"), lambda g, i: F.concat(g, F.size(F.filter(F.slice("grams", F.lit(1), i), lambda h: h == g)).cast("string")))
+    each = names.withColumn("text", text).withColumn("grams", grams).select("*", F.explode(numbered).alias("gram")).drop("grams")
+    often = each.groupBy("surname", "gram").agg(F.count(F.lit(1)).alias("often"))
+    n = F.length("text") - 2  # letters of the name, and of the longest that the threshold allows beside it
+    longest = F.floor(n * (200 - threshold) / threshold)
+    wanted = (Q * F.floor((n + longest) * (1 - threshold / 100) + 1e-9) + 1).cast("int")
+    key = [c for c in names.columns]
+    ranked = each.join(often, ["surname", "gram"]).groupBy(*key, "text").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"))
+    # a gram of one name meets nothing
+    return ranked.select(*key, F.explode(F.slice("g", F.lit(1), wanted)).alias("g")).filter("g.often > 1").select(*key, F.col("g.gram").alias("gram"))
+
+
 def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of units (root, surname, name, ord) of one surname and different roots whose names reach the similarity."""
-    a = names.select("surname", *(F.col(c).alias(f"{c}_a") for c in ("root", "name", "ord")))
-    b = names.select("surname", *(F.col(c).alias(f"{c}_b") for c in ("root", "name", "ord")))
+    """Pairs of units (root, surname, name, ord) of one surname and different roots whose names reach the similarity.
+
+    Distinct names of a surname meet by the rarest of their q-grams; each passing pair of names then gives its units' pairs.
+    """
+    distinct = written(names.select("surname", "name").distinct(), "surname-names")
+    grams = _prefix_grams(distinct, threshold)
+    a, b = (grams.select("surname", "gram", F.col("name").alias(f"name_{side}")) for side in "ab")
     la, lb = F.length("name_a"), F.length("name_b")
     bound = F.lit(200.0) * F.least(la, lb) >= F.lit(threshold) * (la + lb)  # no more can be common than the shorter has
-    pairs = a.join(b, "surname").filter((F.col("ord_a") < F.col("ord_b")) & (F.col("root_a") != F.col("root_b")) & bound)
-    return pairs.filter(token_sort_ratio(F.col("name_a"), F.col("name_b")) >= threshold)
+    near = a.join(b, ["surname", "gram"]).filter((F.col("name_a") < F.col("name_b")) & bound).select("surname", "name_a", "name_b").distinct()
+    near = near.filter(token_sort_ratio(F.col("name_a"), F.col("name_b")) >= threshold)
+    same = distinct.select("surname", F.col("name").alias("name_a"), F.col("name").alias("name_b"))
+    both = near.unionByName(near.select("surname", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"))).unionByName(same)
+    a, b = (names.select("surname", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "name", "ord"))) for side in "ab")
+    pairs = both.join(a, ["surname", "name_a"]).join(b, ["surname", "name_b"])
+    return pairs.filter((F.col("ord_a") < F.col("ord_b")) & (F.col("root_a") != F.col("root_b")))
 
 
 def _replay(pairs: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections import OrderedDict
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..model import FusionConfig, ProjectionConfig
 from ..operators import merge, normalize, project, resolve, validate, verify
+from ..operators.display import saved_projections
 from ..sources import Source, read_sources
 from ..sources.json_profiles import login_for_verification
-from .storage import written
+from .storage import discard, written
 
 
 @dataclass
@@ -61,7 +64,7 @@ def fuse(raw: DataFrame, config: FusionConfig = FusionConfig(), stats: RunStats
 def run(spark: SparkSession, sources: list[Source], config: FusionConfig = FusionConfig(), linkedin_ids: tuple[str, ...] = ()) -> RunResult:
     stats = RunStats()
     with stats.stage("extract"):
-        raw = written(read_sources(spark, sources), "raw-values")
+        raw = read_sources(spark, sources)
     canon, found = fuse(raw, config, stats)
     with stats.stage("verify"):
         given = [x for x in linkedin_ids if x.strip()][:1]
@@ -73,22 +76,50 @@ def run(spark: SparkSession, sources: list[Source], config: FusionConfig = Fusio
 
 
 class RunStore:
-    """The last runs, to be projected again without running; the oldest goes when there are more than `capacity`."""
+    """The last runs, to be projected again without running; the oldest goes, with its files, when there are more than `capacity`."""
 
     def __init__(self, capacity: int = 50):
         self.capacity = capacity
         self.runs: OrderedDict[str, RunResult] = OrderedDict()
 
     def put(self, result: RunResult) -> str:
-        import uuid
-
+        """Keeps a result's candidates, written to the shared folder, and gives its id."""
         run_id = uuid.uuid4().hex[:12]
-        self.runs[run_id] = result
+        self.runs[run_id] = RunResult(written(result.candidates, f"run-{run_id}"), result.reports, result.stats)
         while len(self.runs) > self.capacity:
-            self.runs.popitem(last=False)
+            discard(self.runs.popitem(last=False)[1].candidates)
         return run_id
 
     def project(self, run_id: str, config: ProjectionConfig) -> DataFrame:
         if run_id not in self.runs:
-            raise KeyError(f"no run {run_id}")
+            raise KeyError(f"unknown run_id {run_id!r}")
         return project.project(self.runs[run_id].candidates, config)
+
+
+def run_response(store: RunStore, result: RunResult) -> dict:
+    """What a caller is told of a run: its id in the store, candidates and reports in order, times and counts."""
+    run_id, s = store.put(result), result.stats
+    kept = store.runs[run_id].candidates
+    return {
+        "run_id": run_id,
+        "candidates": [json.loads(r["candidate"]) for r in project.serialize(kept).orderBy("cluster_id").toLocalIterator()],
+        "validation": [r.asDict(recursive=True) for r in result.reports.orderBy("cluster_id").toLocalIterator()],
+        "timings_ms": dict(s.timings_ms),
+        "stats": {"records_in": s.records_in, "clusters_out": s.clusters_out, "conflicts_found": s.conflicts_found},
+    }
+
+
+def project_response(store: RunStore, run_id: str, projection: dict | None = None, projection_id: str | None = None, folder: str | None = None) -> dict:
+    """A stored run's rows by a given projection, or by one saved in the folder. KeyError: unknown run or projection; ValueError: neither is given."""
+    if run_id not in store.runs:
+        raise KeyError(f"unknown run_id {run_id!r}")
+    if projection is not None:
+        config = project.from_dict(projection)
+    elif projection_id is not None:
+        files = saved_projections(folder) if folder else {}
+        if projection_id not in files:
+            raise KeyError(f"unknown projection {projection_id!r}")
+        config = project.load_projection(str(files[projection_id]))
+    else:
+        raise ValueError("give a projection or a projection_id")
+    return {"output": [json.loads(r["output"]) for r in store.project(run_id, config).orderBy("cluster_id").toLocalIterator()]}

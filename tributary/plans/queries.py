@@ -6,21 +6,24 @@ values compare exactly.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.dims import SKILL_ALIASES, lookup
-from ..model import COLLECTIONS, SCALARS, FieldMapping, FusionConfig, ProjectionConfig
-from ..operators import merge, normalize, project, resolve, validate
-from ..operators.components import components
-from ..sources.notes import EMAIL, PHONE
-from ..sources.resume import union_months
-from .pipeline import fuse
-from .storage import written
+from ..functions.dims import CALLING_CODES, OTHER_CODES, OTHER_NATIONAL, SKILL_ALIASES, lookup
+from ..model import FieldMapping, ProjectionConfig
+from ..operators import merge, normalize, project, resolve, validate, verify
+from ..sources import Source, json_profiles, read_sources
+from ..sources.notes import EMAIL, PHONE, note_values
+from ..sources.notes import blocks as note_blocks
+from ..sources.registry import SOURCE_BITS
+from ..sources.resume import _section_lines, parse_documents, union_months
+from .pipeline import RunStats, fuse
+from .storage import shared_dir, written
 
 QUERIES, ORACLE_SQL = {}, {}
-_WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,23 +44,53 @@ def bp(x):
     return F.round(x * 10000).cast("long")
 
 
+def raw_rows(records: DataFrame, source, values: list[tuple[str, int, object]]) -> DataFrame:
+    """RAW_VALUES of records (record_ord) from (field, position, column) triples; null values are left out."""
+    one = lambda f, pos, x: F.struct(F.lit(f).alias("field"), F.lit(pos).alias("pos"), x.cast("string").alias("raw"))
+    rows = records.select("record_ord", source.alias("source"), F.explode(F.array(*(one(*v) for v in values))).alias("v")).filter("v.raw IS NOT NULL")
+    return rows.select("record_ord", "source", "v.field", "v.pos", "v.raw", F.lit(None).cast(normalize.EDUCATION).alias("edu"), F.lit("table").alias("method"), F.lit(False).alias("malformed"))
+
+
+def shown(rows: DataFrame, key: str) -> DataFrame:
+    """RAW_VALUES as (key, field, pos, raw), without the rows that only mark a record."""
+    return rows.filter("field IS NOT NULL").select(F.col("record_ord").alias(key), "field", "pos", "raw")
+
+
 @query(rf"""
 SELECT doc_id, lower(e) AS email, regexp_matches(lower(e), '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS ok, count(*) AS n
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS e FROM documents) GROUP BY ALL""")
 def norm_email_extract(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({EMAIL})"), F.lit(1))).alias("e"))
+    rows = table(spark, sf_dir, "documents").filter(F.col("text").contains("@")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({EMAIL})"), F.lit(1))).alias("e"))
     r = t.email(F.col("e"))
     return rows.groupBy("doc_id", r["value"].alias("email"), r["ok"].alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _phone_sql(region: str) -> str:
+    """The numbering plans as SQL over clean (text) and digits; equal rules, the same table."""
+    plus, full = "starts_with(clean, '+')", lambda p: f"regexp_full_match(digits, '{p}')"
+    cases = []
+    for code, cc, trunk, national in CALLING_CODES:
+        cases.append(f"WHEN {plus} AND {full(f'{cc}(?:{national})')} THEN '+' || digits")
+        if code == region:
+            if trunk:
+                cases.append(f"WHEN NOT {plus} AND {full(f'{trunk}(?:{national})')} THEN '+{cc}' || substr(digits, {len(trunk) + 1})")
+            cases.append(f"WHEN NOT {plus} AND {full(f'(?:{national})')} THEN '+{cc}' || digits")
+            cases.append(f"WHEN NOT {plus} AND {full(f'{cc}(?:{national})')} THEN '+' || digits")
+    known = "|".join(sorted({cc for _, cc, _, _ in CALLING_CODES}))
+    cases.append(f"WHEN {plus} AND length(digits) <= 15 AND {full(f'(?:{OTHER_CODES}){OTHER_NATIONAL}')} AND NOT {full(f'(?:{known}).*')} THEN '+' || digits")
+    return f"CASE {' '.join(cases)} END"
+
+
 @query(rf"""
-SELECT doc_id, p AS phone, length(regexp_replace(p, '[^0-9]', '', 'g')) AS digits, count(*) AS n
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE}')) AS p FROM documents)
-WHERE length(regexp_replace(p, '[^0-9]', '', 'g')) >= 8 GROUP BY ALL""")
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE}')) AS raw FROM documents),
+c AS (SELECT doc_id, trim(raw) AS clean, regexp_replace(raw, '[^0-9]', '', 'g') AS digits FROM p),
+e AS (SELECT doc_id, clean, {_phone_sql("IN")} AS e164 FROM c WHERE length(digits) >= 8)
+SELECT doc_id, coalesce(e164, clean) AS phone, e164 IS NOT NULL AS ok, count(*) AS n FROM e GROUP BY ALL""")
 def norm_phone_candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({PHONE})"), F.lit(1))).alias("phone"))
-    rows = rows.withColumn("digits", F.length(F.regexp_replace("phone", "[^0-9]", "")).cast("long")).filter("digits >= 8")
-    return rows.groupBy("doc_id", "phone", "digits").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\d[\d\s().\-]{7}")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({PHONE})"), F.lit(1))).alias("raw"))
+    r = t.phone(F.col("raw"), "IN")
+    rows = rows.filter(F.length(F.regexp_replace("raw", "[^0-9]", "")) >= 8)
+    return rows.groupBy("doc_id", r["value"].alias("phone"), r["ok"].alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _URL_SQL = r"lower(rtrim(regexp_replace(regexp_replace(trim(url), '^https?://', '', 'i'), '^www\.', '', 'i'), '/'))"
@@ -68,15 +101,18 @@ def norm_url_canonical(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.canonical_url(F.col("url")).alias("canonical_url"))
 
 
+_LINK_SQL = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN ' https://www.GitHub.com/U' || page_id || '/' WHEN 2 THEN 'linkedin.com/in/P' || page_id || '/details' ELSE 'page ' || page_id END"
+
+
 @query(f"""
-SELECT kind, handle, count(*) AS n FROM (
-  SELECT CASE WHEN contains(lower(url), 'github.com') THEN 'github' WHEN contains(lower(url), 'linkedin.com') THEN 'linkedin'
-              WHEN starts_with(lower(trim(url)), 'http') THEN 'portfolio' ELSE 'unknown' END AS kind,
-         CASE WHEN contains(lower(url), 'github.com') THEN nullif(split_part({_URL_SQL}, '/', 2), '') END AS handle
-  FROM pages) GROUP BY ALL""")
+WITH l AS (SELECT page_id, {_LINK_SQL} AS url FROM pages)
+SELECT page_id, {_URL_SQL} AS canonical_url,
+  CASE page_id % 4 WHEN 0 THEN 'portfolio' WHEN 1 THEN 'github' WHEN 2 THEN 'linkedin' ELSE 'unknown' END AS kind,
+  CASE page_id % 4 WHEN 1 THEN 'u' || page_id WHEN 2 THEN 'p' || page_id END AS handle, page_id % 4 <> 3 AS ok FROM l""")
 def url_host_kind_handle(spark, sf_dir):
-    v = t.link(F.col("url"))["value"]
-    return table(spark, sf_dir, "pages").groupBy(v["kind"].alias("kind"), v["handle"].alias("handle")).agg(F.count(F.lit(1)).alias("n"))
+    r = t.link(F.expr(_LINK_SQL))
+    v = r["value"]
+    return table(spark, sf_dir, "pages").select("page_id", v["url"].alias("canonical_url"), v["kind"].alias("kind"), v["handle"].alias("handle"), r["ok"].alias("ok"))
 
 
 _ALIASES = ", ".join("('" + k + "', '" + v + "')" for k, v in SKILL_ALIASES.items())
@@ -91,23 +127,107 @@ def alias_canonicalize(spark, sf_dir):
     return w.groupBy(lookup(SKILL_ALIASES, F.lower("word"), F.col("word")).alias("skill")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_partkey").alias("parts"))
 
 
-@query("""
-SELECT c_custkey, coalesce(CASE lower(n_name) WHEN 'india' THEN 'IN' WHEN 'canada' THEN 'CA' WHEN 'brazil' THEN 'BR' WHEN 'argentina' THEN 'AR'
-  WHEN 'egypt' THEN 'EG' WHEN 'france' THEN 'FR' WHEN 'germany' THEN 'DE' WHEN 'indonesia' THEN 'ID' WHEN 'japan' THEN 'JP' WHEN 'kenya' THEN 'KE'
-  WHEN 'china' THEN 'CN' WHEN 'romania' THEN 'RO' WHEN 'saudi arabia' THEN 'SA' WHEN 'vietnam' THEN 'VN' WHEN 'united kingdom' THEN 'GB'
-  WHEN 'united states' THEN 'US' END, 'none') AS country
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+#: A spelling of a country for each nation of the tables, and its code by ISO 3166.
+_SPELLINGS = (
+    ("Algeria", "DZ"), ("argentina", "AR"), ("BRAZIL", "BR"), ("Canada", "CA"), ("Egypt", "EG"), ("ETH", "ET"), ("France", "FR"), ("Deutschland", "DE"), ("IN", "IN"),
+    ("Indonesia", "ID"), ("ir", "IR"), ("Iraq", "IQ"), ("Japan", "JP"), ("Jordan", "JO"), ("Kenya", "KE"), ("Morocco", "MA"), ("Côte d’Ivoire", "CI"), ("PE", "PE"),
+    ("CHN", "CN"), ("Hungary", "HU"), ("Saudi Arabia", "SA"), ("Viet Nam", "VN"), ("Russian Federation", "RU"), ("Atlantis", None), ("U.S.A.", "US"),
+)
+_NATIONS_SQL = ", ".join(f"({i}, '{n}', {repr(c) if c else 'NULL'})" for i, (n, c) in enumerate(_SPELLINGS))
+
+
+@query(f"""
+WITH s(k, name, code) AS (VALUES {_NATIONS_SQL})
+SELECT c_custkey, coalesce(code, name) AS country, code IS NOT NULL AS ok FROM customer JOIN s ON c_nationkey % 25 = k""")
 def country_dim_lookup(spark, sf_dir):
-    n = F.broadcast(table(spark, sf_dir, "nation"))  # a nation table: at most some hundred rows
-    rows = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    known = ("india", "canada", "brazil", "argentina", "egypt", "france", "germany", "indonesia", "japan", "kenya", "china", "romania", "saudi arabia", "vietnam", "united kingdom", "united states")
-    code = F.when(F.lower("n_name").isin(*known), t.country(F.col("n_name")))
-    return rows.select("c_custkey", F.coalesce(code, F.lit("none")).alias("country"))
+    name = F.get(F.array(*(F.lit(n) for n, _ in _SPELLINGS)), F.col("c_nationkey") % 25)
+    r = t.country_result(F.concat(F.lit(" "), name))
+    return table(spark, sf_dir, "customer").select("c_custkey", r["value"].alias("country"), r["ok"].alias("ok"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m') END AS month, o_orderkey % 5 <> 4 OR o_orderkey % 2 = 0 AS ok FROM orders""")
+def norm_month(spark, sf_dir):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    raw = F.when(k == 0, F.date_format(d, " yyyy-MM-dd ")).when(k == 1, F.upper(F.date_format(d, "MMM yyyy"))).when(k == 2, F.date_format(d, "MM/yyyy")).when(k == 3, F.date_format(d, "MMMM yyyy")).otherwise(F.when(F.col("o_orderkey") % 2 == 0, "Present").otherwise("soon"))
+    r = t.month(raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", r["value"].alias("month"), r["ok"].alias("ok"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN NULL WHEN 1 THEN p_size + 0.5 ELSE p_size END::DOUBLE AS years, CASE WHEN p_partkey % 3 = 2 THEN 'many' END AS text, p_partkey % 3 <> 2 AS ok FROM part""")
+def norm_years(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    r = t.years(F.when(F.col("p_partkey") % 3 == 2, "many").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("about "), size, F.lit(".5+ years"))).otherwise(size))
+    return table(spark, sf_dir, "part").select("p_partkey", r["value"]["num"].alias("years"), r["value"]["text"].alias("text"), r["ok"].alias("ok"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_name AS n FROM supplier)
+SELECT k AS s_suppkey, CASE k % 5 WHEN 0 THEN 'Bengaluru' WHEN 1 THEN n WHEN 2 THEN NULL WHEN 3 THEN 'Mumbai' ELSE n END AS city, CASE WHEN k % 5 = 1 THEN 'Bavaria' END AS region,
+  CASE k % 5 WHEN 0 THEN 'IN' WHEN 1 THEN 'DE' WHEN 2 THEN 'PT' WHEN 4 THEN NULL END AS country FROM s""")
+def norm_location(spark, sf_dir):
+    k, n = F.col("s_suppkey") % 5, F.col("s_name")
+    raw = F.when(k == 0, "bangalore ,  india").when(k == 1, F.concat(n, F.lit(", Bavaria, Germany"))).when(k == 2, "Portugal").when(k == 3, " BOMBAY").otherwise(n)
+    v = t.location(raw)["value"]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", v["city"].alias("city"), v["region"].alias("region"), v["country"].alias("country"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, 'full_name' AS field, 0 AS pos, 'User ' || user_id AS raw FROM e UNION ALL SELECT event_id, 'emails', 0, 'u' || user_id || '@x.org' FROM e
+UNION ALL SELECT event_id, 'skills', 0, 'k' || k FROM e UNION ALL SELECT event_id, 'skills', 1, event_type FROM e
+UNION ALL SELECT event_id, 'location', 0, CASE WHEN k % 2 = 0 THEN 'City ' || k ELSE 'City ' || k || ', Peru' END FROM e
+UNION ALL SELECT event_id, 'years_experience', 0, CAST(k AS VARCHAR) FROM e UNION ALL SELECT event_id, 'links', 0, 'github.com/u' || user_id FROM e""")
 def json_extract_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Events as candidates of an applicant-tracking export."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    text = F.format_string(
+        '{"fullName": " User %s ", "email": "u%s@x.org", "phone": " ", "skills": ["k%s", " ", "%s"], "yearsExperience": %s, "location": {"city": "City %s", "region": null, "country": "%s"}, "links": {"a": "github.com/u%s", "b": ""}}',
+        "user_id", "user_id", "k", "event_type", "k", "k", F.when(F.col("k") % 2 == 0, "").otherwise("Peru"), "user_id",
+    )
+    return shown(json_profiles.ats_values(e.select(F.col("event_id").alias("record_ord"), text.alias("obj"))), "event_id")
+
+
+@query("""
+SELECT c_custkey, 'links' AS field, 0 AS pos, 'https://github.com/c' || c_custkey AS raw FROM customer UNION ALL SELECT c_custkey, 'links', 1, 'blog.example.com' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'full_name', 0, c_name FROM customer UNION ALL SELECT c_custkey, 'skills', 0, 'Go' FROM customer UNION ALL SELECT c_custkey, 'skills', 1, c_mktsegment FROM customer""")
+def github_profile_fields(spark, sf_dir):
+    text = F.format_string('{"login": "c%s", "name": "%s", "blog": "%s", "email": null, "top_languages": ["Go", "Go"], "pinned_repos": [{"language": "%s"}, {"name": "x"}, {"language": "Go"}]}', "c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, "blog.example.com").otherwise(" "), "c_mktsegment")
+    return shown(json_profiles.profile_values(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_ord"), text.alias("obj"))), "c_custkey")
+
+
+@query("""
+WITH c AS (SELECT *, c_custkey % 7 + 1 AS y FROM customer)
+SELECT c_custkey, 'full_name' AS field, 0 AS pos, 'Ada Lovelace' AS raw FROM c UNION ALL SELECT c_custkey, 'headline', 0, 'Data Engineer' FROM c
+UNION ALL SELECT c_custkey, 'location', 0, 'Lima, Peru' FROM c UNION ALL SELECT c_custkey, 'emails', 0, 'c' || c_custkey || '@x.org' FROM c
+UNION ALL SELECT c_custkey, 'links', 0, 'github.com/c' || c_custkey FROM c UNION ALL SELECT c_custkey, 'skills', 0, 'Python' FROM c UNION ALL SELECT c_custkey, 'skills', 1, c_mktsegment FROM c
+UNION ALL SELECT c_custkey, 'years_experience', 0, CASE WHEN y = 1 THEN '1' ELSE CAST(y AS VARCHAR) END FROM c
+UNION ALL SELECT c_custkey, 'education', 0, 'B.Sc. Physics|UNI ' || c_custkey || '|2001-09|2005-06' FROM c""")
+def resume_fields(spark, sf_dir):
+    """A resume for each customer, whose jobs overlap and cover as many years as its key gives."""
+    y = (F.col("c_custkey") % 7 + 1).cast("int")
+    text = F.concat(
+        F.lit("Ada Lovelace\nData Engineer\nLima, Peru\n"), F.concat(F.lit("c"), "c_custkey", F.lit("@x.org | github.com/c"), "c_custkey", F.lit("\n")),
+        F.concat(F.lit("Skills: Python, "), "c_mktsegment", F.lit("\nExperience\nAcme  Jan 2010 - Dec "), (y + 2009).cast("string"), F.lit("\nSide job  Mar 2010 - Jun 2010\n")),
+        F.concat(F.lit("Education\nB.Sc. Physics, UNI "), "c_custkey", F.lit(" (Sep 2001 to Jun 2005)\n")),
+    )
+    rows = parse_documents(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_ord"), text.alias("text")))
+    edu = F.concat_ws("|", "edu.degree", "edu.institution", "edu.start", "edu.end")
+    return shown(rows.withColumn("raw", F.when(F.col("field") == "education", edu).otherwise(F.col("raw"))), "c_custkey")
+
+
+@query("""
+SELECT s_suppkey, 'full_name' AS field, 0 AS pos, s_name AS raw FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'skills', 0, 'Rust' FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'skills', 1, 'SQL' FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'links', 0, 'github.com/s' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'full_name', 0, 'Grace Hopper' FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, 'headline', 0, 'backend engineer' FROM supplier WHERE s_suppkey % 2 = 1
+UNION ALL SELECT s_suppkey, 'emails', 0, 's' || s_suppkey || '@x.org' FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, 'skills', 0, 'Kafka' FROM supplier WHERE s_suppkey % 2 = 1""")
+def note_fields(spark, sf_dir):
+    """A note for each supplier: labelled lines, or prose."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    labelled = F.array(F.concat(F.lit("Name: "), "s_name"), F.lit("Skills: Rust; SQL ,"), F.concat(F.lit("GitHub: @s"), k.cast("string")), F.lit("Mood: fine"))
+    prose = F.array(F.concat(F.lit("Spoke with Grace Hopper, s"), k.cast("string"), F.lit("@x.org, backend engineer, Kafka")))
+    return shown(note_values(s.select(k.alias("record_ord"), F.when(k % 2 == 0, labelled).otherwise(prose).alias("lines"))), "s_suppkey")
 
 
 @query("SELECT c_custkey, left(sha256('name:' || trim(regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '-', 'g'), '-') || '|loc:'), 16) AS entity_id FROM customer")
@@ -122,16 +242,12 @@ _PRIORITY_SQL = "CASE event_type WHEN 'click' THEN 90 WHEN 'view' THEN 85 WHEN '
 _BASE_SQL = "CASE event_type WHEN 'click' THEN 9000 WHEN 'view' THEN 8500 WHEN 'purchase' THEN 8000 WHEN 'signup' THEN 7000 ELSE 5000 END"
 
 
-def event_values(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Normalized values and clusters: a user's events as records with a headline (the rounded value) and a skill (props.k)."""
+def event_values(spark, sf_dir, field: str) -> tuple[DataFrame, DataFrame]:
+    """Normalized values of one field and clusters: a user's events as records with a headline (the rounded value) or a skill (props.k)."""
     e = table(spark, sf_dir, "events")
-    source = lookup(_SOURCE, F.col("event_type"), F.lit("Other"))
-    head = F.concat(F.lit("v"), F.floor(F.col("value")).cast("long").cast("string"))
-    skill = F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
-    one = lambda f, x: F.struct(F.lit(f).alias("field"), x.alias("raw"))
-    raw = e.select(F.col("event_id").alias("record_ord"), "user_id", source.alias("source"), F.explode(F.array(one("headline", head), one("skills", skill))).alias("v"))
-    raw = raw.filter("v.raw IS NOT NULL").select("record_ord", "source", F.col("v.field").alias("field"), F.lit(0).alias("pos"), F.col("v.raw").alias("raw"), F.lit(None).cast(normalize.EDUCATION).alias("edu"), F.lit("event").alias("method"), F.lit(False).alias("malformed"))
-    return normalize.normalize(raw), e.select(F.col("event_id").alias("record_ord"), F.col("user_id").alias("cluster_id"))
+    x = F.concat(F.lit("v"), F.floor(F.col("value")).cast("long").cast("string")) if field == "headline" else F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
+    raw = raw_rows(e.withColumn("record_ord", F.col("event_id")), lookup(_SOURCE, F.col("event_type"), F.lit("Other")), [(field, 0, x)])
+    return normalize.normalize(raw, fields=(field,)), e.select(F.col("event_id").alias("record_ord"), F.col("user_id").alias("cluster_id"))
 
 
 _EVENT_CTE = f"""
@@ -145,18 +261,15 @@ SELECT w.user_id, w.x AS winner, w.event_id, greatest(0, least(10000, w.base
   + CASE WHEN bool_or(v.x = w.x AND v.event_id <> w.event_id) THEN 500 ELSE 0 END - CASE WHEN bool_or(v.x <> w.x) THEN 1000 ELSE 0 END)) AS confidence_bp
 FROM w JOIN v USING (user_id) GROUP BY w.user_id, w.x, w.event_id, w.base""")
 def scalar_fusion_winner(spark, sf_dir):
-    v, c = event_values(spark, sf_dir)
-    got = merge.tracked(v.filter("field = 'headline'"), c)
-    ids = v.filter("field = 'headline'").join(c, "record_ord").groupBy("cluster_id").agg(F.min(F.struct(*merge.win_order())).alias("w"))
-    return got.join(ids, "cluster_id").select(F.col("cluster_id").alias("user_id"), F.col("v_str").alias("winner"), F.col("w.o4").alias("event_id"), bp(F.col("confidence")).alias("confidence_bp"))
+    got = merge.tracked(*event_values(spark, sf_dir, "headline"))
+    return got.select(F.col("cluster_id").alias("user_id"), F.col("v_str").alias("winner"), F.col("record_ord").alias("event_id"), bp(F.col("confidence")).alias("confidence_bp"))
 
 
 @query(f"""{_EVENT_CTE}
 SELECT w.user_id, v.x AS loser, CASE WHEN v.pr < w.pr THEN 'lower_source_priority' WHEN v.pr = w.pr AND length(v.x) < length(w.x) THEN 'less_complete' ELSE 'tiebreak_lost' END AS reason, count(*) AS n
 FROM w JOIN v USING (user_id) WHERE v.x <> w.x GROUP BY ALL""")
 def scalar_fusion_conflicts(spark, sf_dir):
-    v, c = event_values(spark, sf_dir)
-    got = merge.compared(v.filter("field = 'headline'"), c).filter("differ > 0")
+    got = merge.compared(*event_values(spark, sf_dir, "headline")).filter("differ > 0")
     return got.groupBy(F.col("cluster_id").alias("user_id"), F.col("tiebreak").alias("loser"), "reason").agg(F.sum("differ").alias("n"))
 
 
@@ -170,34 +283,38 @@ g AS (SELECT user_id, skill, greatest(0, least(10000, arg_min(base, struct_pack(
 
 @query(f"{_SKILL_CTE} SELECT user_id, skill, confidence_bp, sources FROM g")
 def collection_fusion(spark, sf_dir):
-    v, c = event_values(spark, sf_dir)
-    got = merge.tracked(v.filter("field = 'skills'"), c)
+    got = merge.tracked(*event_values(spark, sf_dir, "skills"))
     names = F.array_sort(F.array_distinct(F.concat(F.array("primary.source"), F.transform("agreements", lambda a: a["source"]))))
     return got.select(F.col("cluster_id").alias("user_id"), F.col("v_str").alias("skill"), bp(F.col("confidence")).alias("confidence_bp"), F.array_join(names, ",").alias("sources"))
 
 
 @query(f"""{_SKILL_CTE}, u AS (SELECT DISTINCT user_id FROM events),
 s AS (SELECT user_id, sum(confidence_bp) AS total, count(*) AS n FROM g GROUP BY 1)
-SELECT user_id, CAST(coalesce(n, 0) AS BIGINT) AS skills, CASE WHEN n IS NULL THEN 1500 ELSE 0 END AS penalty_bp, CAST(coalesce(total, 0) AS BIGINT) AS sum_bp FROM u LEFT JOIN s USING (user_id)""")
+SELECT user_id, CAST(coalesce(n, 0) AS BIGINT) AS skills, CASE WHEN n IS NULL THEN 1500 ELSE 0 END AS penalty_bp,
+  CAST(round(CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE (total::DOUBLE / 10000.0::DOUBLE) / n END * 10000) AS BIGINT) AS confidence_bp FROM u LEFT JOIN s USING (user_id)""")
 def record_confidence(spark, sf_dir):
-    v, c = event_values(spark, sf_dir)
-    wide = merge.canonical(merge.tracked(v.filter("field = 'skills'"), c), c)
-    total = F.aggregate("skills", F.lit(0).cast("long"), lambda a, s: a + bp(s["confidence"]))
-    return wide.select(F.col("cluster_id").alias("user_id"), F.size("skills").cast("long").alias("skills"), bp(F.col("completeness_penalty")).cast("int").alias("penalty_bp"), total.alias("sum_bp"))
+    wide = _event_canonical(spark, sf_dir)
+    return wide.select(F.col("cluster_id").alias("user_id"), F.size("skills").cast("long").alias("skills"), bp(F.col("completeness_penalty")).cast("int").alias("penalty_bp"), bp(F.col("record_confidence")).alias("confidence_bp"))
 
 
 @query("""
-SELECT c_custkey, CASE WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 1500 ELSE 0 END AS penalty_bp FROM customer""")
+SELECT c_custkey, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS skills, CASE WHEN count(o_orderkey) = 0 THEN 1500 ELSE 0 END AS penalty_bp
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1""")
 def completeness_penalty(spark, sf_dir):
-    has = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has", F.lit(True))
-    rows = table(spark, sf_dir, "customer").select("c_custkey").join(has, "c_custkey", "left")
-    return rows.select("c_custkey", bp(F.when(F.col("has").isNull(), F.lit(0.15)).otherwise(F.lit(0.0))).cast("int").alias("penalty_bp"))
+    """Customers without a pending order lack the required field."""
+    o, c = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), table(spark, sf_dir, "customer")
+    first = 1 << 44  # customers are records of their own, without values
+    clusters = c.select((F.col("c_custkey") + first).alias("record_ord"), F.col("c_custkey").alias("cluster_id")).unionByName(o.select(F.col("o_orderkey").alias("record_ord"), F.col("o_custkey").alias("cluster_id")))
+    v = normalize.normalize(raw_rows(o.withColumn("record_ord", F.col("o_orderkey")), F.lit("CSV"), [("skills", 0, F.concat(F.lit("p"), "o_orderpriority"))]), fields=("skills",))
+    wide = merge.canonical(merge.tracked(v, clusters), clusters)
+    return wide.select(F.col("cluster_id").alias("c_custkey"), F.size("skills").cast("long").alias("skills"), bp(F.col("completeness_penalty")).cast("int").alias("penalty_bp"))
 
 
 def _doc_keys(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keys = F.concat(F.array(F.md5("text")), F.array_distinct(F.regexp_extract_all("text", F.lit(f"({EMAIL})"), F.lit(1))))
-    return d.select(F.col("doc_id").alias("record_ord"), F.explode(keys).alias("key"))
+    emails = F.when(F.col("text").contains("@"), F.array_distinct(F.regexp_extract_all("text", F.lit(f"({EMAIL})"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    # written: the keys are grouped, and joined with their groups
+    return written(d.select(F.col("doc_id").alias("record_ord"), F.explode(F.concat(F.array(F.md5("text")), emails)).alias("key")), "doc-keys")
 
 
 @query(rf"""
@@ -235,56 +352,70 @@ def interval_union_months(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS section,
-  CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM conversations""")
+WITH l AS (SELECT conv_id, turn, role || ' ' || turn AS line, last_value(CASE WHEN role IN ('user', 'system') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section, role FROM conversations)
+SELECT conv_id, coalesce(string_agg(CASE WHEN section = 'user' AND role NOT IN ('user', 'system') THEN line END, ',' ORDER BY turn), '') AS lines FROM l GROUP BY 1""")
 def section_carry_forward(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.col("role") == "user"
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(opens, F.col("turn")), ignorenulls=True).over(w), F.lit(-1)).alias("section"), F.sum(opens.cast("long")).over(w).alias("block"))
+    """Turns of users and systems as section headers; the lines of users' sections."""
+    lines = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(" ", x["role"], x["turn"].cast("string"))).alias("lines"))
+    got = _section_lines(F.col("lines"), lambda x: x.rlike("^(?:user|system)"), lambda x: x.startswith("user"))
+    return lines.select("conv_id", F.array_join(got, ",").alias("lines"))
 
 
 @query("""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
-b AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM l)
-SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS lines FROM b WHERE trim(line) <> '' GROUP BY ALL""")
+r AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND pos = 3 THEN '----' ELSE line END AS x FROM l), k AS (SELECT *, regexp_matches(x, '^[ \\t]*[-=_*~]{3,}[ \\t]*$') AS rule FROM r),
+f AS (SELECT *, bool_or(rule) OVER (PARTITION BY doc_id) AS ruled FROM k), g AS (SELECT *, CASE WHEN ruled THEN rule ELSE trim(x) = '' END AS brk FROM f),
+b AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM g)
+SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS lines FROM b WHERE NOT brk AND trim(x) <> '' GROUP BY ALL""")
 def block_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    blank = F.trim("line") == ""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("block", F.sum(blank.cast("long")).over(w)).filter(~blank).groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("lines"))
+    """Documents as note files; those of even ids have a rule in place of their third line."""
+    d = table(spark, sf_dir, "documents")
+    ruled = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when((F.col("doc_id") % 2 == 0) & (i == 2), F.lit("----")).otherwise(x)), "\n")
+    return note_blocks(d.select(ruled.alias("value"), F.col("doc_id").alias("file"))).select(F.col("file").alias("doc_id"), F.col("block").cast("long").alias("block"), F.size("lines").cast("long").alias("lines"))
 
 
-@query(r"""
-SELECT doc_id, code, severity FROM (
-  SELECT doc_id, 'country_format' AS code, 'warning' AS severity FROM documents WHERE NOT regexp_matches(upper(lang), '^[A-Z]{2}$')
-  UNION ALL SELECT doc_id, 'malformed', 'warning' FROM documents WHERE n_chars < 50
-  UNION ALL SELECT doc_id, 'confidence_range', 'error' FROM labels WHERE quality NOT BETWEEN 0 AND 1 OR toxic NOT BETWEEN 0 AND 1
-  UNION ALL SELECT doc_id, 'duplicate', 'warning' FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn > 1)""")
+@query("""
+WITH k AS (SELECT c_custkey AS k FROM customer)
+SELECT k AS c_custkey, 'emails' AS field, 'malformed' AS code, 'warning' AS severity, 'malformed value: ' || chr(39) || 'Mail of ' || k || chr(39) AS message FROM k WHERE k % 7 = 0
+UNION ALL SELECT k, 'emails', 'email_format', 'error', 'not an e-mail address: mail of ' || k FROM k WHERE k % 7 = 0
+UNION ALL SELECT k, 'phones', 'malformed', 'warning', 'malformed value: ' || chr(39) || '12' || chr(39) FROM k WHERE k % 11 = 0
+UNION ALL SELECT k, 'phones', 'phone_format', 'error', 'not an E.164 number: 12' FROM k WHERE k % 11 = 0
+UNION ALL SELECT k, 'skills', 'malformed', 'warning', 'malformed value: ' || chr(39) || '1234' || chr(39) FROM k WHERE k % 5 = 0
+UNION ALL SELECT k, 'education', 'date_format', 'error', 'not YYYY-MM: 2001' FROM k WHERE k % 13 = 0""")
 def validation_issues(spark, sf_dir):
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    issue = lambda rows, code, severity: rows.select("doc_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"))
-    first = d.groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("first"))
-    again = d.select("doc_id", F.md5("text").alias("key")).join(first, "key").filter("doc_id <> first")
-    out = issue(d.filter(~F.upper("lang").rlike("^[A-Z]{2}$")), "country_format", "warning")
-    out = out.unionByName(issue(d.filter("n_chars < 50"), "malformed", "warning"))
-    out = out.unionByName(issue(l.filter("quality NOT BETWEEN 0 AND 1 OR toxic NOT BETWEEN 0 AND 1"), "confidence_range", "error"))
-    return out.unionByName(issue(again, "duplicate", "warning"))
+    """Customers as people whose key decides what is wrong with them; issues of the merged rows."""
+    c, k = table(spark, sf_dir, "customer").withColumn("record_ord", F.col("c_custkey")), F.col("c_custkey")
+    email = F.when(k % 7 == 0, F.concat(F.lit("Mail of "), k.cast("string"))).otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org")))
+    phone = F.when(k % 11 == 0, "12").otherwise(F.concat(F.lit("+1 212 55"), F.lpad((k % 100000).cast("string"), 5, "0")))
+    rows = raw_rows(c, F.lit("CSV"), [("full_name", 0, F.col("c_name")), ("emails", 0, email), ("phones", 0, phone), ("skills", 0, F.when(k % 5 == 0, "1234").otherwise("Go")), ("location", 0, F.lit("Lima, Peru")), ("education", 0, F.lit("school"))])
+    edu = F.struct(F.lit("UNI").alias("institution"), F.lit(None).cast("string").alias("degree"), F.lit(None).cast("string").alias("field_of_study"), F.when(F.col("record_ord") % 13 == 0, "2001").otherwise("2001-09").alias("start"), F.lit(None).cast("string").alias("end"))
+    rows = rows.withColumn("edu", F.when(F.col("field") == "education", edu).cast(normalize.EDUCATION))
+    clusters = c.select("record_ord", k.alias("cluster_id"))
+    found = validate.issues(merge.canonical(merge.tracked(normalize.normalize(rows), clusters), clusters))
+    return found.select(F.col("cluster_id").alias("c_custkey"), "field", "code", "severity", "message")
 
 
-@query(f"""
-WITH h AS (SELECT page_id, nullif(split_part({_URL_SQL}, '/', 1), '') AS host FROM pages), m AS (SELECT bool_or(host = 'site1.example.com') AS any_match FROM h)
-SELECT page_id, CASE WHEN host = 'site1.example.com' THEN 'verified' WHEN host IS NOT NULL AND NOT any_match THEN 'mismatch' WHEN host IS NULL AND NOT any_match THEN 'unverified' ELSE 'untouched' END AS status FROM h, m""")
+@query("""
+WITH l AS (SELECT page_id, page_id % 4 = 0 AS plain, 'u' || page_id % 10 AS handle FROM pages)
+SELECT 'known' AS given, page_id, CASE WHEN NOT plain AND handle IN ('u3', 'u7') THEN 'github_verified' ELSE 'none' END AS code, CASE WHEN NOT plain AND handle IN ('u3', 'u7') THEN 9500 ELSE 9000 END AS confidence_bp FROM l
+UNION ALL SELECT 'unknown', page_id, CASE WHEN plain THEN 'github_unverified' ELSE 'github_mismatch' END, CASE WHEN plain THEN 9000 ELSE 8000 END FROM l""")
 def verify_handles(spark, sf_dir):
-    host = F.nullif(F.get(F.split(t.canonical_url(F.col("url")), "/"), F.lit(0)), F.lit(""))
-    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
-    any_match = rows.agg(F.max(F.col("host") == "site1.example.com")).first()[0] or False
-    status = F.when(F.col("host") == "site1.example.com", "verified").when(F.col("host").isNotNull() & F.lit(not any_match), "mismatch").when(F.col("host").isNull() & F.lit(not any_match), "unverified").otherwise("untouched")
-    return rows.select("page_id", status.alias("status"))
+    """Pages as people with one link each; handles given that some of them have, and one that none has."""
+    p = table(spark, sf_dir, "pages").withColumn("record_ord", F.col("page_id"))
+    link = F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(F.concat(F.lit("https://github.com/u"), (F.col("page_id") % 10).cast("string")))
+    clusters = p.select("record_ord", F.col("page_id").alias("cluster_id"))
+    canon = written(merge.canonical(merge.tracked(normalize.normalize(raw_rows(p, F.lit("Resume"), [("links", 0, link)]), fields=("links",)), clusters), clusters), "verify")
+    out = []
+    for given, handles in (("known", ["https://github.com/u3", "@U7"]), ("unknown", ["nobody"])):
+        rows, found = verify.verify(canon, "github", handles, bonus=True)
+        rows = rows.join(found.select("cluster_id", "code"), "cluster_id", "left")
+        out.append(rows.select(F.lit(given).alias("given"), F.col("cluster_id").alias("page_id"), F.coalesce("code", F.lit("none")).alias("code"), bp(F.get("links", F.lit(0))["confidence"]).cast("int").alias("confidence_bp")))
+    return out[0].unionByName(out[1])
 
 
 def _event_canonical(spark, sf_dir) -> DataFrame:
-    v, c = event_values(spark, sf_dir)
-    return merge.canonical(merge.tracked(v.filter("field = 'skills'"), c), c)
+    v, c = event_values(spark, sf_dir, "skills")
+    return merge.canonical(merge.tracked(v, c), c)
 
 
 def _projected(spark, sf_dir, missing: str, path: str) -> DataFrame:
@@ -311,38 +442,61 @@ def project_indexed(spark, sf_dir):
     return _projected(spark, sf_dir, "omit", "skills[0]")
 
 
-@query("""
-SELECT 'documents' AS source, count(*) AS records FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'pages', count(*) FROM pages
-UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'conversations', count(*) FROM conversations""")
+@query(f"""
+WITH p AS (SELECT c_custkey AS id, regexp_extract(c_name, '([0-9]+)', 1) AS k, c_nationkey AS n FROM customer), s AS (SELECT regexp_extract(s_name, '([0-9]+)', 1) AS k, s_nationkey AS n FROM supplier),
+b AS (SELECT p.k, p.n AS a, s.n AS b FROM p JOIN s USING (k))
+SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM s) AS records_in, (SELECT count(DISTINCT k) FROM (SELECT k FROM p UNION ALL SELECT k FROM s)) AS clusters_out,
+  CAST((SELECT coalesce(sum(1 + CASE WHEN a <> b THEN 1 ELSE 0 END), 0) FROM b) AS BIGINT) AS conflicts_found""")
 def run_stats(spark, sf_dir):
-    rows = [table(spark, sf_dir, n).agg(F.lit(n).alias("source"), F.count(F.lit(1)).alias("records")) for n in ("documents", "events", "pages", "customer", "conversations")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("source", "records")
+    stats = RunStats()
+    fuse(_customer_values(spark, sf_dir), stats=stats)
+    return spark.createDataFrame([(stats.records_in, stats.clusters_out, stats.conflicts_found)], "records_in long, clusters_out long, conflicts_found long")
 
 
 @query("""
-SELECT 0 AS source_ord, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 1, s_suppkey, s_name FROM supplier""")
+WITH r AS (SELECT 0 AS source, c_custkey AS id, c_name AS name, c_mktsegment AS skill FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 0, 1000000000 + c_custkey, c_name, NULL FROM customer WHERE c_custkey % 2 = 1
+  UNION ALL SELECT 1, s_suppkey, s_name, NULL FROM supplier)
+SELECT row_number() OVER (ORDER BY source, id) AS place, CAST(source AS BIGINT) AS source, name, skill FROM r""")
 def source_union_ordered(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.lit(0).alias("source_ord"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    s = table(spark, sf_dir, "supplier").select(F.lit(1).alias("source_ord"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return c.unionByName(s)
+    """Two folders of delimited files, read as sources in order: of customers with two headers, and of suppliers."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    at = f"{shared_dir(spark)}/tributary/sources-{uuid.uuid4().hex}"
+    parts = (("0/a", c.filter("c_custkey % 2 = 0").sort("c_custkey").selectExpr("c_name AS `Full Name`", "c_mktsegment AS skillset")), ("0/b", c.filter("c_custkey % 2 = 1").sort("c_custkey").selectExpr("'x' AS other", "c_name AS candidate")), ("1/a", s.sort("s_suppkey").selectExpr("s_name AS name")))
+    for place, rows in parts:
+        rows.coalesce(1).write.csv(f"{at}/{place}", header=True)
+    rows = read_sources(spark, [Source("csv", f"{at}/0/*"), Source("csv", f"{at}/1/*")]).filter("field IS NOT NULL")
+    people = rows.groupBy("record_ord").agg(F.max(F.when(F.col("field") == "full_name", F.col("raw"))).alias("name"), F.max(F.when(F.col("field") == "skills", F.col("raw"))).alias("skill"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("record_ord"))
+    people = people.withColumn("source", F.shiftright("record_ord", SOURCE_BITS)).withColumn("place", place)
+    first = people.filter("source = 0").count()
+    return people.select((F.col("place") + F.when(F.col("source") == 1, F.lit(first)).otherwise(F.lit(0))).cast("long").alias("place"), "source", "name", "skill")
+
+
+def _customer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers as people of two sources; equal numbers in their names are one person."""
+    c, s, n = (table(spark, sf_dir, x) for x in ("customer", "supplier", "nation"))
+    n = F.broadcast(n.select(F.col("n_nationkey").alias("nk"), "n_name"))
+    c = c.join(n, F.col("c_nationkey") == F.col("nk"), "left").select(F.col("c_custkey").alias("record_ord"), F.lit("ATS").alias("src"), F.col("c_name").alias("name"), "n_name", F.col("c_mktsegment").alias("skill"))
+    s = s.join(n, F.col("s_nationkey") == F.col("nk"), "left").select((F.col("s_suppkey") + F.lit(1 << 44)).alias("record_ord"), F.lit("CSV").alias("src"), F.col("s_name").alias("name"), "n_name", F.lit(None).cast("string").alias("skill"))
+    email = F.concat(F.regexp_extract("name", r"(\d+)", 1), F.lit("@example.com"))
+    return written(raw_rows(c.unionByName(s), F.col("src"), [("full_name", 0, F.col("name")), ("emails", 0, email), ("location", 0, F.col("n_name")), ("skills", 0, F.col("skill"))]), "raw-values")
 
 
+@query(r"""
+WITH c AS (SELECT c_custkey AS id, c_name AS name, n_name AS place, c_mktsegment AS skill, regexp_extract(c_name, '([0-9]+)', 1) AS k FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT s_suppkey + 17592186044416 AS id, s_name AS name, n_name AS place, regexp_extract(s_name, '([0-9]+)', 1) AS k FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+b AS (SELECT k, c.id AS c_id, s.id AS s_id, c.name AS c_name, s.name AS s_name, c.place AS c_place, s.place AS s_place, c.skill FROM c FULL JOIN s USING (k)),
+x AS (SELECT *, c_id IS NOT NULL AND s_id IS NOT NULL AS two, CASE WHEN c_id IS NULL THEN 8000 ELSE 8500 END AS base FROM b),
+y AS (SELECT *, base - CASE WHEN two THEN 1000 ELSE 0 END AS of_name, base + CASE WHEN two THEN 500 ELSE 0 END AS of_email, base + CASE WHEN NOT two THEN 0 WHEN c_place = s_place THEN 500 ELSE -1000 END AS of_place FROM x)
+SELECT coalesce(c_id, s_id) AS cluster_id, left(sha256('email:' || k || '@example.com'), 16) AS candidate_id, coalesce(c_name, s_name) AS full_name, coalesce(c_place, s_place) AS city,
+  k || '@example.com' AS emails, coalesce(skill, '') AS skills,
+  CAST(round(CASE WHEN c_id IS NULL THEN (((of_name + of_email + of_place)::DOUBLE / 10000.0::DOUBLE) / 3 - 0.15::DOUBLE) ELSE ((of_name + of_email + of_place + 8500)::DOUBLE / 10000.0::DOUBLE) / 4 END * 10000) AS BIGINT) AS record_confidence_bp FROM y""")
 def fuse_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: customers and suppliers as people of two sources, through the whole engine."""
-    c, s, n = (table(spark, sf_dir, x) for x in ("customer", "supplier", "nation"))
-    n = F.broadcast(n.select(F.col("n_nationkey").alias("nk"), "n_name"))
-    c = c.join(n, F.col("c_nationkey") == F.col("nk"), "left").select(F.col("c_custkey").alias("id"), F.lit("ATS").alias("source"), F.col("c_name").alias("name"), "n_name", F.col("c_mktsegment").alias("skill"))
-    s = s.join(n, F.col("s_nationkey") == F.col("nk"), "left").select((F.col("s_suppkey") + F.lit(1 << 44)).alias("id"), F.lit("CSV").alias("source"), F.col("s_name").alias("name"), "n_name", F.lit(None).cast("string").alias("skill"))
-    email = F.concat(F.regexp_extract("name", r"(\d+)", 1), F.lit("@example.com"))  # equal numbers are one person
-    one = lambda f, x: F.struct(F.lit(f).alias("field"), x.alias("raw"))
-    rows = c.unionByName(s).select(F.col("id").alias("record_ord"), "source", F.explode(F.array(one("full_name", F.col("name")), one("emails", email), one("location", F.col("n_name")), one("skills", F.col("skill")))).alias("v"))
-    raw = rows.select("record_ord", "source", F.col("v.field").alias("field"), F.lit(0).alias("pos"), F.col("v.raw").alias("raw"), F.lit(None).cast(normalize.EDUCATION).alias("edu"), F.lit("table").alias("method"), F.lit(False).alias("malformed")).filter("raw IS NOT NULL")
-    canon, _ = fuse(written(raw, "raw-values"))
+    """The flagship: customers and suppliers through the whole engine."""
+    canon, _ = fuse(_customer_values(spark, sf_dir))
     value = lambda f: F.col(f)["value"]
-    return canon.select("cluster_id", "candidate_id", value("full_name").alias("full_name"), value("location")["country"].alias("country"), F.transform("emails", lambda e: e["value"]).alias("emails"), F.transform("skills", lambda e: e["value"]).alias("skills"), bp(F.col("record_confidence")).alias("record_confidence_bp"))
+    joined = lambda f: F.array_join(F.transform(f, lambda e: e["value"]), ",")
+    return canon.select("cluster_id", "candidate_id", value("full_name").alias("full_name"), value("location")["city"].alias("city"), joined("emails").alias("emails"), joined("skills").alias("skills"), bp(F.col("record_confidence")).alias("record_confidence_bp"))
 
 
 @query("""
