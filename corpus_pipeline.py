@@ -1,7 +1,12 @@
 """The corpus pipeline: quality classifier, quality rules, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of docs. Rows without a doc_id stay in every stage that does not reject their text.
+All but the last return the columns of docs, whatever other columns they have and however these are named.
+
+Defined cases: no rows give no rows. Rows without a doc_id stay in every stage that does not reject their text. A null
+text counts as empty: the classifier has no opinion of it, and the rules reject it, as they do every text of few words.
+Of rows whose texts are equal or nearly so the one with the least doc_id stays, of several with that doc_id the first
+read; each row is judged by its own text, so a repeated doc_id takes no other row along.
 """
 
 from __future__ import annotations
