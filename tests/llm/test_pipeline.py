@@ -48,3 +48,17 @@ def test_stages(spark, folder):
     pieces = corpus_pipeline.run(spark, d).collect()
     assert sum(p.length for p in pieces) == sum(len(ids_of(WORD, t)) + 1 for t in seen["suffix-array dedup"].values())
     assert max(p.offset + p.length for p in pieces) <= packing.CAPACITY
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, folder):
+    """No rows give no rows; columns whose names the operators use themselves stay as they are."""
+    d, rows, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    names = ("__measures", "__host", "__dedup", "row", "block", "places", "score", "c0", "Host")
+    wide = docs.selectExpr("*", *(f"'mine' AS `{n}`" for n in names))
+    some = wide.filter("doc_id < 20 OR doc_id IS NULL OR doc_id = 200")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.limit(0), d).count() == 0, name
+        if name != "packing":
+            got = stage(spark, some, d)
+            assert got.columns == wide.columns and all(r[n] == "mine" for r in got.collect() for n in names), name
