@@ -74,7 +74,7 @@ def planes(x: np.ndarray) -> bytes:
     parts = [np.array([len(x)], "<i8").tobytes()]
     for name in x.dtype.names:
         field = np.ascontiguousarray(x[name])
-        parts.append(field.view(np.uint8).reshape(len(x), -1).T.tobytes())
+        parts.append(field.view(np.uint8).reshape(len(x), x.dtype[name].itemsize).T.tobytes())
     return squeeze(b"".join(parts))
 
 
