@@ -175,14 +175,15 @@ def _logits(model: Model, text: pa.Array) -> np.ndarray:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """A model of the rows with a text and a language; None if there are none. One task fits it on the bounded sample."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not counts:
-        return None
-    # a hash of 62 bits; more than are used are taken, made distinct, and each language's least hashes used
     h = F.shiftrightunsigned(F.xxhash64("text"), 2)
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max(1, min(1 << 62, 2 * rows_per_language * (1 << 62) // n)))))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.withColumn("h", h).filter(F.col("h") <= share[F.col("lang")]).distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows_per_language).select("text", "lang")
+    # of each language the least hashes of distinct texts: copies take no share, and no language goes without a text
+    hashes = rows.select("lang", h.alias("h")).distinct()
+    least = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= rows_per_language)
+    last = {r["lang"]: r["h"] for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # one row a language
+    if not last:
+        return None
+    bound = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
+    sample = rows.withColumn("h", h).filter(F.col("h") <= bound[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = [], []
