@@ -1,20 +1,19 @@
 """Which records are the same person: exact keys first, then guarded fuzzy names within surnames.
 
 Exact keys are a bipartite graph of records and keys, reduced to one edge a record and key (to the key's first record),
-and resolved by distributed components. Fuzzy linking depends on order, because a merge changes what the guard sees;
-so the pairs that pass the similarity are found by a join, which is where the work is, and only they are replayed in
-order, for each group of clusters that they tie.
+and resolved by distributed components. Similar names are found once for each surname, among its distinct names; which
+clusters they link, in order and under the guard, is told by `linking` from the clusters of each name, not from pairs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import surname_key, token_sort_ratio, words
 from ..model import FusionConfig
 from ..plans.storage import written
+from . import linking
 from .components import components
 
 
@@ -57,66 +56,56 @@ def _prefix_grams(names: DataFrame, threshold: float) -> DataFrame:
     return ranked.select(*key, F.explode(F.slice("g", F.lit(1), wanted)).alias("g")).filter("g.often > 1").select(*key, F.col("g.gram").alias("gram"))
 
 
-def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of units (root, surname, name, ord) of one surname and different roots whose names reach the similarity.
+def similar_names(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different names (surname, name_a < name_b) of one surname that reach the similarity, of a table of distinct names.
 
-    Distinct names of a surname meet by the rarest of their q-grams; each passing pair of names then gives its units' pairs.
+    Names meet by the rarest of their q-grams and are compared once a pair.
     """
-    distinct = written(names.select("surname", "name").distinct(), "surname-names")
     grams = _prefix_grams(distinct, threshold)
     a, b = (grams.select("surname", "gram", F.col("name").alias(f"name_{side}")) for side in "ab")
     la, lb = F.length("name_a"), F.length("name_b")
     bound = F.lit(200.0) * F.least(la, lb) >= F.lit(threshold) * (la + lb)  # no more can be common than the shorter has
     near = a.join(b, ["surname", "gram"]).filter((F.col("name_a") < F.col("name_b")) & bound).select("surname", "name_a", "name_b").distinct()
-    near = near.filter(token_sort_ratio(F.col("name_a"), F.col("name_b")) >= threshold)
-    same = distinct.select("surname", F.col("name").alias("name_a"), F.col("name").alias("name_b"))
-    both = near.unionByName(near.select("surname", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"))).unionByName(same)
+    return near.filter(token_sort_ratio(F.col("name_a"), F.col("name_b")) >= threshold)
+
+
+def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of units (root, surname, name, ord) of one surname, different names and different roots whose names reach the similarity."""
+    near = similar_names(written(names.select("surname", "name").distinct(), "surname-names"), threshold)
+    both = near.unionByName(near.select("surname", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b")))
     a, b = (names.select("surname", *(F.col(c).alias(f"{c}_{side}") for c in ("root", "name", "ord"))) for side in "ab")
     pairs = both.join(a, ["surname", "name_a"]).join(b, ["surname", "name_b"])
     return pairs.filter((F.col("ord_a") < F.col("ord_b")) & (F.col("root_a") != F.col("root_b")))
 
 
-def _replay(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Merges of one group of roots: pairs in the order of blocks and records, guarded by what the clusters hold by then."""
-    parent: dict[int, int] = {}
-    has: dict[int, list[bool]] = {}
-    for side in "ab":
-        for r, e, p in zip(pairs[f"root_{side}"], pairs[f"email_{side}"], pairs[f"phone_{side}"], strict=True):
-            parent[r], has[r] = r, [bool(e), bool(p)]
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for r in pairs.sort_values(["block", "ord_a", "ord_b"]).itertuples():
-        x, y = find(r.root_a), find(r.root_b)
-        if x == y or (has[x][0] and has[y][0]) or (has[x][1] and has[y][1]):
-            continue
-        x, y = min(x, y), max(x, y)
-        parent[y] = x
-        has[x] = [has[x][0] or has[y][0], has[x][1] or has[y][1]]
-    return pd.DataFrame({"root": list(parent), "cluster_id": [find(x) for x in parent]})
+def linked_names(units: DataFrame, threshold: float) -> DataFrame:
+    """root and cluster_id of the roots that similar names link. units: root, surname, name, ord (the root's first record of that name) and guard (bits of `linking`)."""
+    numbers = units.groupBy("surname", "name").agg(F.min("ord").alias("number"), F.count(F.lit(1)).alias("n"))
+    numbers = written(numbers, "surname-names")
+    blocks = numbers.groupBy("surname").agg(F.min("number").alias("block"))
+    near = similar_names(numbers.select("surname", "name"), threshold)
+    a, b = (numbers.select("surname", F.col("name").alias(f"name_{side}"), F.col("number").alias(side)) for side in "ab")
+    pairs = near.join(a, ["surname", "name_a"]).join(b, ["surname", "name_b"]).select("a", "b")
+    pairs = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "name-numbers")
+    # a name that one root has alone, and that no other name is like, links nothing
+    some = numbers.join(pairs.select(F.col("a").alias("number")).distinct().withColumn("like", F.lit(True)), "number", "left").filter("like OR n > 1")
+    some = some.join(blocks, "surname").select("surname", "name", "number", "block")
+    similar = pairs.unionByName(some.select(F.col("number").alias("a"), F.col("number").alias("b"))).toDF("name_a", "name_b")
+    rows = units.join(some, ["surname", "name"]).select("root", F.col("number").alias("name"), "block", "ord", "guard")
+    return linking.link(rows, similar)
 
 
 def resolve(raw: DataFrame, values: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
     """record_ord and cluster_id (the least record_ord of the cluster) of every record."""
     records = raw.select("record_ord").distinct()
     roots = written(exact_components(exact_keys(values)), "roots")
-    records = records.join(roots, "record_ord", "left").withColumn("root", F.coalesce("root", "record_ord"))
-    records = written(records, "records")
+    records = written(records.join(roots, "record_ord", "left").withColumn("root", F.coalesce("root", "record_ord")), "records")
     strong = values.filter(~F.col("malformed") & F.col("field").isin("emails", "phones")).join(records, "record_ord")
-    held = strong.groupBy("root").agg(F.max(F.col("field") == "emails").alias("email"), F.max(F.col("field") == "phones").alias("phone"))
+    bit = F.when(F.col("field") == "emails", linking.EMAIL).otherwise(linking.PHONE)
+    held = strong.groupBy("root").agg(F.bit_or(bit).alias("guard"))
     names = values.filter((F.col("field") == "full_name") & (F.col("pos") == 0)).select("record_ord", F.col("v_str").alias("name"))
     names = names.withColumn("surname", surname_key(F.col("name"))).filter("surname IS NOT NULL").join(records, "record_ord")
-    blocks = names.groupBy("surname").agg(F.min("record_ord").alias("block"), F.count_distinct("root").alias("n")).filter("n > 1")
-    units = names.join(blocks.select("surname"), "surname", "left_semi").groupBy("root", "surname", "name").agg(F.min("record_ord").alias("ord"))
-    pairs = name_pairs(written(units, "names"), config.fuzzy_threshold).join(blocks.select("surname", "block"), "surname")
-    for side in "ab":
-        of = held.select(F.col("root").alias(f"root_{side}"), F.col("email").alias(f"email_{side}"), F.col("phone").alias(f"phone_{side}"))
-        pairs = pairs.join(of, f"root_{side}", "left").fillna(False, [f"email_{side}", f"phone_{side}"])
-    pairs = written(pairs, "name-pairs")
-    group = components(pairs.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root_a"), F.col("component").alias("grp"))
-    merged = pairs.join(group, "root_a").groupBy("grp").applyInPandas(lambda p: _replay(p), "root long, cluster_id long")
-    return records.join(merged, "root", "left").select("record_ord", F.coalesce("cluster_id", "root").alias("cluster_id"))
+    units = names.groupBy("root", "surname", "name").agg(F.min("record_ord").alias("ord"))
+    units = written(units.join(held, "root", "left").fillna(0, ["guard"]), "units")
+    linked = linked_names(units, config.fuzzy_threshold)
+    return records.join(linked, "root", "left").select("record_ord", F.coalesce("cluster_id", "root").alias("cluster_id"))
