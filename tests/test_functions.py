@@ -1,5 +1,7 @@
 """Normalizers on the cases that their rules name."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,23 @@ def test_candidate_id(spark):
     null = F.lit(None).cast("string")
     assert one(spark, t.candidate_id(F.lit("jane.doe@gmail.com"), null, null, null)) == "191655314d29538e"
     assert one(spark, t.candidate_id(null, null, F.lit("Only Name"), null)) == "1164246dd1d341e4"
+
+
+def test_similarity_of_long_texts(spark):
+    """Bits in words of 62 letters give the lengths that the table of cells gives."""
+    r = random.Random(4)
+    text = lambda k: "".join(r.choice("abcdé 日fghi jk"[:k]) for _ in range(r.randrange(0, 201)))
+    rows = [(text(k), text(k)) for k in (2, 5, 13) for _ in range(40)] + [("x" * 62, "x" * 63), ("x" * 124, "x" * 125), ("ab" * 62, "ba" * 62), ("", ""), ("", "a")]
+
+    def by_hand(a, b):
+        a, b = (" ".join(sorted(x.split())) for x in (a, b))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            last, row = row, [0]
+            for j, d in enumerate(b):
+                row.append(last[j] + 1 if c == d else max(last[j + 1], row[j]))
+        return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", t.token_sort_ratio(F.col("a"), F.col("b")).alias("s"))
+    for x in got.collect():
+        assert x.s == pytest.approx(by_hand(x.a, x.b)), (x.a, x.b)
