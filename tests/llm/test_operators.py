@@ -228,7 +228,7 @@ def cut_by_hand(rows, length):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("length,anchor,small", [(50, 24, {}), (20, 8, {"HOT": 2, "CHUNK": 300, "SUFFIXES": 40, "WINDOWS": 60, "BUCKET_BYTES": 5000, "BLOCK_BYTES": 2000})])
+@pytest.mark.parametrize("length,anchor,small", [(50, 24, {}), (20, 8, {"CHUNK": 300, "SUFFIXES": 40, "WINDOWS": 60, "PART_WINDOWS": 50, "BUCKET_BYTES": 5000, "BLOCK_BYTES": 2000}), (20, 8, {"HOT_UNITS": 2, "CHUNK": 300, "SUFFIXES": 40, "WINDOWS": 60, "PART_WINDOWS": 50, "BUCKET_BYTES": 5000, "BLOCK_BYTES": 2000})])
 def test_suffix_dedup(docs, rows, none, length, anchor, small, monkeypatch):
     for k, v in small.items():
         monkeypatch.setattr(suffix_dedup, k, v)
@@ -250,6 +250,41 @@ def test_suffix_dedup_clash_and_hash_collisions(spark, docs, monkeypatch):
     assert order.tolist() == [2, 1, 0] and new.tolist() == [True, True, True]  # only neighbours of equal bytes are one
 
 
+def log_lines(n, seed):
+    r = np.random.default_rng(seed)
+    return "\n".join(f"2024-05-01 INFO request-id={k:012d}" for k in r.integers(0, 10**12, n)) + "\n"
+
+
+def test_suffix_dedup_of_log_lines(spark):
+    """A passage inside every line: one anchor has a unit for each line of few documents."""
+    a, b = log_lines(400, 1), log_lines(300, 2)
+    rows = [(1, a), (2, b), (3, a[1000:3000] + b[500:700]), (4, log_lines(50, 3) + a[:400])]
+    r = F.col(suffix_dedup.RESULT)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, 24).select("doc_id", r["n_bytes"], r["n_removed"], F.size(r["spans"]), r["kept_sha256"])
+    assert sorted(map(tuple, got.collect()), key=key) == cut_by_hand(rows, 50)
+
+
+def test_suffix_dedup_memory_of_a_hot_anchor():
+    """The units of one anchor take a few times the bytes of their texts."""
+    import tracemalloc
+
+    n = 60_000
+    text = log_lines(n, 4).encode()
+    line = len(text) // n
+    data = np.frombuffer(text, np.uint8)
+    start = np.arange(n - 3) * line
+    size = np.full(len(start), 74)
+    u = np.zeros(len(start), suffix_dedup._UNIT)
+    u["doc"], u["id"], u["size"] = np.arange(len(start)) % 2, np.arange(len(start)), size
+    same = np.zeros(len(start), np.uint64)
+    order, new = suffix_dedup.distinct_strings(data, start, size, suffix_dedup.string_hashes(data, start, start + size), same, u["doc"])
+    tracemalloc.start()
+    unit, found = suffix_dedup._news(u, same, order, new, start, size, data, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(found) and peak < 60 * len(text)
+
+
 def test_suffix_dedup_memory_of_a_long_text():
     """Anchors of a text take a few bytes for each of its bytes, however long it is."""
     import tracemalloc

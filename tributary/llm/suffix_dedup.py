@@ -9,8 +9,8 @@ blocks of a few megabytes; what meets across blocks is far smaller than the text
    have equal anchors. Blocks send their distinct anchors' hashes to buckets, with the number of documents that have them.
 2. Buckets return to each block which of its anchors two documents or more have.
 3. Consecutive windows with one repeated anchor form a unit, a snippet of at most `length` + w - 1 bytes. Blocks send each
-   distinct unit once, with its least doc_id, to the bucket of its anchor. Units of anchors that more than `HOT` documents
-   have are split into their windows, each with its bytes, which spread over the buckets by their own hash.
+   distinct unit once, with its least doc_id, to the bucket of its anchor. Units of anchors that have more than `HOT_UNITS`
+   are split into their windows, each with its bytes, which spread over the buckets by their own hash.
 4. A bucket sorts the suffixes of its units, finds the lengths of common prefixes of neighbours, and scans them with a
    stack into the tree of common-prefix intervals. Intervals of `length` bytes or more whose occurrences have different
    left neighbours (or stand at a unit's start) are the maximal repeats, each with all its occurrences. An occurrence
@@ -44,14 +44,16 @@ from .common import give_back, mix64, table, unused, written
 
 LENGTH = 50
 ANCHOR = 24
-#: Units of anchors in more documents than this are split into windows.
-HOT = 1000
+#: Anchors of more units than this, about 250 bytes of memory each, are split into windows.
+HOT_UNITS = 1_000_000
 BLOCK_BYTES = 2 << 20
 #: Bytes of text whose anchors a bucket gets on the average.
 BUCKET_BYTES = 8 << 20
 #: Bytes of a text that are worked on at a time; windows of a bucket's units, and suffixes that are sorted, at a time.
 CHUNK = 1 << 19
 WINDOWS, SUFFIXES = 1 << 18, 1 << 16
+#: Windows whose hashes are held at a time.
+PART_WINDOWS = 1 << 21
 #: Up to so many texts with copies, 24 bytes each, are broadcast.
 BROADCAST_COPIES = 200_000
 _LAST = np.iinfo(np.int64).max
@@ -212,7 +214,7 @@ def _without(t: Text, copies: pa.ChunkedArray, *columns: np.ndarray) -> tuple[np
 
 # 1 and 2: which anchors are repeated
 
-_ANCHOR = np.dtype([("low", "<u4"), ("high", "<u2"), ("n", "u1")])
+_ANCHOR = np.dtype([("low", "<u4"), ("high", "<u2"), ("n", "u1"), ("units", "<u2")])
 _ANCHOR_ROW = "bucket long, block long, anchors binary"
 
 
@@ -220,9 +222,9 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return x["low"].astype(np.uint64) | (x["high"].astype(np.uint64) << np.uint64(32))
 
 
-def _packed_anchors(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _packed_anchors(h: np.ndarray, n: np.ndarray, units: np.ndarray | int = 0) -> np.ndarray:
     x = np.empty(len(h), _ANCHOR)
-    x["low"], x["high"], x["n"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), n
+    x["low"], x["high"], x["n"], x["units"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), n, units
     return x
 
 
@@ -239,7 +241,7 @@ def _anchors(length: int, k: int, buckets: int):
         new_doc[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         first = run_starts(h)
         count = np.minimum(np.add.reduceat(new_doc, first), 255) if len(first) else first
-        x = _packed_anchors(h[first], count)
+        x = _packed_anchors(h[first], count, np.minimum(run_ends(first, len(h)) - first, 0xFFFF))
         bucket = _bucket(h[first], buckets)  # ascending with the hashes
         lo = run_starts(bucket)
         hi = run_ends(lo, len(bucket))
@@ -254,14 +256,15 @@ def _repeated(rows: pa.Table) -> pa.Table:
     """Of one bucket, for each block: its anchors that several documents have, and whether they are hot."""
     blobs, blocks = [from_planes(x.as_py(), _ANCHOR) for x in rows.column("anchors")], rows.column("block").to_numpy()
     x = np.concatenate(blobs)
-    h, count = _hash(x), x["n"].astype(np.int64)
+    h, count, units = _hash(x), x["n"].astype(np.int64), x["units"].astype(np.int64)
     owner = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
     order = np.argsort(h, kind="stable")
-    h, count, owner = h[order], count[order], owner[order]
+    h, count, units, owner = h[order], count[order], units[order], owner[order]
     first = run_starts(h)
-    total = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(h)))) if len(h) else count
-    keep = total > 1
-    h, owner, hot = h[keep], owner[keep], total[keep] > HOT
+    many = run_ends(first, len(h)) - first
+    keep = np.repeat(np.add.reduceat(count, first) > 1, many) if len(h) else np.zeros(0, bool)
+    hot = np.repeat(np.add.reduceat(units, first) > HOT_UNITS, many) if len(h) else keep
+    h, owner, hot = h[keep], owner[keep], hot[keep]
     order, lo, hi = grouped(owner)
     packed = _packed_anchors(h[order], hot[order])
     return pa.table({"block": blocks[owner[order[lo]]] if len(h) else np.zeros(0, np.int64), "anchors": pa.array([planes(packed[i:j]) for i, j in zip(lo, hi, strict=True)], pa.binary())})
@@ -402,32 +405,67 @@ def maximal_repeats(shared: np.ndarray, left: np.ndarray, doc: np.ndarray, lengt
     return tuple(np.array(x, np.int64) for x in (size, first, last, least))
 
 
-def _learn(best: np.ndarray, base: np.ndarray, pick: np.ndarray, n_windows: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, least: np.ndarray, length: int) -> None:
-    """Sets for the windows of the picked snippets the least doc_id that has them. Every window begins a suffix."""
-    snippet = np.repeat(pick, n_windows[pick])
-    offset = ranges(np.zeros(len(pick), np.int64), n_windows[pick])
-    at = start[snippet] + offset
-    sa, shared = suffix_array(data, at, start[snippet] + size[snippet])
-    left = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1)
-    common, lo, hi, doc = maximal_repeats(shared, left[sa], least[snippet[sa]], length)
-    spread = hi - lo + 1
-    occurrence = sa[ranges(lo, spread)]
-    common, doc = np.repeat(common, spread), np.repeat(doc, spread)
-    learns = doc < least[snippet[occurrence]]
-    occurrence, common, doc = occurrence[learns], common[learns], doc[learns]
-    covered = common - length + 1
-    window = ranges(base[snippet[occurrence]] + offset[occurrence], covered)
-    np.minimum.at(best, window, np.repeat(doc, covered))
+def _repeated_windows(snippet: np.ndarray, n_windows: np.ndarray, start: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of the snippets (snippet, offset) whose hash occurs more than once, all with one hash together, about `SUFFIXES` or one hash's at a time.
+
+    Hashes are computed for `PART_WINDOWS` windows at a time, and in as many rounds, by classes of the hash, as there are
+    such parts: a round keeps its class's windows only. Suffixes with `length` bytes in common begin with one window.
+    """
+    total = np.cumsum(n_windows[snippet])
+    if not len(total):
+        return
+    parts = -(-int(total[-1]) // PART_WINDOWS)
+    cuts = np.searchsorted(total, np.arange(1, parts + 1) * PART_WINDOWS)
+    for turn in range(parts):
+        held = []
+        for i, j in zip(np.append(0, cuts[:-1]), np.append(cuts[:-1], len(snippet)), strict=True):
+            some = np.repeat(snippet[i:j], n_windows[snippet[i:j]])
+            offset = ranges(np.zeros(j - i, np.int64), n_windows[snippet[i:j]])
+            at = start[some] + offset
+            h = string_hashes(data, at, at + length)
+            mine = h % np.uint64(parts) == turn if parts > 1 else np.ones(len(h), bool)
+            held.append((h[mine], some[mine].astype(np.int32), offset[mine].astype(np.uint16)))
+        h, some, offset = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.argsort(h, kind="stable")
+        first = run_starts(h[order])
+        size = run_ends(first, len(order)) - first
+        keep = np.repeat(size > 1, size)
+        order, size = order[keep], size[size > 1]
+        if not len(order):
+            continue
+        batch = (np.cumsum(size) - size) // SUFFIXES
+        ends = np.cumsum(size)[run_ends(run_starts(batch), len(batch)) - 1]
+        for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
+            yield some[order[i:j]].astype(np.int64), offset[order[i:j]].astype(np.int64)
+
+
+def _learn(best: np.ndarray, base: np.ndarray, pick: np.ndarray, n_windows: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, rank: np.ndarray, length: int) -> None:
+    """Sets for the windows of the picked snippets the least rank (of doc_ids) that has them. Every window that occurs twice begins a suffix."""
+    for snippet, offset in _repeated_windows(pick, n_windows, start, data, length):
+        at = start[snippet] + offset
+        sa, shared = suffix_array(data, at, start[snippet] + size[snippet])
+        left = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1)
+        common, lo, hi, doc = maximal_repeats(shared, left[sa], rank[snippet[sa]], length)
+        spread = hi - lo + 1
+        occurrence = sa[ranges(lo, spread)]
+        common, doc = np.repeat(common, spread), np.repeat(doc, spread)
+        learns = doc < rank[snippet[occurrence]]
+        occurrence, common, doc = occurrence[learns], common[learns], doc[learns]
+        covered = common - length + 1
+        for i in range(0, len(occurrence), SUFFIXES):
+            o, n = occurrence[i : i + SUFFIXES], covered[i : i + SUFFIXES]
+            np.minimum.at(best, ranges(base[snippet[o]] + offset[o], n), np.repeat(doc[i : i + SUFFIXES], n).astype(np.int32))
 
 
 def _news(u: np.ndarray, unit_key: np.ndarray, order: np.ndarray, new: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the units of some anchors (in order; new where a snippet begins): units, and runs of their windows that a smaller doc_id has."""
     text = np.cumsum(new) - 1  # the distinct snippet of each unit
     one = order[new]
-    least = u["doc"][one].astype(np.int64)
+    doc_ids, rank = np.unique(u["doc"][order], return_inverse=True)
     n_windows = size[one] - length + 1
     base = np.cumsum(n_windows) - n_windows
-    best = np.repeat(least, n_windows)
+    best = np.repeat(rank[new].astype(np.int32), n_windows)
     first = run_starts(unit_key[one])
     many = run_ends(first, len(one)) - first
     several = np.repeat(many > 1, many)
@@ -435,20 +473,25 @@ def _news(u: np.ndarray, unit_key: np.ndarray, order: np.ndarray, new: np.ndarra
     batch = np.repeat((np.cumsum(suffixes) - suffixes) // SUFFIXES, many)
     pick = np.flatnonzero(several)
     for i, j in zip(*grouped(batch[pick])[1:], strict=True):
-        _learn(best, base, pick[i:j], n_windows, start[one], size[one], data, least, length)
-    # back to the units: only doc_ids smaller than the block's own are news
-    per_unit = n_windows[text]
-    value = best[ranges(base[text], per_unit)]
-    unit = np.repeat(order, per_unit)
-    index = ranges(np.zeros(len(order), np.int64), per_unit)
-    news = value < u["doc"][unit]
-    value, unit, index = value[news], unit[news], index[news]
-    begins = np.ones(len(value), bool)
-    begins[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1]) | (index[1:] != index[:-1] + 1)
-    head = np.flatnonzero(begins)
-    found = np.empty(len(head), _NEWS)
-    found["doc"], found["id"], found["first"], found["n"] = value[head], u["id"][unit[head]], index[head], np.diff(np.append(head, len(value)))
-    return unit[head], found
+        _learn(best, base, pick[i:j], n_windows, start[one], size[one], data, rank[new], length)
+    # back to the units, some at a time: only doc_ids smaller than the block's own are news
+    unit_parts, parts = [np.zeros(0, np.int64)], [np.zeros(0, _NEWS)]
+    turn = (np.cumsum(n_windows[text]) - 1) // WINDOWS
+    for i, j in zip(run_starts(turn), run_ends(run_starts(turn), len(turn)), strict=True):
+        per_unit = n_windows[text[i:j]]
+        value = best[ranges(base[text[i:j]], per_unit)]
+        unit = np.repeat(np.arange(i, j), per_unit)
+        index = ranges(np.zeros(j - i, np.int64), per_unit)
+        news = value < rank[unit]
+        value, unit, index = value[news], unit[news], index[news]
+        begins = np.ones(len(value), bool)
+        begins[1:] = (unit[1:] != unit[:-1]) | (value[1:] != value[:-1]) | (index[1:] != index[:-1] + 1)
+        head = np.flatnonzero(begins)
+        found = np.empty(len(head), _NEWS)
+        found["doc"], found["id"], found["first"], found["n"] = doc_ids[value[head]], u["id"][order[unit[head]]], index[head], np.diff(np.append(head, len(value)))
+        unit_parts.append(order[unit[head]])
+        parts.append(found)
+    return np.concatenate(unit_parts), np.concatenate(parts)
 
 
 def _resolved(length: int, buckets: int):
