@@ -1,5 +1,7 @@
 """Readers over folders of several files, and what they take from each record."""
 
+import random
+import csv
 import json
 from datetime import date
 
@@ -117,3 +119,53 @@ def test_a_source_that_fails_late_gives_nothing(spark, tmp_path, monkeypatch):
     assert read_sources(spark, [Source("late", "x"), Source("csv", str(tmp_path / "csv"))]).filter("field IS NOT NULL").count() == 50
     with pytest.raises(ValueError):
         read_sources(spark, [Source("csv", "x")] * (registry.MAX_SOURCES + 1))
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "6000")
+    spark.conf.set(names[1], "1")
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
+def test_json_arrays_in_splits(spark, tmp_path, small_splits):
+    """Objects that cross splits, brackets and quotes inside strings, files that are not whole."""
+    from tributary.sources import json_profiles, splits
+
+    r = random.Random(1)
+    objs = [{"name": f"P {i}", "note": r.choice(['has } and { and ] "quoted" \\ back\\', "x" * r.randrange(900), "é日\n", "plain"]) + str(i), "skills": ["a]", "{b"], "k": {"z": [{"y": 1}]}} for i in range(120)]
+    texts = {
+        "a": json.dumps(objs),
+        "b": "\n [ " + ",\n".join(json.dumps(o, indent=1) for o in objs[:20]) + "\n]\n",
+        "c": json.dumps(objs)[:-1],
+        "d": json.dumps(objs[0]),
+        "e": json.dumps({"candidates": objs[:3], "other": [{"a": 1}]}),
+        "f": json.dumps(objs[:5]).replace('"P 1"', "P 1"),
+        "g": "[]",
+        "h": json.dumps([1, "x{", [{"inner": 2}], objs[7], None]),
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    assert splits.chunks(spark, str(tmp_path / "a.json"), splits.JsonArrayScan()).rdd.getNumPartitions() > 4
+    want = {"a": objs, "b": objs[:20], "c": [], "d": objs[:1], "e": objs[:3], "f": [], "g": [], "h": [objs[7]]}
+    got = json_profiles._objects(spark, str(tmp_path), "candidates").orderBy("record_ord").collect()
+    assert [json.loads(x.obj) for x in got] == [o for name in sorted(want) for o in want[name]]
+    assert len({x.record_ord for x in got}) == len(got)
+
+
+def test_quoted_line_breaks_in_splits(spark, tmp_path, small_splits):
+    from tributary.sources.csv import read_csv
+
+    r = random.Random(2)
+    rows = [["name", "email", "title"]] + [[f"N {i}", f"n{i}@x.org", r.choice(["plain", "li\nne\n\nmore", 'q"uo"te, and\n"', "a,b", "long " * 200 + "\n"]) + "."] for i in range(150)]
+    with open(tmp_path / "x.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+        f.write('Odd,odd@x.org,5" disk\nLast,last@x.org,end\n')  # a quote inside a cell opens nothing
+    rows += [["Odd", "odd@x.org", '5" disk'], ["Last", "last@x.org", "end"]]
+    got = read_csv(spark, str(tmp_path / "x.csv")).filter("field IN ('full_name', 'headline')").orderBy("record_ord").collect()
+    assert [x.raw for x in got if x.field == "full_name"] == [x[0] for x in rows[1:]]
+    assert [x.raw for x in got if x.field == "headline"] == [x[2].strip() for x in rows[1:]]

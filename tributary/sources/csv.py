@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import none_if_blank, strip
+from . import splits
 from .registry import BROADCAST_FILES, FILE, empty, files_of, in_order, many, one, register, values
 
 # Header aliases.
@@ -37,7 +38,7 @@ def _first_lines(spark: SparkSession, lines: DataFrame) -> list[tuple[str, tuple
 
 @register("csv")
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every file's first line is its own header. Files without line breaks inside quotes are read in splits."""
+    """Every file's first line is its own header. All files are read in splits, those with line breaks inside quotes by `splits`."""
     lines = spark.read.text(path).select("value", F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     files = files_of(lines)
     odd = F.length("value") - F.length(F.replace("value", F.lit('"')))
@@ -62,11 +63,16 @@ def _of_header(spark: SparkSession, header: tuple[str, ...], of: list[str], file
     if not fields:
         return empty(spark)
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    rows = spark.read.options(multiLine=whole, **OPTIONS).schema(schema).csv([spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)).toString() for f in of])
-    rows = rows.select("*", F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    # a split's rows are numbered from its first one; a split has fewer rows than bytes
-    split = rows.groupBy("file", "block").agg(F.min("n").alias("first"))
-    rows = rows.join(F.broadcast(split) if len(of) <= BROADCAST_FILES and not whole else split, ["file", "block"]).withColumn("at", F.col("block") + F.col("n") - F.col("first"))
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)).toString() for f in of]
+    if whole:  # line breaks inside quotes
+        rows, _ = splits.records(splits.chunks(spark, paths, splits.CsvScan()), splits.CsvScan())
+        rows = rows.select("file", "at", F.from_csv("text", schema, {k: str(v) for k, v in OPTIONS.items() if k in ("quote", "escape", "mode")}).alias("r")).select("file", "at", "r.*")
+    else:
+        rows = spark.read.options(**OPTIONS).schema(schema).csv(paths)
+        rows = rows.select("*", F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+        # a split's rows are numbered from its first one; a split has fewer rows than bytes
+        split = rows.groupBy("file", "block").agg(F.min("n").alias("first"))
+        rows = rows.join(F.broadcast(split) if len(of) <= BROADCAST_FILES else split, ["file", "block"]).withColumn("at", F.col("block") + F.col("n") - F.col("first"))
     rows = in_order(rows.filter("at > 0"), files)
     columns, any_cell = [], F.lit(False)
     for field, cs in fields.items():

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import none_if_blank
+from ..plans.storage import written
+from . import splits
 from .registry import FILE, files_of, in_order, many, one, register, values
 
 
@@ -38,12 +40,34 @@ def _texts(x: Column) -> Column:
 
 
 def _objects(spark: SparkSession, path: str, wrapper: str | None) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).select("value", F.col(FILE).alias("file"))
-    whole = F.col("value")
-    inner = _get(whole, wrapper) if wrapper else F.lit(None).cast("string")
-    items = F.when(_is(whole, "["), _array(whole)).when(_is(inner, "["), _array(inner)).when(_is(whole, "{") & inner.isNull(), F.array(whole))
-    rows = text.select("file", F.posexplode(items).alias("at", "obj")).filter(_is(F.col("obj"), "{"))
-    return in_order(rows.filter(F.json_object_keys("obj").isNotNull()), files_of(text)).select("record_ord", "obj")
+    """record_ord and obj of the objects in a file's array, in its wrapper's array, or of the one object that it is.
+
+    Files that are arrays are read in splits, the others as one row each, below 2 GB. A file that is not whole, or with an
+    object that is not JSON, gives no records.
+    """
+    scan = splits.JsonArrayScan()
+    chunks = splits.chunks(spark, path, scan)
+    files = files_of(chunks)
+    first = chunks.filter("block = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("value"))
+    arrays = {r["file"] for r in first.filter(F.col("value").rlike(r"^\s*\[")).select("file").collect()}  # a row a file, as files_of gives
+    rows = None
+    open_path = lambda f: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)).toString()
+    if arrays:
+        found, end = splits.records(splits.chunks(spark, [open_path(f) for f in sorted(arrays)], scan), scan)
+        good = [f for f in sorted(arrays) if end[f] == -2]  # what follows the last bracket counts as one more
+        found = written(found.filter(F.col("file").isin(good)), "json-objects")
+        broken = found.filter(F.json_object_keys("text").isNull()).select("file").distinct()
+        rows = found.join(broken, "file", "left_anti").select("file", "at", F.col("text").alias("obj"))
+    others = [f for f, _ in files if f not in arrays]
+    if others or rows is None:
+        text = spark.read.text([open_path(f) for f in others] or path, wholetext=True).select("value", F.col(FILE).alias("file"))
+        whole = F.col("value")
+        inner = _get(whole, wrapper) if wrapper else F.lit(None).cast("string")
+        items = F.when(_is(inner, "["), _array(inner)).when(_is(whole, "{") & inner.isNull(), F.array(whole))
+        single = text.select("file", F.posexplode(items).alias("at", "obj")).filter(_is(F.col("obj"), "{")).filter(F.json_object_keys("obj").isNotNull())
+        single = single.select("file", F.col("at").cast("long").alias("at"), "obj")
+        rows = single if rows is None else rows.unionByName(single)
+    return in_order(rows, files).select("record_ord", "obj")
 
 
 def _place(x: Column) -> Column:
