@@ -104,6 +104,38 @@ def test_store(result):
         store.project(first, ProjectionConfig())
 
 
+def test_store_outlives_its_session(spark, result, tmp_path, monkeypatch):
+    """Another store opens the folder; a run without a manifest does not exist, and is swept; the oldest goes first."""
+    folder = f"file://{tmp_path}/runs"
+    first = RunStore(2, folder).put(result)
+    again = RunStore(2, folder, spark.newSession())
+    assert again.run_ids() == [first] and again.stats(first)["clusters_out"] == 2 and again.reports(first).count() == 2
+    assert again.project(first, ProjectionConfig(fields=(FieldMapping("full_name", "n"),))).count() == 2
+    with monkeypatch.context() as m:
+        m.setattr(RunStore, "_commit", lambda *_: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError, match="crash"):
+            again.put(result)
+    assert again.run_ids() == [first] and len(list((tmp_path / "runs").iterdir())) >= 3
+    again.sweep()
+    assert {p.name for p in (tmp_path / "runs").iterdir() if not p.name.startswith(".")} == {first, again._of(first)}
+    later = [again.put(result) for _ in range(2)]
+    assert RunStore(2, folder, spark).run_ids() == later and not (tmp_path / "runs" / first).exists()
+
+
+def test_counts_without_jobs(spark, files, monkeypatch):
+    """Counts are observed while tables are written, and equal what the tables hold."""
+    from tributary.operators import merge
+    from tributary.plans import pipeline
+    from tributary.sources import read_sources
+
+    raw = read_sources(spark, [Source("csv", str(files / "a.csv")), Source("notes", str(files / "n.txt"))])
+    stats = pipeline.RunStats()
+    monkeypatch.setattr(merge, "conflict_count", None)
+    canon, found = pipeline.fuse(raw, stats=stats)
+    assert (stats.records_in, stats.clusters_out) == (4, 2) and canon.count() == 2 and found.count() >= 0
+    assert stats.conflicts_found == canon.agg(F.sum(merge.conflicts())).first()[0]
+
+
 def test_responses(result, tmp_path):
     store = RunStore()
     told = run_response(store, result)

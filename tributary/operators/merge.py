@@ -145,6 +145,10 @@ def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConf
     return row.withColumn("record_confidence", record_confidence())
 
 
+def conflicts() -> Column:
+    """Conflicts of a canonical row's scalar fields."""
+    return sum((F.coalesce(F.aggregate(F.col(f)["conflicts"], F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.lit(0)) for f in SCALARS), F.lit(0))
+
+
 def conflict_count(canon: DataFrame) -> int:
-    sizes = sum((F.coalesce(F.aggregate(F.col(f)["conflicts"], F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.lit(0)) for f in SCALARS), F.lit(0))
-    return canon.agg(F.sum(sizes)).first()[0] or 0
+    return canon.agg(F.sum(conflicts())).first()[0] or 0

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
-from collections import OrderedDict
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import FusionConfig, ProjectionConfig
@@ -17,7 +15,8 @@ from ..operators import merge, normalize, project, resolve, validate, verify
 from ..operators.display import saved_projections
 from ..sources import Source, read_sources
 from ..sources.json_profiles import login_for_verification
-from .storage import discard, written
+from .runs import RunStore
+from .storage import scratch, written
 
 
 @dataclass
@@ -46,18 +45,21 @@ class RunResult:
 
 
 def fuse(raw: DataFrame, config: FusionConfig = FusionConfig(), stats: RunStats | None = None) -> tuple[DataFrame, DataFrame]:
-    """Canonical rows and the issues of RAW_VALUES rows."""
+    """Canonical rows and the issues of RAW_VALUES rows. Counts are observed while the stages are written; other tables go."""
     stats = stats or RunStats()
-    with stats.stage("normalize"):
-        values = written(normalize.normalize(raw, config), "values")
-    with stats.stage("resolve"):
-        clusters = written(resolve.resolve(raw, values, config), "clusters")
-    with stats.stage("merge"):
-        canon = written(merge.canonical(merge.tracked(values, clusters), clusters, config), "canonical")
-        stats.conflicts_found = merge.conflict_count(canon)
-    with stats.stage("validate"):
-        found = written(validate.issues(canon), "issues")
-    stats.records_in, stats.clusters_out = clusters.count(), canon.count()
+    records, people = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("n")
+    with scratch(raw.sparkSession):
+        with stats.stage("normalize"):
+            values = written(normalize.normalize(raw, config), "values")
+        with stats.stage("resolve"):
+            clusters = written(resolve.resolve(raw, values, config).observe(records, one), "clusters")
+        with stats.stage("merge"):
+            canon = merge.canonical(merge.tracked(values, clusters), clusters, config)
+            canon = written(canon.observe(people, one, F.sum(merge.conflicts()).alias("conflicts")), "canonical", keep=True)
+        with stats.stage("validate"):
+            found = written(validate.issues(canon), "issues", keep=True)
+    stats.records_in, stats.clusters_out, stats.conflicts_found = records.get["n"], people.get["n"], people.get["conflicts"] or 0
     return canon, found
 
 
@@ -75,31 +77,10 @@ def run(spark: SparkSession, sources: list[Source], config: FusionConfig = Fusio
     return RunResult(canon.orderBy("cluster_id"), validate.reports(canon, found.unionByName(extra)), stats)
 
 
-class RunStore:
-    """The last runs, to be projected again without running; the oldest goes, with its files, when there are more than `capacity`."""
-
-    def __init__(self, capacity: int = 50):
-        self.capacity = capacity
-        self.runs: OrderedDict[str, RunResult] = OrderedDict()
-
-    def put(self, result: RunResult) -> str:
-        """Keeps a result's candidates, written to the shared folder, and gives its id."""
-        run_id = uuid.uuid4().hex[:12]
-        self.runs[run_id] = RunResult(written(result.candidates, f"run-{run_id}"), result.reports, result.stats)
-        while len(self.runs) > self.capacity:
-            discard(self.runs.popitem(last=False)[1].candidates)
-        return run_id
-
-    def project(self, run_id: str, config: ProjectionConfig) -> DataFrame:
-        if run_id not in self.runs:
-            raise KeyError(f"unknown run_id {run_id!r}")
-        return project.project(self.runs[run_id].candidates, config)
-
-
 def run_response(store: RunStore, result: RunResult) -> dict:
     """What a caller is told of a run: its id in the store, candidates and reports in order, times and counts."""
     run_id, s = store.put(result), result.stats
-    kept = store.runs[run_id].candidates
+    kept = store.candidates(run_id)
     return {
         "run_id": run_id,
         "candidates": [json.loads(r["candidate"]) for r in project.serialize(kept).orderBy("cluster_id").toLocalIterator()],
@@ -111,7 +92,7 @@ def run_response(store: RunStore, result: RunResult) -> dict:
 
 def project_response(store: RunStore, run_id: str, projection: dict | None = None, projection_id: str | None = None, folder: str | None = None) -> dict:
     """A stored run's rows by a given projection, or by one saved in the folder. KeyError: unknown run or projection; ValueError: neither is given."""
-    if run_id not in store.runs:
+    if run_id not in store:
         raise KeyError(f"unknown run_id {run_id!r}")
     if projection is not None:
         config = project.from_dict(projection)
