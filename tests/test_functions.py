@@ -94,3 +94,18 @@ def test_similarity_of_long_texts(spark):
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", t.token_sort_ratio(F.col("a"), F.col("b")).alias("s"))
     for x in got.collect():
         assert x.s == pytest.approx(by_hand(x.a, x.b)), (x.a, x.b)
+
+
+@pytest.mark.parametrize(
+    "raw,code",
+    [("Republic of Korea", "KR"), ("Democratic People's Republic of Korea", "KP"), ("Islamic Republic of Iran", "IR"), ("Kingdom of Norway", "NO"), ("the Federal Republic of Germany", "DE"),
+     ("Ontario", "CA"), ("Bavaria", "DE"), ("Baden-Württemberg", "DE"), ("Texas", "US"), ("Georgia", "GE"), ("State of NY", None), ("Kingdom of Atlantis", None), ("Republic", None), ("Berlin", None)],
+)
+def test_official_names_and_regions(spark, raw, code):
+    r = one(spark, t.country_result(F.lit(raw)))
+    assert (r["value"], r["ok"]) == (code or raw, code is not None)
+
+
+def test_emergency_codes_are_no_area_codes(spark):
+    for raw, ok in (("+1 911 555 1234", False), ("+1 415 911 1234", False), ("+1 415 555 2671", True), ("+1 293 555 2671", True), ("+1 115 555 2671", False)):
+        assert one(spark, t.phone(F.lit(raw), "IN"))["ok"] == ok, raw

@@ -41,6 +41,30 @@ COUNTRY_ALIASES = {
     "ivory coast": "CI", "macedonia": "MK", "swaziland": "SZ", "cape verde": "CV", "bolivia": "BO", "venezuela": "VE", "tanzania": "TZ",
     "syria": "SY", "laos": "LA", "brunei": "BN", "moldova": "MD", "vatican": "VA", "hong kong": "HK", "macau": "MO", "macao": "MO", "uae": "AE",
 }
+# Official names that the rule below does not lead to their country.
+OFFICIAL_NAMES = {
+    "democratic people's republic of korea": "KP", "democratic republic of the congo": "CD", "republic of the congo": "CG", "republic of china": "TW",
+    "united kingdom of great britain and northern ireland": "GB", "great britain and northern ireland": "GB", "lao people's democratic republic": "LA",
+    "hellenic republic": "GR", "swiss confederation": "CH", "argentine republic": "AR", "french republic": "FR", "italian republic": "IT",
+    "portuguese republic": "PT", "slovak republic": "SK", "syrian arab republic": "SY", "kyrgyz republic": "KG", "gabonese republic": "GA",
+    "togolese republic": "TG", "hashemite kingdom of jordan": "JO", "state of japan": "JP", "holy see": "VA",
+}
+#: What stands before the name of a country in its official name.
+OFFICIAL_FORM = (
+    r"^(?:the )?(?:(?:islamic|democratic|socialist|people's|federal|federative|united|cooperative|co-operative|plurinational|bolivarian|oriental|independent|arab|grand) )*"
+    r"(?:republic|kingdom|states?|commonwealth|principality|sultanate|duchy|union|federation) of (?:the )?"
+)
+# First-level regions by country, but for those that are named like a country or a city.
+REGIONS = {
+    "US": "alabama alaska arizona arkansas california colorado connecticut delaware florida hawaii idaho illinois indiana iowa kansas kentucky louisiana maine maryland"
+    " massachusetts michigan minnesota mississippi missouri montana nebraska nevada new_hampshire new_jersey new_mexico north_carolina north_dakota ohio oklahoma oregon"
+    " pennsylvania rhode_island south_carolina south_dakota tennessee texas utah vermont virginia west_virginia wisconsin wyoming",
+    "CA": "ontario british_columbia alberta manitoba saskatchewan nova_scotia new_brunswick prince_edward_island newfoundland_and_labrador yukon nunavut northwest_territories",
+    "DE": "bavaria bayern baden-wurttemberg brandenburg hesse hessen lower_saxony niedersachsen north_rhine-westphalia nordrhein-westfalen rhineland-palatinate rheinland-pfalz"
+    " saarland saxony sachsen saxony-anhalt sachsen-anhalt schleswig-holstein thuringia thuringen",
+    "AU": "new_south_wales queensland tasmania south_australia western_australia northern_territory",
+    "IN": "karnataka maharashtra tamil_nadu kerala telangana andhra_pradesh gujarat rajasthan punjab haryana uttar_pradesh madhya_pradesh west_bengal bihar odisha assam",
+}
 #: Letters with marks and the letters that they are matched by.
 MARKED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180) if unicodedata.normalize("NFD", chr(c))[0].isascii()} | {"\u2019": "'"}
 
@@ -54,14 +78,20 @@ def country_codes() -> dict[str, str]:
         at = jvm.Locale("", code)
         name = "".join(MARKED.get(c, c) for c in at.getDisplayCountry(jvm.Locale.ENGLISH)).lower().replace(".", "")
         found |= {name: code, name.replace("&", "and"): code, code.lower(): code, at.getISO3Country().lower(): code}
-    return found | COUNTRY_ALIASES
+    return found | COUNTRY_ALIASES | OFFICIAL_NAMES
+
+
+@lru_cache(maxsize=1)
+def region_codes() -> dict[str, str]:
+    """Alpha-2 code of the country of a first-level region."""
+    return {name.replace("_", " "): code for code, names in REGIONS.items() for name in names.split()}
 
 
 # Numbering plans: region, calling code, trunk prefix, and a pattern of valid national numbers.
 CALLING_CODES = (
     ("IN", "91", "0", "[6-9][0-9]{9}|[1-5][0-9]{9}"),
-    ("US", "1", "1", "[2-9][0-9]{2}[2-9][0-9]{6}"),
-    ("CA", "1", "1", "[2-9][0-9]{2}[2-9][0-9]{6}"),
+    ("US", "1", "1", "[2-9](?:[02-8][0-9]|1[02-9])[2-9](?:[02-9][0-9]|1[02-9])[0-9]{4}"),
+    ("CA", "1", "1", "[2-9](?:[02-8][0-9]|1[02-9])[2-9](?:[02-9][0-9]|1[02-9])[0-9]{4}"),
     ("GB", "44", "0", "7[1-57-9][0-9]{8}|[1-3][0-9]{8,9}|8[0-9]{9}"),
     ("DE", "49", "0", "1[5-7][0-9]{8,9}|[2-9][0-9]{5,10}"),
     ("FR", "33", "0", "[1-9][0-9]{8}"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import CALLING_CODES, CITY_ALIASES, MARKED, OTHER_CODES, OTHER_NATIONAL, SKILL_ALIASES, country_codes, lookup
+from .dims import CALLING_CODES, CITY_ALIASES, MARKED, OFFICIAL_FORM, OTHER_CODES, OTHER_NATIONAL, SKILL_ALIASES, country_codes, lookup, region_codes
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 LINK = "STRUCT<kind: STRING, url: STRING, handle: STRING>"
@@ -56,9 +56,14 @@ def phone(raw: Column, region: str = "IN") -> Column:
 
 
 def country(token: Column) -> Column:
-    """Alpha-2 code of an ISO 3166 code or a known English name, or null."""
+    """Alpha-2 code of an ISO 3166 code, a known English name, an official name ("Kingdom of ...") or a region of some countries, or null."""
     name = F.regexp_replace(F.lower(F.translate(strip(token), "".join(MARKED), "".join(MARKED.values()))), r"\.", "")
-    return lookup(country_codes(), name, F.lit(None).cast("string"))
+    known = country_codes()
+    none = F.lit(None).cast("string")
+    # the bare name behind an official form, which a code of two or three letters is not
+    bare = F.regexp_replace(name, OFFICIAL_FORM, "")
+    official = F.when((bare != name) & (F.length(bare) > 3), lookup(known, bare, none))
+    return F.coalesce(lookup(known, name, none), official, lookup(region_codes(), name, none))
 
 
 def country_result(raw: Column) -> Column:
