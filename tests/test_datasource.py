@@ -22,7 +22,7 @@ def directory_source():
 
         def records(self, part):
             for k in range(3):
-                yield {"full_name": f"Person {part} {k}", "emails": [f"p{part}.{k}@x.org", " "], "skills": ["python", "k8s"], "education": [{"institution": "U", "degree": "BSc"}] if k == 0 else []}
+                yield {"full_name": f"Person {part} {k}", "emails": [f"p{part}.{k}@x.org", " "], "skills": ["py", "k8s"], "education": [{"institution": "U", "degree": "BSc"}] if k == 0 else []}
             yield {"headline": None, "colour": "red"} if part == 99 else {"headline": None}
 
     return Directory
