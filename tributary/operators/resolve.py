@@ -25,11 +25,15 @@ def exact_keys(values: DataFrame) -> DataFrame:
     return good.select("record_ord", key.alias("key")).filter("key IS NOT NULL").distinct()
 
 
+def key_edges(keyed: DataFrame) -> DataFrame:
+    """a (the key's least record) and b (each other record that has the key), from record_ord and key."""
+    first = keyed.groupBy("key").agg(F.min("record_ord").alias("a"), F.max("record_ord").alias("last")).filter("a <> last")
+    return keyed.join(first.select("key", "a"), "key").select("a", F.col("record_ord").alias("b")).filter("a <> b")
+
+
 def exact_components(keyed: DataFrame) -> DataFrame:
     """record_ord and root (the least record_ord reachable) of the records that share a key (record_ord, key)."""
-    first = keyed.groupBy("key").agg(F.min("record_ord").alias("a"), F.max("record_ord").alias("last")).filter("a <> last")
-    edges = keyed.join(first.select("key", "a"), "key").select("a", F.col("record_ord").alias("b")).filter("a <> b")
-    return components(edges).select(F.col("node").alias("record_ord"), F.col("component").alias("root"))
+    return components(key_edges(keyed)).select(F.col("node").alias("record_ord"), F.col("component").alias("root"))
 
 
 #: Letters of a q-gram of names.
@@ -95,17 +99,31 @@ def linked_names(units: DataFrame, threshold: float) -> DataFrame:
     return linking.link(rows, similar)
 
 
+def guards(values: DataFrame) -> DataFrame:
+    """record_ord and guard: the bits of the record's e-mails and phones that are not malformed."""
+    strong = values.filter(~F.col("malformed") & F.col("field").isin("emails", "phones"))
+    bit = F.when(F.col("field") == "emails", linking.EMAIL).otherwise(linking.PHONE)
+    return strong.groupBy("record_ord").agg(F.bit_or(bit).alias("guard"))
+
+
+def first_names(values: DataFrame) -> DataFrame:
+    """record_ord, surname and name of the records that have a surname."""
+    names = values.filter((F.col("field") == "full_name") & (F.col("pos") == 0)).select("record_ord", F.col("v_str").alias("name"))
+    return names.select("record_ord", surname_key(F.col("name")).alias("surname"), "name").filter("surname IS NOT NULL")
+
+
+def units(names: DataFrame, records: DataFrame) -> DataFrame:
+    """The units of `linked_names`, from record_ord, surname, name and from record_ord, root, guard (null: none)."""
+    held = records.groupBy("root").agg(F.bit_or("guard").alias("guard"))
+    named = names.join(records.select("record_ord", "root"), "record_ord")
+    return named.groupBy("root", "surname", "name").agg(F.min("record_ord").alias("ord")).join(held, "root").fillna(0, ["guard"])
+
+
 def resolve(raw: DataFrame, values: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
     """record_ord and cluster_id (the least record_ord of the cluster) of every record."""
     records = raw.select("record_ord").distinct()
     roots = written(exact_components(exact_keys(values)), "roots")
-    records = written(records.join(roots, "record_ord", "left").withColumn("root", F.coalesce("root", "record_ord")), "records")
-    strong = values.filter(~F.col("malformed") & F.col("field").isin("emails", "phones")).join(records, "record_ord")
-    bit = F.when(F.col("field") == "emails", linking.EMAIL).otherwise(linking.PHONE)
-    held = strong.groupBy("root").agg(F.bit_or(bit).alias("guard"))
-    names = values.filter((F.col("field") == "full_name") & (F.col("pos") == 0)).select("record_ord", F.col("v_str").alias("name"))
-    names = names.withColumn("surname", surname_key(F.col("name"))).filter("surname IS NOT NULL").join(records, "record_ord")
-    units = names.groupBy("root", "surname", "name").agg(F.min("record_ord").alias("ord"))
-    units = written(units.join(held, "root", "left").fillna(0, ["guard"]), "units")
-    linked = linked_names(units, config.fuzzy_threshold)
+    records = records.join(roots, "record_ord", "left").join(guards(values), "record_ord", "left")
+    records = written(records.withColumn("root", F.coalesce("root", "record_ord")), "records")
+    linked = linked_names(written(units(first_names(values), records), "units"), config.fuzzy_threshold)
     return records.join(linked, "root", "left").select("record_ord", F.coalesce("cluster_id", "root").alias("cluster_id"))

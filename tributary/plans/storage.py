@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +29,22 @@ def delete(spark: SparkSession, path: str) -> None:
 class scratch:
     """Tables written inside, but for those with keep=True, are deleted at the end: a result must be written, too, before."""
 
-    _open: list[list[str]] = []
+    _mine = threading.local()  # a thread's tables are its own: runs and micro-batches may go on at once
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
+    @classmethod
+    def open_tables(cls) -> list[list[str]]:
+        if not hasattr(cls._mine, "tables"):
+            cls._mine.tables = []
+        return cls._mine.tables
+
     def __enter__(self) -> None:
-        self._open.append([])
+        self.open_tables().append([])
 
     def __exit__(self, *_) -> None:
-        for path in self._open.pop():
+        for path in self.open_tables().pop():
             delete(self.spark, path)
 
 
@@ -45,8 +52,9 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later jobs neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tributary/{name}-{uuid.uuid4().hex}"
-    if scratch._open[keep:]:
-        scratch._open[-1 - keep].append(path)
+    tables = scratch.open_tables()
+    if tables[keep:]:
+        tables[-1 - keep].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

@@ -1,4 +1,4 @@
-"""Records that keep arriving: read and normalized as a stream. Both steps are stateless; resolution stays a batch job."""
+"""Records that keep arriving: read and normalized as a stream, which is stateless; or read and resolved batch by batch, with a `ClusterState`."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ..model import FusionConfig
 from ..operators.normalize import normalize
 from ..sources.json_profiles import _clean, _get, _place, _texts
 from ..sources.registry import many, one, values
+from .clusters import ClusterState
 
 
 def ats_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,5 +35,14 @@ def ats_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def start(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None], config: FusionConfig = FusionConfig(), once: bool = True) -> StreamingQuery:
     """Normalizes what arrives in the folder and hands each micro-batch to the sink, for example to append it to the table of values."""
-    writer = normalize(ats_lines(spark, folder), config).writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return _run(normalize(ats_lines(spark, folder), config), checkpoint, sink, once)
+
+
+def resolve_stream(spark: SparkSession, folder: str, checkpoint: str, state: ClusterState, once: bool = True) -> StreamingQuery:
+    """Takes what arrives in the folder up into the state. A micro-batch that is run again after a failure changes nothing more."""
+    return _run(ats_lines(spark, folder), checkpoint, lambda batch, number: state.update(batch, number), once)
+
+
+def _run(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
