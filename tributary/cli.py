@@ -8,9 +8,10 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators.display import to_json
+from .operators.display import json_chunks
 from .operators.project import load_projection, project, serialize
 from .plans.pipeline import run
+from .plans.sink import write_run
 from .sources import Source
 
 #: Flags and source types, in the order in which sources are read.
@@ -23,6 +24,7 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{flag}", action="append", default=[], metavar="PATH")
     p.add_argument("--linkedin-id", action="append", default=[])
     p.add_argument("--projection", help="YAML or JSON file with the output's fields")
+    p.add_argument("--out", metavar="FOLDER", help="tasks write candidates and reports there, as JSON arrays in parts; nothing on stdout")
     p.add_argument("--pretty", action="store_true")
     p.add_argument("--stats", action="store_true", help="counts and times on stderr")
     p.add_argument("--validate", action="store_true", help="reports as JSON on stderr")
@@ -37,11 +39,14 @@ def main(argv: list[str] | None = None) -> int:
         parser.error("no source given")
     spark = SparkSession.builder.appName("tributary").getOrCreate()
     result = run(spark, sources, linkedin_ids=tuple(args.linkedin_id))
-    if args.projection:
-        texts = [r.output for r in project(result.candidates, load_projection(args.projection)).orderBy("cluster_id").toLocalIterator()]
+    projection = load_projection(args.projection) if args.projection else None
+    if args.out:
+        write_run(result, args.out, projection)
     else:
-        texts = [r.candidate for r in serialize(result.candidates).orderBy("cluster_id").toLocalIterator()]
-    print(to_json(texts, args.pretty))
+        rows = project(result.candidates, projection).toDF("cluster_id", "text") if projection else serialize(result.candidates).toDF("cluster_id", "text")
+        for chunk in json_chunks((r.text for r in rows.orderBy("cluster_id").toLocalIterator()), args.pretty):
+            print(chunk, end="")
+        print()
     if args.validate:
         reports = [r.asDict(recursive=True) for r in result.reports.orderBy("cluster_id").toLocalIterator()]
         print(json.dumps(reports, indent=2 if args.pretty else None, ensure_ascii=False), file=sys.stderr)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -57,5 +58,17 @@ def projection_catalog(folder: str) -> list[dict]:
     return [{"id": i, "name": c.name, "fields": [f.out for f in c.fields]} for i, c in sorted(configs.items())]
 
 
-def to_json(texts: list[str], pretty: bool) -> str:
-    return json.dumps([json.loads(t) for t in texts], sort_keys=True, indent=2 if pretty else None, ensure_ascii=False)
+def json_chunks(texts: Iterable[str], pretty: bool) -> Iterator[str]:
+    """A JSON array of rendered objects, piece by piece, their keys sorted."""
+    ahead, between = ("\n  ", ",\n  ") if pretty else ("", ", ")
+    yield "["
+    any_yet = False
+    for t in texts:
+        item = json.dumps(json.loads(t), sort_keys=True, indent=2 if pretty else None, ensure_ascii=False)
+        yield (between if any_yet else ahead) + item.replace("\n", "\n  ")
+        any_yet = True
+    yield "\n]" if pretty and any_yet else "]"
+
+
+def to_json(texts: Iterable[str], pretty: bool) -> str:
+    return "".join(json_chunks(texts, pretty))

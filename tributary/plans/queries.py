@@ -20,6 +20,7 @@ from ..sources.notes import EMAIL, PHONE, note_values
 from ..sources.notes import blocks as note_blocks
 from ..sources.registry import SOURCE_BITS
 from ..sources.resume import _section_lines, parse_documents, union_months
+from ..streaming.clusters import ClusterState
 from .pipeline import RunStats, fuse
 from .storage import shared_dir, written
 
@@ -336,11 +337,13 @@ def surname_block_pairs(spark, sf_dir):
     return resolve.name_pairs(names, 90.0).select("surname", "name_a", "name_b")
 
 
-@query("""
+_ORDER_LINKS_SQL = """
 WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'mail' WHEN o_orderkey % 7 < 3 THEN 'phone' ELSE 'none' END AS kind FROM orders),
 k AS (SELECT *, CASE WHEN kind = 'none' THEN 1 ELSE row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) END AS k FROM r)
-SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, k) AS cluster_id FROM k""")
-def guarded_name_links(spark, sf_dir):
+SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, k) AS cluster_id FROM k"""
+
+
+def _order_people(spark, sf_dir) -> DataFrame:
     """Orders as people of two spellings of one name a customer, some with an e-mail, some with a phone: all without
     either and the first of both kinds are one person, the k-th with an e-mail and the k-th with a phone another."""
     o = table(spark, sf_dir, "orders").withColumn("record_ord", F.col("o_orderkey"))
@@ -348,11 +351,26 @@ def guarded_name_links(spark, sf_dir):
     name = F.concat(F.when(key % 2 == 0, "Jonathan Smith").otherwise("Jonathon Smith"), F.col("o_custkey").cast("string"))
     phone = F.concat(F.lit("+49301"), F.lpad(key.cast("string"), 8, "0"))
     fields = [("full_name", 0, name), ("emails", 0, F.when(key % 3 == 0, F.concat(F.lit("o"), key.cast("string"), F.lit("@mail.org")))), ("phones", 0, F.when((key % 3 != 0) & (key % 7 < 3), phone))]
-    raw = raw_rows(o, F.lit("CSV"), fields)
+    return raw_rows(o, F.lit("CSV"), fields)
+
+
+@query(_ORDER_LINKS_SQL)
+def guarded_name_links(spark, sf_dir):
+    raw = _order_people(spark, sf_dir)
     values = written(normalize.normalize(raw, fields=("full_name", "emails", "phones")), "order-people")
     return resolve.resolve(raw, values).select(F.col("record_ord").alias("o_orderkey"), "cluster_id")
 
 
+@query(_ORDER_LINKS_SQL)
+def arriving_name_links(spark, sf_dir):
+    """The same people in two batches, each with half of everyone's orders: the clusters are those of one run."""
+    raw = _order_people(spark, sf_dir)
+    state = ClusterState(f"{shared_dir(spark)}/tributary/clusters-{uuid.uuid4().hex}")
+    for k in range(2):
+        state.update(raw.filter(F.pmod(F.xxhash64("record_ord"), F.lit(2)) == 1 - k), k)
+    return state.clusters(spark).select(F.col("record_ord").alias("o_orderkey"), "cluster_id")
+
+
 @query("""
 WITH i AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS lo, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS hi
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate),
