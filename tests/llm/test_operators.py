@@ -128,6 +128,40 @@ def test_quality_rules(docs, rows, none):
     assert quality_rules.kept_rows(docs).columns == docs.columns
 
 
+def beta_verdicts(failed_of):
+    """host -> posterior mean of its failure rate, from host -> list of failures, by the method of moments."""
+    n, f = sum(map(len, failed_of.values())), sum(map(sum, failed_of.values()))
+    m = f / n
+    within = sum(len(x) * (sum(x) / len(x) - m) ** 2 for x in failed_of.values())
+    free = n - sum(len(x) ** 2 for x in failed_of.values()) / n
+    v = (within - (len(failed_of) - 1) * m * (1 - m)) / free if free else 0.0
+    s = min(n, max(1e-3, m * (1 - m) / v - 1)) if v > 0 else n
+    return {h: (sum(x) + m * s) / (len(x) + s) for h, x in failed_of.items()}
+
+
+def test_quality_verdicts_by_hand(spark):
+    """Rates of hosts and verdicts recomputed from the texts alone: a bad host, small ones, one without a name, a null text."""
+    good, bad = " ".join(f"word{i}" for i in range(70)), "spam and more " * 40
+    rows = [(i, bad if i % 20 else good, "bad.example") for i in range(60)]
+    rows += [(100 + i, bad if i % 9 == 0 else f"{good} {i}", f"host{i % 7}") for i in range(150)]
+    rows += [(300, bad, "tiny.example"), (301, None, None), (302, good, None), (303, "a # b & " * 40 + good, "host1"), (304, "same line of words here\n" * 9 + good, "host2")]
+
+    def breaks(text):
+        n, _, symbols, dup, again = measures(text)
+        lines = sum(bool(WORDS.search(x)) for x in (text or "").split("\n"))
+        return n < 50 or 100 * again > 50 * n or symbols > 0.3 * max(n, 1) or (dup >= 3 and dup > 0.5 * lines)
+
+    hosts = defaultdict(list)
+    for _, text, host in rows:
+        hosts[host].append(breaks(text))
+    rate = beta_verdicts(hosts)
+    got = {r.doc_id: r for r in quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
+    for i, text, host in rows:
+        assert got[i].host_rate == pytest.approx(rate[host], rel=1e-9)
+        assert got[i].kept == (not breaks(text) and rate[host] <= 0.8), i
+    assert not got[0].kept and not breaks(rows[0][1]) and rate["tiny.example"] < 0.8 < rate["bad.example"]
+
+
 def test_host_prior(spark):
     bad = [("bad", True)] * 50 + [("small", True)] + [(f"h{i % 9}", i % 10 == 0) for i in range(900)]
     v = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(bad, "host string, failed boolean"), 0.8).collect()}
@@ -421,6 +455,19 @@ def test_sharding_moves_only_to_the_new_shard(spark):
     assert all(a[i][1] == b[i] for i in a) and all(b[i] == 10 for i in moved) and 0.05 < len(moved) / 3000 < 0.14
 
 
+def test_sharding_of_one_key(spark, monkeypatch):
+    """Many rows of one id and of none, with few texts: gapless slots, every copy comes back, buckets split the key."""
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", 7)
+    df = spark.range(2000).select(F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 5 < 4, 3).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 3).alias("text"))
+    got = sharding.shard_documents(df, 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    want = Counter((r.doc_id, zlib.crc32(r.text.encode())) for r in df.collect())
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == want
+
+
 # 8 and 9
 
 
@@ -523,6 +570,16 @@ def test_repair(docs, rows, none, monkeypatch):
     assert repair.read_shards(repair.write_shards(none, BYTE)).count() == 0
 
 
+def test_repair_of_equal_rows(spark):
+    """Rows of one text without an id are spread over the partitions; positions stay gapless."""
+    df = spark.range(0, 4000, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"))
+    shards = repair.write_shards(df, BYTE)
+    assert shards.select("part").distinct().count() > 1
+    n = len(ids_of(BYTE, "one and the same text")) + 1
+    got = repair.read_shards(shards).collect()
+    assert sorted(r.start for r in got) == list(range(0, 4000 * n, n)) and {r.n_tokens for r in got} == {n}
+
+
 def test_repair_files(spark):
     """Shards of the stated size, smaller than 16-bit ids, and any range of the whole by its position."""
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(1).withColumn("doc_id", F.lit(-(2**63)).cast("long")))

@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, table, written
 
 LAW = "key"
 N_SHARDS = 24
+#: Equal rows that come apart in one step.
+COPIES_AT_ONCE = 1 << 16
 
 _MULTIPLIER = 2862933555777941757
 _M32 = 0xFFFFFFFF
@@ -58,29 +60,30 @@ def jump_hash(key: Column, n: int) -> Column:
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Assigns each row a shard and a gapless slot in it.
 
-    A slot is the row's rank in its (shard, bucket) plus the rows of the shard's earlier buckets. There are as many
-    buckets as shuffle partitions, so neither ranking nor counting puts a whole shard into one task.
+    Rows that are equal in all that counts (key, size, checksum) are counted before they are shuffled, and come apart
+    again at the end. A slot is the row's place in its (shard, bucket) plus the rows of the shard's earlier buckets.
+    Buckets follow from key and content, as many as there are shuffle partitions: neither a whole shard nor the rows of
+    one key are ranked in one task.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     buckets = max(1, shuffle_partitions(docs.sparkSession))
     content = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-
-    def placed(*extra: Column) -> DataFrame:
-        at = jump_hash(F.xxhash64(F.col(key)), n_shards)
-        return docs.select(F.col(key).alias("doc_id"), *extra, at.alias("at"), F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(buckets)).cast("int").alias("bucket"))
-
-    rows = placed((F.octet_length(content) + F.lit(8)).cast("long").alias("size"), F.crc32(content).alias("text_crc32"))
-    rows = rows.select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown_shard"), "bucket")
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
+    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(content) + F.lit(8)).cast("long").alias("size"), F.crc32(content).alias("text_crc32"))
+    same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit(1)), F.lit(buckets)).cast("int")
+    same = same.select("*", jump_hash(F.xxhash64("doc_id"), n_shards).alias("at"), bucket.alias("bucket"))
+    same = written(same.select("doc_id", "size", "text_crc32", "copies", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown_shard"), "bucket"), "shard-rows")
+    until = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed().select(F.col("at.shard").alias("shard"), "bucket").groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = same.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return (
-        rows.withColumn("rank", rank)
-        .join(starts, ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    first = same.withColumn("until", F.sum("copies").over(until)).join(starts, ["shard", "bucket"])
+    first = first.withColumn("first", F.col("start") + F.col("until") - F.col("copies"))
+    # in two steps, so that no array grows with the number of copies
+    blocks = first.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES_AT_ONCE).cast("long"))))
+    each = blocks.withColumn("copy", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + COPIES_AT_ONCE, F.col("copies")) - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("first") + F.col("copy")).cast("long").alias("slot"), "grown_shard")
 
 
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
