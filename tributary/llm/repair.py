@@ -272,9 +272,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(1, shuffle_partitions(docs.sparkSession))
-    # rows of one doc_id, or of none, may be many: they are told apart by their text
-    order = ["doc_id", F.xxhash64("text")]
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # rows of one doc_id, or of none, may be many: they are told apart by their text, and equal rows, which may change places, by a number
+    rows = rows.withColumn("number", F.monotonically_increasing_id())
+    order = ["doc_id", F.xxhash64("text"), "number"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(ordered.mapInArrow(run, "part int, shard int, before long, n_ids long, block binary"), "token-shards")
 
 
