@@ -60,16 +60,28 @@ def _prefix_grams(names: DataFrame, threshold: float) -> DataFrame:
     return ranked.select(*key, F.explode(F.slice("g", F.lit(1), wanted)).alias("g")).filter("g.often > 1").select(*key, F.col("g.gram").alias("gram"))
 
 
+#: Surnames of up to so many names have all their pairs compared, at most half as many a name.
+FEW_NAMES = 8
+
+
 def similar_names(distinct: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different names (surname, name_a < name_b) of one surname that reach the similarity, of a table of distinct names.
 
-    Names meet by the rarest of their q-grams and are compared once a pair.
+    Names of a surname that has few meet each other; others meet by the rarest of their q-grams. A pair is compared once.
     """
-    grams = _prefix_grams(distinct, threshold)
-    a, b = (grams.select("surname", "gram", F.col("name").alias(f"name_{side}")) for side in "ab")
+    sizes = distinct.groupBy("surname").agg(F.count(F.lit(1)).alias("names"))
+    # written: what is compared is decided by a join of few names or of many grams, and the comparison must stay behind distinct()
+    sized = written(distinct.join(sizes.filter("names > 1"), "surname").select("surname", "name", "names"), "sized-surnames")
+    few = sized.filter(F.col("names") <= FEW_NAMES).select("surname", "name")
+    grams = _prefix_grams(sized.filter(F.col("names") > FEW_NAMES).select("surname", "name"), threshold)
     la, lb = F.length("name_a"), F.length("name_b")
     bound = F.lit(200.0) * F.least(la, lb) >= F.lit(threshold) * (la + lb)  # no more can be common than the shorter has
-    near = a.join(b, ["surname", "gram"]).filter((F.col("name_a") < F.col("name_b")) & bound).select("surname", "name_a", "name_b").distinct()
+
+    def met(rows: DataFrame, by: list[str]) -> DataFrame:
+        a, b = (rows.select(*by, F.col("name").alias(f"name_{side}")) for side in "ab")
+        return a.join(b, by).filter((F.col("name_a") < F.col("name_b")) & bound).select("surname", "name_a", "name_b")
+
+    near = written(met(few, ["surname"]).unionByName(met(grams, ["surname", "gram"]).distinct()), "near-names")
     return near.filter(token_sort_ratio(F.col("name_a"), F.col("name_b")) >= threshold)
 
 
