@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tributary.functions.text import token_sort_ratio
 from tributary.operators import resolve
+from tributary.plans import queries
+from tributary.sources.resume import EXPERIENCE, parse_documents
 
 
 def optimized(df):
@@ -18,3 +20,20 @@ def test_similar_names_are_compared_once_a_pair(spark):
     a, b = (names.select("surname", F.col("name").alias(f"name_{side}")) for side in "ab")
     want = a.join(b, "surname").filter("name_a < name_b").filter(token_sort_ratio(F.col("name_a"), F.col("name_b")) >= 90.0)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_small_files_of_many_rows_are_spread(spark, tmp_path, monkeypatch):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(queries, "TASK_ROWS", 30)
+    got = queries.spread(spark.read.parquet(str(tmp_path / "t")))
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 100
+
+
+def test_resume_jobs_are_found_once_a_document(spark):
+    docs = spark.createDataFrame([(1, "Ada Lovelace\nExperience\nAcme Jan 2010 - Dec 2011\nEducation\nB.Sc. Physics, UNI 7, Optics (Sep 2001 to Jun 2005)\n")], "record_ord long, text string")
+    rows = parse_documents(docs)
+    # the headers of the jobs' sections are looked for in one place only
+    assert optimized(rows).count(EXPERIENCE) == 1
+    got = {r["field"]: r for r in rows.filter("field IS NOT NULL").collect()}
+    assert got["years_experience"]["raw"] == "2"
+    assert tuple(got["education"]["edu"]) == ("UNI 7", "B.Sc. Physics", "Optics", "2001-09", "2005-06")

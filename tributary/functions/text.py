@@ -154,7 +154,7 @@ _LETTERS = 62
 _ALL = (1 << _LETTERS) - 1
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+def computed(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with the value computed once: an expression that a lambda refers to is else computed at each call."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -174,7 +174,7 @@ def _masks(parts: Column, letters: Column) -> Column:
 
         return F.map_from_arrays(p["each"], F.transform(p["each"], of))
 
-    return _let(names, made)
+    return computed(names, made)
 
 
 def _lcs(x: Column, y: Column) -> Column:
@@ -208,7 +208,7 @@ def _lcs(x: Column, y: Column) -> Column:
         left_of_many = F.aggregate(F.aggregate(ys, p["used"], many), F.lit(0), lambda t, v: t + F.bit_count(v))
         return n - F.when(n <= _LETTERS, left).otherwise(left_of_many)
 
-    return _let(parts, lambda q: _let(F.struct(_let(letters, lambda d: _masks(q, d)).alias("masks"), F.transform(q, lambda w: _bits(F.length(w))).alias("used")), found))
+    return computed(parts, lambda q: computed(F.struct(computed(letters, lambda d: _masks(q, d)).alias("masks"), F.transform(q, lambda w: _bits(F.length(w))).alias("used")), found))
 
 
 def lcs_length(x: Column, y: Column) -> Column:
@@ -218,7 +218,7 @@ def lcs_length(x: Column, y: Column) -> Column:
     v becomes (v + (v and m)) or (v and not m), sums carried from word to word. Bits of v that became 0 are the answer.
     """
     empty = (F.length(x) == 0) | (F.length(y) == 0)
-    return F.when(empty, 0).otherwise(_let(F.struct(x.alias("x"), y.alias("y")), lambda p: _lcs(p["x"], p["y"])))
+    return F.when(empty, 0).otherwise(computed(F.struct(x.alias("x"), y.alias("y")), lambda p: _lcs(p["x"], p["y"])))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
@@ -229,4 +229,4 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
         total = F.length(p["x"]) + F.length(p["y"])
         return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(p["x"], p["y"]) / total)
 
-    return F.when(a.isNotNull() & b.isNotNull(), _let(F.struct(sorted_(a).alias("x"), sorted_(b).alias("y")), ratio))
+    return F.when(a.isNotNull() & b.isNotNull(), computed(F.struct(sorted_(a).alias("x"), sorted_(b).alias("y")), ratio))

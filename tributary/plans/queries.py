@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task takes where each row is much work: a Parquet file of few bytes may hold many.
+TASK_ROWS = 10_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in tasks of TASK_ROWS: a scan is cut by bytes alone, so a small file with many rows would be one task."""
+    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -182,7 +191,7 @@ UNION ALL SELECT event_id, 'location', 0, CASE WHEN k % 2 = 0 THEN 'City ' || k
 UNION ALL SELECT event_id, 'years_experience', 0, CAST(k AS VARCHAR) FROM e UNION ALL SELECT event_id, 'links', 0, 'github.com/u' || user_id FROM e""")
 def json_extract_props(spark, sf_dir):
     """Events as candidates of an applicant-tracking export."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")).withColumn("k", F.get_json_object("props", "$.k"))
     text = F.format_string(
         '{"fullName": " User %s ", "email": "u%s@x.org", "phone": " ", "skills": ["k%s", " ", "%s"], "yearsExperience": %s, "location": {"city": "City %s", "region": null, "country": "%s"}, "links": {"a": "github.com/u%s", "b": ""}}',
         "user_id", "user_id", "k", "event_type", "k", "k", F.when(F.col("k") % 2 == 0, "").otherwise("Peru"), "user_id",
@@ -213,7 +222,7 @@ def resume_fields(spark, sf_dir):
         F.concat(F.lit("Skills: Python, "), "c_mktsegment", F.lit("\nExperience\nAcme  Jan 2010 - Dec "), (y + 2009).cast("string"), F.lit("\nSide job  Mar 2010 - Jun 2010\n")),
         F.concat(F.lit("Education\nB.Sc. Physics, UNI "), "c_custkey", F.lit(" (Sep 2001 to Jun 2005)\n")),
     )
-    rows = parse_documents(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_ord"), text.alias("text")))
+    rows = parse_documents(spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select(F.col("c_custkey").alias("record_ord"), text.alias("text")))
     edu = F.concat_ws("|", "edu.degree", "edu.institution", "edu.start", "edu.end")
     return shown(rows.withColumn("raw", F.when(F.col("field") == "education", edu).otherwise(F.col("raw"))), "c_custkey")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dims import lookup
-from ..functions.text import strip, words
+from ..functions.text import computed, strip, words
 from .notes import EMAIL, TITLE_WORDS, found, has_any, phones_in
 from .registry import FILE, empty, files_of, in_order, many, one, register, value, values
 
@@ -99,20 +99,27 @@ def _section_lines(lines: Column, is_header: Callable[[Column], Column], opens:
 
 def endpoint(token: Column, as_of: date) -> Column:
     """Months since year 0 of one end of a range, or null."""
-    t = F.lower(strip(token))
-    named = F.regexp_extract(t, rf"^({MON})\s+(\d{{4}})", 2).try_cast("int") * 12 + lookup(MONTHS, F.substring(t, 1, 3), F.lit(None).cast("int")) - 1
-    pair = F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1))
-    a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
-    year, month = F.when(F.length(a) == 4, a).otherwise(b).try_cast("int"), F.when(F.length(a) == 4, b).otherwise(a).try_cast("int")
-    both = F.when((F.size(pair) == 2) & month.between(1, 12), year * 12 + month - 1)
-    alone = F.when((F.size(pair) == 1) & (F.length(a) == 4), a.try_cast("int") * 12)
-    return F.when(t.rlike(f"^(?:{PRESENT})"), F.lit(as_of.year * 12 + as_of.month - 1)).when(t.rlike(rf"^{MON}\s+\d{{4}}"), named).otherwise(F.coalesce(both, alone))
+
+    def month_of(t: Column) -> Column:
+        named = F.regexp_extract(t, rf"^({MON})\s+(\d{{4}})", 2).try_cast("int") * 12 + lookup(MONTHS, F.substring(t, 1, 3), F.lit(None).cast("int")) - 1
+
+        def of_numbers(pair: Column) -> Column:
+            a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+            year, month = F.when(F.length(a) == 4, a).otherwise(b).try_cast("int"), F.when(F.length(a) == 4, b).otherwise(a).try_cast("int")
+            both = F.when((F.size(pair) == 2) & month.between(1, 12), year * 12 + month - 1)
+            alone = F.when((F.size(pair) == 1) & (F.length(a) == 4), a.try_cast("int") * 12)
+            return F.coalesce(both, alone)
+
+        numbers = computed(F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1)), of_numbers)
+        return F.when(t.rlike(f"^(?:{PRESENT})"), F.lit(as_of.year * 12 + as_of.month - 1)).when(t.rlike(rf"^{MON}\s+\d{{4}}"), named).otherwise(numbers)
+
+    return computed(F.lower(strip(token)), month_of)
 
 
 def _ranges(line: Column, as_of: date) -> Column:
     lo, hi = (F.regexp_extract_all(line, F.lit(RANGE), F.lit(g)) for g in (1, 2))
     pairs = F.transform(F.arrays_zip(lo.alias("lo"), hi.alias("hi")), lambda p: F.struct(endpoint(p["lo"], as_of).alias("lo"), endpoint(p["hi"], as_of).alias("hi")))
-    return pairs
+    return F.when(line.rlike(RANGE), pairs).otherwise(F.array().cast("array<struct<lo: int, hi: int>>"))
 
 
 def union_months(intervals: Column) -> Column:
@@ -130,13 +137,19 @@ def _as_month(m: Column) -> Column:
 
 
 def _education(line: Column, as_of: date) -> Column:
-    span = _first(_ranges(line, as_of))
     text = F.regexp_replace(F.regexp_replace(line, r"\([^)]*\)", " "), RANGE, " ")
     parts = F.filter(F.transform(F.split(text, r",|—|–|\||•| - "), lambda p: strip(p, " .")), lambda p: p != "")
-    degree = _first(F.filter(parts, lambda p: p.rlike(DEGREE)))
-    at = F.array_position(parts, degree)
-    rest = F.filter(parts, lambda p, i: degree.isNull() | ((i + 1) != at))
-    return F.struct(_first(rest).alias("institution"), degree.alias("degree"), F.get(rest, F.lit(1)).alias("field_of_study"), _as_month(span["lo"]).alias("start"), _as_month(span["hi"]).alias("end"))
+
+    def item(x: Column) -> Column:
+        rest, span = x["rest"], x["span"]
+        return F.struct(_first(rest).alias("institution"), x["degree"].alias("degree"), F.get(rest, F.lit(1)).alias("field_of_study"), _as_month(span["lo"]).alias("start"), _as_month(span["hi"]).alias("end"))
+
+    def split(x: Column) -> Column:
+        rest = F.filter(x["parts"], lambda p, i: x["degree"].isNull() | ((i + 1) != F.array_position(x["parts"], x["degree"])))
+        return computed(F.struct(rest.alias("rest"), x["degree"].alias("degree"), _first(_ranges(line, as_of)).alias("span")), item)
+
+    of = lambda ps: F.struct(ps.alias("parts"), _first(F.filter(ps, lambda p: p.rlike(DEGREE))).alias("degree"))
+    return computed(parts, lambda ps: computed(of(ps), split))
 
 
 def parse_documents(docs: DataFrame, as_of: date | None = None) -> DataFrame:
@@ -156,8 +169,11 @@ def parse_documents(docs: DataFrame, as_of: date | None = None) -> DataFrame:
     place = _first(F.filter(F.slice("full", after, F.lit(6)), lambda x: ~x.contains("@") & ~F.lower(x).contains("http") & ~header(x) & ~x.rlike(NOT_A_PLACE) & x.contains(",") & (digits(x) <= 2) & ~has_any(F.lower(x), TITLE_WORDS)))
     jobs = _section_lines(lines, header, lambda x: x.rlike(EXPERIENCE))
     spans = F.filter(F.flatten(F.transform(jobs, lambda x: _ranges(x, as_of))), lambda p: p["lo"].isNotNull() & p["hi"].isNotNull() & (p["hi"] >= p["lo"]))
-    tenure = F.round(F.bround(union_months(spans) / F.lit(12.0), 1), 1)
-    total = F.when(F.size(spans) > 0, F.when(tenure == F.floor(tenure), F.floor(tenure).cast("string")).otherwise(tenure.cast("string")))
+    # columns of their own, which are used more than once: inside the rows' array each use would compute them again
+    docs = docs.withColumn("spans", spans)
+    docs = docs.withColumn("tenure", F.when(F.size("spans") > 0, F.round(F.bround(union_months(F.col("spans")) / F.lit(12.0), 1), 1)))
+    tenure = F.col("tenure")
+    total = F.when(tenure == F.floor(tenure), F.floor(tenure).cast("string")).otherwise(tenure.cast("string"))
     phrase = F.nullif(F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*\+?\s*years?", 1), F.lit(""))
     schools = _section_lines(lines, lambda x: x.rlike(SKILLS) | header(x) | x.rlike(EDUCATION), lambda x: x.rlike(EDUCATION))
     items = F.filter(F.transform(schools, lambda x: _education(x, as_of)), lambda e: e["institution"].isNotNull() | e["degree"].isNotNull())
