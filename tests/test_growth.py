@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tributary.functions.text import token_sort_ratio
 from tributary.operators import resolve
 from tributary.plans import queries
+from tributary.sources.json_profiles import ats_values
 from tributary.sources.resume import EXPERIENCE, parse_documents
 
 
@@ -37,3 +38,11 @@ def test_resume_jobs_are_found_once_a_document(spark):
     got = {r["field"]: r for r in rows.filter("field IS NOT NULL").collect()}
     assert got["years_experience"]["raw"] == "2"
     assert tuple(got["education"]["edu"]) == ("UNI 7", "B.Sc. Physics", "Optics", "2001-09", "2005-06")
+
+
+def test_candidates_are_read_once(spark):
+    rows = spark.createDataFrame([(1, '{"name": "A", "skills": ["x"], "location": {"city": "Lima"}}'), (2, '{"other": 1}'), (3, "{}")], "record_ord long, obj string")
+    got = ats_values(rows)
+    plan = optimized(got)
+    assert "Join" not in plan and plan.count("get_json_object(obj#") == 12  # a lookup a key
+    assert sorted((r["record_ord"], r["field"] or "", r["raw"] or "") for r in got.collect()) == [(1, "", ""), (1, "full_name", "A"), (1, "location", "Lima"), (1, "skills", "x")]

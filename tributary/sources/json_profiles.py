@@ -75,12 +75,6 @@ def _place(x: Column) -> Column:
     return F.when(_is(x, "{"), F.nullif(parts, F.lit(""))).otherwise(none_if_blank(x))
 
 
-def _filled(rows: DataFrame) -> DataFrame:
-    """Without the records that have no value at all."""
-    some = rows.filter("field IS NOT NULL").select("record_ord").distinct()
-    return rows.join(some, "record_ord", "left_semi")
-
-
 @register("ats_json", "ats")
 def read_ats(spark: SparkSession, path: str) -> DataFrame:
     return ats_values(_objects(spark, path, "candidates"))
@@ -88,19 +82,26 @@ def read_ats(spark: SparkSession, path: str) -> DataFrame:
 
 def ats_values(rows: DataFrame) -> DataFrame:
     """RAW_VALUES of candidates (record_ord, obj: JSON text)."""
-    o = F.col("obj")
     m = "ats_json"
-    has = F.array_contains(F.json_object_keys(o), "yearsExperience")
-    return _filled(values(rows, "ATS", [
-        one("full_name", _clean(o, "fullName", "name"), m),
-        one("headline", _clean(o, "currentTitle", "title", "headline"), m),
-        one("years_experience", F.when(has, _clean(o, "yearsExperience")).otherwise(_clean(o, "years_experience")), m),
-        one("emails", _clean(o, "email"), m),
-        one("phones", _clean(o, "phone"), m),
-        one("location", _place(_get(o, "location")), m),
-        many("skills", F.filter(F.transform(F.coalesce(_array(F.when(_is(_get(o, "skills"), "["), _get(o, "skills"))), F.array().cast("array<string>")), none_if_blank), lambda s: s.isNotNull()), m),
-        many("links", _texts(_get(o, "links")), m),
-    ]))
+    keys = ("fullName", "name", "currentTitle", "title", "headline", "email", "phone")
+    plain = ("yearsExperience", "years_experience", "location", "skills", "links")
+    # each key is looked up once, into a column of its own: the expressions below use it several times
+    got = rows.select("record_ord", F.array_contains(F.json_object_keys("obj"), "yearsExperience").alias("has"), *(_get(F.col("obj"), k).alias(f"_{k}") for k in (*keys, *plain)))
+    place = [_get(F.col("_location"), k).alias(f"_in_{k}") for k in ("city", "region", "state", "country")]
+    got = got.select("*", *place)
+    text = lambda *ks: F.coalesce(*(none_if_blank(F.col(f"_{k}")) for k in ks))
+    at, skills = F.col("_location"), F.col("_skills")
+    parts = F.concat_ws(", ", *(none_if_blank(F.col(f"_in_{k}")) for k in ("city", "region", "state", "country")))
+    return values(got, "ATS", [
+        one("full_name", text("fullName", "name"), m),
+        one("headline", text("currentTitle", "title", "headline"), m),
+        one("years_experience", F.when(F.col("has"), text("yearsExperience")).otherwise(text("years_experience")), m),
+        one("emails", text("email"), m),
+        one("phones", text("phone"), m),
+        one("location", F.when(_is(at, "{"), F.nullif(parts, F.lit(""))).otherwise(none_if_blank(at)), m),
+        many("skills", F.filter(F.transform(F.coalesce(_array(F.when(_is(skills, "["), skills)), F.array().cast("array<string>")), none_if_blank), lambda s: s.isNotNull()), m),
+        many("links", _texts(F.col("_links")), m),
+    ], filled=True)
 
 
 def profile_values(rows: DataFrame) -> DataFrame:
@@ -109,13 +110,13 @@ def profile_values(rows: DataFrame) -> DataFrame:
     page = F.coalesce(_clean(o, "html_url"), F.concat(F.lit("https://github.com/"), _clean(o, "login")))
     repos = F.transform(F.coalesce(_array(_get(o, "pinned_repos")), F.array().cast("array<string>")), lambda r: none_if_blank(_get(r, "language")))
     skills = F.concat(F.transform(F.coalesce(_array(_get(o, "top_languages")), F.array().cast("array<string>")), none_if_blank), repos)
-    return _filled(values(rows, "GitHub", [
+    return values(rows, "GitHub", [
         one("full_name", _clean(o, "name"), m),
         one("emails", _clean(o, "email"), m),
         one("location", _clean(o, "location"), m),
         many("links", F.array_distinct(F.array_compact(F.array(page, _clean(o, "blog")))), m),
         many("skills", F.array_distinct(F.array_compact(skills)), m),
-    ]))
+    ], filled=True)
 
 
 def login_of(source: str) -> str | None:

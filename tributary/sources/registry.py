@@ -94,12 +94,17 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return out
 
 
-def values(records: DataFrame, source: str, columns: list) -> DataFrame:
-    """RAW_VALUES rows of records (with record_ord) from an array of value structs, plus a marker row for every record."""
+def values(records: DataFrame, source: str, columns: list, filled: bool = False) -> DataFrame:
+    """RAW_VALUES rows of records (with record_ord) from an array of value structs, plus a marker row for every record (filled: that has a value)."""
     null = lambda t: F.lit(None).cast(t)
     marker = value(None, null("string"), null("string"))
     schema = T._parse_datatype_string(RAW_VALUES)
-    rows = records.select("record_ord", F.explode(F.concat(F.array(marker), F.flatten(F.array(*columns)))).alias("v"))
+    each = F.flatten(F.array(*columns))
+    if filled:  # within the row: the values are computed once, and no record has to meet itself again
+        each = records.select("record_ord", each.alias("each"))
+        rows = each.select("record_ord", F.explode(F.when(F.size("each") > 0, F.concat(F.array(marker), "each"))).alias("v"))
+    else:
+        rows = records.select("record_ord", F.explode(F.concat(F.array(marker), each)).alias("v"))
     rows = rows.select("record_ord", F.lit(source).alias("source"), "v.*")
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
 
