@@ -5,10 +5,14 @@ from pyspark.sql import functions as F
 from tributary.functions.text import token_sort_ratio
 from tributary.operators import resolve
 from tributary.plans import queries
+from tributary.plans.storage import written
 from tributary.sources.json_profiles import ats_values
 from tributary.sources.resume import EXPERIENCE, parse_documents
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -46,3 +50,12 @@ def test_candidates_are_read_once(spark):
     plan = optimized(got)
     assert "Join" not in plan and plan.count("get_json_object(obj#") == 12  # a lookup a key
     assert sorted((r["record_ord"], r["field"] or "", r["raw"] or "") for r in got.collect()) == [(1, "", ""), (1, "full_name", "A"), (1, "location", "Lima"), (1, "skills", "x")]
+
+
+def test_inputs_of_the_merges_are_spread(spark, monkeypatch):
+    """The values that are sorted before the shuffle come from tasks of so many records."""
+    seen = []
+    monkeypatch.setattr(queries, "TASK_ROWS", 50)
+    monkeypatch.setattr(queries, "written", lambda df, name: seen.append((name, df.rdd.getNumPartitions())) or written(df, name))
+    queries.validation_issues(spark, SF)
+    assert dict(seen)["customer-values"] >= 3
