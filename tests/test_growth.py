@@ -59,3 +59,11 @@ def test_inputs_of_the_merges_are_spread(spark, monkeypatch):
     monkeypatch.setattr(queries, "written", lambda df, name: seen.append((name, df.rdd.getNumPartitions())) or written(df, name))
     queries.validation_issues(spark, SF)
     assert dict(seen)["customer-values"] >= 3
+
+
+def test_people_of_two_tables_are_spread(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "TASK_ROWS", 50)
+    monkeypatch.setattr(queries, "written", lambda df, name: seen.append(df.rdd.getNumPartitions()) or written(df, name))
+    queries._customer_values(spark, SF)
+    assert seen[0] >= 4

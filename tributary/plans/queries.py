@@ -520,7 +520,7 @@ def source_union_ordered(spark, sf_dir):
 
 def _customer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers as people of two sources; equal numbers in their names are one person."""
-    c, s, n = (table(spark, sf_dir, x) for x in ("customer", "supplier", "nation"))
+    c, s, n = spread(table(spark, sf_dir, "customer")), spread(table(spark, sf_dir, "supplier")), table(spark, sf_dir, "nation")
     n = F.broadcast(n.select(F.col("n_nationkey").alias("nk"), "n_name"))
     c = c.join(n, F.col("c_nationkey") == F.col("nk"), "left").select(F.col("c_custkey").alias("record_ord"), F.lit("ATS").alias("src"), F.col("c_name").alias("name"), "n_name", F.col("c_mktsegment").alias("skill"))
     s = s.join(n, F.col("s_nationkey") == F.col("nk"), "left").select((F.col("s_suppkey") + F.lit(1 << 44)).alias("record_ord"), F.lit("CSV").alias("src"), F.col("s_name").alias("name"), "n_name", F.lit(None).cast("string").alias("skill"))
