@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tributary.functions.text import token_sort_ratio
-from tributary.operators import resolve
+from tributary.functions.text import phone, token_sort_ratio
+from tributary.operators import linking, resolve
 from tributary.plans import queries
 from tributary.plans.storage import written
 from tributary.sources.json_profiles import ats_values
@@ -67,3 +67,33 @@ def test_people_of_two_tables_are_spread(spark, monkeypatch):
     monkeypatch.setattr(queries, "written", lambda df, name: seen.append(df.rdd.getNumPartitions()) or written(df, name))
     queries._customer_values(spark, SF)
     assert seen[0] >= 4
+
+
+def test_orders_and_pairs_of_names_are_dealt_by_rows(spark, monkeypatch):
+    """Orders before they are normalized, and pairs of names before they are compared: both are few bytes a row."""
+    monkeypatch.setattr(queries, "TASK_ROWS", 500)
+    assert queries._order_people(spark, SF).rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/orders.parquet").count() // 500) >= 3
+    seen = {}
+    monkeypatch.setattr(resolve, "TASK_PAIRS", 5)
+    monkeypatch.setattr(resolve, "written", lambda df, name: seen.update({name: df.rdd.getNumPartitions()}) or written(df, name))
+    names = spark.createDataFrame([(f"s{i}", f"{first} s{i}") for i in range(12) for first in ("Jonathan", "Jonathon")], "surname string, name string").coalesce(1)
+    assert resolve.similar_names(names, 90.0).count() == 12 and seen["compared-names"] == 3
+
+
+def test_roots_of_one_name_tie_nothing(spark, monkeypatch):
+    """The graph of names has edges of alike names and of roots with several names, not of every root."""
+    seen, plain = [], linking.components
+    monkeypatch.setattr(linking, "BUCKET_UNITS", 10)
+    monkeypatch.setattr(linking, "components", lambda edges: seen.append(sorted(map(tuple, edges.collect()))) or plain(edges))
+    units = [(i, i % 6, 0, i, 0) for i in range(6, 30)] + [(i, i, 0, i, 0) for i in range(6)] + [(40, 4, 0, 40, 1), (40, 5, 0, 41, 1)]
+    similar = [(0, 1), (1, 0), (2, 3), (3, 2), *((i, i) for i in range(6))]
+    got = linking.link(spark.createDataFrame(units, "root long, name long, block long, ord long, guard int"), spark.createDataFrame(similar, "name_a long, name_b long"))
+    like = {a: [y for x, y in similar if x == a] for a in range(6)}
+    want = linking.link_in_order(units, like)
+    assert {r.root: r.cluster_id for r in got.collect()} == want and set(want.values()) == {0, 2, 4}
+    assert seen[0] == [(0, 1), (2, 3), (4, 5)]
+
+
+def test_phones_are_one_coalesce(spark):
+    """Nested ones cost a task seconds before its first row."""
+    assert "coalesce(coalesce(" not in optimized(spark.range(1).select(phone(F.col("id").cast("string"))["value"]))

@@ -40,17 +40,17 @@ def phone(raw: Column, region: str = "IN") -> Column:
     """E.164 by the numbering plans at hand, elsewhere by assigned calling code and length; anything else stays as it is, not ok."""
     clean = strip(raw)
     digits = F.regexp_replace(clean, r"\D", "")
-    best = F.lit(None).cast("string")
+    found = []  # in one coalesce: nested ones cost each task seconds before its first row, in the search for common subexpressions
     for code, cc, trunk, national in CALLING_CODES:
         intl = digits.rlike(f"^{cc}(?:{national})$")
-        best = F.coalesce(best, F.when(clean.startswith("+") & intl, F.concat(F.lit("+"), digits)))
+        found.append(F.when(clean.startswith("+") & intl, F.concat(F.lit("+"), digits)))
         if code == region:
             local = F.regexp_replace(digits, f"^{trunk}(?=(?:{national})$)", "") if trunk else digits
-            best = F.coalesce(best, F.when(~clean.startswith("+") & local.rlike(f"^(?:{national})$"), F.concat(F.lit(f"+{cc}"), local)))
-            best = F.coalesce(best, F.when(~clean.startswith("+") & intl, F.concat(F.lit("+"), digits)))
+            found.append(F.when(~clean.startswith("+") & local.rlike(f"^(?:{national})$"), F.concat(F.lit(f"+{cc}"), local)))
+            found.append(F.when(~clean.startswith("+") & intl, F.concat(F.lit("+"), digits)))
     known = "|".join(sorted({cc for _, cc, _, _ in CALLING_CODES}))
     other = clean.startswith("+") & digits.rlike(f"^(?:{OTHER_CODES}){OTHER_NATIONAL}$") & ~digits.rlike(f"^(?:{known})") & (F.length(digits) <= 15)
-    best = F.coalesce(best, F.when(other, F.concat(F.lit("+"), digits)))
+    best = F.coalesce(*found, F.when(other, F.concat(F.lit("+"), digits)))
     best = F.when(clean.rlike("[A-Za-z]"), F.lit(None)).otherwise(best)
     return result(F.coalesce(best, clean), best.isNotNull())
 

@@ -214,6 +214,13 @@ def _in_step(units: DataFrame, wish: DataFrame, lead: DataFrame, offers: DataFra
     return a.join(b, ["pair", "place"]).select("a", "b")
 
 
+def name_ties(units: DataFrame, similar: DataFrame) -> DataFrame:
+    """Edges a, b of names that are alike or that one root has: a root of one name, as most are, ties nothing."""
+    several = units.groupBy("root").agg(F.min("name").alias("a"), F.max("name").alias("last")).filter("a <> last").select("root", "a")
+    of_roots = units.join(several, "root").select("a", F.col("name").alias("b")).filter("a <> b")
+    return of_roots.unionByName(similar.filter("name_a < name_b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
+
+
 def link(units: DataFrame, similar: DataFrame) -> DataFrame:
     """root and cluster_id (the least root of the cluster) of the units' roots that are linked, and of some that are not.
 
@@ -223,9 +230,7 @@ def link(units: DataFrame, similar: DataFrame) -> DataFrame:
     n = units.count()
     if n <= BUCKET_UNITS:
         return _in_tasks(units.withColumn("grp", F.lit(0)), similar.withColumn("grp", F.lit(0)), n)
-    ties = units.select(F.col("root").alias("a"), F.col("name").alias("b")).unionByName(similar.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
-    # a name's number is its first record's, so where it equals a root that root has the name: numbers tie nothing else
-    groups = written(components(ties.filter("a <> b")).select("node", F.col("component").alias("grp")), "name-groups")
+    groups = written(components(name_ties(units, similar)).select("node", F.col("component").alias("grp")), "name-groups")
     of = lambda c: F.coalesce(F.col("grp"), F.col(c)).alias("grp")
     units = written(units.join(groups.withColumnRenamed("node", "name"), "name", "left").select(*units.columns, of("name")), "grouped-units")
     similar = written(similar.join(groups.withColumnRenamed("node", "name_a"), "name_a", "left").select("name_a", "name_b", of("name_a")), "grouped-names")

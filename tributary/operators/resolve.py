@@ -62,6 +62,8 @@ def _prefix_grams(names: DataFrame, threshold: float) -> DataFrame:
 
 #: Surnames of up to so many names have all their pairs compared, at most half as many a name.
 FEW_NAMES = 8
+#: Pairs of names that one task compares.
+TASK_PAIRS = 10_000
 
 
 def similar_names(distinct: DataFrame, threshold: float) -> DataFrame:
@@ -82,7 +84,11 @@ def similar_names(distinct: DataFrame, threshold: float) -> DataFrame:
         return a.join(b, by).filter((F.col("name_a") < F.col("name_b")) & bound).select("surname", "name_a", "name_b")
 
     near = written(met(few, ["surname"]).unionByName(met(grams, ["surname", "gram"]).distinct()), "near-names")
-    return near.filter(token_sort_ratio(F.col("name_a"), F.col("name_b")) >= threshold)
+    # a pair is few bytes and much work: the table is dealt by rows, as a scan of it is cut by bytes alone
+    dealt = near.repartition(max(1, -(-near.count() // TASK_PAIRS)))
+    alike = (token_sort_ratio(F.col("name_a"), F.col("name_b")) >= threshold).alias("alike")
+    # written with the verdict: a filter would move below the repartition, and the pairs are read both ways
+    return written(dealt.select("*", alike), "compared-names").filter("alike").drop("alike")
 
 
 def name_pairs(names: DataFrame, threshold: float) -> DataFrame:

@@ -355,7 +355,7 @@ SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, k) AS cluster_i
 def _order_people(spark, sf_dir) -> DataFrame:
     """Orders as people of two spellings of one name a customer, some with an e-mail, some with a phone: all without
     either and the first of both kinds are one person, the k-th with an e-mail and the k-th with a phone another."""
-    o = table(spark, sf_dir, "orders").withColumn("record_ord", F.col("o_orderkey"))
+    o = spread(table(spark, sf_dir, "orders")).withColumn("record_ord", F.col("o_orderkey"))
     key = F.col("o_orderkey")
     name = F.concat(F.when(key % 2 == 0, "Jonathan Smith").otherwise("Jonathon Smith"), F.col("o_custkey").cast("string"))
     phone = F.concat(F.lit("+49301"), F.lpad(key.cast("string"), 8, "0"))
