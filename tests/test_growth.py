@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tributary.functions.text import phone, token_sort_ratio
-from tributary.operators import linking, resolve
-from tributary.plans import queries
+from tributary.operators import linking, merge, resolve
+from tributary.plans import pipeline, queries
 from tributary.plans.storage import written
 from tributary.sources.json_profiles import ats_values
 from tributary.sources.resume import EXPERIENCE, parse_documents
@@ -97,3 +97,21 @@ def test_roots_of_one_name_tie_nothing(spark, monkeypatch):
 def test_phones_are_one_coalesce(spark):
     """Nested ones cost a task seconds before its first row."""
     assert "coalesce(coalesce(" not in optimized(spark.range(1).select(phone(F.col("id").cast("string"))["value"]))
+
+
+def test_values_are_merged_in_tasks_of_so_many(spark, monkeypatch):
+    """Scans and adaptive reads would put any number of small values into one task's sort."""
+    n = 3 * 50 + 2 * 7
+    rows = [(i, "CSV", f, 0, raw, "x", False) for i in range(50) for f, raw in (("full_name", f"Ada {i}"), ("emails", f"a{i % 25}@x.org"), ("skills", "Go"))]
+    rows += [(100 + i, "ATS", f, 0, raw, "x", False) for i in range(7) for f, raw in (("full_name", "Bob"), ("emails", f"a{i}@x.org"))]
+    raw = spark.createDataFrame(rows, "record_ord long, source string, field string, pos int, raw string, method string, malformed boolean").withColumn("edu", F.lit(None).cast(queries.normalize.EDUCATION))
+    show = lambda canon: sorted(r.asDict(recursive=True).__repr__() for r in canon.collect())
+    whole = show(pipeline.fuse(raw)[0])
+    plans, plain = [], pipeline.written
+    monkeypatch.setattr(merge, "TASK_VALUES", 20)
+    monkeypatch.setattr(pipeline, "written", lambda df, name, **k: plans.append((name, optimized(df))) or plain(df, name, **k))
+    assert show(pipeline.fuse(raw)[0]) == whole and len(whole) == 25
+    found = dict(plans)["canonical"]
+    for by in ("[record_ord#", "[cluster_id#"):
+        assert any("RepartitionByExpression " + by in line and line.rstrip().endswith(f", {-(-n // 20)}") for line in found.split("\n")), found
+    assert pipeline.fuse(raw.filter("record_ord < 0"))[0].count() == 0

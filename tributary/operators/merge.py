@@ -15,6 +15,15 @@ from ..model import AGREEMENT_BONUS, COLLECTIONS, COMPLETENESS_PENALTY, CONFLICT
 VALUE_OF = {"full_name": "v_str", "headline": "v_str", "location": "v_loc", "emails": "v_str", "phones": "v_str", "skills": "v_str", "links": "v_link", "education": "v_edu"}
 
 
+#: Values that one task merges, where their number is known: some 600 bytes each are sorted at once.
+TASK_VALUES = 50_000
+
+
+def dealt(rows: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    """The rows in so many tasks, or as they lie: scans and adaptive reads are cut by compressed bytes, which hold any number of values."""
+    return rows.repartition(tasks, *by) if tasks else rows
+
+
 def dec(x: str) -> Column:
     return F.lit(x).cast("decimal(6,4)")
 
@@ -34,7 +43,7 @@ def win_order() -> list[Column]:
     return [(-F.col("priority")).alias("o1"), (-F.col("completeness")).alias("o2"), F.col("tiebreak").alias("o3"), F.col("record_ord").alias("o4"), F.col("pos").alias("o5")]
 
 
-def compared(values: DataFrame, clusters: DataFrame) -> DataFrame:
+def compared(values: DataFrame, clusters: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distinct values of each (cluster_id, field, g) with the winner w, and how many rows agree with it and differ from it.
 
     Equal rows are counted before they meet their winner, so a cluster that holds much of the table is combined where it
@@ -43,8 +52,8 @@ def compared(values: DataFrame, clusters: DataFrame) -> DataFrame:
     group = F.when(F.col("field").isin(*SCALARS), F.lit("")).otherwise(F.col("v_key")).alias("g")
     value = ("v_key", "priority", "completeness", "tiebreak", "base", "source", "method", "raw", "malformed", "v_str", "v_num", "v_loc", "v_link", "v_edu")
     at = F.struct("record_ord", "pos")
-    v = values.join(clusters, "record_ord").groupBy("cluster_id", "field", group, *value).agg(F.min(at).alias("at"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
-    v = v.withColumn("record_ord", F.col("at.record_ord")).withColumn("pos", F.col("at.pos"))
+    v = dealt(values, tasks, "record_ord").join(clusters, "record_ord").groupBy("cluster_id", "field", group, *value).agg(F.min(at).alias("at"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    v = dealt(v.withColumn("record_ord", F.col("at.record_ord")).withColumn("pos", F.col("at.pos")), tasks, "cluster_id", "field", "g")
     winner = F.struct(*win_order(), "v_key", "priority", "completeness", "base", "source", "method", "raw", "malformed", "v_str", "v_num", "v_loc", "v_link", "v_edu")
     won = v.groupBy("cluster_id", "field", "g").agg(F.min(winner).alias("w"), F.min("at").alias("first"))
     w = F.col("w")
@@ -60,16 +69,16 @@ def lost_reason() -> Column:
     return F.when(F.col("priority") < w["priority"], "lower_source_priority").when((F.col("priority") == w["priority"]) & (F.col("completeness") < w["completeness"]), "less_complete").otherwise("tiebreak_lost")
 
 
-def tracked(values: DataFrame, clusters: DataFrame) -> DataFrame:
+def tracked(values: DataFrame, clusters: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per value kept: cluster_id, field, first place, record_ord of the winner, value (in v_*), confidence, primary, agreements, conflicts.
 
-    An agreement or conflict stands once for its n equal rows.
+    An agreement or conflict stands once for its n equal rows. The values are dealt to so many tasks, if told.
     """
     w = F.col("w")
     origin = (F.col("source"), F.col("method"), F.coalesce("raw", F.lit("")).alias("raw"), F.col("malformed"))
     agreed = F.struct(*origin, F.col("agree").cast("int").alias("n"))
     lost = F.struct(F.struct(*origin).alias("source"), F.col("tiebreak").alias("shown"), F.col("reason"), F.struct("v_str", "v_num", "v_loc").alias("value"), F.col("differ").cast("int").alias("n"))
-    out = compared(values, clusters).groupBy("cluster_id", "field", "g").agg(
+    out = compared(values, clusters, tasks).groupBy("cluster_id", "field", "g").agg(
         F.first("w").alias("w"),  # the same in every row of the group
         F.first("first").alias("first"),
         F.max(F.col("agree") > 0).alias("agreed"),
@@ -111,9 +120,9 @@ def record_confidence() -> Column:
     return F.when(F.size(each) == 0, F.lit(0.0)).otherwise(clamp(total.cast("double") / F.size(each) - F.col("completeness_penalty")))
 
 
-def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConfig = FusionConfig()) -> DataFrame:
+def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConfig = FusionConfig(), tasks: int | None = None) -> DataFrame:
     """One wide row per cluster; clusters without any value are there too."""
-    t = values_tracked
+    t = dealt(values_tracked, tasks, "cluster_id")
     parts: list[Column] = []
     conflict = lambda f: F.transform("conflicts", lambda c: F.struct((F.struct(c["value"]["v_num"].alias("num"), c["value"]["v_str"].alias("text")) if f == "years_experience" else c["value"][VALUE_OF[f]]).alias("value"), c["source"].alias("source"), c["reason"].alias("reason"), c["n"].alias("n")))
     for f in SCALARS:
@@ -124,7 +133,7 @@ def canonical(values_tracked: DataFrame, clusters: DataFrame, config: FusionConf
         keys = [k.alias(f"k{i}") for i, k in enumerate(_sort_keys(f))]
         parts.append(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct(*keys, F.col("first").alias("at"), F.hash("first").alias("h"), tv.alias("tv"))))), lambda s: s["tv"]).alias(f))
     wide = t.groupBy("cluster_id").agg(*parts)
-    all_ = clusters.select("cluster_id").distinct().join(wide, "cluster_id", "left")
+    all_ = dealt(clusters.select("cluster_id").distinct(), tasks, "cluster_id").join(wide, "cluster_id", "left")
     for f in COLLECTIONS:
         all_ = all_.withColumn(f, F.coalesce(f, F.array().cast(wide.schema[f].dataType)))
     missing = F.lit(0)

@@ -47,15 +47,16 @@ class RunResult:
 def fuse(raw: DataFrame, config: FusionConfig = FusionConfig(), stats: RunStats | None = None) -> tuple[DataFrame, DataFrame]:
     """Canonical rows and the issues of RAW_VALUES rows. Counts are observed while the stages are written; other tables go."""
     stats = stats or RunStats()
-    records, people = Observation(), Observation()
+    counted, records, people = Observation(), Observation(), Observation()
     one = F.count(F.lit(1)).alias("n")
     with scratch(raw.sparkSession):
         with stats.stage("normalize"):
-            values = written(normalize.normalize(raw, config), "values")
+            values = written(normalize.normalize(raw, config).observe(counted, one), "values")
+            tasks = max(1, -(-counted.get["n"] // merge.TASK_VALUES))
         with stats.stage("resolve"):
             clusters = written(resolve.resolve(raw, values, config).observe(records, one), "clusters")
         with stats.stage("merge"):
-            canon = merge.canonical(merge.tracked(values, clusters), clusters, config)
+            canon = merge.canonical(merge.tracked(values, clusters, tasks), clusters, config, tasks)
             canon = written(canon.observe(people, one, F.sum(merge.conflicts()).alias("conflicts")), "canonical", keep=True)
         with stats.stage("validate"):
             found = written(validate.issues(canon), "issues", keep=True)
